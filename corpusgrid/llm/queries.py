@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from corpusgrid.llm.bpe import op4_bpe
+from corpusgrid.llm.langid import op3_language_id
 from corpusgrid.llm.licenses import op6_license_scan
 from corpusgrid.llm.mixing import op5_mixing
 from corpusgrid.llm.quality import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_language_id": op3_language_id,
+    "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_license_scan": op6_license_scan,
 }

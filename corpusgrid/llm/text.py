@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Separator of words: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,3 +24,23 @@ def let(value: Column, body) -> Column:
 def unit(*keys: Column) -> Column:
     """Deterministic number in [0, 1) from the keys."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[tuple[str, str]]) -> DataFrame:
+    """Arrow batches of df through Python: pass_on columns unchanged, then the values that make()(text) returns.
+
+    make is called once a task and returns the function of a text; names are the new columns with their SQL types.
+    """
+    ddl = [f"`{n}` {t}" for n, t in names]
+    schema = StructType([*(df.schema[c] for c in pass_on), *StructType.fromDDL(", ".join(ddl))])
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    types = [arrow[t] for _, t in names]
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            rows = [f(t) for t in b.column(column).to_pylist()]
+            own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pass_on), *own], [*pass_on, *(n for n, _ in names)])
+
+    return df.select(*dict.fromkeys([*pass_on, column])).mapInArrow(run, schema)
