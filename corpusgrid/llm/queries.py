@@ -6,6 +6,7 @@ from corpusgrid.llm.bpe import op4_bpe
 from corpusgrid.llm.langid import op3_language_id
 from corpusgrid.llm.licenses import op6_license_scan
 from corpusgrid.llm.mixing import op5_mixing
+from corpusgrid.llm.pii import op10_pii
 from corpusgrid.llm.quality import op1_quality_rules
 
 QUERIES = {
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_license_scan": op6_license_scan,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
