@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from corpusgrid.llm.bpe import op4_bpe
+from corpusgrid.llm.embeddings import op8_embedding_near_dedup
+from corpusgrid.llm.html import op7_html_extraction
 from corpusgrid.llm.langid import op3_language_id
 from corpusgrid.llm.licenses import op6_license_scan
 from corpusgrid.llm.mixing import op5_mixing
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_license_scan": op6_license_scan,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
