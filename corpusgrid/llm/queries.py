@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusgrid.llm.bpe import op4_bpe
 from corpusgrid.llm.embeddings import op8_embedding_near_dedup
 from corpusgrid.llm.html import op7_html_extraction
+from corpusgrid.llm.jaccard import op9_jaccard_join
 from corpusgrid.llm.langid import op3_language_id
 from corpusgrid.llm.licenses import op6_license_scan
 from corpusgrid.llm.mixing import op5_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_html_extraction": op7_html_extraction,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
