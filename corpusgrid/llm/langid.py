@@ -104,16 +104,16 @@ class Scorer:
         return self.langs[best], 1 / sum(math.exp(max(x, -700.0)) for x in shift)
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds held_out, lang_pred and score to doc_id; one row per row, any doc_id.
+def predict(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
+    """Adds held_out, lang_pred and score to the keep columns; one row per row, any doc_id.
 
     Whole texts are read. A null text, or one without a letter, gives und with score 0, as does a model that learned
     from nothing. The prediction uses the text alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return map_texts(rows, ["doc_id", "held_out"], "text", lambda: Scorer(shared.value), [("lang_pred", "string"), ("score", "double")])
+    rows = docs.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    return map_texts(rows, [*keep, "held_out"], "text", lambda: Scorer(shared.value), [("lang_pred", "string"), ("score", "double")])
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

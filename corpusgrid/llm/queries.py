@@ -11,9 +11,11 @@ from corpusgrid.llm.licenses import op6_license_scan
 from corpusgrid.llm.mixing import op5_mixing
 from corpusgrid.llm.pii import op10_pii
 from corpusgrid.llm.quality import op1_quality_rules
+from corpusgrid.llm.suffixes import op2_suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
