@@ -97,10 +97,11 @@ def a11_paired(t):
 
 
 @query("""WITH d AS (SELECT p_partkey, p_partkey % 12 AS b, p_size % 9 AS c FROM part)
-SELECT p_partkey, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) for i in range(0, least(b, c) + 1)])) END, 6) AS p FROM d""")
+SELECT p_partkey, round(1048576 * CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum([exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)) for i in range(0, least(b, c) + 1)])) END)::BIGINT AS p_scaled FROM d""")
 def a12_mcnemar(t):
+    """p in units of 2 ** -20, in which it is whole for up to 20 discordant rows."""
     x = t.part.select("p_partkey", (F.col("p_partkey") % 12).alias("b"), (F.col("p_size") % 9).alias("c"))
-    return x.select("p_partkey", F.round(A.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
+    return x.select("p_partkey", F.round(A.mcnemar(F.col("b"), F.col("c")) * 1048576).cast("long").alias("p_scaled"))
 
 
 @query(P + "SELECT outcome, n, rows FROM (SELECT outcome, count(*) n, string_agg(CASE WHEN r <= 20 THEN l_orderkey || '-' || l_linenumber END, ',' ORDER BY l_orderkey, l_linenumber) AS rows FROM (SELECT *, CASE WHEN ok2 THEN 'fixed' ELSE 'regressed' END outcome, row_number() OVER (PARTITION BY ok2 ORDER BY l_orderkey, l_linenumber) r FROM p WHERE ok <> ok2) GROUP BY outcome)")
