@@ -83,3 +83,41 @@ def agreement_soft_labels(df: DataFrame, row: str, cls: str, p: str, label: str,
     m = m.withColumn("_best", F.max_by(cls, F.struct(F.round("p", 9), -F.col(cls))).over(w)).where(F.col("_best") == F.col("label"))
     q = F.pow("p", 1 / temperature)
     return m.withColumn("q", q / F.sum(q).over(w)).select(row, cls, "q")
+
+
+def coordinate_search(spark, base: dict[str, int], grid: dict[str, list[int]], score, rounds: int = 3) -> tuple[dict[str, int], float]:
+    """Field after field, the value of the best score; all values of a field are profiles of one job.
+
+    score takes a table of profiles and returns (profile, score) rows, one a profile. Ties keep the present value, then
+    the earlier one. Ends when a round changes nothing.
+    """
+    now, best = dict(base), float("-inf")
+    for _ in range(rounds):
+        before = dict(now)
+        for field, values in grid.items():
+            tried = [now[field], *[v for v in values if v != now[field]]]
+            rows = [(str(i), *{**now, field: v}.values()) for i, v in enumerate(tried)]
+            got = {r["profile"]: r["score"] for r in score(spark.createDataFrame(rows, "profile string, " + ", ".join(f"{k} long" for k in now))).collect()}
+            top = max(range(len(tried)), key=lambda i: (round(got.get(str(i), 0.0), 9), -i))
+            now[field], best = tried[top], got.get(str(top), 0.0)
+        if now == before:
+            break
+    return now, best
+
+
+def ranker(cands: DataFrame, features: list[str], positive: str, trees: int = 5, seed: int = 7):
+    """Gradient-boosted trees that tell the positive candidate of a group; score with `rank_scores`."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    x = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(cands.withColumn("label", F.col(positive).cast("double")))
+    return GBTClassifier(maxIter=trees, maxDepth=3, seed=seed).fit(x.select("features", "label"))
+
+
+def rank_scores(model, cands: DataFrame, features: list[str]) -> DataFrame:
+    """Adds p, the probability of being the positive candidate."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(cands)
+    return model.transform(x).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")

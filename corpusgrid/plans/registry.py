@@ -31,4 +31,4 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-from corpusgrid.plans import corpus, ensembles, evaluation, graphs, lexicons, sampling, scenes, text  # noqa: E402, F401
+from corpusgrid.plans import corpus, ensembles, evaluation, graphs, lexicons, sampling, scenes, streams, text  # noqa: E402, F401

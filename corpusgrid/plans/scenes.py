@@ -180,3 +180,34 @@ def p5_threshold_retry(t):
     """Grid shapes at each threshold, and the first good threshold of each graph."""
     shapes = P.threshold_shapes(points(t), "g", "k", "score", [0.1, 0.3, 0.5])
     return P.first_good_threshold(shapes, X.graphs(t), "g", 0.1, 3, 5)
+
+
+@query()
+def e6_coordinate_search(t):
+    """Weights of two fields that explain the labels g % 4 best when ties are broken at random."""
+    from corpusgrid.operators import ensemble as E
+    from corpusgrid.operators import metrics as A
+    from corpusgrid.session import stage
+
+    arcs, starts, vias, goals = (stage(x, "search") for x in (G.arcs(X.edges(t)), X.starts(t), X.vias(t), X.goals(t)))
+
+    def score(profiles):
+        costs = G.route_costs(arcs, profiles, starts, vias, goals).withColumns({"label": F.col("g") % 4, "row": F.struct("g", "profile")})
+        return A.tie_scores(costs, "row", "cost", "action", "label").groupBy("row.profile").agg(F.avg("score").alias("score"))
+
+    base = dict(zip(X.PROFILE_COLUMNS, X.PROFILES["plain"]))
+    best, value = E.coordinate_search(t.spark, base, {"crowded": [0, 80], "turn": [0, 40]}, score, rounds=1)
+    return t.spark.createDataFrame([(k, v, value) for k, v in best.items()], "field string, weight long, score double")
+
+
+@query()
+def e7_ranker(t):
+    """A model over the candidate rows of even graphs picks the action of every graph."""
+    from corpusgrid.operators import ensemble as E
+    from corpusgrid.session import stage
+
+    names = ["excess", "n_legal", "exits", "distance", "n_nodes", "density", "row", "col"]
+    labels = X.graphs(t).select("g", (F.col("g") % 4).alias("action"))
+    c = stage(P.labelled(P.candidates(actions(t), context(t)), labels).select("g", "action", "positive", *names), "candidates")
+    model = E.ranker(c.where("g % 2 = 0"), names, "positive")
+    return P.argmax(E.rank_scores(model, c, names).withColumn("p", F.round("p", 9)), X.graphs(t), "g", "action", "p")
