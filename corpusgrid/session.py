@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the cluster's spark.checkpoint.dir, or a fresh local one in tests."""
@@ -24,9 +26,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     Cuts the lineage with files that survive the loss of any executor, and lets several consumers read the same rows
     without computing them again.
     """
-    path = f"{shared_dir(df.sparkSession)}/corpusgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusgrid/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the shuffles of this write are of no use once it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
