@@ -1,0 +1,421 @@
+"""Operators on texts, against brute force or an outside library, with the hard cases."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from corpusgrid.llm import bpe, jaccard, langid, licenses, mixing, pii, quality, suffixes
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i % 977}" for i in range(20_000))
+HARD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", "a", 3), (4, LONG, "en", "a", len(LONG)), (5, LONG, "en", None, len(LONG)), (6, "x" * 9_000, "de", "b", 9_000),
+    (7, "a b c d e f g h i j k l", "fr", "b", 23), (8, "a b c d e f g h i j k l", "fr", "b", 23), (8, "a b c d e f g h i j k l", "fr", "b", 23), (None, "a b c d e f g h i j k l", None, "c", 23),
+    (9, "same line here\nsame line here\n one two three four five one two three four five", "en", "c", 80), (10, "😀 漢字 é́ <|endoftext|> it's 12 345", "xx", "c", 30),
+]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    extra = {c: F.lit(1) for c in ("rep", "group", "label", "n_words", "key", "size", "block", "copies", "found", "name", "covered", "held_out", "score")}
+    return spark.createDataFrame(HARD, DOCS).withColumns(extra)
+
+
+@pytest.fixture(scope="module")
+def empty(hard):
+    return hard.limit(0)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def words(t):
+    return [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+
+
+# quality rules
+
+
+def brute_features(t):
+    w, t = words(t), t or ""
+    at = collections.defaultdict(list)
+    for i in range(len(w) - 4):
+        at[tuple(w[i : i + 5])].append(i)
+    covered = {j for p in at.values() if len(p) > 1 for i in p for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_features(spark, docs, hard, texts):
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for df, want in ((docs, texts.items()), (hard, [(r[0], r[1]) for r in HARD])):
+        got = collections.Counter((r["doc_id"], *(r[c] for c in cols)) for r in quality.features(df).collect())
+        assert got == collections.Counter((i, *brute_features(t)) for i, t in want)
+
+
+def test_quality_binomial_tail(spark):
+    cases = [(50, 0), (50, 1), (400, 3), (2000, 11), (10, 9), (0, 0)]
+    df = spark.createDataFrame(cases, "n long, k long")
+    got = [r[0] for r in df.select(quality.binomial_tail(F.col("n"), F.col("k"), 0.0125)).collect()]
+    want = [sum(math.comb(n, j) * 0.0125**j * 0.9875 ** (n - j) for j in range(k + 1)) if k < n * 0.0125 else 1.0 for n, k in cases]
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_quality_cutoffs_limit_false_rejections(spark):
+    rows = [(i, "en", 0.5 if i % 2 else (0.001 if i % 200 else 0.06)) for i in range(4000)] + [(i, "fr", 0.5 if i % 2 else 0.0) for i in range(4000, 4020)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, symbol_ratio double").withColumns({r: F.lit(0.0) for r in quality.RULES if r != "symbol_ratio"})
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(4020)] + [(None, 1), (5000, None)], "doc_id long, quality int")
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.select_cutoffs(scored, labels, "lang").collect()}
+    # French has too few labels to certify anything; English gets a cutoff that spares good documents
+    assert set(got) == {("en", "symbol_ratio")} and 0.06 < got["en", "symbol_ratio"] < 0.5
+    assert quality.select_cutoffs(scored, labels.limit(0), "lang").count() == 0
+
+
+def test_quality_hard_cases(spark, hard, empty):
+    labels = spark.createDataFrame([(1, 0, 0), (7, 1, 0), (7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(hard, labels).collect()
+    assert len(got) == len(HARD) and {r["doc_id"] for r in got if r["base_failed"]} >= {1, 2, 3, 6, 9}
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)
+    assert quality.quality_rules(empty, labels).count() == 0
+
+
+# suffix dedup
+
+
+def brute_repeats(rows):
+    seen, out = {}, []
+    for i, t in sorted(set(rows)):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - 49):
+            if seen.setdefault(b[j : j + 50], i) < i:
+                gone[j : j + 50] = b"\1" * 50
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(gone), sum(1 for j in range(len(b)) if gone[j] and not (j and gone[j - 1])), hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+def repeats(df):
+    return sorted(set(map(tuple, suffixes.remove_repeats(df, with_kept=False).where("doc_id is not null").collect())))
+
+
+def test_repeats_on_documents(docs, texts):
+    assert repeats(docs) == brute_repeats(texts.items())
+
+
+def test_repeats_on_planted_cases(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    rows = [(10, base[:600]), (3, base[100:400] + "é" + base[400:500]), (7, "q" * 200), (8, "q" * 60), (20, base[50:99]), (21, base[50:100]), (22, base[:300] + "Z" + base[301:600])]
+    rows += [(30 + k, base[k : k + 700] + str(k)) for k in range(0, 400, 37)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats(df) == brute_repeats(rows)
+
+
+def test_repeats_across_segments(spark, monkeypatch):
+    rng = random.Random(4)
+    base = "".join(rng.choice("ab ") for _ in range(3000))
+    rows = [(1, base), (2, "x" + base[:2500]), (3, base[1000:] + base[:1000])]
+    found = []
+    monkeypatch.setattr(suffixes, "SEGMENT", 256)
+    for r in suffixes.records([(d, t.encode()) for d, t in rows]):
+        found += [(int(d), int(a) + j) for d, a, m in zip(r["doc"], r["lo"], r["more"]) for j in range(int(m) + 1)]
+    # every window of every document is in exactly one run, wherever segments end
+    assert collections.Counter(found) == collections.Counter((d, j) for d, t in rows for j in range(len(t) - 49))
+
+
+def test_repeats_hard_cases(hard, empty):
+    got = suffixes.remove_repeats(hard).collect()
+    assert len(got) == len(HARD) and suffixes.remove_repeats(empty).count() == 0
+    by = {r["doc_id"]: r for r in got}
+    assert (by[5]["n_removed"], by[4]["n_removed"], by[6]["n_removed"], by[1]["n_bytes"]) == (len(LONG), 0, 0, 0)
+    assert by[5]["kept_sha256"] == hashlib.sha256(b"").hexdigest() and by[None]["n_removed"] == 0
+
+
+# language identification
+
+
+def test_language_held_out_accuracy(docs):
+    got = langid.predict(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 40 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_backs_off_to_ngrams(spark):
+    rows = [(i, "strasse schule schnee schrank", "de", "s", 1) for i in range(30)] + [(100 + i, "agua gente puente siempre", "es", "s", 1) for i in range(30)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    score = langid.Scorer(model)
+    assert score("schlange")[0] == "de" and score("aguante")[0] == "es" and score("12 !")[0] == "und" and score(None) == ("und", 0.0)
+    assert score("漢字")[0] in ("de", "es")
+
+
+def test_language_hard_cases(hard, empty):
+    got = langid.predict(hard, langid.train(hard)).collect()
+    assert len(got) == len(HARD) and {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {1, 2, 3}
+    assert [r["lang_pred"] for r in langid.predict(hard, langid.train(empty)).collect()] == ["und"] * len(HARD)
+    assert langid.predict(empty, langid.train(empty)).count() == 0
+
+
+# byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_bpe_random_strings(library):
+    own, rng = bpe.Bpe(bpe.vocabulary_path()), random.Random(5)
+    parts = ["a", "the", "ing", "é", "ß", "漢", "😀", "12", "!", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "<|endoftext|>", "aaaa", "́", "X", "qz", " ", "　"]
+    for _ in range(4000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        ids = library.encode(s, add_special_tokens=False).ids
+        assert own.encode(s) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    for s in ("".join(rng.choice("abcdeitnos") for _ in range(2000)), "ab" * 3000, "=" * 5000):
+        assert own.encode(s) == library.encode(s, add_special_tokens=False).ids
+
+
+def test_bpe_documents(docs, hard, empty, library):
+    for df in (docs, hard):
+        rows = df.select("doc_id", "text").collect()
+        got = sorted((tuple(r) for r in bpe.encode(df, with_ids=False).collect()), key=repr)
+        want = []
+        for r in rows:
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            back = library.decode(ids, skip_special_tokens=False)
+            want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+        assert got == sorted(want, key=repr)
+    assert bpe.encode(empty).count() == 0
+
+
+# mixing
+
+
+def brute_targets(sizes):
+    names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
+    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    free, left, out = set(names), 1.5 * sum(sizes.values()), {}
+    while True:
+        over = {s for s in free if left * w[s] / sum(w[x] for x in free) > 2 * sizes[s]}
+        if not over:
+            return out | {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+
+
+def test_mixing_targets(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = {s: rng.choice([0, 5, 100, 4000, 90000]) for s in ["a", "B", "é", "z", None, ""]}
+        df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, docs long, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mixing_documents(docs, texts):
+    documents, copies = mixing.mix(docs)
+    rows = documents.collect()
+    assert len(rows) == len(texts)
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert r["size"] == len(words(texts[r["doc_id"]])) and r["taken"] in (0, r["size"], 2 * r["size"]) and len(r["shards"]) == r["n_copies"]
+        by[r["source"]].append(r)
+    want = brute_targets({s: sum(r["size"] for r in x) for s, x in by.items()})
+    for s, x in by.items():
+        assert x[0]["target"] == pytest.approx(want[s]) and x[0]["source_size"] == sum(r["size"] for r in x)
+        assert abs(sum(r["taken"] for r in x) - want[s]) <= max(r["size"] for r in x)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "taken", F.concat_ws(",", "shards")).collect()))
+    assert key(documents) == key(mixing.mix(docs.repartition(3))[0])
+    assert sorted(r["doc_id"] for r in copies.collect()) == sorted(r["doc_id"] for r in rows for _ in range(r["n_copies"]))
+
+
+def test_split_tree_is_exact(spark):
+    q = {"a": 1000, "b": 37, None: 3, "z": 0}
+    got = mixing.split_tree(spark.createDataFrame(list(q.items()), "source string, draws long")).collect()
+    for s, n in q.items():
+        assert sorted(i for r in got if r["source"] == s for i in range(r["first"], r["last"] + 1)) == list(range(1, n + 1))
+    shard = collections.Counter()
+    for r in got:
+        shard[r["shard"]] += r["last"] - r["first"] + 1
+    assert len(shard) == 8 and max(shard.values()) - min(shard.values()) <= mixing.LEVELS
+
+
+def test_hypergeometric_distribution(spark):
+    n, marked, drawn, trials = 60, 20, 25, 4000
+    df = spark.range(trials).select(mixing.hypergeometric(F.lit(n), F.lit(marked), F.lit(drawn), (F.col("id") + 0.5) / trials).alias("k"))
+    got = {r["k"]: r["count"] / trials for r in df.groupBy("k").count().collect()}
+    for k in range(marked + 1):
+        assert got.get(k, 0) == pytest.approx(math.comb(marked, k) * math.comb(n - marked, drawn - k) / math.comb(n, drawn), abs=1e-3)
+
+
+def test_mixing_hard_cases(hard, empty):
+    documents, copies = mixing.mix(hard)
+    rows = documents.collect()
+    assert len(rows) == len(HARD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    assert mixing.mix(empty)[0].count() == 0 and mixing.mix(empty)[1].count() == 0
+
+
+# license scans
+
+
+def brute_base(text):
+    w = [x for x in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
+    places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in places]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_base(docs, hard, empty, texts):
+    for df, want in ((docs, texts.items()), (hard, [(r[0], r[1]) for r in HARD])):
+        got = collections.Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan(df).collect())
+        assert got == collections.Counter((i, *brute_base(t)) for i, t in want)
+    assert licenses.scan(empty).count() == 0
+
+
+def test_license_method(spark):
+    rows = [
+        (1, "CC-BY; cc by CC BY ALL rights reserved", "cc-by,reserved"), (2, "Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        (3, "licensed under the very Apache License, version 2.0", "apache-2.0"), (4, "This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        (5, "general public licenses, all right reserved", ""), (6, "the license of the version under you", ""), (7, "Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, w string")).collect()}
+    assert {i: got[i]["labels"] for i, *_ in rows} == {i: x for i, _, x in rows}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["score"]) == (4, 0, 6, 1.0) and 0 <= got[5]["score"] < 0.8
+    span = got[3]["spans"][0]
+    assert (span["first"], span["label"]) == (0, "apache-2.0") and span["cover"] >= 0.8
+
+
+# personal data
+
+
+def brute_spans(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))]
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m.group())) <= 15]
+    return sorted(found)
+
+
+def test_pii_base_spans(texts):
+    rng = random.Random(6)
+    parts = ["1", "23", "4", "555", ".", "@", "a", "b-c", "+", "(", ")", " ", "-", "_", "%", "x.y", "é", "0", "256", "4111111111111111", "007"]
+    for s in [*(t for t in texts.values() if t), *("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(10_000))]:
+        assert pii.base_spans(s) == brute_spans(s)
+    for s in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + "(" * 100_000, "a@" * 50_000):
+        pii.base_spans(s)  # linear time
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_pii_windows_cover_every_trigger():
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", " ", "b" * 30, "7", "@"]) for _ in range(rng.randint(0, 60)))
+        covered = {p for s in pii.windows(t) for p in range(s, s + pii.WIDTH)}
+        for m in pii.NEAR.finditer(t):
+            assert set(range(max(0, m.start() - pii.REACH), min(len(t), m.start() + pii.REACH))) <= covered
+
+
+def test_pii_tagger_learns(spark):
+    rng = random.Random(9)
+
+    def text():
+        kind = rng.choice(["mail", "ip", "none"])
+        w = ["".join(rng.choice("aeioutnsr") for _ in range(rng.randint(2, 8))) for _ in range(8)]
+        w[4] = {"mail": f"{w[0]}.{rng.randint(1, 99)}@{w[1]}.org", "ip": ".".join(str(rng.randint(1, 254)) for _ in range(4)), "none": str(rng.randint(1, 999))}[kind]
+        return " ".join(w)[: pii.WIDTH]
+
+    made = [text() for _ in range(400)]
+    model = pii.train(made[:300], [pii.tags_of(pii.base_spans(t), 0) for t in made[:300]], epochs=14)
+    want = [(t, s) for t in made[300:] for s in pii.base_spans(t)]
+    assert sum(s in pii.model_spans(model, t) for t, s in want) >= 0.6 * len(want)
+    assert pii.train([], []) is None and pii.all_spans(None, None) == ([], [])
+
+
+def test_pii_hard_cases(hard, empty):
+    got = pii.find(hard, pii.fit(hard)).collect()
+    assert len(got) == len(HARD) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got)
+    assert pii.find(empty, pii.fit(empty)).count() == 0
+    clean = pii.redact(hard, None)
+    assert clean.columns == hard.columns and sorted(map(repr, clean.collect())) == sorted(map(repr, hard.collect()))
+
+
+def test_pii_redaction(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.org or 10.0.0.1, card 4111 1111 1111 1111"), (2, None)], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(df, None).orderBy("doc_id").collect()] == ["mail <EMAIL> or <IP>, card <CARD>", None]
+
+
+# n-gram Jaccard join
+
+
+def brute_join(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    ids = sorted(sets)
+    links = {i: [j for j in ids if j != i and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in ids}
+    comp = {}
+    for i in ids:
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in comp:
+                comp[k] = i
+                todo += links[k]
+    return {i: (min([i, *(j for j in ids if sets[i] and sets[j] == sets[i])]), len(links[i]), comp[i]) for i in ids}
+
+
+def joined(df):
+    return {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"]) for r in jaccard.jaccard_join(df).collect()}
+
+
+def test_jaccard_documents(docs, texts):
+    assert joined(docs) == brute_join(texts.items())
+
+
+def test_jaccard_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)  # a group of many blocks
+    base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(150)] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"z{rng.randint(0, 9999)}" for _ in range(60))) for i in range(30)]
+    got, want = joined(spark.createDataFrame(rows, "doc_id long, text string")), brute_join(rows)
+    assert got == want
+
+
+def test_jaccard_bands_meet_the_recall():
+    assert (1 - jaccard.SIMILARITY**jaccard.ROWS) ** jaccard.BANDS < 1e-4 and jaccard.bands_for(0.8, 1e-4) <= jaccard.BANDS
+
+
+def test_jaccard_hard_cases(hard, empty):
+    rows = jaccard.jaccard_join(hard).collect()
+    assert len(rows) == len(HARD) and jaccard.jaccard_join(empty).count() == 0
+    by = {r["doc_id"]: r for r in rows}
+    assert (by[5]["component_id"], by[5]["n_links"], by[5]["kept"], by[4]["kept"]) == (4, 1, False, True)
+    assert (by[1]["n_links"], by[2]["n_links"], by[None]["n_links"], by[None]["kept"]) == (0, 0, 0, True)
+    assert (by[7]["n_links"], by[8]["component_id"]) == (2, 7)
