@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     df = df.withColumn("level", level)
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"]
+    # from that source on levels only fall, so it is the highest level that its own cap does not undercut
+    first = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return df.withColumn("target", F.coalesce(F.least("cap", first * F.col("weight")), F.col("cap")).cast("double")).drop("cap", "level")
 
 
