@@ -4,7 +4,7 @@ All rolling word pairs of a text meet the templates' pairs in a broadcast join (
 side is bounded). A hit votes for its diagonal: start = position in the text - position in the template. Votes are a
 bit mask of template positions, so repeated rows and repeated words cannot vote twice. A base phrase stands where a
 diagonal has all its votes; for the longer templates, diagonals up to GAP apart merge (words inserted or lost) and the
-span is verified by the share of the template's pairs that it covers.
+span is verified by the share of the template's pairs that it covers and by the last of them, where versions stand.
 """
 
 from __future__ import annotations
@@ -68,10 +68,11 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
     apart = F.coalesce(F.col("start") - F.lag("start").over(per_template) > gap, F.lit(True)) | F.coalesce("base", F.lit(True))
     merged = votes.withColumn("_new", apart.cast("int")).withColumn("span", F.sum("_new").over(per_template))
     spans = merged.groupBy("doc_id", "text_id", "n_words", "template", "label", "base", "pairs", "span").agg(
-        F.min("start").alias("first"), F.max("start").alias("last"), F.bit_count(F.bit_or("mask")).alias("votes"), F.max("n").alias("n")
+        F.min("start").alias("first"), F.max("start").alias("last"), F.bit_count(F.bit_or("mask")).alias("votes"), F.bit_or("mask").alias("mask"), F.max("n").alias("n")
     )
+    spans = spans.withColumn("last_bit", F.expr("shiftleft(1L, pairs - 1)"))
     covered = F.col("votes") / F.col("pairs")
-    is_base, own = F.coalesce("base", F.lit(False)), F.coalesce(~F.col("base"), F.lit(False)) & (covered >= cover)
+    is_base, own = F.coalesce("base", F.lit(False)), F.coalesce(~F.col("base"), F.lit(False)) & (covered >= cover) & (F.col("mask").bitwiseAND(F.col("last_bit")) != 0)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("doc_id", "text_id", "n_words").agg(
         F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("_rows"),
