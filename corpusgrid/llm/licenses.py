@@ -91,3 +91,26 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+def _oracle() -> str:
+    rows = [(p, label, "true") for p, label in BASE.items()] + [(t, label, "false") for label, ts in TEMPLATES.items() for t in ts]
+    values = ", ".join(f"({k}, '{text}', '{label}', {base})" for k, (text, label, base) in enumerate(rows))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+g AS (SELECT doc_id, i - 1 pos, w[i] a, w[i + 1] b FROM (SELECT doc_id, w, unnest(range(1, len(w))) i FROM d)),
+tpl AS (SELECT template, label, base, len(string_split(x, ' ')) - 1 pairs, string_split(x, ' ') w FROM (VALUES {values}) v(template, x, label, base)),
+tp AS (SELECT template, label, base, pairs, i - 1 at_, w[i] a, w[i + 1] b FROM (SELECT *, unnest(range(1, len(w))) i FROM tpl)),
+v AS (SELECT doc_id, template, label, base, pairs, pos - at_ start, list(DISTINCT at_) ats FROM g JOIN tp USING (a, b) GROUP BY ALL),
+k AS (SELECT * FROM v WHERE (base AND len(ats) = pairs) OR (NOT base AND (len(ats) >= 2 OR pairs < 4))),
+n AS (SELECT *, (base OR coalesce(start - lag(start) OVER (PARTITION BY doc_id, template ORDER BY start) > {GAP}, true))::INT new FROM k),
+m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY start) span FROM n),
+s AS (SELECT doc_id, label, base, pairs, min(start) first, list_distinct(flatten(list(ats))) ats FROM m GROUP BY doc_id, template, label, base, pairs, span),
+c AS (SELECT *, len(ats) / pairs cover, NOT base AND len(ats) / pairs >= {COVER} AND list_contains(ats, pairs - 1) own FROM s),
+x AS (SELECT doc_id, count(*) FILTER (base) n_base, min(first) FILTER (base) first_word, max(first) FILTER (base) last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR own) labels, max(cover) score FROM c GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN x USING (doc_id)"""
+
+
+ORACLE_SQL = _oracle()

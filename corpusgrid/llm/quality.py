@@ -170,3 +170,29 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **p
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_rules(docs, labels).withColumn("rejected_by", F.array_join("rejected_by", ","))
+
+
+def _oracle() -> str:
+    ratio = {"symbol_ratio": "n_symbols / greatest(word_chars, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "capital_ratio": "n_capitals / greatest(word_chars, 1)"}
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, {x} AS v FROM q" for r, x in ratio.items())
+    p = ALPHA / len(RULES)
+    return rf"""
+WITH f AS (SELECT doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+  [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM f)),
+c AS (SELECT doc_id, count(DISTINCT i + k) n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1), (SELECT unnest(range(5)) k) GROUP BY doc_id),
+q AS (SELECT f.doc_id, lang, len(w) n_words, length(array_to_string(w, '')) word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines,
+  coalesce(c.n, 0) n_repeat_words, len(l) n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) n_capitals FROM f LEFT JOIN c USING (doc_id)),
+ratios AS MATERIALIZED ({long}),
+labelled AS (SELECT doc_id, min(quality) > 0 good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+r AS (SELECT lang, rule, v, good FROM ratios JOIN labelled USING (doc_id)),
+k AS (SELECT lang, rule, cutoff, count(*) FILTER (good) n, count(*) FILTER (good AND v > cutoff) k, count(*) FILTER (NOT good AND v > cutoff) b FROM r, (SELECT unnest({list(CUTOFFS)}) cutoff) GROUP BY ALL),
+t AS (SELECT *, CASE WHEN k < n * {p} THEN list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln({1 - p})) for j in range(0, k + 1)]) ELSE 1 END p FROM k),
+h AS (SELECT lang, rule, cutoff FROM t WHERE p <= {DELTA} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM r)) * {len(RULES) * len(CUTOFFS)}) AND b > {GOOD_WEIGHT} * k
+  QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY b - {GOOD_WEIGHT} * k DESC, cutoff DESC) = 1),
+x AS (SELECT doc_id, string_agg(DISTINCT a.rule, ',' ORDER BY a.rule) rejected_by FROM ratios a JOIN h ON h.lang IS NOT DISTINCT FROM a.lang AND h.rule = a.rule AND a.v > h.cutoff GROUP BY doc_id),
+y AS (SELECT q.*, coalesce(rejected_by, '') rejected_by, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM q LEFT JOIN x USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM y"""
+
+
+ORACLE_SQL = _oracle()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusgrid.llm import licenses, quality
 from corpusgrid.llm.bpe import op4_bpe
 from corpusgrid.llm.embeddings import op8_embedding_near_dedup
 from corpusgrid.llm.html import op7_html_extraction
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
