@@ -2,8 +2,10 @@
 
 Equal vectors of a label are one class. In each pass the classes of a label stand in the order of a key of random
 hyperplane signs, most significant first; classes are cut into blocks of this order, and each block is compared with
-itself and the next one, so that every neighbour window of WINDOW places is verified by exact cosine. Verified pairs of
-all passes are united. The number of passes follows from the largest label, for the recall wanted at the threshold.
+itself and the next one, so that every neighbour window of WINDOW places is verified by exact cosine. Verified pairs are
+united over all passes; a task returns a forest of them, not the pairs. The number of passes follows from the largest
+label, for the recall wanted at the threshold. A window bounds what a pass finds, so the links are then counted on all
+pairs inside each component found: a tight group of any size keeps all its links.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusgrid.components import components
 from corpusgrid.session import broadcast_if_small, stage
 
-COSINE, WINDOW, BITS, MISS, SEED = 0.98, 256, 64, 0.002, 11
+COSINE, WINDOW, BITS, MISS, SEED, BLOCK = 0.98, 256, 64, 0.002, 11, 256
 
 
 def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
@@ -31,6 +33,29 @@ def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW, miss:
     return 1 if largest <= window else max(2, math.ceil(math.log(miss) / math.log(1 - agree)))
 
 
+def _units(vectors) -> np.ndarray:
+    x = np.stack([*vectors]).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a matrix of near pairs that tie the same places together without a cycle."""
+    root, out = list(range(near.shape[1])), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(*np.nonzero(near)):
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            out.append((i, j))
+    return out
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row.
 
@@ -64,12 +89,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
                 for p in range(n_passes):
                     yield pd.DataFrame({
                         "pass": p, "label": part["label"].to_numpy(), "dim": dim, "key": [r.tobytes() for r in packed[:, p]], "rep": part["rep"].to_numpy(),
-                        "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_list(),
+                        "embedding": part["embedding"].to_list(),
                     })
 
     kinds = dict(classes.dtypes)
-    schema = f"pass int, label {kinds['label']}, dim int, key binary, rep {kinds['rep']}, copies long, embedding {kinds['embedding']}"
-    projected = classes.select("label", "rep", "copies", "embedding").mapInPandas(keyed, schema)
+    schema = f"pass int, label {kinds['label']}, dim int, key binary, rep {kinds['rep']}, embedding {kinds['embedding']}"
+    projected = classes.select("label", "rep", "embedding").mapInPandas(keyed, schema)
     order = ["pass", "label", "dim", "key", "rep"]
     ordered = projected.repartitionByRange(*order).sortWithinPartitions(*order)
     # place in the whole order: partition and place in it, then the sizes of the partitions before
@@ -79,35 +104,44 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ordered.join(broadcast_if_small(parts.select("part", before.alias("before"))), "part")
     block = F.floor((F.col("before") + F.col("place")) / window)
-    placed = placed.select(*order, "copies", "embedding", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).alias("b"))
-    placed = placed.select("pass", "label", "dim", "rep", "copies", "embedding", "b.block", "b.own")
+    placed = placed.select(*order, "embedding", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).alias("b"))
+    placed = placed.select("pass", "label", "dim", "rep", "embedding", "b.block", "b.own")
 
     def verify(f: pd.DataFrame) -> pd.DataFrame:
+        """Forest of the near pairs between a block's vectors and those up to the end of the next one."""
         found = []
         for _, g in f.groupby(["pass", "label", "dim"]):
-            own = g[g["own"]]
-            if len(own) == 0:
-                continue
-            other = g[~g["own"]]
-            ids, n = np.concatenate([own["rep"], other["rep"]]), np.concatenate([own["copies"], other["copies"]])
-            x = np.stack([*own["embedding"], *other["embedding"]]).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            i, j = np.nonzero(np.triu(x[: len(own)] @ x.T >= cosine, 1))
-            found.append(pd.DataFrame({"a": ids[i], "b": ids[j], "na": n[i], "nb": n[j]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "na": [], "nb": []})
+            own, other = g[g["own"]], g[~g["own"]]
+            if len(own):
+                ids = np.concatenate([own["rep"], other["rep"]])
+                x = _units([*own["embedding"], *other["embedding"]])
+                found += [(ids[i], ids[j]) for i, j in _forest(np.triu(x[: len(own)] @ x.T >= cosine, 1))]
+        return pd.DataFrame(found, columns=["a", "b"])
 
     rep = kinds["rep"]
-    pairs = placed.groupBy("block").applyInPandas(verify, f"a {rep}, b {rep}, na long, nb long")
-    pairs = stage(
-        pairs.select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-            F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"),
-        ).distinct(),
-        "pairs",
-    )
-    links = pairs.select(F.col("a").alias("rep"), F.col("nb").alias("n")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("na").alias("n")))
-    links = links.groupBy("rep").agg(F.sum("n").alias("links"))
-    whole = components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    forest = placed.groupBy("block").applyInPandas(verify, f"a {rep}, b {rep}").distinct()
+    whole = stage(components(forest).select(F.col("node").alias("rep"), "component"), "components")
+    # the links inside a component are counted on all its pairs, block against block
+    sizes = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    members = whole.join(sizes, "component").join(classes.select("rep", "copies", "embedding"), "rep")
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "copies", "block", "embedding")
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block", kind="stable")
+        n, copies = int((f["block"] == f["block"].iloc[0]).sum()), f["copies"].to_numpy()
+        x = _units(f["embedding"])
+        near = x[:n] @ x.T >= cosine
+        if n == len(f):
+            np.fill_diagonal(near, False)
+        else:
+            near[:, :n] = False
+        links = np.zeros(len(f), dtype=np.int64)
+        links[:n] += near @ copies
+        links[n:] += near[:, n:].T @ copies[:n]
+        return pd.DataFrame({"rep": f["rep"].to_numpy(), "links": links})
+
+    links = members.groupBy("component", "x", "y").applyInPandas(count, f"rep {rep}, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     result = classes.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(whole, "rep", "left")
     result = result.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.drop("label", "embedding").join(result, ["k1", "k2"], "left")

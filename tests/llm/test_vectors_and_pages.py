@@ -51,6 +51,14 @@ def test_embeddings_against_brute_force(spark):
     assert got == want
 
 
+def test_embeddings_tight_group_larger_than_a_window(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(i, [float(x) for x in centre + rng.normal(size=16) * 0.06], 0) for i in range(60)]
+    assert near(spark, rows, window=8, miss=1e-4) == brute(rows)
+
+
 def test_embeddings_hard_cases(spark):
     inf, nan = float("inf"), float("nan")
     v = [1.0, 2.0, 3.0]
