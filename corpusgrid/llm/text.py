@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 
 #: Separator of words: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of a batch that are in Python at a time.
+SLICE = 256
 
 
 def words(text: Column) -> Column:
@@ -38,9 +40,11 @@ def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[
 
     def run(batches):
         f = make()
-        for b in batches:
-            rows = [f(t) for t in b.column(column).to_pylist()]
-            own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pass_on), *own], [*pass_on, *(n for n, _ in names)])
+        for whole in batches:
+            for low in range(0, whole.num_rows, SLICE):  # bounds what is held in Python objects
+                b = whole.slice(low, SLICE)
+                rows = [f(t) for t in b.column(column).to_pylist()]
+                own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pass_on), *own], [*pass_on, *(n for n, _ in names)])
 
     return df.select(*dict.fromkeys([*pass_on, column])).mapInArrow(run, schema)
