@@ -31,6 +31,8 @@ SPAN = LENGTH - K + 1  # 16-byte names in a window
 SEGMENT, HOLD, BUCKET = 1 << 20, 1 << 19, 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FIELDS = (("name", np.uint32), ("run", np.uint64), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("lo", np.int32), ("at", np.uint8), ("more", np.uint8))
+#: Further places of a shipped run in its own document: record, bytes from the place before, how often in a row.
+PLACES = (("owner", np.int32), ("step", np.int32), ("times", np.int32))
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -121,47 +123,73 @@ def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(covered, pa.binary()), pa.array(asked, pa.binary())], ["doc_id", "covered", "asked"])
 
 
+def _pack_places(owner: np.ndarray, lo: np.ndarray, base: np.ndarray) -> dict[str, np.ndarray]:
+    """PLACES of further places lo, sorted by owner and place; base has the first place of every owner."""
+    same = np.concatenate([[False], owner[1:] == owner[:-1]])
+    step = lo - np.where(same, np.concatenate([[0], lo[:-1]]), base[owner])
+    new = np.nonzero(~same | np.concatenate([[True], step[1:] != step[:-1]]))[0] if len(owner) else np.zeros(0, dtype=int)
+    return {k: v.astype(t) for (k, t), v in zip(PLACES, (owner[new], step[new], np.diff([*new, len(owner)])))}
+
+
+def _unpack_places(p: dict[str, np.ndarray], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, lo) of packed places, by owner."""
+    owner, total = np.repeat(p["owner"], p["times"]), np.cumsum(np.repeat(p["step"], p["times"]), dtype=np.int64)
+    if not len(owner):
+        return owner.astype(np.int64), total
+    first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
+    before = np.concatenate([[0], total])[first]
+    return owner.astype(np.int64), total - np.repeat(before, np.diff([*first, len(owner)])) + base[owner]
+
+
 def _deal(buckets: int):
     """Mapper: documents -> rows (bucket, packed fields). Of equal runs that a task holds, only the smallest document's
-    goes on; the others are known to be covered and travel in bucket -1."""
+    goes on, with all its places in that document; the others are known to be covered and travel in bucket -1."""
 
     def flush(held):
         if not held:
             return
         r = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        order = np.lexsort((r["doc"], r["run"]))
+        order = np.lexsort((r["lo"], r["doc"], r["run"]))
         run, doc = r["run"][order], r["doc"][order]
         first = np.concatenate([[True], run[1:] != run[:-1]])
         least = doc[first][np.cumsum(first) - 1]
         repeat = doc != least
-        # of several equal runs in the smallest document, one is enough
+        # of several equal runs in the smallest document, one is shipped with the places of the others
         ship = order[first]
         more = order[repeat]
+        again = ~first & ~repeat
+        again = again & (r["lo"][order] != np.concatenate([[-1], r["lo"][order][:-1]]))  # rows that repeat a doc_id repeat its places
         bucket = (r["key"][ship] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        ship, bucket = ship[np.lexsort((ship, bucket))], bucket[by]
+        by = np.lexsort((ship, bucket))
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        ship, bucket = ship[by], bucket[by]
+        owner, lo = rank[(np.cumsum(first) - 1)[again]], r["lo"][order[again]].astype(np.int64)
+        at = np.lexsort((lo, owner))
+        places = _pack_places(owner[at], lo[at], r["lo"][ship].astype(np.int64))
         edge = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
         fields = {k: r[k][ship].astype(t) if k != "name" else (r["key"][ship] >> np.uint64(32)).astype(t) for k, t in FIELDS}
         if len(more):
             yield -1, more, r, None
         for a, b in zip(edge, [*edge[1:], len(ship)]):
-            yield int(bucket[a]), slice(a, b), fields, None
+            x, y = np.searchsorted(places["owner"], [a, b])
+            yield int(bucket[a]), slice(a, b), fields, {k: v[x:y] - (a if k == "owner" else 0) for k, v in places.items()}
 
     def run(batches):
         held, size = [], 0
 
         def emit():
             rows = []
-            for bucket, at, f, _ in flush(held):
-                empty = {k: b"" for k, _ in FIELDS}
+            for bucket, at, f, places in flush(held):
+                empty = {k: b"" for k, _ in FIELDS + PLACES}
                 if bucket < 0:
                     empty |= {"doc": f["doc"][at].astype(np.int64).tobytes(), "lo": f["lo"][at].astype(np.int32).tobytes(), "more": f["more"][at].astype(np.uint8).tobytes()}
                     # spread what passes through over all buckets
                     rows.append((-1 - int(f["run"][at[0]] % np.uint64(buckets)), empty))
                 else:
-                    rows.append((bucket, {k: f[k][at].tobytes() for k, _ in FIELDS}))
+                    rows.append((bucket, {k: f[k][at].tobytes() for k, _ in FIELDS} | {k: places[k].astype(t).tobytes() for k, t in PLACES}))
             return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int64()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k, _ in FIELDS)], ["bucket", *(k for k, _ in FIELDS)]
+                [pa.array([b for b, _ in rows], pa.int64()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k, _ in FIELDS + PLACES)], ["bucket", *(k for k, _ in FIELDS + PLACES)]
             )
 
         for b in batches:
@@ -188,7 +216,12 @@ def _settle(batches):
         r = {k: np.concatenate([np.frombuffer(h[k], dtype=t) for h in held]) for k, t in FIELDS}
         if now < 0:  # known to be covered
             return _by_doc(r["doc"], r["lo"], r["lo"] + r["more"], np.zeros(len(r["doc"]), dtype=np.int8))
+        p = {k: np.concatenate([np.frombuffer(h[k], dtype=t) for h in held]) for k, t in PLACES}
+        sizes = [len(h["at"]) // np.dtype(dict(FIELDS)["at"]).itemsize for h in held]
+        p["owner"] = p["owner"] + np.repeat(np.cumsum([0, *sizes[:-1]]), [len(h["owner"]) // 4 for h in held])
         order = np.lexsort((r["doc"], r["run"], r["name"]))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
         r = {k: v[order] for k, v in r.items()}
         name, run, doc = r["name"], r["run"], r["doc"]
         # anchors of one document drop out
@@ -200,6 +233,12 @@ def _settle(batches):
         name, run, doc = r["name"], r["run"], r["doc"]
         if not len(doc):
             return None
+        held_on = keep[rank[p["owner"]]]
+        p = {k: v[held_on] for k, v in p.items()}
+        p["owner"] = (np.cumsum(keep) - 1)[rank[p["owner"]]]
+        owner, place = _unpack_places(p, r["lo"])
+        by = np.argsort(owner, kind="stable")
+        owner, place = owner[by], place[by]
         new = np.concatenate([[True], (run[1:] != run[:-1]) | (name[1:] != name[:-1])])
         least = doc[new][np.cumsum(new) - 1]
         done = np.nonzero(doc != least)[0]
@@ -211,10 +250,16 @@ def _settle(batches):
             key = name[rest].astype(np.uint64) << np.uint64(16) | r[side][rest]
             _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             some = rest[(r[side][rest] > 0) & (count[inverse] > 1)]
-            asked.append((doc[some], a[some], b[some]))
-        docs = np.concatenate([doc[done], *(x[0] for x in asked)])
-        los, his = np.concatenate([lo[done], *(x[1] for x in asked)]), np.concatenate([hi[done], *(x[2] for x in asked)])
-        return _by_doc(docs, los, his, np.repeat(np.array([0, 1], dtype=np.int8), [len(done), len(docs) - len(done)]))
+            there = np.isin(owner, some)  # what is asked of a run is asked at all its places
+            shift = place[there] - lo[owner[there]]
+            some = np.concatenate([some, owner[there]])
+            shift = np.concatenate([np.zeros(len(some) - len(shift), dtype=np.int64), shift])
+            asked.append((doc[some], a[some] + shift, b[some] + shift))
+        there = np.isin(owner, done)
+        also = owner[there]
+        sure = (np.concatenate([doc[done], doc[also]]), np.concatenate([lo[done], place[there]]), np.concatenate([hi[done], place[there] + r["more"][also]]))
+        docs, los, his = (np.concatenate(x) for x in zip(sure, *asked))
+        return _by_doc(docs, los, his, np.repeat(np.array([0, 1], dtype=np.int8), [len(sure[0]), len(docs) - len(sure[0])]))
 
     for b in batches:
         for row in b.to_pylist():
@@ -304,7 +349,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     long_ones = whole.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     total = long_ones.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // 18 // BUCKET)
-    kinds = ", ".join(f"{k} binary" for k, _ in FIELDS)
+    kinds = ", ".join(f"{k} binary" for k, _ in FIELDS + PLACES)
     dealt = long_ones.mapInArrow(_deal(buckets), f"bucket long, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
     settled = dealt.mapInArrow(_settle, "doc_id long, covered binary, asked binary")
     settled = stage(settled, "settled")  # each step is staged, so that its shuffles are gone before the next one's

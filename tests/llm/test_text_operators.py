@@ -137,6 +137,21 @@ def test_repeats_across_segments(spark, monkeypatch):
     assert collections.Counter(found) == collections.Counter((d, j) for d, t in rows for j in range(len(t) - 49))
 
 
+def test_repeats_inside_a_document_with_a_smaller_holder_elsewhere(spark):
+    rng = random.Random(12)
+    line, other = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(2))
+    noise = lambda: "".join(rng.choice("ijklmnop ") for _ in range(80))
+    rows = [
+        (7, noise() + line + noise() + line + noise() + line), (3, noise() + line + noise()),  # the same runs
+        (9, noise() + other + noise() + other + noise()), (8, other[40:150]), (11, "-" * 150 + line[:90] + noise() + line[:90] + "-" * 120), (10, "-" * 70),  # other run ends
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 6):
+        parts = [df.where(F.col("doc_id") == d).coalesce(1) for d, _ in rows]
+        spread = df.coalesce(1) if n == 1 else parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).union(parts[5])
+        assert repeats(spread) == brute_repeats(rows)
+
+
 def test_repeats_hard_cases(hard, empty):
     got = suffixes.remove_repeats(hard).collect()
     assert len(got) == len(HARD) and suffixes.remove_repeats(empty).count() == 0
