@@ -3,14 +3,17 @@
 Equal vectors of a label are one class. In each pass the classes of a label stand in the order of a key of random
 hyperplane signs, most significant first; classes are cut into blocks of this order, and each block is compared with
 itself and the next one, so that every neighbour window of WINDOW places is verified by exact cosine. Verified pairs are
-united over all passes; a task returns a forest of them, not the pairs. The number of passes follows from the largest
-label, for the recall wanted at the threshold. A window bounds what a pass finds, so the links are then counted on all
-pairs inside each component found: a tight group of any size keeps all its links.
+united over all passes; a task returns a forest of them, not the pairs. How many leading signs part a label into pieces
+of a window's size is measured in every pass; passes are added until a pair at the threshold is missed with the wanted
+probability at most, even in the densest piece. A label for which all pairs are the smaller work is compared whole.
+A window bounds what a pass finds, so the links are then counted on all pairs inside each component found: a tight
+group of any size keeps all its links.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,10 +24,13 @@ from corpusgrid.components import components
 from corpusgrid.session import broadcast_if_small, stage
 
 COSINE, WINDOW, BITS, MISS, SEED, BLOCK = 0.98, 256, 64, 0.002, 11, 256
+#: Vectors in a block of a label that is compared whole.
+WHOLE = 1024
 
 
 def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is missed with probability of about `miss` at most.
+    """Passes to begin with: those after which a pair at the threshold is missed with probability of about `miss` at
+    most, if every bit halves the pieces. near_duplicates measures the pieces and adds passes.
 
     A pair shares a window if the leading bits that part the label into pieces of a window's size agree.
     """
@@ -56,6 +62,54 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _passes(vectors: DataFrame, kinds: dict[str, str], start: int, cosine: float, window: int) -> DataFrame:
+    """vectors (label, dim, passes, rep, embedding) in passes start, start + 1, ... -> a, b: forests of near pairs; and
+    label, dim, pass, bits: signs that part a block's pieces to a window's size, one more than window + 1 vectors share."""
+
+    def keyed(frames):
+        for f in frames:
+            for dim, part in f.groupby("dim"):
+                x = np.stack(part["embedding"].to_list()).astype(np.float64)
+                for p in range(int(part["passes"].max())):
+                    on = (part["passes"] > p).to_numpy()
+                    some = part[on]
+                    packed = np.packbits(x[on] @ np.random.default_rng([SEED, dim, start + p]).normal(size=(dim, BITS)) > 0, axis=1)
+                    yield pd.DataFrame({
+                        "pass": start + p, "label": some["label"].to_numpy(), "dim": dim, "key": [r.tobytes() for r in packed], "rep": some["rep"].to_numpy(), "embedding": some["embedding"].to_list(),
+                    })
+
+    label, rep = kinds["label"], kinds["rep"]
+    projected = vectors.select("label", "dim", "passes", "rep", "embedding").mapInPandas(keyed, f"pass int, label {label}, dim int, key binary, rep {rep}, embedding {kinds['embedding']}")
+    order = ["pass", "label", "dim", "key", "rep"]
+    ordered = projected.repartitionByRange(*order).sortWithinPartitions(*order)
+    # place in the whole order: partition and place in it, then the sizes of the partitions before
+    at = F.monotonically_increasing_id()
+    ordered = stage(ordered.withColumns({"part": F.shiftright(at, 33), "place": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.join(broadcast_if_small(parts.select("part", before.alias("before"))), "part").withColumn("place", F.col("before") + F.col("place"))
+    block = F.floor(F.col("place") / window)
+    placed = placed.select(*order, "place", "embedding", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).alias("b"))
+    placed = placed.select("pass", "label", "dim", "key", "rep", "place", "embedding", "b.block", "b.own")
+
+    def verify(f: pd.DataFrame) -> pd.DataFrame:
+        """Forest of the near pairs between a block's vectors and those up to the end of the next one, and the bits."""
+        found = []
+        for (p, name, dim), g in f.groupby(["pass", "label", "dim"]):
+            own, other = g[g["own"]].sort_values("place"), g[~g["own"]].sort_values("place")
+            if len(own):
+                ids = np.concatenate([own["rep"], other["rep"]])
+                x = _units([*own["embedding"], *other["embedding"]])
+                found += [(ids[i], ids[j], None, None, None, None) for i, j in _forest(np.triu(x[: len(own)] @ x.T >= cosine, 1))]
+                _, i, j = np.intersect1d(own["place"].to_numpy() + window, other["place"].to_numpy(), return_indices=True)
+                if len(i):
+                    a, b = (np.frombuffer(b"".join(k.iloc[at]), dtype=">u8") for k, at in ((own["key"], i), (other["key"], j)))
+                    found.append((None, None, name, dim, p, BITS - int((a ^ b).min()).bit_length() + 1))
+        return pd.DataFrame(found, columns=["a", "b", "label", "dim", "pass", "bits"], dtype=object)
+
+    return stage(placed.groupBy("block").applyInPandas(verify, f"a {rep}, b {rep}, label {label}, dim int, pass int, bits int"), "passes")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row.
 
@@ -74,52 +128,54 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
         ),
         "classes",
     )
-    sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    n_passes = passes_for(largest, cosine, window, miss)
-
-    def keyed(frames):
-        planes: dict[int, np.ndarray] = {}
-        for f in frames:
-            for dim, part in f.groupby(f["embedding"].map(len)):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, dim]).normal(size=(dim, n_passes * BITS))
-                signs = np.stack(part["embedding"].to_list()).astype(np.float64) @ planes[dim] > 0
-                packed = np.packbits(signs.reshape(len(part), n_passes, BITS), axis=2)
-                for p in range(n_passes):
-                    yield pd.DataFrame({
-                        "pass": p, "label": part["label"].to_numpy(), "dim": dim, "key": [r.tobytes() for r in packed[:, p]], "rep": part["rep"].to_numpy(),
-                        "embedding": part["embedding"].to_list(),
-                    })
-
     kinds = dict(classes.dtypes)
-    schema = f"pass int, label {kinds['label']}, dim int, key binary, rep {kinds['rep']}, embedding {kinds['embedding']}"
-    projected = classes.select("label", "rep", "embedding").mapInPandas(keyed, schema)
-    order = ["pass", "label", "dim", "key", "rep"]
-    ordered = projected.repartitionByRange(*order).sortWithinPartitions(*order)
-    # place in the whole order: partition and place in it, then the sizes of the partitions before
-    at = F.monotonically_increasing_id()
-    ordered = stage(ordered.withColumns({"part": F.shiftright(at, 33), "place": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
-    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ordered.join(broadcast_if_small(parts.select("part", before.alias("before"))), "part")
-    block = F.floor((F.col("before") + F.col("place")) / window)
-    placed = placed.select(*order, "embedding", F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))).alias("b"))
-    placed = placed.select("pass", "label", "dim", "rep", "embedding", "b.block", "b.own")
+    rep, target, same = kinds["rep"], math.log(miss), 1 - math.acos(cosine) / math.pi
+    vectors_of = classes.select("label", F.size("embedding").alias("dim"), "rep", "embedding")
+    sizes = vectors_of.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+
+    def planned(n: int, logmiss: float, agree: float | None) -> tuple[int, bool]:
+        """(further passes, compare whole) of a label of n classes whose passes so far miss with exp(logmiss)."""
+        if logmiss <= target:
+            return 0, False
+        if agree is None:
+            more = passes_for(n, cosine, window, miss)
+        else:
+            more = math.ceil((target - logmiss) / math.log1p(-agree)) if agree > 0 else None
+        # a pass compares a vector with 1.5 windows, all pairs with half the label
+        return (0, True) if more is None or n <= 3 * window * more else (more, False)
 
-    def verify(f: pd.DataFrame) -> pd.DataFrame:
-        """Forest of the near pairs between a block's vectors and those up to the end of the next one."""
-        found = []
-        for _, g in f.groupby(["pass", "label", "dim"]):
-            own, other = g[g["own"]], g[~g["own"]]
-            if len(own):
-                ids = np.concatenate([own["rep"], other["rep"]])
-                x = _units([*own["embedding"], *other["embedding"]])
-                found += [(ids[i], ids[j]) for i, j in _forest(np.triu(x[: len(own)] @ x.T >= cosine, 1))]
-        return pd.DataFrame(found, columns=["a", "b"])
+    def plan(frames):
+        for f in frames:
+            f["passes"], f["whole"] = zip(*(planned(n, m, None if math.isnan(g) else g) for n, m, g in zip(f["n"], f["logmiss"], f["agree"]))) if len(f) else ([], [])
+            yield f[["label", "dim", "n", "logmiss", "passes", "whole"]]
+
+    plan_of = f"label {kinds['label']}, dim int, n long, logmiss double, passes int, whole boolean"
+    state = stage(sizes.withColumns({"logmiss": F.lit(0.0), "agree": F.lit(float("nan"))}).mapInPandas(plan, plan_of), "plan")
+    found, whole_labels, done = [], [state.where("whole")], 0
+    while n_passes := state.agg(F.max("passes")).first()[0] or 0:
+        active = state.where("passes > 0")
+        out = _passes(vectors_of.join(broadcast_if_small(active.select("label", "dim", "passes")), ["label", "dim"]), kinds, done, cosine, window)
+        done += n_passes
+        found.append(out.where("a is not null").select("a", "b"))
+        # a pass in which more than a window share all bits finds nothing for certain
+        hit = F.when(F.col("bits") <= BITS, F.pow(F.lit(same), F.col("bits"))).otherwise(0.0)
+        seen = out.where("bits is not null").groupBy("label", "dim", "pass").agg(F.max("bits").alias("bits")).groupBy("label", "dim").agg(F.sum(F.log1p(-hit)).alias("gain"), F.avg(hit).alias("agree"))
+        state = active.join(seen, ["label", "dim"]).select("label", "dim", "n", (F.col("logmiss") + F.col("gain")).alias("logmiss"), "agree")
+        state = stage(state.mapInPandas(plan, plan_of), "plan")
+        whole_labels.append(state.where("whole"))
+
+    dense = reduce(DataFrame.unionByName, whole_labels).select("label", "dim", F.ceil(F.col("n") / WHOLE).alias("blocks"))
+    dense = vectors_of.join(broadcast_if_small(dense), ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("blocks")))
+    dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dense = dense.select("label", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "block", "embedding")
+
+    def pairs(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block", kind="stable")
+        ids, x, n = f["rep"].to_numpy(), _units(f["embedding"]), int((f["block"] == f["block"].iloc[0]).sum())
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in _forest(np.triu(x[:n] @ x.T >= cosine, 1))], columns=["a", "b"])
 
-    rep = kinds["rep"]
-    forest = placed.groupBy("block").applyInPandas(verify, f"a {rep}, b {rep}").distinct()
+    found.append(dense.groupBy("label", "dim", "x", "y").applyInPandas(pairs, f"a {rep}, b {rep}"))
+    forest = reduce(DataFrame.unionByName, found).distinct()
     whole = stage(components(forest).select(F.col("node").alias("rep"), "component"), "components")
     # the links inside a component are counted on all its pairs, block against block
     sizes = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))

@@ -59,6 +59,21 @@ def test_embeddings_tight_group_larger_than_a_window(spark, monkeypatch):
     assert near(spark, rows, window=8, miss=1e-4) == brute(rows)
 
 
+def test_embeddings_of_a_concentrated_label(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=64))
+    x = unit(centre + unit(rng.normal(size=(1200, 64))) * 0.25)  # cosines of about 0.94
+    side = rng.normal(size=(100, 64))
+    side = unit(side - (side * x[:100]).sum(axis=1, keepdims=True) * x[:100])
+    x = np.concatenate([x, x[:100] * 0.9805 + side * np.sqrt(1 - 0.9805**2), unit(rng.normal(size=(1200, 64)))])
+    rows = [(i, [float(c) for c in v], int(i >= 1300)) for i, v in enumerate(x)]
+    got, want = near(spark, rows, window=16), brute(rows)
+    linked = [i for i, v in want.items() if v[0]]
+    assert len(linked) >= 200 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i][0] <= want[i][0] for i in want)
+
+
 def test_embeddings_hard_cases(spark):
     inf, nan = float("inf"), float("nan")
     v = [1.0, 2.0, 3.0]
