@@ -3,8 +3,10 @@
 1. A document is the set of its word five-grams (64-bit hashes). Documents with equal sets are one class; the rest
    works on classes, represented by their smallest doc_id.
 2. Signatures of BANDS * ROWS minima; band keys are shuffled, and members of a bucket are tied to a few leaders of it
-   (bucket minima by several orders), never to each other, so a bucket of m classes gives at most LEADERS * m edges.
-3. Edges whose signatures estimate too low a similarity go; the components of the rest are the candidate groups.
+   (bucket minima by several orders), so a bucket of m classes gives at most LEADERS * m edges.
+3. Edges whose signatures estimate too low a similarity go. In buckets whose members the rest does not tie together,
+   signatures of untied members are compared, block against block, and similar ones are tied too. The components of
+   all these edges are the candidate groups.
 4. Within a group, every pair is verified on the full n-gram sets. Groups are cut into hashed blocks, and a task gets
    two blocks; it returns per class its links and a forest, not the pairs.
 """
@@ -28,6 +30,8 @@ BANDS, ROWS, LEADERS, SEED = 32, 6, 3, 5
 #: An edge is followed if its signatures agree in at least this share; at the threshold that is 9 deviations off.
 FOLLOW = 0.5
 BLOCK, CHUNK, CACHE = 192, 1 << 15, 300_000
+#: Signatures in a block of a bucket whose members are compared with each other.
+SIGNED = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,6 +147,61 @@ def _estimate(edges: DataFrame, follow: float) -> DataFrame:
     return edges.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _untied(each: DataFrame, led: DataFrame, tied: DataFrame, reps: DataFrame, follow: float) -> DataFrame:
+    """Edges (a, b) of similar signatures between the groups that meet in a bucket, a forest for two blocks.
+
+    Only pairs inside a bucket's largest group are left out, which followed edges tie already.
+    """
+    kind, at = dict(each.dtypes)["rep"], ["band", "key"]
+    # with n - 1 leaders every pair has been an edge
+    marked = each.join(led.where(F.col("n") - 1 > F.size("leaders")).select(*at), at).join(tied, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    parts = marked.groupBy(*at, "group").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("top")).where("parts > 1")
+    mixed = mixed.select(*at, F.col("top.group").alias("most"), F.ceil(F.col("top.n") / SIGNED).alias("large"), F.ceil((F.col("all") - F.col("top.n")) / SIGNED).alias("small"))
+    placed = marked.join(mixed, at).withColumn("inside", F.col("group") == F.col("most"))
+    # blocks of the largest group are numbered -1, -2, ..., those of the others 0, 1, ...
+    place = F.xxhash64("rep", F.lit(SEED))
+    placed = placed.withColumn("block", F.when(F.col("inside"), -1 - F.pmod(place, F.col("large"))).otherwise(F.pmod(place, F.col("small"))))
+    others = F.sequence(F.when(F.col("inside"), F.lit(0)).otherwise(-F.col("large")).cast("long"), F.col("small") - 1)
+    placed = placed.withColumn("other", F.explode(others)).select(*at, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "group", "block")
+    keys = [*at, "x", "y"]
+    placed = placed.join(reps.select("rep", "sig"), "rep").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        held, key = [], None
+
+        def close():
+            held.sort(key=lambda h: h[2])
+            ids, groups, blocks, sigs = zip(*held)
+            first = blocks.count(blocks[0])
+            sig = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1)
+            _, root = np.unique(np.array(groups), return_inverse=True)
+            root = root.copy()
+            a, b = [], []
+            for i in range(first):
+                agree = ((sig[i] == sig[i + 1 :]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                for j in np.nonzero((agree >= follow) & (root[i + 1 :] != root[i]))[0] + i + 1:
+                    if root[i] != root[j]:
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        root[root == root[j]] = root[i]
+            return pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in zip(a, b)], out)
+
+        out = None
+        for b in batches:
+            out = pa.schema([("a", b.schema.field("rep").type), ("b", b.schema.field("rep").type)])
+            for row in zip(*(b.column(c).to_pylist() for c in (*keys, "rep", "group", "block", "sig"))):
+                if row[:4] != key and held:
+                    yield close()
+                    held = []
+                key = row[:4]
+                held.append(row[4:])
+        if held:
+            yield close()
+
+    return placed.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def _counts(sets: list[np.ndarray], rows: int) -> np.ndarray:
     """Sizes of the intersections of the first `rows` sets with all sets."""
     lengths = np.array([len(s) for s in sets])
@@ -243,11 +302,16 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, ba
     each = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     orders = [F.struct(F.xxhash64("rep", F.lit(j)).alias("o"), "rep") for j in range(leaders)]
     buckets = each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *[F.min(o).alias(f"l{j}") for j, o in enumerate(orders)]).where("n > 1")
-    led = buckets.select("band", "key", F.array_distinct(F.array(*[F.col(f"l{j}.rep") for j in range(leaders)])).alias("leaders"))
+    led = buckets.select("band", "key", "n", F.array_distinct(F.array(*[F.col(f"l{j}.rep") for j in range(leaders)])).alias("leaders"))
+    led = stage(led, "led")
     edges = each.join(led, ["band", "key"]).select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
     edges = edges.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     signed = edges.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    groups = stage(components(_estimate(signed, follow)).select(F.col("node").alias("rep"), F.col("component").alias("group")), "groups")
+    named_groups = lambda edges: stage(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group")), "groups")
+    groups = named_groups(_estimate(signed, follow))
+    more = stage(_untied(each, led, groups, reps, follow), "untied")
+    if not more.isEmpty():
+        groups = named_groups(groups.select(F.col("rep").alias("a"), F.col("group").alias("b")).unionByName(more))
     # blocks by hash: a member meets its own block and every other block of its group once
     sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
     placed = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("n"))).join(classes.select("rep", "copies"), "rep")

@@ -423,6 +423,16 @@ def test_jaccard_large_group_of_near_copies(spark, monkeypatch):
     assert got == want
 
 
+def test_jaccard_near_pairs_in_buckets_with_dissimilar_leaders(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIGNED", 16, raising=False)  # buckets of many blocks
+    rng = random.Random(13)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(30)]
+    rows = [(i, " ".join(rng.sample(passages, 10))) for i in range(260)]
+    rows += [(1000 + i, t + f" new{i}") for i, t in rows[:30]]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bands=192, rows=1).collect()}
+    assert got == brute_join(rows)
+
+
 def test_jaccard_bands_meet_the_recall():
     assert (1 - jaccard.SIMILARITY**jaccard.ROWS) ** jaccard.BANDS < 1e-4 and jaccard.bands_for(0.8, 1e-4) <= jaccard.BANDS
 
