@@ -1,17 +1,21 @@
 """Removal of long byte strings that an earlier document holds, by distributed prefix doubling.
 
-Positions are named by the bytes that follow: the name of length 16 is the pair of the 8 bytes here and 8 on, that of 32
-the pair of names 16 apart, that of 50 the pair of names of 32 at 18 apart. Names are 64-bit, so equal strings have
-equal names anywhere without a global rank table.
-
-Naming all positions in one sort would move many times the input, so the first round sorts a sample that loses nothing:
-every window of 50 bytes has an anchor, the smallest 16-byte name inside it, chosen from the window's bytes alone; equal
-windows have equal anchors at equal offsets. A run is a maximal row of windows with one anchor.
-
-1. Spark deals the runs by anchor name. Anchors of one document drop out (unique at 16). Runs equal in all their bytes
-   are settled: all but the smallest document's are covered.
-2. What is left drops out if its 32 bytes left and right of the anchor's edge are unique there too.
-3. Windows of the rest are named at 50 and grouped; a window is covered if a smaller document holds its name.
+Positions are ranked by the bytes that follow: the rank of length 16 is named by the pair of the 8 bytes here and 8 on,
+that of 32 by the pair of ranks 16 apart, that of 50 by the pair of ranks of 32 at 18 apart. Spark deals and sorts the
+names; positions whose string no other document holds leave after each round.
+
+Ranking all positions in each round would move many times the input, so the first rounds rank a sample that loses
+nothing: every window of 50 bytes has an anchor, the smallest 16-byte name inside it, chosen from the window's bytes
+alone; equal windows have equal anchors at equal offsets. A run is a maximal row of windows with one anchor.
+
+1. Offset 16: the runs, packed, are dealt and sorted by the name of their anchor. Anchors of one document leave (unique
+   at 16). Runs equal in all their bytes are settled: all but the smallest document's are covered.
+2. Offset 32: of what is left, a half of a run leaves if its 32 bytes left or right of the anchor's edge are unique.
+3. Threshold: all windows of the rest are rows of the pair (rank of 32 here, rank of 32 at 18 on), which Spark groups;
+   a window is covered if a smaller document holds its pair.
+
+Names of 16 and 32 bytes have 64 bits. A removal rests on at least 96 bits in step 1 (the anchor's name and the run's)
+and on 128 in step 3, so that at 100 TB (6e12 runs) a false match has a chance below 1e-3.
 """
 
 from __future__ import annotations
@@ -20,26 +24,29 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.session import stage
+from corpusgrid.session import broadcast_if_small, stage
 
 LENGTH, K = 50, 16
 SPAN = LENGTH - K + 1  # 16-byte names in a window
 #: Bytes named at a time; records of runs that a task holds before it deals them out; records aimed at in a bucket.
 SEGMENT, HOLD, BUCKET = 1 << 20, 1 << 19, 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-FIELDS = (("name", np.uint32), ("run", np.uint64), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("lo", np.int32), ("at", np.uint8), ("more", np.uint8))
+FIELDS = (("name", np.uint32), ("run", np.uint64), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("lo", np.int64), ("at", np.uint8), ("more", np.uint8))
 #: Further places of a shipped run in its own document: record, bytes from the place before, how often in a row.
-PLACES = (("owner", np.int32), ("step", np.int32), ("times", np.int32))
+PLACES = (("owner", np.int32), ("step", np.int64), ("times", np.int32))
+#: A span of windows in one number: first window, windows after it (under 64), whether it is asked for or covered.
+WIDE = 64
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """64-bit name of a pair of names."""
-    h = x * _A ^ (y + _A) * _B
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = (x ^ (x >> np.uint64(32))) * _A + y * _B
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def names(data: np.ndarray) -> dict[int, np.ndarray]:
@@ -71,8 +78,8 @@ def runs(data: np.ndarray, valid: np.ndarray) -> tuple:
     return first, last, anchor[first], n
 
 
-def records(texts: list[tuple[int, bytes]]) -> list[dict[str, np.ndarray]]:
-    """Records of the runs of documents (doc_id, bytes), in segments of at most about SEGMENT bytes."""
+def records(texts: list[tuple[int, int, bytes]]) -> list[dict[str, np.ndarray]]:
+    """Records of the runs of documents (doc_id, base, bytes), in segments of at most about SEGMENT bytes."""
     out, part, size = [], [], 0
 
     def close():
@@ -91,36 +98,39 @@ def records(texts: list[tuple[int, bytes]]) -> list[dict[str, np.ndarray]]:
                 right = np.where(hi >= cut, n[32][np.minimum(at, len(n[32]) - 1)] | np.uint64(1), np.uint64(0)).astype(np.uint16)
                 out.append({
                     "key": n[16][at], "run": _pair(_pair(n[50][lo], n[50][hi]), ((hi - lo) * 64 + (at - lo)).astype(np.uint64)), "left": left, "right": right,
-                    "doc": np.array([d for d, _, _ in part])[which], "lo": (lo - starts[which] + np.array([o for _, o, _ in part])[which]).astype(np.int32),
+                    "doc": np.array([d for d, _, _ in part])[which], "lo": lo - starts[which] + np.array([o for _, o, _ in part])[which],
                     "at": (at - lo).astype(np.uint8), "more": (hi - lo).astype(np.uint8),
                 })
         part, size = [], 0
 
-    for doc, data in texts:
+    for doc, base, data in texts:
         for low in range(0, max(1, len(data) - LENGTH + 1), SEGMENT):
             piece = data[low : low + SEGMENT + LENGTH - 1]
             if len(piece) >= LENGTH:
                 if size + len(piece) > SEGMENT:
                     close()
-                part.append((doc, low, piece))
+                part.append((doc, base + low, piece))
                 size += len(piece)
     close()
     return out
 
 
-def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc_id, covered, asked): packed pairs of first and last window."""
-    order = np.lexsort((kind, doc))
-    doc, kind = doc[order], kind[order]
-    spans = np.stack([lo[order], hi[order]], axis=1).astype(np.int32)
-    edge = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0] if len(doc) else np.zeros(0, dtype=int)
-    ids, covered, asked = [], [], []
-    for a, b in zip(edge, [*edge[1:], len(doc)]):
-        k = a + int(np.searchsorted(kind[a:b], 1))
-        ids.append(int(doc[a]))
-        covered.append(spans[a:k].tobytes())
-        asked.append(spans[k:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(covered, pa.binary()), pa.array(asked, pa.binary())], ["doc_id", "covered", "asked"])
+def _spans(doc: np.ndarray, lo: np.ndarray, more: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+    """Rows (doc_id, span) of spans of windows, by document."""
+    span = (lo.astype(np.int64) * WIDE + more) * 2 + asked
+    order = np.lexsort((span, doc))
+    return pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(span[order])], ["doc_id", "span"])
+
+
+def _marked(span: np.ndarray, asked: int, base: int, n: int) -> np.ndarray:
+    """Which of a text's n windows its covered (0) or asked (1) spans hold."""
+    mark = np.zeros(n + 1, dtype=np.int32)
+    span = span[(span & 1) == asked] >> 1
+    lo, more = span // WIDE - base, span % WIDE
+    own = (lo >= 0) & (lo < n)
+    np.add.at(mark, lo[own], 1)
+    np.add.at(mark, (lo + more)[own] + 1, -1)
+    return np.cumsum(mark)[:n] > 0
 
 
 def _pack_places(owner: np.ndarray, lo: np.ndarray, base: np.ndarray) -> dict[str, np.ndarray]:
@@ -183,7 +193,7 @@ def _deal(buckets: int):
             for bucket, at, f, places in flush(held):
                 empty = {k: b"" for k, _ in FIELDS + PLACES}
                 if bucket < 0:
-                    empty |= {"doc": f["doc"][at].astype(np.int64).tobytes(), "lo": f["lo"][at].astype(np.int32).tobytes(), "more": f["more"][at].astype(np.uint8).tobytes()}
+                    empty |= {"doc": f["doc"][at].astype(np.int64).tobytes(), "lo": f["lo"][at].tobytes(), "more": f["more"][at].astype(np.uint8).tobytes()}
                     # spread what passes through over all buckets
                     rows.append((-1 - int(f["run"][at[0]] % np.uint64(buckets)), empty))
                 else:
@@ -195,8 +205,7 @@ def _deal(buckets: int):
         for b in batches:
             for low in range(0, b.num_rows, 500):
                 part = b.slice(low, 500)
-                ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-                for r in records([(d, t) for d, t in zip(ids, texts) if len(t) >= LENGTH]):
+                for r in records([x for x in zip(*(part.column(c).to_pylist() for c in ("doc_id", "base", "text"))) if len(x[2]) >= LENGTH]):
                     held.append(r)
                     size += len(r["doc"])
                 if size >= HOLD:
@@ -209,13 +218,13 @@ def _deal(buckets: int):
 
 
 def _settle(batches):
-    """Reducer of sorted buckets: -> (doc_id, covered, asked)."""
+    """Reducer of sorted buckets: -> (doc_id, span), a row for each span that is covered or asked for."""
     held, now = [], None
 
     def close():
         r = {k: np.concatenate([np.frombuffer(h[k], dtype=t) for h in held]) for k, t in FIELDS}
         if now < 0:  # known to be covered
-            return _by_doc(r["doc"], r["lo"], r["lo"] + r["more"], np.zeros(len(r["doc"]), dtype=np.int8))
+            return _spans(r["doc"], r["lo"], r["more"], 0)
         p = {k: np.concatenate([np.frombuffer(h[k], dtype=t) for h in held]) for k, t in PLACES}
         sizes = [len(h["at"]) // np.dtype(dict(FIELDS)["at"]).itemsize for h in held]
         p["owner"] = p["owner"] + np.repeat(np.cumsum([0, *sizes[:-1]]), [len(h["owner"]) // 4 for h in held])
@@ -244,7 +253,7 @@ def _settle(batches):
         done = np.nonzero(doc != least)[0]
         # one run of each content remains; its halves are asked for if their 32 bytes occur in another run
         rest = np.nonzero(new)[0]
-        lo, hi, cut = r["lo"].astype(np.int64), r["lo"].astype(np.int64) + r["more"], r["lo"].astype(np.int64) + r["at"] - SPAN // 2
+        lo, hi, cut = r["lo"], r["lo"] + r["more"], r["lo"] + r["at"] - SPAN // 2
         asked = []
         for side, a, b in (("left", lo, np.minimum(hi, cut)), ("right", np.maximum(lo, cut), hi)):
             key = name[rest].astype(np.uint64) << np.uint64(16) | r[side][rest]
@@ -259,7 +268,7 @@ def _settle(batches):
         also = owner[there]
         sure = (np.concatenate([doc[done], doc[also]]), np.concatenate([lo[done], place[there]]), np.concatenate([hi[done], place[there] + r["more"][also]]))
         docs, los, his = (np.concatenate(x) for x in zip(sure, *asked))
-        return _by_doc(docs, los, his, np.repeat(np.array([0, 1], dtype=np.int8), [len(sure[0]), len(docs) - len(sure[0])]))
+        return _spans(docs, los, his - los, np.repeat([0, 1], [len(sure[0]), len(docs) - len(sure[0])]))
 
     for b in batches:
         for row in b.to_pylist():
@@ -276,40 +285,29 @@ def _settle(batches):
             yield out
 
 
-def _spans(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), dtype=np.int32).reshape(-1, 2)
-
-
 def _ask(batches):
-    """Documents with asked runs -> rows (name, doc_id, at) of the windows that are not covered already."""
+    """Documents with asked spans -> rows (here, on, doc_id, at) of the windows that are not covered already."""
     for b in batches:
         for low in range(0, b.num_rows, 200):
             part = b.slice(low, 200)
-            ids, ats, found = [], [], []
-            for doc, text, covered, asked in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "covered", "asked"))):
-                n = len(text) - LENGTH + 1
-                want = np.zeros(n + 1, dtype=np.int32)
-                a = _spans(asked)
-                np.add.at(want, a[:, 0], 1)
-                np.add.at(want, a[:, 1] + 1, -1)
-                done = np.zeros(n + 1, dtype=np.int32)
-                c = _spans(covered)
-                np.add.at(done, c[:, 0], 1)
-                np.add.at(done, c[:, 1] + 1, -1)
-                at = np.nonzero((np.cumsum(want)[:n] > 0) & (np.cumsum(done)[:n] == 0))[0]
+            ids, ats, here, on = [], [], [], []
+            for i, (doc, base, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "base", "text")))):
+                n, span = len(text) - LENGTH + 1, part.column("spans")[i].values.to_numpy(zero_copy_only=False)
+                at = np.nonzero(_marked(span, 1, base, n) & ~_marked(span, 0, base, n))[0]
                 if len(at):
-                    name = np.empty(len(at), dtype=np.uint64)
+                    pair = np.empty((2, len(at)), dtype=np.uint64)
                     for s in range(0, n, SEGMENT):
-                        inside = (at >= s) & (at < s + SEGMENT)
-                        if inside.any():
-                            name[inside] = names(np.frombuffer(text, dtype=np.uint8, count=min(SEGMENT + LENGTH - 1, len(text) - s), offset=s))[50][at[inside] - s]
+                        x, y = np.searchsorted(at, [s, s + SEGMENT])
+                        if y > x:
+                            rank = names(np.frombuffer(text, dtype=np.uint8, count=min(SEGMENT + LENGTH - 1, len(text) - s), offset=s))[32]
+                            pair[:, x:y] = rank[at[x:y] - s], rank[at[x:y] - s + LENGTH - 32]
                     ids.append(np.full(len(at), doc, dtype=np.int64))
-                    ats.append(at)
-                    found.append(name)
+                    ats.append(at + base)
+                    here.append(pair[0])
+                    on.append(pair[1])
             if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ats).astype(np.int32))], ["name", "doc_id", "at"]
-                )
+                columns = [np.concatenate(here).view(np.int64), np.concatenate(on).view(np.int64), np.concatenate(ids), np.concatenate(ats)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["here", "on", "doc_id", "at"])
 
 
 def _cut(batches):
@@ -318,54 +316,65 @@ def _cut(batches):
         for low in range(0, b.num_rows, 200):
             part = b.slice(low, 200)
             rows = []
-            for text, covered, found in zip(*(part.column(c).to_pylist() for c in ("text", "covered", "found"))):
-                data = np.frombuffer(text, dtype=np.uint8)
+            for i, (base, text) in enumerate(zip(part.column("base").to_pylist(), part.column("text").to_pylist())):
+                span, found = (np.zeros(0, dtype=np.int64) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in (part.column("spans")[i], part.column("found")[i]))
+                data, n = np.frombuffer(text, dtype=np.uint8), len(text) - LENGTH + 1
+                window = _marked(span, 0, base, n)
+                found = found - base
+                window[found[(found >= 0) & (found < n)]] = True
                 mark = np.zeros(len(data) + 1, dtype=np.int32)
-                c = _spans(covered)
-                np.add.at(mark, c[:, 0], 1)
-                np.add.at(mark, c[:, 1] + LENGTH, -1)
-                f = np.array(found or [], dtype=np.int64)
-                np.add.at(mark, f, 1)
-                np.add.at(mark, f + LENGTH, -1)
+                mark[:n] += window
+                mark[LENGTH:] -= window
                 gone = np.cumsum(mark)[:-1] > 0
                 left = data[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))],
-                ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [part.column("doc_id"), part.column("base"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary())))],
+                ["doc_id", "base", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
 
+def _with_base(whole: DataFrame) -> DataFrame:
+    """Adds base: where a row's text begins among the different texts of its doc_id, laid end to end; 0 for most rows."""
+    each = whole.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_t"), (F.octet_length("text") + 1).cast("long").alias("_n"))
+    repeated = each.groupBy("doc_id").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).where("a <> b").select("doc_id")
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    bases = each.join(broadcast_if_small(stage(repeated, "repeated")), "doc_id", "left_semi").distinct().select("doc_id", "_t", F.coalesce(before, F.lit(0)).alias("base"))
+    bases = broadcast_if_small(stage(bases, "bases"))
+    return whole.withColumn("_t", F.xxhash64("text")).join(bases, ["doc_id", "_t"], "left").drop("_t").withColumn("base", F.coalesce("base", F.lit(0)))
+
+
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, kept (binary): one row per row.
 
-    A byte goes if it lies in a string of 50 bytes of its document that also starts in a document with a smaller doc_id;
-    strings are judged on the input. doc_id is an integer; rows that share one must share their text. Null text counts
-    as empty. A row with a null doc_id keeps all its bytes and covers nothing. Texts under 50 bytes, and empty tables,
-    pass through.
+    A byte goes if it lies in a string of 50 bytes of its text that also starts in a document with a smaller doc_id;
+    strings are judged on the input. doc_id is an integer. Rows that share one, with equal or different texts, never
+    cover each other, and each covers larger ids. Null text counts as empty. A row with a null doc_id keeps all its
+    bytes and covers nothing. Texts under 50 bytes, and empty tables, pass through.
     """
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"doc_id orders the documents and must be an integer, not {kind}")
+    whole = _with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")))
     long_ones = whole.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     total = long_ones.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // 18 // BUCKET)
     kinds = ", ".join(f"{k} binary" for k, _ in FIELDS + PLACES)
     dealt = long_ones.mapInArrow(_deal(buckets), f"bucket long, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
-    settled = dealt.mapInArrow(_settle, "doc_id long, covered binary, asked binary")
-    settled = stage(settled, "settled")  # each step is staged, so that its shuffles are gone before the next one's
-    pieces = settled.groupBy("doc_id").agg(
-        F.filter(F.collect_list("covered"), lambda x: F.length(x) > 0).alias("covered"), F.filter(F.collect_list("asked"), lambda x: F.length(x) > 0).alias("asked")
-    )
-    touched = stage(long_ones.dropDuplicates(["doc_id"]).join(pieces, "doc_id"), "touched")
-    windows = stage(touched.where(F.size("asked") > 0).mapInArrow(_ask, "name long, doc_id long, at int"), "windows")
-    least = windows.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("name", "least")
+    settled = stage(dealt.mapInArrow(_settle, "doc_id long, span long"), "settled")  # each step is staged, so that its shuffles are gone before the next one's
+    pieces = settled.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    touched = stage(long_ones.dropDuplicates(["doc_id", "base"]).join(pieces, "doc_id"), "touched")
+    asked = touched.where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1))
+    windows = stage(asked.mapInArrow(_ask, "here long, on long, doc_id long, at long"), "windows")
+    least = windows.groupBy("here", "on").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
     least = stage(least, "least")
-    found = stage(windows.join(least, "name").where("doc_id <> least").groupBy("doc_id").agg(F.collect_list("at").alias("found")), "found")
-    ready = touched.select("doc_id", "text", "covered").join(found, "doc_id", "left").where("size(covered) > 0 or found is not null")
-    cut = ready.mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = stage(windows.join(least, ["here", "on"]).where("doc_id <> least").groupBy("doc_id").agg(F.collect_list("at").alias("found")), "found")
+    ready = touched.join(found, "doc_id", "left").where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 0) | F.col("found").isNotNull())
+    cut = ready.select("doc_id", "base", "text", "spans", "found").mapInArrow(_cut, "doc_id long, base long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = cut if with_kept else cut.drop("kept")
-    base = whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"), *(["text"] if with_kept else []))
-    out = base.join(cut, "doc_id", "left")
+    base = whole.select("doc_id", "base", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"), *(["text"] if with_kept else []))
+    out = base.join(cut, ["doc_id", "base"], "left")
     return out.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", "own").alias("kept_sha256"), *([F.coalesce("kept", "text").alias("kept")] if with_kept else []),
@@ -373,4 +382,5 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents through remove_repeats; nulls, repeated ids and empty tables as told there."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False)

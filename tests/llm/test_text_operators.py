@@ -116,6 +116,22 @@ def test_repeats_on_documents(docs, texts):
     assert repeats(docs) == brute_repeats(texts.items())
 
 
+def test_repeats_on_a_larger_table(spark):
+    larger = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    assert repeats(larger) == brute_repeats([(r["doc_id"], r["text"]) for r in larger.collect()])
+
+
+def test_repeats_with_repeated_ids_of_different_texts(spark):
+    rng = random.Random(14)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, a + "x"), (5, a), (5, ""), (5, None), (3, b[100:200]), (9, c + b), (9, a[:120] + c), (9, "short"), (10, c)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = brute_repeats([(i, t or "") for i, t in rows])
+    assert repeats(df) == want and len(suffixes.remove_repeats(df).collect()) == len(rows)
+    with pytest.raises(TypeError, match="integer"):
+        suffixes.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_repeats_on_planted_cases(spark):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(4000))
@@ -131,7 +147,7 @@ def test_repeats_across_segments(spark, monkeypatch):
     rows = [(1, base), (2, "x" + base[:2500]), (3, base[1000:] + base[:1000])]
     found = []
     monkeypatch.setattr(suffixes, "SEGMENT", 256)
-    for r in suffixes.records([(d, t.encode()) for d, t in rows]):
+    for r in suffixes.records([(d, 0, t.encode()) for d, t in rows]):
         found += [(int(d), int(a) + j) for d, a, m in zip(r["doc"], r["lo"], r["more"]) for j in range(int(m) + 1)]
     # every window of every document is in exactly one run, wherever segments end
     assert collections.Counter(found) == collections.Counter((d, j) for d, t in rows for j in range(len(t) - 49))
