@@ -1,7 +1,7 @@
 """BPE encoding by per-prefix dynamic programming, and decoding.
 
-For a piece of the pre-tokenizer, the tokens that end at each position come from an Aho-Corasick automaton over the
-vocabulary (a suffix automaton of its strings). The exact encoding of a prefix ends in exactly one token: the one whose
+For a piece of the pre-tokenizer, the tokens that are suffixes of each prefix come from an automaton over the vocabulary
+with suffix links (Aho-Corasick: a suffix automaton of the text would report more strings than tokens). The exact encoding of a prefix ends in exactly one token: the one whose
 predecessor, the last token of the shorter prefix, stays compatible with it, that is, whose pair would not have been
 merged otherwise. One last token is stored per prefix; following the back-pointers from the end gives the ids.
 """
@@ -11,15 +11,17 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from corpusgrid.llm.text import map_texts
+from corpusgrid.llm.text import Cache, map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The public pre-tokenization pattern of byte-level BPE, with Unicode's white space spelled out.
 WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-CACHE, CACHED_PIECE = 400_000, 48
+#: Bytes that a task remembers of pieces and of pairs of tokens.
+CACHE, PAIRS = 32 << 20, 16 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -43,7 +45,12 @@ class Bpe:
         import regex
 
         data = json.load(open(path, encoding="utf-8"))
-        model = data["model"]
+        model, before = data["model"], data.get("pre_tokenizer") or {}
+        plain = not data.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        rare = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        flags = ("single_word", "lstrip", "rstrip", "normalized")
+        if not plain or any(model.get(x) for x in rare) or any(t.get(x) for t in data.get("added_tokens", []) for x in flags):
+            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
         letter = byte_letters()
         back = {c: b for b, c in letter.items()}
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
@@ -68,16 +75,13 @@ class Bpe:
             if len(t) == 1 or i in self.parts:
                 self.auto.add_word(t, i)
         self.auto.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        self.fits, self.pieces = Cache(PAIRS), Cache(CACHE)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a then b is how their joined bytes are encoded: no earlier merge reaches over the border."""
         found = self.fits.get((a, b))
         if found is None:
-            found = self._compatible(a, b)
-            if len(self.fits) < 4 * CACHE:
-                self.fits[a, b] = found
+            found = self.fits.keep((a, b), self._compatible(a, b), 60)
         return found
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -131,12 +135,14 @@ class Bpe:
         if found is None:
             ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
             found = (",".join(map(str, ids)), len(ids), "".join([self.text[i] for i in ids]).encode("latin-1"))
-            if len(piece) <= CACHED_PIECE:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = found
+            self.pieces.keep(piece, found, 200 + 3 * len(piece) + len(found[0]))
         return found
 
+    def close(self) -> None:
+        """Forget what was remembered, so that a worker holds no more than the vocabulary between tasks."""
+        self.fits.clear()
+        self.pieces.clear()
+
     def text_pieces(self, text: str):
         """(ids joined, count, bytes) piece after piece; strings of special tokens count as these tokens."""
         for part in self.on_special(text) if self.on_special else [text]:
@@ -164,8 +170,8 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, keep=("doc_id",)) -> DataFrame:
-    """The keep columns, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (array<int>) and decoded text, a row per row.
+def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, with_decoded: bool = False, keep=("doc_id",)) -> DataFrame:
+    """The keep columns, n_tokens, ids_sha256, decoded_sha256, ids (array<int>, with_ids) and decoded text (with_decoded), a row per row.
 
     Null text counts as empty; an empty text has no ids. Whole texts are encoded, in batches of the reader. path must
     be readable on every worker, as the tokenizer files installed with the cluster's Python are.
@@ -179,13 +185,16 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, keep
             found = list(bpe.text_pieces(text or ""))
             ids, decoded = ",".join([x[0] for x in found]), b"".join([x[2] for x in found]).decode("utf-8", "replace")
             row = (sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            return (*row, [int(i) for i in ids.split(",")] if ids else [], decoded) if with_ids else row
+            return (*row, *([np.array(ids.split(",") if ids else [], dtype=np.int32)] if with_ids else []), *([decoded] if with_decoded else []))
 
+        one.close = bpe.close
         return one
 
     names = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    return map_texts(docs, list(keep), "text", make, [*names, *([("ids", "array<int>"), ("decoded", "string")] if with_ids else [])])
+    more = [*([("ids", "array<int>")] if with_ids else []), *([("decoded", "string")] if with_decoded else [])]
+    return map_texts(docs, list(keep), "text", make, [*names, *more])
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents through encode, digests only; nulls and empty tables as told there."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

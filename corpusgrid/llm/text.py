@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Separator of words: space and the ASCII controls tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of a batch that are in Python at a time.
-SLICE = 256
+#: Rows, and bytes of text, of a batch that are in Python at a time (a longer text comes alone).
+SLICE, SLICE_BYTES = 256, 1 << 21
 
 
 def words(text: Column) -> Column:
@@ -28,10 +30,44 @@ def unit(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
 
 
+class Cache(dict):
+    """Remembers values while their sizes add up to `limit` bytes; then it starts anew."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.used = limit, 0
+
+    def keep(self, key, value, size: int):
+        """value, remembered if it is small; size is about what key and value take, without the entry itself."""
+        size += 150
+        if size <= self.limit >> 4:
+            if self.used + size > self.limit:
+                self.clear()
+            self.used += size
+            self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
+
+def slices(batch: pa.RecordBatch, column: str):
+    """Parts of a batch of at most SLICE rows and, unless a row is longer by itself, SLICE_BYTES of the column."""
+    upto = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)))
+    low = 0
+    while low < batch.num_rows:
+        before = upto[low - 1] if low else 0
+        high = min(low + SLICE, max(low + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[tuple[str, str]]) -> DataFrame:
     """Arrow batches of df through Python: pass_on columns unchanged, then the values that make()(text) returns.
 
-    make is called once a task and returns the function of a text; names are the new columns with their SQL types.
+    make is called once a task and returns the function of a text, whose close(), if it has one, is called at the
+    task's end; names are the new columns with their SQL types.
     """
     ddl = [f"`{n}` {t}" for n, t in names]
     schema = StructType([*(df.schema[c] for c in pass_on), *StructType.fromDDL(", ".join(ddl))])
@@ -40,11 +76,13 @@ def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[
 
     def run(batches):
         f = make()
-        for whole in batches:
-            for low in range(0, whole.num_rows, SLICE):  # bounds what is held in Python objects
-                b = whole.slice(low, SLICE)
-                rows = [f(t) for t in b.column(column).to_pylist()]
-                own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pass_on), *own], [*pass_on, *(n for n, _ in names)])
+        try:
+            for whole in batches:
+                for b in slices(whole, column):  # bounds what is held in Python objects
+                    rows = [f(t) for t in b.column(column).to_pylist()]
+                    own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pass_on), *own], [*pass_on, *(n for n, _ in names)])
+        finally:
+            getattr(f, "close", lambda: None)()
 
     return df.select(*dict.fromkeys([*pass_on, column])).mapInArrow(run, schema)

@@ -185,6 +185,65 @@ def test_language_held_out_accuracy(docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_language(rows, texts, langs_of):
+    """lang_pred and score by the rule, with dense vectors of log frequencies."""
+    import regex
+
+    find = regex.compile(r"[\p{L}\p{M}]{1,64}").findall
+    langs = sorted(set(langs_of.values()))
+    counts = {(x, k): collections.Counter() for x in langs for k in (0, 4, 3, 2, 1)}
+    for i in langs_of:
+        for w in find(rows[i].lower()):
+            counts[langs_of[i], 0][w] += 1
+            for k in (4, 3, 2, 1):
+                for j in range(len(w) + 2 - k + 1):
+                    counts[langs_of[i], k][f" {w} "[j : j + k]] += 1
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    vector = lambda k, w: [math.log(max(counts[x, k][w] / max(totals[x, k], 1), 1e-7)) for x in langs]
+    known = lambda k, w: any(counts[x, k][w] for x in langs)
+
+    def one(w):
+        if known(0, w):
+            return vector(0, w)
+        for depth, k in enumerate((4, 3, 2, 1)):
+            hits = [g for g in (f" {w} "[j : j + k] for j in range(len(w) + 3 - k)) if known(k, g)]
+            if hits:
+                return [0.5**depth * sum(x) / len(hits) for x in zip(*(vector(k, g) for g in hits))]
+        return [0.0] * len(langs)
+
+    out = {}
+    for i, t in texts.items():
+        if not t or not regex.search(r"\p{L}", t):
+            out[i] = ("und", 0.0)
+            continue
+        found = find(t.lower())
+        total = [sum(x) for x in zip(*map(one, found))]
+        best = max(range(len(langs)), key=lambda j: (total[j], -j))
+        out[i] = (langs[best], 1 / sum(math.exp((x - total[best]) / math.sqrt(len(found))) for x in total))
+    return out
+
+
+def test_language_same_as_brute_force(docs):
+    import zlib
+
+    rows = docs.collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    learned = {r["doc_id"]: r["lang"] for r in rows if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    want = brute_language(texts, texts, learned)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score) in got.items():
+        assert lang == want[i][0] and score == pytest.approx(want[i][1], abs=1e-6)
+
+
+def test_language_learns_rare_languages_and_long_runs(spark):
+    rows = [(i, "die schule ist neu", "de", "s", 1) for i in range(3000)] + [(9000 + i, "日本語の文章" * 30, "ja", "s", 1) for i in range(4)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = langid.train(df, train_docs=50)
+    score = langid.Scorer(model)
+    assert model["langs"] == ["de", "ja"] and score("文章の日本語" * 40)[0] == "ja" and score("neue schule")[0] == "de"
+
+
 def test_language_backs_off_to_ngrams(spark):
     rows = [(i, "strasse schule schnee schrank", "de", "s", 1) for i in range(30)] + [(100 + i, "agua gente puente siempre", "es", "s", 1) for i in range(30)]
     model = langid.train(spark.createDataFrame(rows, DOCS))
