@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, keep=("doc_id", "lang", "source")).drop("decoded")
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"))
 
 
 STAGES = [
