@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.session import stage
+from corpusgrid.session import stage, unstage
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its smaller neighbours join the smallest of them
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(rest.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "small")
+        old, edges = edges, stage(rest.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "small")
+        unstage(old, large)
         after = _digest(edges)
         if after == before:
             break

@@ -4,39 +4,71 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _cleaning, _before = threading.Lock(), 0, "false"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the cluster's spark.checkpoint.dir, or a fresh local one in tests."""
+    """Folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, a local session (as in tests) gets a fresh folder of its own; a cluster must name one, because
+    executors do not see a folder of the driver's machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession):
+    """Drop the shuffle files of what is written inside, once it is written; threads of a session may overlap."""
+    global _cleaning, _before
+    with _lock:
+        if not _cleaning:
+            _before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _cleaning += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _cleaning -= 1
+            if not _cleaning:
+                spark.conf.set(CLEANUP, _before)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage with files that survive the loss of any executor, and lets several consumers read the same rows
-    without computing them again.
+    without computing them again. unstage() deletes the files once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusgrid/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # the shuffles of this write are of no use once it is done
-    try:
+    with _shuffles_cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete what stage() wrote for these tables, when all that was built on them has been written itself."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
