@@ -14,8 +14,8 @@ alone; equal windows have equal anchors at equal offsets. A run is a maximal row
 3. Threshold: all windows of the rest are rows of the pair (rank of 32 here, rank of 32 at 18 on), which Spark groups;
    a window is covered if a smaller document holds its pair.
 
-Names of 16 and 32 bytes have 64 bits. A removal rests on at least 96 bits in step 1 (the anchor's name and the run's)
-and on 128 in step 3, so that at 100 TB (6e12 runs) a false match has a chance below 1e-3.
+Ranks have 64 bits. A removal rests on at least 96 bits in step 1 (the anchor's name and the run's) and in step 3 (the
+pair, its second rank cut to 32 bits), so that at 100 TB (6e12 runs) a false match has a chance below 1e-3.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.session import broadcast_if_small, stage
+from corpusgrid.session import broadcast_if_small, stage, unstage
 
 LENGTH, K = 50, 16
 SPAN = LENGTH - K + 1  # 16-byte names in a window
@@ -306,7 +306,7 @@ def _ask(batches):
                     here.append(pair[0])
                     on.append(pair[1])
             if ids:
-                columns = [np.concatenate(here).view(np.int64), np.concatenate(on).view(np.int64), np.concatenate(ids), np.concatenate(ats)]
+                columns = [np.concatenate(here).view(np.int64), (np.concatenate(on) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.concatenate(ids), np.concatenate(ats)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["here", "on", "doc_id", "at"])
 
 
@@ -363,14 +363,17 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     kinds = ", ".join(f"{k} binary" for k, _ in FIELDS + PLACES)
     dealt = long_ones.mapInArrow(_deal(buckets), f"bucket long, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
     settled = stage(dealt.mapInArrow(_settle, "doc_id long, span long"), "settled")  # each step is staged, so that its shuffles are gone before the next one's
-    pieces = settled.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    touched = stage(long_ones.dropDuplicates(["doc_id", "base"]).join(pieces, "doc_id"), "touched")
-    asked = touched.where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1))
-    windows = stage(asked.mapInArrow(_ask, "here long, on long, doc_id long, at long"), "windows")
+    pieces = stage(settled.groupBy("doc_id").agg(F.collect_list("span").alias("spans")), "pieces")
+    unstage(settled)
+    texts = long_ones.dropDuplicates(["doc_id", "base"])
+    asked = pieces.where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1))
+    windows = stage(texts.join(asked, "doc_id").select("doc_id", "base", "text", "spans").mapInArrow(_ask, "here long, on int, doc_id long, at long"), "windows")
     least = windows.groupBy("here", "on").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
     least = stage(least, "least")
     found = stage(windows.join(least, ["here", "on"]).where("doc_id <> least").groupBy("doc_id").agg(F.collect_list("at").alias("found")), "found")
-    ready = touched.join(found, "doc_id", "left").where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 0) | F.col("found").isNotNull())
+    unstage(windows, least)
+    sure = pieces.where(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 0))
+    ready = texts.join(sure.join(found, "doc_id", "full"), "doc_id")
     cut = ready.select("doc_id", "base", "text", "spans", "found").mapInArrow(_cut, "doc_id long, base long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = cut if with_kept else cut.drop("kept")
     base = whole.select("doc_id", "base", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"), *(["text"] if with_kept else []))
