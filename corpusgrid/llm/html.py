@@ -1,9 +1,15 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a list of text blocks. A logistic classifier gives each block its cost of being content or boilerplate
-(terminal capacities); neighbouring blocks, and blocks that follow each other under one parent, are tied by smoothness
-edges. The minimum cut labels all blocks of a page together. Structure that is never content (menus, footers, forms,
-adverts, comments ...) has a terminal capacity that no smoothness outweighs.
+A page becomes a list of text blocks. A logistic classifier on the text of a block (length, links, punctuation, words of
+class and id) and the role of the nearest element around it give each block its cost of being content or boilerplate
+(terminal capacities); neighbouring blocks, and blocks that follow each other in one container, are tied by smoothness
+edges. The minimum cut labels all blocks of a page together.
+
+Roles: article and main hold content; menus, footers, asides and the like bar it, as do elements whose class, id or role
+is a boilerplate word as a whole (part of a compound such as has-sidebar is weak evidence only). An article or main
+cancels what wrappers above it say; inside comments, related links or a barred element it does so only where the page has
+no other one. A form that holds most of the page is a wrapper. The classifier learns from pages with an article or main
+element: inside or outside is the label, and no feature.
 """
 
 from __future__ import annotations
@@ -11,7 +17,6 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,47 +26,58 @@ from corpusgrid.llm.text import map_texts
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe template textarea title svg select object".split())
+RAW = frozenset("script style iframe textarea title noscript template svg math select object".split())
+#: Of these, the ones that nest and whose missing end tag costs nothing; others run to the end of the page, as in HTML.
+NESTED = frozenset("noscript template svg math select object".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup td th time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math object q rp rt ruby s samp select small span strike strong sub sup svg td textarea th time tt u var wbr".split()
 )
 SPACED = frozenset("br td th".split())
-BARRED = frozenset("nav footer aside form header head button dialog menu".split())
+BARRED = frozenset("nav footer aside header head button dialog menu".split())
 MAIN = frozenset("article main".split())
-#: Words of class, id and role that name boilerplate, and words that name the main part.
+#: Words of class, id and role that name boilerplate, those of them that hold other articles, and words that name the main part.
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+HOLDERS = frozenset("comment comments disqus modal popup promo promoted promotion related replies respond sidebar sponsor sponsored widget".split())
+#: What a compound may hold beside boilerplate words and still name boilerplate, as ad-box and cookie-notice do.
+SHAPES = frozenset("area bar block bottom box container inner item left list outer right section slot top unit wrap wrapper".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
 WORD = re.compile(r"[a-z]+")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-FEATURES = ("bias", "barred", "bad_word", "in_main", "good_word", "log_words", "link_share", "heading", "sentence_marks")
+NONE, IN_MAIN, IN_BARRED, IN_BAD, IN_FORM, HELD_MAIN = range(6)
+#: Evidence of the roles, in the logistic scale, and the most that the text of a block can add or take.
+STRUCTURE, TEXT = (0.0, 5.0, -7.0, -6.0, -3.0, -6.0), 2.5
+FEATURES = ("bias", "bad_part", "good_word", "log_words", "link_share", "heading", "sentence_marks")
 #: What the classifier believes before it sees a page, and how strongly.
-PRIOR = np.array([-0.5, -6.0, -5.0, 4.0, 1.5, 0.4, -3.0, 0.3, 0.8])
+PRIOR = np.array([-0.5, -1.0, 1.5, 0.4, -3.0, 0.3, 0.8])
 PRIOR_STRENGTH, TRAIN_PAGES, TRAIN_BLOCKS = 5.0, 400, 20_000
-NEIGHBOUR, SIBLING, NEVER = 0.4, 0.6, 1e3
+NEIGHBOUR, SIBLING = 0.4, 0.6
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
-    """(text, features, parent) of every non-empty block in page order; the last, unfinished tag of a cut page is dropped."""
+def blocks(page: str | None) -> list[tuple[str, tuple, int, int]]:
+    """(text, features, role, container) of every non-empty block in page order; the last, unfinished tag of a cut page is dropped."""
     page = page or ""
     out, chunks = [], []
-    # element: (name, id, barred, bad, main, good, link, heading)
-    stack = [("", 0, False, False, False, False, False, False)]
-    made, links, letters, parent = 1, 0, 0, 0
+    # element: (name, id, container, role, under main, held, bad part, good, link, heading)
+    stack = [("", 0, 0, NONE, False, False, False, False, False, False)]
+    made, links, letters = 1, 0, 0
 
     def flush():
         nonlocal links, letters
         text = " ".join("".join(chunks).split()) if chunks else ""
         if text:
-            _, _, barred, bad, main, good, _, heading = owner
+            _, _, container, role, _, _, part, good, _, heading = owner
             n = text.count(" ") + 1
-            f = (1.0, barred, bad, main, good, math.log(n), links / max(letters, 1), heading, min(text.count(".") + text.count(","), 4) / 4)
-            out.append((text, tuple(map(float, f)), parent))
+            f = (1.0, part, good, math.log(n), links / max(letters, 1), heading, min(text.count(".") + text.count(","), 4) / 4)
+            out.append((text, tuple(map(float, f)), role, container))
         chunks.clear()
         links = letters = 0
 
+    def block():
+        return next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
+
     owner = stack[0]
     pos, end = 0, len(page)
     while pos < end:
@@ -70,13 +86,12 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
             at = end
         if at > pos:
             chunk = entities.unescape(page[pos:at])
-            block = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0]) if stack[-1][0] in INLINE else stack[-1]
             if not chunks:
-                owner, parent = block, block[1]
+                owner = block()
             chunks.append(chunk)
             size = len(chunk.strip())
             letters += size
-            links += size if stack[-1][6] else 0
+            links += size if stack[-1][8] else 0
         if at >= end:
             break
         nxt = page[at + 1 : at + 2]
@@ -85,9 +100,9 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
             pos = end if close < 0 else close + (3 if page.startswith("<!--", at) else 1)
             continue
         if not (nxt.isalpha() or (nxt == "/" and page[at + 2 : at + 3].isalpha())):
+            if not chunks:
+                owner = block()
             chunks.append("<")  # a bare sign, not a tag
-            if len(chunks) == 1:
-                owner, parent = stack[-1], stack[-1][1]
             pos = at + 1
             continue
         m = TAG.match(page, at)
@@ -97,8 +112,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
         closing, name = page[at + 1] == "/", re.split(r"[\s/>]", page[at + 1 + (nxt == "/") : close], maxsplit=1)[0].lower()
         pos = close
         if name in RAW and not closing:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            pos = stop.end() if stop else end
+            if not (name in ("svg", "math") and page[close - 2] == "/"):  # foreign elements may end at once
+                pos = _after(page, name, close)
             if name not in INLINE:
                 flush()
             continue
@@ -125,68 +140,90 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int]]:
                     k -= 1
                 if stack[k][0] == name:
                     del stack[k:]
-            _, _, barred, bad, main, good, link, heading = stack[-1]
-            found = {w for a in ATTR.finditer(m.group(3) if m else "") for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())}
+            _, above, container, role, under, held, part, good, link, heading = stack[-1]
+            tokens = [] if not m or name in ("html", "body") else [t for a in ATTR.finditer(m[3]) for t in (a[2] or a[3] or a[4] or "").lower().split()]
+            parts = {w for t in tokens for w in WORD.findall(t)}
+            whole = {w for t in tokens for w in (WORD.findall(t),) if w and w[0] in BAD_WORDS and BAD_WORDS | SHAPES >= set(w) for w in w}
+            if name in MAIN and not whole:
+                if not under:  # an article inside another one changes nothing
+                    role = HELD_MAIN if held else IN_MAIN
+                    part, under = False, True
+            elif name in BARRED or whole:
+                role = IN_BARRED if name in BARRED else IN_BAD
+                held = held or name in BARRED or bool(whole & HOLDERS)
+            elif name == "form" and role not in (IN_BARRED, IN_BAD):
+                role = IN_FORM
             stack.append((
-                name, made, barred or name in BARRED, bad or bool(found & BAD_WORDS and name not in ("html", "body", *MAIN)),
-                main or name in MAIN, good or bool(found & GOOD_WORDS), link or name == "a", name in ("h1", "h2", "h3", "h4", "h5", "h6"),
+                name, made, above if name not in INLINE else container, role, under, held, part or bool(parts & BAD_WORDS), good or bool(parts & GOOD_WORDS), link or name == "a",
+                name in ("h1", "h2", "h3", "h4", "h5", "h6"),
             ))
             made += 1
     flush()
-    return out
+    return _resolved(out)
+
+
+def _after(page: str, name: str, pos: int) -> int:
+    """Where the text goes on after the start tag of a raw element that ended at pos."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, pos):
+        if m[1]:
+            depth -= 1
+        elif name in NESTED and not m[0].endswith("/>"):
+            depth += 1
+        if depth == 0:
+            return m.end()
+    return pos if name in NESTED else len(page)
+
+
+def _resolved(found: list) -> list:
+    """Blocks with the roles that only the whole page decides: held articles, and forms that wrap the page."""
+    words = lambda role: sum(b[0].count(" ") + 1 for b in found if role is None or b[2] == role)
+    change = {HELD_MAIN: IN_BAD if any(b[2] == IN_MAIN for b in found) else IN_MAIN}
+    if 2 * words(IN_FORM) > words(None) and not any(b[2] in (IN_MAIN, HELD_MAIN) for b in found):
+        change[IN_FORM] = NONE
+    return [(t, f, change.get(role, role), at) for t, f, role, at in found]
 
 
-def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source in a minimum cut (ties go to the sink side).
+def cut(content: list[float], other: list[float], siblings: list[int], neighbour: float = NEIGHBOUR, sibling: float = SIBLING) -> list[bool]:
+    """Which blocks lie on the content side of the minimum cut (ties go to the other side), in linear time.
 
-    Terminal flow is cancelled first; what remains is pushed along shortest augmenting paths.
+    content and other are the costs of cutting a block off from each side; edges tie each block to the next one and to
+    siblings[i], an earlier block or -1. These edges nest (containers do), so the cut is found exactly by taking out a
+    block whose edges all lead to two others: the least cost for each of their four labellings is an edge between them.
     """
-    n = len(source)
-    give, want = [], []
-    for a, b in zip(source, sink):
-        m = min(a, b)
-        give.append(a - m)
-        want.append(b - m)
-    graph: list[list[int]] = [[] for _ in range(n)]
-    to, cap = [], []
-    for a, b, c in edges:
-        graph[a].append(len(to))
-        to.append(b)
-        cap.append(c)
-        graph[b].append(len(to))
-        to.append(a)
-        cap.append(c)
-    eps = 1e-9
-    while True:
-        via = [-2] * n
-        queue = deque(i for i in range(n) if give[i] > eps)
-        for i in queue:
-            via[i] = -1
-        goal = -1
-        while queue and goal < 0:
-            i = queue.popleft()
-            for e in graph[i]:
-                j = to[e]
-                if cap[e] > eps and via[j] == -2:
-                    via[j] = e
-                    if want[j] > eps:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [v != -2 for v in via]
-        flow, j = want[goal], goal
-        while via[j] >= 0:
-            flow = min(flow, cap[via[j]])
-            j = to[via[j] ^ 1]
-        flow = min(flow, give[j])
-        give[j] -= flow
-        want[goal] -= flow
-        j = goal
-        while via[j] >= 0:
-            cap[via[j]] -= flow
-            cap[via[j] ^ 1] += flow
-            j = to[via[j] ^ 1]
+    n, none = len(content), (0.0, neighbour, neighbour, 0.0)
+    own = list(zip(content, other))  # label 0, boilerplate, cuts a block off from content
+    open_, edge, gone = [], [], []  # blocks in play, the edge from each to the one before, and those taken out
+    for i in range(n):
+        e = none
+        if siblings[i] >= 0:
+            while open_[-1] != siblings[i]:
+                t, f = open_.pop(), edge.pop()
+                u = own[t]
+                pick, cost = [], []
+                for a in (0, 1):
+                    for b in (0, 1):
+                        x0, x1 = f[2 * a] + u[0] + e[b], f[2 * a + 1] + u[1] + e[2 + b]
+                        pick.append(x1 < x0)
+                        cost.append(x1 if x1 < x0 else x0)
+                gone.append((t, open_[-1], i, pick))
+                e = tuple(cost)
+            e = (e[0], e[1] + sibling, e[2] + sibling, e[3])
+        open_.append(i)
+        edge.append(e)
+    label, back = [False] * n, []
+    best = own[open_[0]] if n else (0.0, 0.0)
+    for t, e in zip(open_[1:], edge[1:]):
+        pick = (best[1] + e[2] < best[0] + e[0], best[1] + e[3] < best[0] + e[1])
+        back.append(pick)
+        best = tuple(best[pick[x]] + e[2 * pick[x] + x] + own[t][x] for x in (0, 1))
+    if n:
+        label[open_[-1]] = best[1] < best[0]
+    for k in range(len(open_) - 1, 0, -1):
+        label[open_[k - 1]] = back[k - 1][label[open_[k]]]
+    for t, a, b, pick in reversed(gone):
+        label[t] = pick[2 * label[a] + label[b]]
+    return label
 
 
 def fit(rows: list[tuple[list[float], float]], strength: float = PRIOR_STRENGTH) -> np.ndarray:
@@ -206,35 +243,38 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     found = blocks(page)
     if not found:
         return ""
-    x = np.array([f for _, f, _ in found])
-    score = np.clip(x @ weights, -8, 8)
-    never = (x[:, 1] > 0) | (x[:, 2] > 0)
-    content = np.log1p(np.exp(score))  # cost of calling it boilerplate
-    other = np.log1p(np.exp(-score)) + never * NEVER
-    content[never] = 0.0
-    edges, last = [], {}
-    for i, (_, _, parent) in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEIGHBOUR))
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    side = min_cut(content.tolist(), other.tolist(), edges)
+    role = np.array([r for _, _, r, _ in found])
+    score = np.clip(np.array([f for _, f, _, _ in found]) @ weights, -TEXT, TEXT) + np.array(STRUCTURE)[role]
+    siblings, last = [], {}
+    for i, (_, _, _, container) in enumerate(found):
+        siblings.append(last.get(container, -1))
+        last[container] = i
+    side = cut(np.log1p(np.exp(score)).tolist(), np.log1p(np.exp(-score)).tolist(), siblings)
     return "\n".join(b[0] for b, s in zip(found, side) if s)
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, train_blocks: int = TRAIN_BLOCKS) -> np.ndarray:
-    """Classifier from about train_pages pages, drawn by hash, and at most train_blocks of their blocks.
+    """Classifier from at most train_blocks blocks, drawn by hash, of about train_pages pages, drawn by hash too.
 
-    Labels come from the pages' own structure: blocks under article or main are content unless barred, blocks under
-    barred elements are boilerplate, others teach nothing.
+    A block of a page that has an article or main element is content if it lies in it, else boilerplate; other pages
+    teach nothing. The driver gets the numbers of the drawn blocks only.
     """
     n = pages.select("page_id").count()
     share = min(1_000_000, math.ceil(1_000_000 * train_pages / max(n, 1)))
     picked = pages.where(F.pmod(F.xxhash64("page_id", F.lit(37)), F.lit(1_000_000)) < share)
-    rows = picked.select("html").orderBy(F.xxhash64("html")).limit(2 * train_pages).collect()
-    found = [(f, float(f[3] and not (f[1] or f[2]))) for r in rows for _, f, _ in blocks(r["html"]) if f[1] or f[2] or f[3]]
-    return fit(found[:train_blocks])
+
+    def make():
+        def one(page):
+            found = blocks(page)
+            if not any(role == IN_MAIN for _, _, role, _ in found):
+                return ([],)
+            return ([[*f, float(role == IN_MAIN)] for _, f, role, _ in found],)
+
+        return one
+
+    rows = map_texts(picked.select("html"), [], "html", make, [("found", "array<array<double>>")]).select(F.explode("found").alias("b"))
+    rows = rows.orderBy(F.xxhash64("b"), "b").limit(train_blocks).collect()
+    return fit([(r["b"][:-1], r["b"][-1]) for r in rows])
 
 
 def extract(pages: DataFrame, weights: np.ndarray, keep=("page_id", "url")) -> DataFrame:
@@ -254,5 +294,6 @@ def extract(pages: DataFrame, weights: np.ndarray, keep=("page_id", "url")) -> D
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """Every row of pages through extract, with a classifier of these pages; nulls and empty tables as told there."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return extract(pages, train(pages))

@@ -71,7 +71,7 @@ def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[
     """
     ddl = [f"`{n}` {t}" for n, t in names]
     schema = StructType([*(df.schema[c] for c in pass_on), *StructType.fromDDL(", ".join(ddl))])
-    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
     types = [arrow[t] for _, t in names]
 
     def run(batches):

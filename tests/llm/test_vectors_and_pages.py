@@ -3,6 +3,7 @@
 import collections
 import html as entities
 import random
+import time
 import re
 
 import numpy as np
@@ -97,15 +98,53 @@ def test_embeddings_passes_grow_with_the_label():
 # main text
 
 
-def test_min_cut_is_minimal():
+def nested_siblings(rng, n):
+    """Random containers that nest: siblings[i] is the block before i in its container, or -1."""
+    stack, out, made = [(0, [])], [], 1
+    for i in range(n):
+        while rng.random() < 0.4 and len(stack) > 1:
+            stack.pop()
+        while rng.random() < 0.4:
+            stack.append((made, []))
+            made += 1
+        out.append(stack[-1][1][-1] if stack[-1][1] else -1)
+        stack[-1][1].append(i)
+    return out
+
+
+def test_cut_is_minimal():
     rng = random.Random(2)
-    for _ in range(200):
-        n = rng.randint(1, 7)
-        a, b = ([rng.randint(0, 9) for _ in range(n)] for _ in range(2))
-        edges = [(i, j, rng.randint(0, 5)) for i in range(n) for j in range(i) if rng.random() < 0.5]
+    for _ in range(500):
+        n = rng.randint(1, 9)
+        a, b = ([float(rng.randint(0, 9)) for _ in range(n)] for _ in range(2))
+        siblings, near, far = nested_siblings(rng, n), rng.randint(0, 5), rng.randint(0, 5)
+        edges = [(i - 1, i, near) for i in range(1, n)] + [(j, i, far) for i, j in enumerate(siblings) if j >= 0]
         cost = lambda side: sum(b[i] if s else a[i] for i, s in enumerate(side)) + sum(c for i, j, c in edges if side[i] != side[j])
         best = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(2**n))
-        assert cost(html.min_cut(list(map(float, a)), list(map(float, b)), [(i, j, float(c)) for i, j, c in edges])) == best
+        assert cost(html.cut(a, b, siblings, near, far)) == best
+    assert html.cut([], [], []) == []
+
+
+def test_cut_of_many_blocks_takes_linear_time():
+    rng = random.Random(4)
+    n = 100_000
+    start = time.time()
+    html.cut([rng.random() for _ in range(n)], [rng.random() for _ in range(n)], nested_siblings(rng, n))
+    assert time.time() - start < 20
+
+
+ARTICLE = "<article><h1>A title</h1><p>Some words of a story, and more.</p></article>"
+TEXT = "A title\nSome words of a story, and more."
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="layout has-sidebar">{ARTICLE}</div>', f'<form id="aspnetForm">{ARTICLE}</form>', f'<div class="sidebar">{ARTICLE}</div>', f'<svg class="icon" />{ARTICLE}', f"<svg><svg></svg><path/></svg>{ARTICLE}",
+    f'{ARTICLE}<section id="comments"><article class="x"><p>Nice words, thanks a lot for them.</p></article></section>', f"<noscript>{ARTICLE}", f'<aside><article><p>Read this too, it is nice.</p></article></aside><main>{ARTICLE}</main>',
+    f'{ARTICLE[:-10]}<div class="related"><a href="/x">More of this</a></div><aside>Some words, beside the story.</aside></article>', f"<header>Site</header><nav><a>x</a></nav>{ARTICLE}<footer>All rights, and more words.</footer>",
+    f'<div class="social-post">{ARTICLE[9:-10]}</div>', f'<div class="entry comment-open">{ARTICLE[9:-10]}</div>', f'<form id="aspnetForm"><div class="content">{ARTICLE[9:-10]}</div><label>Name</label></form>'.replace("<label>Name</label>", ""),
+])
+def test_page_keeps_its_article_and_nothing_else(page):
+    assert html.main_text(page, html.PRIOR) == TEXT
 
 
 def test_pages_of_the_table(spark):
