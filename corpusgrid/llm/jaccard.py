@@ -1,14 +1,18 @@
 """N-gram Jaccard join by MinHash banding.
 
 1. A document is the set of its word five-grams (64-bit hashes). Documents with equal sets are one class; the rest
-   works on classes, represented by their smallest doc_id.
-2. Signatures of BANDS * ROWS minima; band keys are shuffled, and members of a bucket are tied to a few leaders of it
-   (bucket minima by several orders), so a bucket of m classes gives at most LEADERS * m edges.
-3. Edges whose signatures estimate too low a similarity go. In buckets whose members the rest does not tie together,
-   signatures of untied members are compared, block against block, and similar ones are tied too. The components of
-   all these edges are the candidate groups.
+   works on classes, numbered in the order of their smallest doc_id.
+2. Signatures of bands * ROWS minima; band keys are shuffled. The number of bands follows from the similarity and the
+   recall that is wanted.
+3. All members of a bucket are compared by their signatures: each with the bucket's first class, and, block against
+   block, whatever that has not tied together yet. A pair whose signatures agree in fewer places than the similarity
+   can explain (SLACK deviations) is none; the others tie their ends. Ties are a forest, no bucket emits its pairs. The
+   components of the ties are the candidate groups.
 4. Within a group, every pair is verified on the full n-gram sets. Groups are cut into hashed blocks, and a task gets
-   two blocks; it returns per class its links and a forest, not the pairs.
+   two blocks; it returns per class its links and a forest of verified pairs, whose components are the result's.
+
+A pair that shares a bucket is thus always compared; there is no cap on candidates. Work grows with the square of a
+bucket of unlike classes, and of a group of near copies, spread over the pairs of their blocks.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.components import components
-from corpusgrid.llm.text import map_texts
-from corpusgrid.session import stage
+from corpusgrid.llm.text import Cache, map_texts, slices
+from corpusgrid.operators.sample import positions
+from corpusgrid.session import stage, unstage
 
 N, SIMILARITY = 5, 0.8
-#: Chance of a pair at the threshold to share no band: (1 - 0.8 ** 6) ** 32 = 6e-5.
-BANDS, ROWS, LEADERS, SEED = 32, 6, 3, 5
-#: An edge is followed if its signatures agree in at least this share; at the threshold that is 9 deviations off.
-FOLLOW = 0.5
-BLOCK, CHUNK, CACHE = 192, 1 << 15, 300_000
+#: Chance of a pair at the threshold to share no band; it takes (1 - 0.8 ** 6) ** 32.
+MISS, ROWS, SEED = 6e-5, 6, 5
+#: Deviations that the agreement of two signatures may fall short of the similarity: a chance of 1e-9.
+SLACK = 6.0
+#: Classes and n-grams in a block of a group, n-grams hashed at a time, bytes of word hashes that a task remembers.
+BLOCK, BLOCK_GRAMS, CHUNK, CACHE = 512, 1 << 19, 1 << 15, 24 << 20
 #: Signatures in a block of a bucket whose members are compared with each other.
 SIGNED = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +46,11 @@ def bands_for(similarity: float, miss: float, rows: int = ROWS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
+def least_agreement(similarity: float, size: int, slack: float = SLACK) -> float:
+    """Share of `size` signature rows in which a pair at `similarity` agrees at least, but for `slack` deviations."""
+    return similarity - slack * math.sqrt(similarity * (1 - similarity) / size)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -52,7 +63,7 @@ class Grams:
     def __init__(self, n: int = N):
         from xxhash import xxh64_intdigest
 
-        self.n, self.digest, self.cache = n, xxh64_intdigest, {}
+        self.n, self.digest, self.cache = n, xxh64_intdigest, Cache(CACHE)
         self.factors = _mix(np.arange(1, n + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -64,9 +75,7 @@ class Grams:
         for w in words:
             h = cache.get(w)
             if h is None:
-                h = digest(w)
-                if len(cache) < CACHE:
-                    cache[w] = h
+                h = cache.keep(w, digest(w), 70 + len(w))
             out.append(h)
         h = np.array(out, dtype=np.uint64)
         k = min(self.n, len(h))
@@ -77,6 +86,11 @@ class Grams:
         return np.unique(total)
 
 
+def class_of(grams: np.ndarray) -> tuple[int, int]:
+    """128-bit identity of a set of n-grams."""
+    return int(np.bitwise_xor.reduce(_mix(grams + _MIX)).astype(np.int64)), int(np.add.reduce(_mix(grams * _MIX + np.uint64(3))).astype(np.int64))
+
+
 def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, signatures of a byte a row) of non-empty sets."""
     rng = np.random.default_rng(SEED)
@@ -106,23 +120,20 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarr
     return keys, (minima & 0xFF).astype(np.uint8)
 
 
-def sketch(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketch(docs: DataFrame, bands: int, rows: int = ROWS, n: int = N) -> DataFrame:
     """doc_id, c1, c2 (class of the n-gram set), n_grams, bands (array<long>), sig (binary); null bands for no words."""
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, c1 long, c2 long, n_grams long, bands array<long>, sig binary"
 
     def run(batches):
         grams = Grams(n)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                b = whole.slice(low, 1000)
+            for b in slices(whole, "text"):
                 sets = [grams(t) for t in b.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, sig = _signatures([sets[i] for i in full], bands, rows) if full else ([], [])
                 c1, c2, band, sigs = ([None] * len(sets) for _ in range(4))
                 for at, i in enumerate(full):
-                    s = sets[i]
-                    c1[i] = int(np.bitwise_xor.reduce(_mix(s + _MIX)).astype(np.int64))
-                    c2[i] = int(np.add.reduce(_mix(s * _MIX + np.uint64(3))).astype(np.int64))
+                    c1[i], c2[i] = class_of(sets[i])
                     band[i], sigs[i] = keys[at].astype(np.int64), sig[at].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
@@ -132,40 +143,42 @@ def sketch(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) ->
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _estimate(edges: DataFrame, follow: float) -> DataFrame:
-    """Edges (a, b, sa, sb) whose byte signatures agree in at least `follow` of the places, corrected for chance."""
+def _agreement(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Share of equal rows between byte signatures, corrected for bytes that are equal by chance."""
+    return ((one == others).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _estimate(edges: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b, sa, sb) whose signatures agree in at least the share `least`."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                agree = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                keep = np.nonzero(agree >= follow)[0]
+                keep = np.nonzero(_agreement(x, y) >= least)[0]
                 yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep)), b.column("b").take(pa.array(keep))], ["a", "b"])
 
-    kind = dict(edges.dtypes)["a"]
-    return edges.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _untied(each: DataFrame, led: DataFrame, tied: DataFrame, reps: DataFrame, follow: float) -> DataFrame:
-    """Edges (a, b) of similar signatures between the groups that meet in a bucket, a forest for two blocks.
+def _untied(each: DataFrame, buckets: DataFrame, tied: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Ties (a, b) between the groups that meet in a bucket, a forest for two blocks.
 
-    Only pairs inside a bucket's largest group are left out, which followed edges tie already.
+    Only pairs inside a bucket's largest group are left out, which are tied already.
     """
-    kind, at = dict(each.dtypes)["rep"], ["band", "key"]
-    # with n - 1 leaders every pair has been an edge
-    marked = each.join(led.where(F.col("n") - 1 > F.size("leaders")).select(*at), at).join(tied, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    at = ["band", "key"]
+    marked = each.join(buckets.where("n > 2").select(*at), at).join(tied, "node", "left").withColumn("group", F.coalesce("group", "node"))
     parts = marked.groupBy(*at, "group").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(*at).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("top")).where("parts > 1")
     mixed = mixed.select(*at, F.col("top.group").alias("most"), F.ceil(F.col("top.n") / SIGNED).alias("large"), F.ceil((F.col("all") - F.col("top.n")) / SIGNED).alias("small"))
     placed = marked.join(mixed, at).withColumn("inside", F.col("group") == F.col("most"))
     # blocks of the largest group are numbered -1, -2, ..., those of the others 0, 1, ...
-    place = F.xxhash64("rep", F.lit(SEED))
+    place = F.xxhash64("node", F.lit(SEED))
     placed = placed.withColumn("block", F.when(F.col("inside"), -1 - F.pmod(place, F.col("large"))).otherwise(F.pmod(place, F.col("small"))))
     others = F.sequence(F.when(F.col("inside"), F.lit(0)).otherwise(-F.col("large")).cast("long"), F.col("small") - 1)
-    placed = placed.withColumn("other", F.explode(others)).select(*at, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "group", "block")
+    placed = placed.withColumn("other", F.explode(others)).select(*at, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "group", "block")
     keys = [*at, "x", "y"]
-    placed = placed.join(reps.select("rep", "sig"), "rep").repartition(*keys).sortWithinPartitions(*keys)
+    placed = placed.join(reps.select("node", "sig"), "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         held, key = [], None
@@ -179,18 +192,15 @@ def _untied(each: DataFrame, led: DataFrame, tied: DataFrame, reps: DataFrame, f
             root = root.copy()
             a, b = [], []
             for i in range(first):
-                agree = ((sig[i] == sig[i + 1 :]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                for j in np.nonzero((agree >= follow) & (root[i + 1 :] != root[i]))[0] + i + 1:
+                for j in np.nonzero((_agreement(sig[i], sig[i + 1 :]) >= least) & (root[i + 1 :] != root[i]))[0] + i + 1:
                     if root[i] != root[j]:
                         a.append(ids[i])
                         b.append(ids[j])
                         root[root == root[j]] = root[i]
-            return pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in zip(a, b)], out)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        out = None
         for b in batches:
-            out = pa.schema([("a", b.schema.field("rep").type), ("b", b.schema.field("rep").type)])
-            for row in zip(*(b.column(c).to_pylist() for c in (*keys, "rep", "group", "block", "sig"))):
+            for row in zip(*(b.column(c).to_pylist() for c in (*keys, "node", "group", "block", "sig"))):
                 if row[:4] != key and held:
                     yield close()
                     held = []
@@ -199,7 +209,7 @@ def _untied(each: DataFrame, led: DataFrame, tied: DataFrame, reps: DataFrame, f
         if held:
             yield close()
 
-    return placed.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def _counts(sets: list[np.ndarray], rows: int) -> np.ndarray:
@@ -224,7 +234,7 @@ def _counts(sets: list[np.ndarray], rows: int) -> np.ndarray:
 
 
 def _verify(members: DataFrame, similarity: float) -> DataFrame:
-    """members (group, x, y, rep, copies, block, grams), a task per (group, x, y) -> rep, links, root.
+    """members (group, x, y, node, copies, block, grams), a task per (group, x, y) -> node, links, root.
 
     links counts the documents of other classes with Jaccard similarity of at least `similarity`; root is a member of
     the same component. Rows come sorted, and at most two blocks are held at a time.
@@ -260,18 +270,16 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
             root[find(j)] = find(i)
         return ids, links, ids[[find(i) for i in range(len(ids))]]
 
-    kind = dict(members.dtypes)["rep"]
-
     def run(batches):
         held, key = [], None
 
         def close():
             ids, copies, blocks, grams = zip(*held)
-            rep, links, root = one(np.array(ids), np.array(copies, dtype=np.int64), np.array(blocks), grams)
-            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links), pa.array(root)], ["rep", "links", "root"])
+            columns = one(np.array(ids), np.array(copies, dtype=np.int64), np.array(blocks), grams)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "links", "root"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("group", "x", "y", "rep", "copies", "block", "grams"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("group", "x", "y", "node", "copies", "block", "grams"))):
                 if row[:3] != key and held:
                     yield close()
                     held = []
@@ -281,55 +289,67 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
             yield close()
 
     keys = ["group", "x", "y"]
-    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"rep {kind}, links long, root {kind}")
+    return members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, bands: int = BANDS, rows: int = ROWS, leaders: int = LEADERS, follow: float = FOLLOW) -> DataFrame:
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, miss: float = MISS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_grams, class_id, n_links, component_id, kept: one row per row.
 
     class_id is the smallest doc_id with the same n-gram set, n_links the number of other documents with a similarity
     of at least `similarity` (those of the class among them), component_id the smallest doc_id reachable over links,
-    kept whether that is the document itself. Null or blank text has no n-grams and links with nothing; so does a row
-    with a null doc_id, which is kept. Repeated rows are documents of their own that share a doc_id and its decision.
-    An empty table gives no rows.
+    kept whether that is the document itself. A link is missed with probability `miss` at most. Null or blank text has
+    no n-grams and links with nothing; so does a row with a null doc_id, which is kept. Rows that share a doc_id are
+    documents of their own, each with the class of its own text; they are kept or not by the id they share. An empty
+    table gives no rows.
     """
-    made = stage(sketch(docs, n, bands, rows), "sketch")
+    bands = bands_for(similarity, miss, rows)
+    least = least_agreement(similarity, bands * rows)
+    made = stage(sketch(docs, bands, rows, n), "sketch")
     usable = made.where("doc_id is not null and c1 is not null")
-    classes = usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(classes, "classes")
-    reps = usable.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig").dropDuplicates(["rep"])
+    classes = usable.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("size"))
+    classes = stage(positions(classes, "rep", "c1", "c2").withColumnRenamed("pos", "node"), "classes")
+    reps = usable.withColumnRenamed("doc_id", "rep").join(classes.select("rep", "c1", "c2", "node"), ["rep", "c1", "c2"]).select("node", "bands", "sig").dropDuplicates(["node"])
     reps = stage(reps, "reps")
-    each = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    orders = [F.struct(F.xxhash64("rep", F.lit(j)).alias("o"), "rep") for j in range(leaders)]
-    buckets = each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *[F.min(o).alias(f"l{j}") for j, o in enumerate(orders)]).where("n > 1")
-    led = buckets.select("band", "key", "n", F.array_distinct(F.array(*[F.col(f"l{j}.rep") for j in range(leaders)])).alias("leaders"))
-    led = stage(led, "led")
-    edges = each.join(led, ["band", "key"]).select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
-    edges = edges.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    signed = edges.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    named_groups = lambda edges: stage(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group")), "groups")
-    groups = named_groups(_estimate(signed, follow))
-    more = stage(_untied(each, led, groups, reps, follow), "untied")
+    each = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = stage(each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "buckets")
+    edges = each.join(buckets, ["band", "key"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    signed = edges.join(reps.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    named_groups = lambda edges: stage(components(edges).select("node", F.col("component").alias("group")), "groups")
+    groups = named_groups(_estimate(signed, least))
+    more = stage(_untied(each, buckets, groups, reps, least), "untied")
     if not more.isEmpty():
-        groups = named_groups(groups.select(F.col("rep").alias("a"), F.col("group").alias("b")).unionByName(more))
+        groups = named_groups(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more))
+    unstage(reps, buckets, more)
     # blocks by hash: a member meets its own block and every other block of its group once
-    sizes = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    placed = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("n"))).join(classes.select("rep", "copies"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep").dropDuplicates(["rep"])
+    placed = groups.join(classes, "node")
+    sizes = placed.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_GRAMS)).alias("n"))
+    placed = placed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("n"))).drop("size")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep")
 
     def make():
         grams = Grams(n)
-        return lambda t: (grams(t).tobytes(),)
 
-    members = map_texts(texts, ["group", "rep", "copies", "block", "n"], "text", make, [("grams", "binary")])
+        def one(text):
+            found = grams(text)
+            return (*(class_of(found) if len(found) else (None, None)), found.tobytes())
+
+        return one
+
+    members = map_texts(texts, ["group", "node", "copies", "block", "n", "c1", "c2"], "text", make, [("own1", "long"), ("own2", "long"), ("grams", "binary")])
+    members = members.where("c1 = own1 and c2 = own2").dropDuplicates(["node"])  # rows of the class, where several texts share its doc_id
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    members = members.withColumn("other", other).select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", "copies", "block", "grams")
+    members = members.withColumn("other", other).select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "copies", "block", "grams")
     verified = stage(_verify(members, similarity), "verified")
-    links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    whole = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    result = classes.join(links, "rep", "left").join(whole, "rep", "left").select(
-        "c1", "c2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")
-    )
+    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
+    whole = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    whole = whole.join(classes.select(F.col("node").alias("component"), F.col("rep").alias("component_rep")), "component").select("node", "component_rep")
+    result = stage(
+        classes.join(links, "node", "left").join(whole, "node", "left").select(
+            "c1", "c2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_rep", "rep").alias("component")
+        ),
+        "result",
+    )
+    unstage(groups, verified, classes)
     named = made.select("doc_id", "n_grams", F.when(F.col("doc_id").isNotNull(), F.col("c1")).alias("c1"), "c2")
     out = named.join(result, ["c1", "c2"], "left")
     component = F.coalesce("component", "doc_id")
@@ -340,4 +360,5 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, ba
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents through jaccard_join; nulls, repeated ids and empty tables as told there."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

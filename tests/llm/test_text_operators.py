@@ -458,12 +458,16 @@ def test_pii_redaction(spark):
 
 
 def brute_join(rows):
-    sets = {}
+    sets, holds = {}, collections.defaultdict(list)
     for i, t in rows:
         w = words(t)
         sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
-    ids = sorted(sets)
-    links = {i: [j for j in ids if j != i and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in ids}
+        for g in sets[i]:
+            holds[g].append(i)
+    ids, links = sorted(sets), {}
+    for i in ids:
+        both = collections.Counter(j for g in sets[i] for j in holds[g])
+        links[i] = sorted(j for j, c in both.items() if j != i and 5 * c >= 4 * (len(sets[i]) + len(sets[j]) - c))
     comp = {}
     for i in ids:
         todo = [i]
@@ -479,8 +483,18 @@ def joined(df):
     return {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"]) for r in jaccard.jaccard_join(df).collect()}
 
 
-def test_jaccard_documents(docs, texts):
-    assert joined(docs) == brute_join(texts.items())
+def test_jaccard_documents(spark):
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    assert joined(docs) == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_jaccard_repeated_ids_of_different_texts(spark):
+    rng = random.Random(15)
+    base, other = ([f"w{rng.randint(0, 9999)}" for _ in range(60)] for _ in range(2))
+    text = " ".join
+    rows = [(1, text(base)), (1, text(other)), (1, text(base)), (2, text(base) + " more"), (3, text(other) + " more"), (4, text(other[:30])), (3, None)]
+    got = [tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id string, text string".replace("string", "long", 1))).select("doc_id", "class_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 2, 1, True), (1, 1, 1, 1, True), (1, 1, 2, 1, True), (2, 2, 2, 1, False), (3, 3, 1, 1, False), (4, 4, 0, 4, True), (3, 3, 0, 3, True)], key=repr)
 
 
 def test_jaccard_large_group_of_near_copies(spark, monkeypatch):
@@ -504,12 +518,16 @@ def test_jaccard_near_pairs_in_buckets_with_dissimilar_leaders(spark, monkeypatc
     passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(30)]
     rows = [(i, " ".join(rng.sample(passages, 10))) for i in range(260)]
     rows += [(1000 + i, t + f" new{i}") for i, t in rows[:30]]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), bands=192, rows=1).collect()}
+    # one row a band: buckets are large, and their first class is unlike most members
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), miss=1e-120, rows=1).collect()}
     assert got == brute_join(rows)
 
 
 def test_jaccard_bands_meet_the_recall():
-    assert (1 - jaccard.SIMILARITY**jaccard.ROWS) ** jaccard.BANDS < 1e-4 and jaccard.bands_for(0.8, 1e-4) <= jaccard.BANDS
+    for similarity, miss, rows in ((0.8, 6e-5, 6), (0.5, 1e-3, 4), (0.9, 1e-6, 8)):
+        bands = jaccard.bands_for(similarity, miss, rows)
+        assert (1 - similarity**rows) ** bands <= miss < (1 - similarity**rows) ** (bands - 1)
+    assert jaccard.bands_for(0.8, jaccard.MISS) == 32 and 0.6 < jaccard.least_agreement(0.8, 192) < 0.65
 
 
 def test_jaccard_hard_cases(hard, empty):
