@@ -63,11 +63,11 @@ def slices(batch: pa.RecordBatch, column: str):
         low = high
 
 
-def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[tuple[str, str]]) -> DataFrame:
+def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[tuple[str, str]], together: bool = False) -> DataFrame:
     """Arrow batches of df through Python: pass_on columns unchanged, then the values that make()(text) returns.
 
     make is called once a task and returns the function of a text, whose close(), if it has one, is called at the
-    task's end; names are the new columns with their SQL types.
+    task's end; names are the new columns with their SQL types. With together, the function takes a list of texts.
     """
     ddl = [f"`{n}` {t}" for n, t in names]
     schema = StructType([*(df.schema[c] for c in pass_on), *StructType.fromDDL(", ".join(ddl))])
@@ -79,7 +79,8 @@ def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[
         try:
             for whole in batches:
                 for b in slices(whole, column):  # bounds what is held in Python objects
-                    rows = [f(t) for t in b.column(column).to_pylist()]
+                    texts = b.column(column).to_pylist()
+                    rows = list(f(texts)) if together else [f(t) for t in texts]
                     own = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
                     yield pa.RecordBatch.from_arrays([*(b.column(c) for c in pass_on), *own], [*pass_on, *(n for n, _ in names)])
         finally:
