@@ -1,47 +1,85 @@
 """License scans by diagonal voting.
 
-All rolling word pairs of a text meet the templates' pairs in a broadcast join (the templates are this module's, so the
-side is bounded). A hit votes for its diagonal: start = position in the text - position in the template. Votes are a
-bit mask of template positions, so repeated rows and repeated words cannot vote twice. A base phrase stands where a
-diagonal has all its votes; for the longer templates, diagonals up to GAP apart merge (words inserted or lost) and the
-span is verified by the share of the template's pairs that it covers and by the last of them, where versions stand.
+All rolling word pairs of a text meet the templates' pairs in a broadcast join (the templates are this module's or the
+caller's, so the side is bounded and checked). A hit votes for its diagonal: start = position in the text - position in
+the template. The votes of a diagonal are the set of template positions, so repeated rows and repeated words cannot vote
+twice. A base phrase stands where a diagonal has all its votes; for the longer templates, diagonals up to GAP apart
+merge (words inserted or lost), single votes too, and the span is verified by the share of the template's pairs that it
+covers. A template that ends in a version is verified by the pairs of its version as well, so that others do not pass.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgrid.session import broadcast_if_small
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: The method's own labels, by well-known wordings of public licences (at most 63 word pairs each).
+#: The method's own labels, by well-known wordings of public licences, of any length.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
     "gpl-3.0": ["licensed under the gnu general public license version 3"],
     "gpl-2.0": ["licensed under the gnu general public license version 2"],
+    "gpl-notice": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
     "lgpl": ["gnu lesser general public license"],
     "agpl": ["gnu affero general public license"],
     "cc-by-4.0": ["licensed under cc by 4 0", "creative commons attribution 4 0 international"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4 0"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4 0"],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY "
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "public-domain": ["released into the public domain"],
 }
 GAP, COVER = 3, 0.8
 
 
+def _rows(templates=None) -> list[tuple[list[str], str, bool]]:
+    """(words, label, base) of every template; templates of a single word have no pair and are refused."""
+    cut = lambda t: [w for w in re.split(SEPARATORS, t.translate({c: c + 32 for c in range(65, 91)})) if w]
+    rows = [(cut(p), label, True) for p, label in BASE.items()] + [(cut(t), label, False) for label, ts in (templates or TEMPLATES).items() for t in ts]
+    if any(len(w) < 2 for w, _, _ in rows):
+        raise ValueError("a template needs two words")
+    return rows
+
+
+def _version(w: list[str]) -> int:
+    return next((i for i, x in enumerate(reversed(w)) if not x.isdigit()), len(w) - 1)
+
+
 def template_pairs(spark, templates=None) -> DataFrame:
-    rows = [(p, label, True) for p, label in BASE.items()] + [(t, label, False) for label, ts in (templates or TEMPLATES).items() for t in ts]
-    pairs = [
-        (k, label, base, i, 1 << i, a, b, len(text.split()) - 1)
-        for k, (text, label, base) in enumerate(rows)
-        for i, (a, b) in enumerate(zip(text.split(), text.split()[1:]))
-    ]
-    df = spark.createDataFrame(pairs, "template int, label string, base boolean, at int, bit long, a string, b string, pairs int")
-    return df.select("template", "label", "base", "at", "bit", "pairs", F.xxhash64("a", "b").alias("gram"))
+    """A row for each word pair of each template: template, label, base, at, pairs, version (numbers at its end), gram."""
+    pairs = [(k, label, base, i, a, b, len(w) - 1, _version(w)) for k, (w, label, base) in enumerate(_rows(templates)) for i, (a, b) in enumerate(zip(w, w[1:]))]
+    df = spark.createDataFrame(pairs, "template int, label string, base boolean, at int, a string, b string, pairs int, version int")
+    return df.select("template", "label", "base", "at", "pairs", "version", F.xxhash64("a", "b").alias("gram"))
 
 
 def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER) -> DataFrame:
@@ -49,7 +87,7 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
 
     Null text counts as empty; repeated rows each give a row; an empty table gives none. spans has the verified places
     of the method (label, first word, last word, cover). score is the best cover of any template, 1 for a base phrase,
-    0 without a vote.
+    0 where no word pair of a template stands.
     """
     spark = docs.sparkSession
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,20 +97,19 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
     # a null gram at the end stands for the document itself, so that one pass yields counts and hits
     grams = F.concat(F.when(F.col("n_words") >= 2, pairs).otherwise(F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))
     rows = df.select("doc_id", "text_id", "n_words", F.posexplode(grams).alias("pos", "gram"))
-    hits = rows.join(F.broadcast(template_pairs(spark, templates)), "gram", "left").where("gram is null or template is not null")
-    votes = hits.groupBy("doc_id", "text_id", "n_words", "template", "label", "base", "pairs", (F.col("pos") - F.col("at")).alias("start")).agg(
-        F.bit_or("bit").alias("mask"), F.count(F.lit(1)).alias("n")
-    )
-    votes = votes.withColumn("votes", F.bit_count("mask")).where("template is null or (base and votes = pairs) or (not base and (votes >= 2 or pairs < 4))")
+    hits = rows.join(broadcast_if_small(template_pairs(spark, templates)), "gram", "left").where("gram is null or template is not null")
+    named = ["doc_id", "text_id", "n_words", "template", "label", "base", "pairs", "version"]
+    votes = hits.groupBy(*named, (F.col("pos") - F.col("at")).alias("start")).agg(F.collect_set("at").alias("ats"), F.count(F.lit(1)).alias("n"))
+    votes = votes.where("template is null or not base or size(ats) = pairs")
     per_template = Window.partitionBy("doc_id", "text_id", "template").orderBy("start")
     apart = F.coalesce(F.col("start") - F.lag("start").over(per_template) > gap, F.lit(True)) | F.coalesce("base", F.lit(True))
     merged = votes.withColumn("_new", apart.cast("int")).withColumn("span", F.sum("_new").over(per_template))
-    spans = merged.groupBy("doc_id", "text_id", "n_words", "template", "label", "base", "pairs", "span").agg(
-        F.min("start").alias("first"), F.max("start").alias("last"), F.bit_count(F.bit_or("mask")).alias("votes"), F.bit_or("mask").alias("mask"), F.max("n").alias("n")
+    spans = merged.groupBy(*named, "span").agg(
+        F.min("start").alias("first"), F.max("start").alias("last"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.max("n").alias("n")
     )
-    spans = spans.withColumn("last_bit", F.expr("shiftleft(1L, pairs - 1)"))
-    covered = F.col("votes") / F.col("pairs")
-    is_base, own = F.coalesce("base", F.lit(False)), F.coalesce(~F.col("base"), F.lit(False)) & (covered >= cover) & (F.col("mask").bitwiseAND(F.col("last_bit")) != 0)
+    covered = F.size("ats") / F.col("pairs")
+    ends = F.size(F.filter("ats", lambda x: x >= F.col("pairs") - F.col("version"))) == F.col("version")
+    is_base, own = F.coalesce("base", F.lit(False)), F.coalesce(~F.col("base"), F.lit(False)) & (covered >= cover) & ends
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("doc_id", "text_id", "n_words").agg(
         F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("_rows"),
@@ -81,7 +118,7 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
         F.max(F.when(is_base, F.col("first"))).cast("long").alias("last_word"),
         listed(F.when(is_base, F.col("label"))).alias("base_labels"),
         listed(F.when(is_base | own, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(covered), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(F.col("template").isNotNull(), covered)), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(own, F.struct("label", F.col("first"), (F.col("last") + F.col("pairs")).alias("last"), covered.alias("cover"))))).alias("spans"),
     )
     return found.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).select(
@@ -90,24 +127,24 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents through scan with this module's templates; nulls, repeats and empty tables as told there."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
 def _oracle() -> str:
-    rows = [(p, label, "true") for p, label in BASE.items()] + [(t, label, "false") for label, ts in TEMPLATES.items() for t in ts]
-    values = ", ".join(f"({k}, '{text}', '{label}', {base})" for k, (text, label, base) in enumerate(rows))
+    values = ", ".join(f"({k}, '{' '.join(w)}', '{label}', {str(base).lower()}, {_version(w)})" for k, (w, label, base) in enumerate(_rows()))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 g AS (SELECT doc_id, i - 1 pos, w[i] a, w[i + 1] b FROM (SELECT doc_id, w, unnest(range(1, len(w))) i FROM d)),
-tpl AS (SELECT template, label, base, len(string_split(x, ' ')) - 1 pairs, string_split(x, ' ') w FROM (VALUES {values}) v(template, x, label, base)),
-tp AS (SELECT template, label, base, pairs, i - 1 at_, w[i] a, w[i + 1] b FROM (SELECT *, unnest(range(1, len(w))) i FROM tpl)),
-v AS (SELECT doc_id, template, label, base, pairs, pos - at_ start, list(DISTINCT at_) ats FROM g JOIN tp USING (a, b) GROUP BY ALL),
-k AS (SELECT * FROM v WHERE (base AND len(ats) = pairs) OR (NOT base AND (len(ats) >= 2 OR pairs < 4))),
+tpl AS (SELECT template, label, base, version, len(string_split(x, ' ')) - 1 pairs, string_split(x, ' ') w FROM (VALUES {values}) v(template, x, label, base, version)),
+tp AS (SELECT template, label, base, version, pairs, i - 1 at_, w[i] a, w[i + 1] b FROM (SELECT *, unnest(range(1, len(w))) i FROM tpl)),
+v AS (SELECT doc_id, template, label, base, version, pairs, pos - at_ start, list(DISTINCT at_) ats FROM g JOIN tp USING (a, b) GROUP BY ALL),
+k AS (SELECT * FROM v WHERE NOT base OR len(ats) = pairs),
 n AS (SELECT *, (base OR coalesce(start - lag(start) OVER (PARTITION BY doc_id, template ORDER BY start) > {GAP}, true))::INT new FROM k),
 m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY start) span FROM n),
-s AS (SELECT doc_id, label, base, pairs, min(start) first, list_distinct(flatten(list(ats))) ats FROM m GROUP BY doc_id, template, label, base, pairs, span),
-c AS (SELECT *, len(ats) / pairs cover, NOT base AND len(ats) / pairs >= {COVER} AND list_contains(ats, pairs - 1) own FROM s),
+s AS (SELECT doc_id, label, base, version, pairs, min(start) first, list_distinct(flatten(list(ats))) ats FROM m GROUP BY doc_id, template, label, base, version, pairs, span),
+c AS (SELECT *, len(ats) / pairs cover, NOT base AND len(ats) / pairs >= {COVER} AND len(list_filter(ats, x -> x >= pairs - version)) = version own FROM s),
 x AS (SELECT doc_id, count(*) FILTER (base) n_base, min(first) FILTER (base) first_word, max(first) FILTER (base) last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR own) labels, max(cover) score FROM c GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN x USING (doc_id)"""
