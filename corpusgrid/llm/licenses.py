@@ -144,7 +144,7 @@ k AS (SELECT * FROM v WHERE NOT base OR len(ats) = pairs),
 n AS (SELECT *, (base OR coalesce(start - lag(start) OVER (PARTITION BY doc_id, template ORDER BY start) > {GAP}, true))::INT new FROM k),
 m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY start) span FROM n),
 s AS (SELECT doc_id, label, base, version, pairs, min(start) first, list_distinct(flatten(list(ats))) ats FROM m GROUP BY doc_id, template, label, base, version, pairs, span),
-c AS (SELECT *, len(ats) / pairs cover, NOT base AND len(ats) / pairs >= {COVER} AND len(list_filter(ats, x -> x >= pairs - version)) = version own FROM s),
+c AS (SELECT *, len(ats) / pairs cover, NOT base AND len(ats) / pairs >= {COVER} AND len([x FOR x IN ats IF x >= pairs - version]) = version own FROM s),
 x AS (SELECT doc_id, count(*) FILTER (base) n_base, min(first) FILTER (base) first_word, max(first) FILTER (base) last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR own) labels, max(cover) score FROM c GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN x USING (doc_id)"""
