@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.functions.expr import fold, let
+from corpusgrid.session import broadcast_if_small
 
 
 def coin(*keys) -> Column:
@@ -63,7 +64,7 @@ def phrase_patches(df: DataFrame, patches: DataFrame, text: str) -> DataFrame:
     Adds patched, hits and patch. patches is a small table: it is joined by containment.
     """
     id_ = df.columns[0]
-    hits = df.select(id_, text).join(F.broadcast(patches), F.contains(F.col(text), F.col("old")) | F.contains(fold(F.col(text)), fold(F.col("old"))))
+    hits = df.select(id_, text).join(broadcast_if_small(patches, 10_000), F.contains(F.col(text), F.col("old")) | F.contains(fold(F.col(text)), fold(F.col("old"))))
     per = hits.groupBy(id_).agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("ord", "old", "new")).alias("p"))
     x = df.join(per, id_, "left")
     done = F.when(F.contains(F.col(text), F.col("p.old")), F.replace(F.col(text), F.col("p.old"), F.col("p.new"))).otherwise(F.replace(fold(F.col(text)), fold(F.col("p.old")), fold(F.col("p.new"))))
@@ -95,10 +96,9 @@ def render(frames: DataFrame, slots: dict[str, DataFrame], key: str, frame: str
     """Frames with {name} placeholders filled by a hashed pick from each slot table (pos from 0, value)."""
     out = frames.withColumn("text", F.col(frame))
     for name, table in slots.items():
-        n = table.agg(F.count(F.lit(1)).alias("_n"))
-        picked = out.join(F.broadcast(n)).withColumn("_pos", F.floor(coin("slot", name, F.col(key)) * F.col("_n")).cast("long"))
+        picked = out.withColumn("_pos", F.floor(coin("slot", name, F.col(key)) * table.count()).cast("long"))
         vals = table.select(F.col("pos").alias("_pos"), F.col("value").alias("_v"))
-        out = picked.join(F.broadcast(vals), "_pos", "left").withColumn("text", F.replace("text", F.lit("{" + name + "}"), F.coalesce("_v", F.lit("")))).drop("_pos", "_v", "_n")
+        out = picked.join(broadcast_if_small(vals), "_pos", "left").withColumn("text", F.replace("text", F.lit("{" + name + "}"), F.coalesce("_v", F.lit("")))).drop("_pos", "_v")
     return out
 
 

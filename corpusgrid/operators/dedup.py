@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgrid.operators.sample import numbered
+from corpusgrid.session import broadcast_if_small
+
 
 def keep_first(df: DataFrame, key, order: str) -> DataFrame:
     """The first row by order of every key.
@@ -27,8 +30,10 @@ def labelled_duplicates(df: DataFrame, key, label, order: str) -> DataFrame:
 
 def id_problems(df: DataFrame, key: str, order: str) -> DataFrame:
     """D3: missing ids, and later occurrences of an id."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.select(key, order, F.when(F.col(key).isNull(), "missing_id").when(n > 1, "duplicate_id").alias("problem")).where("problem is not null")
+    ids = df.select(key, order)
+    first = ids.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    later = ids.join(first, key).where(F.col(order) > F.col("_first")).select(key, order, F.lit("duplicate_id").alias("problem"))
+    return later.unionByName(ids.where(F.col(key).isNull()).withColumn("problem", F.lit("missing_id")))
 
 
 def exclude_known(df: DataFrame, key, corpora: list) -> DataFrame:
@@ -43,7 +48,7 @@ def overlap_report(probes: DataFrame, corpora: DataFrame) -> DataFrame:
     """Probes (probe, k) and corpora (corpus, k): distinct keys in common for every pair, 0 included."""
     p, c = probes.select("probe", "k").distinct(), corpora.select("corpus", "k").distinct()
     hits = p.join(c, "k").groupBy("probe", "corpus").agg(F.count(F.lit(1)).alias("overlap"))
-    pairs = p.select("probe").distinct().join(F.broadcast(c.select("corpus").distinct()))
+    pairs = p.select("probe").distinct().crossJoin(broadcast_if_small(c.select("corpus").distinct()))
     return pairs.join(hits, ["probe", "corpus"], "left").select("probe", "corpus", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))
 
 
@@ -68,9 +73,8 @@ def swap_replace(old: DataFrame, new: DataFrame, stratum: str, fallback: str, ol
     """
 
     def match(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-        x = a.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(new_id)))
-        y = b.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(old_id))).select(by, "_n", old_id)
-        return x.join(y, [by, "_n"], "left").drop("_n")
+        x, y = numbered(a, [by], new_id), numbered(b, [by], old_id).select(by, "n", old_id)
+        return x.join(y, [by, "n"], "left").drop("n")
 
     exact = match(new, old, stratum)
     done = exact.where(F.col(old_id).isNotNull())

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgrid.session import broadcast_if_small
+
 MISSING = (100_000, 100_000, 4, 0)  # cost, regret (hundredths), rank, best of an action without a route
 
 
@@ -36,7 +38,7 @@ def cost_features(graphs: DataFrame, profiles: DataFrame, costs: DataFrame) -> D
     """cost, regret, dense rank and best flag for every graph, profile and action; sentinels without a route."""
     w = Window.partitionBy("g", "profile")
     ranked = costs.withColumns({"regret": F.col("cost") - F.min("cost").over(w), "rank": F.dense_rank().over(w.orderBy("cost")) - 1})
-    every = graphs.join(F.broadcast(profiles.select("profile"))).withColumn("action", F.explode(F.array(*map(F.lit, range(4)))))
+    every = graphs.crossJoin(broadcast_if_small(profiles.select("profile"))).withColumn("action", F.explode(F.array(*map(F.lit, range(4)))))
     x = every.join(ranked, ["g", "profile", "action"], "left")
     fill = lambda c, v: F.coalesce(c, F.lit(v)).cast("long").alias(c)
     return x.select("g", "profile", "action", fill("cost", MISSING[0]), fill("regret", MISSING[1]), fill("rank", MISSING[2]), F.coalesce((F.col("regret") == 0).cast("long"), F.lit(MISSING[3])).alias("best"))

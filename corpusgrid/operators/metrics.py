@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgrid.operators.sample import numbered
+
 
 def rate(ok: Column) -> Column:
     """Share of true rows; nulls do not count."""
@@ -124,12 +126,19 @@ def label_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Median (mean of the middles), sorted[int(q * (n - 1))], sorted[int(q * n)] and linear, at 0.9."""
-    s = F.array_sort(F.collect_list(value))
-    g = df.groupBy(by).agg(s.alias("s"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("linear"))
-    n = F.size("s")
-    at = lambda i: F.get(F.col("s"), F.least(i.cast("int"), n - 1))
-    return g.select(by, "median", at(F.floor(0.9 * (n - 1))).alias("lower_index"), at(F.floor(0.9 * n)).alias("upper_index"), "linear")
+    """Median (mean of the middles), sorted[int(q * (n - 1))], sorted[int(q * n)] and linear, at 0.9.
+
+    Values are counted, then ranked by range partitions, and only those at the wanted places are gathered; nulls are left out.
+    """
+    v = df.select(by, value).where(F.col(value).isNotNull())
+    n = v.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = numbered(v, [by], value)
+    place = lambda c: F.floor(c).cast("long") + 1
+    at = {"m0": place((F.col("_n") - 1) / 2), "m1": place(F.col("_n") / 2), "lower_index": place(0.9 * (F.col("_n") - 1)), "upper_index": F.least(place(0.9 * F.col("_n")), F.col("_n")), "l1": F.least(place(0.9 * (F.col("_n") - 1)) + 1, F.col("_n"))}
+    x = ranked.join(n, ranked[by].eqNullSafe(n[by])).select(ranked[by], value, "n", "_n")
+    x = x.where(F.col("n").isin(*at.values())).groupBy(by, "_n").agg(*[F.max(F.when(F.col("n") == p, F.col(value))).alias(k) for k, p in at.items()])
+    part = 0.9 * (F.col("_n") - 1) - F.floor(0.9 * (F.col("_n") - 1))
+    return x.select(by, ((F.col("m0") + F.col("m1")) / 2).alias("median"), "lower_index", "upper_index", (F.col("lower_index") + (F.col("l1") - F.col("lower_index")) * part).alias("linear"))
 
 
 def cue_table(df: DataFrame, cues: dict[str, Column], label: Column, *by: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIME, BASE = 2654435761, 4294967296
+from corpusgrid.session import broadcast_if_small, stage
+
 
 
 def coin(key: Column, seed: int = 0) -> Column:
-    """Integer mix of an id, below 2 ** 32: the order of all draws. Ids up to 3e9 stay exact."""
-    return F.pmod((key.cast("long") + seed) * F.lit(PRIME), F.lit(BASE))
+    """60-bit number from the seed and an id of any type, by a digest that SQL engines share: the order of all draws."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -25,14 +26,21 @@ def chunk_sample(df: DataFrame, pos: str, chunk: int = 10_000, take: int = 1_000
     return df.withColumn("chunk", c).withColumn("_r", r).where(F.col("_r") <= take).withColumn("batch", F.floor((F.col("_r") - 1) / batch)).drop("_r")
 
 
-def strata_sample(df: DataFrame, key: str, strata: dict[str, Column], n: int) -> DataFrame:
-    """M3, M4: n rows of every stratum by coin; a row drawn in several counts for the first. Adds stratum and population."""
+def strata_sample(df: DataFrame, key: str, strata: dict[str, Column], n: int, uniform: int = 0) -> DataFrame:
+    """M3, M4: n rows of every stratum by coin; a row drawn in several counts for the first. Adds stratum and population.
+
+    uniform adds that many rows of the whole table beside the strata, as the last stratum, `uniform`. The rank filter
+    keeps n rows of a stratum in each task before they meet.
+    """
+    last = len(strata)
     named = [F.when(c, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("stratum"))) for i, (name, c) in enumerate(strata.items())]
+    if uniform:
+        named.append(F.struct(F.lit(last).alias("ord"), F.lit("uniform").alias("stratum")))
     each = df.select(key, F.explode(F.array_compact(F.array(*named))).alias("s")).select(key, "s.ord", "s.stratum")
     size = each.groupBy("stratum").agg(F.count(F.lit(1)).alias("population"))
     r = F.row_number().over(Window.partitionBy("stratum").orderBy(coin(F.col(key)), key))
-    drawn = each.withColumn("_r", r).where(F.col("_r") <= n).groupBy(key).agg(F.min_by("stratum", "ord").alias("stratum"))
-    return drawn.join(size, "stratum")
+    drawn = each.withColumn("_r", r).where(F.col("_r") <= max(n, uniform)).where(F.col("_r") <= F.when(F.col("ord") == last, uniform).otherwise(n))
+    return drawn.groupBy(key).agg(F.min_by("stratum", "ord").alias("stratum")).join(size, "stratum")
 
 
 def largest_remainder(strata: DataFrame, weight: str, total: int) -> DataFrame:
@@ -46,10 +54,11 @@ def largest_remainder(strata: DataFrame, weight: str, total: int) -> DataFrame:
 
 def quota_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame) -> DataFrame:
     """M5: as many rows of each stratum as its quota, by coin; adds short where a stratum has too few."""
-    r = F.row_number().over(Window.partitionBy("stratum").orderBy(coin(F.col(key)), key))
-    x = df.withColumn("stratum", F.col(stratum)).withColumn("_r", r).join(F.broadcast(quotas), "stratum")
-    n = F.count(F.lit(1)).over(Window.partitionBy("stratum"))
-    return x.withColumn("short", n < F.col("quota")).where(F.col("_r") <= F.col("quota")).drop("_r")
+    x = df.withColumn("stratum", F.col(stratum)).withColumn("_c", coin(F.col(key)))
+    n = x.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
+    small = broadcast_if_small(quotas.join(n, "stratum"))
+    x = numbered(x, ["stratum"], "_c", key).join(small, "stratum")
+    return x.withColumn("short", F.col("_n") < F.col("quota")).where(F.col("n") <= F.col("quota")).drop("n", "_c", "_n")
 
 
 def fair_schedule(weights: dict[str, int]) -> list[tuple[int, str, int]]:
@@ -70,15 +79,14 @@ def interleave(df: DataFrame, recipe: str, order: str, weights: dict[str, int])
     total = sum(weights.values())
     plan = df.sparkSession.createDataFrame(fair_schedule(weights), f"_s int, {recipe} string, _i int")
     per = df.sparkSession.createDataFrame(list(weights.items()), f"{recipe} string, _w int")
-    k = F.row_number().over(Window.partitionBy(recipe).orderBy(order)) - 1
-    x = df.withColumn("_k", k).join(F.broadcast(per), recipe).withColumn("_i", (F.col("_k") % F.col("_w")).cast("int"))
+    x = numbered(df, [recipe], order).withColumn("_k", F.col("n") - 1).drop("n").join(F.broadcast(per), recipe).withColumn("_i", (F.col("_k") % F.col("_w")).cast("int"))
     x = x.join(F.broadcast(plan), [recipe, "_i"])
     return x.withColumn("slot", F.floor(F.col("_k") / F.col("_w")) * total + F.col("_s")).drop("_k", "_w", "_i", "_s")
 
 
 def ratio_interleave(a: DataFrame, b: DataFrame, order: str, ratio: int = 5) -> DataFrame:
     """M7: ratio rows of a, then one of b, and so on; adds pos and from_b. Order within a source is by `order`."""
-    one = lambda df: df.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1)
+    one = lambda df: positions(df, order).withColumn("_k", F.col("pos") - 1).drop("pos")
     x = one(a).withColumn("pos", F.floor(F.col("_k") / ratio) * (ratio + 1) + F.col("_k") % ratio).withColumn("from_b", F.lit(False))
     y = one(b).withColumn("pos", F.col("_k") * (ratio + 1) + ratio).withColumn("from_b", F.lit(True))
     return x.unionByName(y).drop("_k")
@@ -86,8 +94,6 @@ def ratio_interleave(a: DataFrame, b: DataFrame, order: str, ratio: int = 5) ->
 
 def positions(df: DataFrame, *order) -> DataFrame:
     """Adds pos 1.. in a total order without a window over all rows: range partitions, then sizes of those before."""
-    from corpusgrid.session import broadcast_if_small, stage
-
     at = F.monotonically_increasing_id()
     x = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.shiftright(at, 33), "_i": at.bitwiseAND(F.lit((1 << 33) - 1))}), "positions")
     sizes = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
@@ -95,6 +101,20 @@ def positions(df: DataFrame, *order) -> DataFrame:
     return x.join(broadcast_if_small(sizes.select("_p", before.alias("_b"))), "_p").withColumn("pos", F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")
 
 
+def numbered(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """Adds n 1.. in the order within each key (null is a key), for keys of any size: range partitions of key and order,
+    then the rows that the partitions before hold of the key. Every row of a hot key is in one of many tasks."""
+    at = F.monotonically_increasing_id()
+    x = stage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumns({"_p": F.shiftright(at, 33), "_i": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    sizes = x.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_f"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_f", before.alias("_b"))
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return x.join(broadcast_if_small(sizes), same).withColumn("n", F.col("_b") + F.col("_i") - F.col("_f") + 1).select(*df.columns, "n")
+
+
 def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """M8: pos 1.. in the order of the coins."""
     return positions(df.withColumn("_c", coin(F.col(key), seed)), "_c", key).drop("_c")
@@ -107,7 +127,8 @@ def repeat(df: DataFrame, times: Column) -> DataFrame:
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     """Stratified fold 0..k-1: rows of a label in coin order, dealt in turn."""
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(coin(F.col(key)), key)) - 1, F.lit(k)))
+    x = numbered(df.withColumn("_c", coin(F.col(key))), [label], "_c", key)
+    return x.withColumn("fold", F.pmod(F.col("n") - 1, F.lit(k))).drop("n", "_c")
 
 
 def group_sample(df: DataFrame, group: str, n: int) -> DataFrame:
@@ -131,7 +152,7 @@ def every_kth(df: DataFrame, pos: str, k: int) -> DataFrame:
 
 def matched_arms(base: DataFrame, candidates: DataFrame, pos: str, cand: str, n: int) -> DataFrame:
     """Arm B: base with n positions, drawn by coin, replaced one to one by n candidates; replaced_by is null elsewhere."""
-    number = lambda df, c: df.withColumn("_r", F.row_number().over(Window.orderBy(coin(F.col(c)), c)))
-    a = number(exact_sample(base.select(pos), pos, n), pos)
+    number = lambda df, c: positions(df.withColumn("_c", coin(F.col(c))), "_c", c).drop("_c").withColumnRenamed("pos", "_r")
+    a = number(exact_sample(base.select(F.col(pos).alias("_pos")), "_pos", n), "_pos")
     b = number(exact_sample(candidates.select(F.col(cand).alias("replaced_by")), "replaced_by", n), "replaced_by")
-    return base.join(a.join(b, "_r").drop("_r"), pos, "left")
+    return base.join(a.join(b, "_r").drop("_r").withColumnRenamed("_pos", pos), pos, "left")

@@ -38,7 +38,7 @@ def t12_stress_variants(t):
 
 @query(rf"""WITH a AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), b AS (SELECT id, string_split(CASE WHEN {sql_coin("'bare'", 'id')} < 0.3 THEN regexp_replace(text, '[.,!?;:]', '', 'g') ELSE text END, ' ') w, floor({sql_coin("'rate'", 'id')} * 5) p FROM a),
 c AS (SELECT id, CASE p WHEN 2 THEN {typos_sql('', 0.03, 'n', 'id')} WHEN 3 THEN {typos_sql('', 0.06, 'n', 'id')} WHEN 4 THEN {typos_sql('', 0.1, 'n', 'id')} ELSE array_to_string(w, ' ') END x FROM b)
-SELECT id, md5(CASE WHEN {sql_coin("'case'", 'id')} < 0.2 THEN lower(x) WHEN {sql_coin("'case'", 'id')} < 0.3 THEN upper(x) ELSE x END) AS noisy FROM c""")
+SELECT id, md5(CASE WHEN {sql_coin("'case'", 'id')} < 0.2 THEN lower(x) WHEN {sql_coin("'case'", 'id')} < 0.3 THEN upper(replace(x, 'ß', 'SS')) ELSE x END) AS noisy FROM c""")
 def t13_noise(t):
     c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return c.select("id", F.md5(A.noise(F.col("text"), F.col("id"))).alias("noisy"))
@@ -79,10 +79,10 @@ def t17_drop_and_reorder(t):
 @query(f"""WITH s AS (SELECT s_suppkey pos0, row_number() OVER (ORDER BY s_suppkey) - 1 pos, s_name v FROM supplier), p AS (SELECT p_partkey k, 'send ' || p_name || ' by {{who}}' f, floor({sql_coin("'slot'", "'who'", 'p_partkey')} * (SELECT count(*) FROM supplier))::BIGINT pos FROM part)
 SELECT k, replace(f, '{{who}}', v) AS text FROM p JOIN s USING (pos)""")
 def t18_render(t):
-    from pyspark.sql import Window
+    from corpusgrid.operators.sample import positions
 
     frames = t.part.select(F.col("p_partkey").alias("k"), F.concat(F.lit("send "), "p_name", F.lit(" by {who}")).alias("frame"))
-    slots = t.supplier.select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("long").alias("pos"), F.col("s_name").alias("value"))
+    slots = positions(t.supplier.select("s_suppkey", F.col("s_name").alias("value")), "s_suppkey").select((F.col("pos") - 1).alias("pos"), "value")
     return A.render(frames, {"who": slots}, "k").select("k", "text")
 
 
@@ -101,13 +101,14 @@ def tokens(t):
     return t.documents.select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
 
 
-VOCAB = f"""WITH RECURSIVE tok AS (SELECT unnest({WORDS}) w FROM documents), v AS MATERIALIZED (SELECT w, count(*) n FROM tok WHERE regexp_matches(w, '^[a-z]+$') GROUP BY w HAVING count(*) >= 8),
-k AS (SELECT DISTINCT w, n, unnest(list_append([w[1:i - 1] || w[i + 1:] for i in range(1, length(w) + 1)], w)) k FROM v),
-p AS MATERIALIZED (SELECT DISTINCT a.w, b.w big FROM k a JOIN k b ON a.k = b.k AND b.n >= 10 * a.n AND a.w <> b.w WHERE damerau_levenshtein(a.w, b.w) <= 1),
-k0 AS (SELECT w FROM v)"""
-for _i in range(1, 7):
-    VOCAB += f", k{_i} AS MATERIALIZED (SELECT w FROM v WHERE w NOT IN (SELECT w FROM p WHERE big IN (SELECT w FROM k{_i - 1})))"
-VOCAB += ", kept AS (SELECT w, n FROM v WHERE w IN (SELECT w FROM k6))"
+VOCAB = f"""WITH v AS MATERIALIZED (SELECT w, count(*) n FROM (SELECT unnest({WORDS}) w FROM documents) WHERE regexp_matches(w, '^[a-z]+$') GROUP BY w HAVING count(*) >= 8),
+k AS MATERIALIZED (SELECT DISTINCT w, n, unnest(list_append([w[1:i - 1] || w[i + 1:] for i in range(1, length(w) + 1)], w)) k FROM v),
+c AS MATERIALIZED (SELECT DISTINCT a.w, b.w big FROM k a JOIN k b ON a.k = b.k WHERE b.n >= 10 * a.n AND a.w <> b.w),
+p AS MATERIALIZED (SELECT w, big FROM c WHERE damerau_levenshtein(w, big) <= 1),
+o0 AS MATERIALIZED (SELECT NULL::VARCHAR w WHERE false)"""
+for _i in range(1, 7):  # words that are out after each round
+    VOCAB += f", o{_i} AS MATERIALIZED (SELECT DISTINCT w FROM p ANTI JOIN o{_i - 1} x ON p.big = x.w)"
+VOCAB += ", kept AS (SELECT v.w, v.n FROM v ANTI JOIN o6 ON v.w = o6.w)"
 
 
 @query(VOCAB + " SELECT w, n FROM kept")

@@ -8,8 +8,8 @@ from corpusgrid.operators import sample as M
 from corpusgrid.plans.registry import query
 
 
-def coin_sql(k: str) -> str:
-    return f"(({k}) * 2654435761) % 4294967296"
+def coin_sql(k: str, seed: int = 0) -> str:
+    return f"('0x' || md5(concat_ws(':', '{seed}', {k}))[1:15])::BIGINT"
 
 
 @query(f"SELECT doc_id FROM documents ORDER BY {coin_sql('doc_id')}, doc_id LIMIT 50")
@@ -23,11 +23,12 @@ def m2_chunk_sample(t):
     return M.chunk_sample(x, "pos", 1000, 100, 10).drop("pos")
 
 
-@query(f"""WITH e AS (SELECT doc_id, 1 o, 'long' s FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, 2, 'german' FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 3, 'any' FROM documents),
+@query(f"""WITH e AS (SELECT doc_id, 1 o, 'long' s FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, 2, 'german' FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 3, 'any' FROM documents UNION ALL SELECT doc_id, 4, 'uniform' FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY {coin_sql('doc_id')}, doc_id) r, count(*) OVER (PARTITION BY s) n FROM e)
-SELECT doc_id, arg_min(s, o) AS stratum, arg_min(n, o) AS population FROM r WHERE r <= 25 GROUP BY doc_id""")
+SELECT doc_id, arg_min(s, o) AS stratum, arg_min(n, o) AS population FROM r WHERE r <= CASE s WHEN 'uniform' THEN 60 ELSE 25 END GROUP BY doc_id""")
 def m3_strata_sample(t):
-    return M.strata_sample(t.documents, "doc_id", {"long": F.col("n_chars") > 3000, "german": F.col("lang") == "de", "any": F.lit(True)}, 25)
+    """M3, and M4: a uniform reservoir of 60 beside the strata."""
+    return M.strata_sample(t.documents, "doc_id", {"long": F.col("n_chars") > 3000, "german": F.col("lang") == "de", "any": F.lit(True)}, 25, 60)
 
 
 @query(f"""WITH q AS (SELECT stratum, w * 100 / sum(w) OVER () sh FROM (VALUES ('AIR', 0.42), ('A', 0.18), ('N', 0.15), ('R', 0.25)) v(stratum, w)),
@@ -78,7 +79,7 @@ def m11_group_sample(t):
 
 
 @query(f"""WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) pos FROM customer), d AS (SELECT unnest(range(1, 501)) draw)
-SELECT draw, c_custkey FROM d JOIN p ON pos = ({coin_sql('draw + 7')}) % (SELECT count(*) FROM customer) + 1""")
+SELECT draw, c_custkey FROM d JOIN p ON pos = ({coin_sql('draw', 7)}) % (SELECT count(*) FROM customer) + 1""")
 def m12_bootstrap(t):
     return M.bootstrap(t.customer.select("c_custkey"), "c_custkey", 500, 7)
 

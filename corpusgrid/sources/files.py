@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgrid.operators.contracts import group_shape
+from corpusgrid.operators.sample import numbered
 
 OBSERVATION = "id string, robot_id int, image string, mission string"
 SCENE = (
@@ -49,8 +50,17 @@ def scene_index(obs: DataFrame) -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
-    """Rows of a JSONL corpus; a line that does not parse stays, with the line in _corrupt_record."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    """Rows of a JSONL corpus with file and line (from 1 in each file); blank lines go.
+
+    A line that does not parse stays, with the line in _corrupt_record. No line at all is an error. Line numbers come from
+    reading each file in order, a file a task; files are the unit of scale.
+    """
+    lines = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    if lines.isEmpty():
+        raise ValueError(f"{path} holds no line")
+    x = numbered(lines, ["file"], "_block", "_at").withColumnRenamed("n", "line").where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return x.select("file", "line", parsed.alias("r")).select("file", "line", "r.*")
 
 
 def pack(df: DataFrame, *columns: str) -> DataFrame:
@@ -75,13 +85,19 @@ def write_routed(df: DataFrame, status: str, path: str) -> None:
 
 
 def manifest(df: DataFrame, *counted: str) -> DataFrame:
-    """One row: rows, counts of values of some columns, and a digest of the content that no order or layout changes."""
+    """One row: rows, counts of values of some columns, and a digest of the content that no order or layout changes.
+
+    A manifest lists the values of a column; a column of over 10,000 values is an error, not a list.
+    """
     row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
-    counts = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("v", "n")))).alias(c) for c in ("values",)]
     out = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("_s"), F.bit_xor(row).alias("_x"))
     for c in counted:
-        per = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(counts[0].alias(c))
-        out = out.join(F.broadcast(per))
+        per = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        found = per.limit(10_001).collect()
+        if len(found) > 10_000:
+            raise ValueError(f"{c} has over 10,000 values")
+        pairs = [x for r in sorted(found, key=lambda r: r["v"]) for x in (F.lit(r["v"]), F.lit(r["n"]).cast("long"))]
+        out = out.withColumn(c, F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>"))
     return out.withColumn("digest", F.sha2(F.concat_ws(":", "rows", "_s", "_x"), 256)).drop("_s", "_x")
 
 

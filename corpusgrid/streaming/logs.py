@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,20 +75,26 @@ def worsening(events: DataFrame, by: float = 0.025, times: int = 2) -> DataFrame
 
 
 def audit_batches(stream: DataFrame, out: str, checkpoint: str, audit, key: str = "batch_id"):
-    """Every micro-batch is audited and appended unless its batch id is there already, so a replay adds nothing.
+    """Rows of the stream audited and appended; a replay of the same rows adds nothing.
 
-    Returns the finished query; available files are read, then it ends.
+    Each micro-batch writes the folder of its own number, in overwrite mode: a batch that was cut off is written again as a
+    whole. A batch id may arrive in several micro-batches; each part is audited and kept, with its rows in the column
+    part_rows and a digest of them in part. A part whose digest is there already, as in a replay under another checkpoint, is
+    left out. Returns the finished query; available files are read, then it ends.
     """
 
-    def write(df: DataFrame, _: int) -> None:
+    def write(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
+        row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+        parts = df.groupBy(key).agg(F.count(F.lit(1)).alias("part_rows"), F.sha2(F.concat_ws(":", F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)), 256).alias("part"))
+        own = f"run={hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}/micro={number}"
         try:
-            done = spark.read.parquet(out).select(key).distinct()
-            df = df.join(done, key, "left_anti")
+            done = spark.read.parquet(out).where((F.col("run") != own.split("/")[0][4:]) | (F.col("micro") != number)).select(key, "part")
+            parts = parts.join(done, [key, "part"], "left_anti")
         except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
+            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
                 raise
-        audit(df).write.mode("append").parquet(out)
+        audit(df.join(parts.select(key), key, "left_semi")).join(parts, key).write.mode("overwrite").parquet(f"{out}/{own}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
