@@ -101,18 +101,32 @@ def positions(df: DataFrame, *order) -> DataFrame:
     return x.join(broadcast_if_small(sizes.select("_p", before.alias("_b"))), "_p").withColumn("pos", F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")
 
 
-def numbered(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """Adds n 1.. in the order within each key (null is a key), for keys of any size: range partitions of key and order,
-    then the rows that the partitions before hold of the key. Every row of a hot key is in one of many tasks."""
+def _ranged(df: DataFrame, keys: list[str], order: tuple, size, name: str) -> DataFrame:
+    """df in range partitions of keys and order, with _p (partition), _i (place in it), and _b: sum of size, an aggregate
+    of rows, over what the partitions before hold of the key; _f is the first place of the key in the partition."""
     at = F.monotonically_increasing_id()
-    x = stage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumns({"_p": F.shiftright(at, 33), "_i": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
-    sizes = x.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_f"))
+    x = stage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumns({"_p": F.shiftright(at, 33), "_i": at.bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    sizes = x.groupBy("_p", *keys).agg(size.alias("_n"), F.min("_i").alias("_f"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_f", before.alias("_b"))
     same = F.col("_p") == F.col("_q")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    return x.join(broadcast_if_small(sizes), same).withColumn("n", F.col("_b") + F.col("_i") - F.col("_f") + 1).select(*df.columns, "n")
+    return x.join(broadcast_if_small(sizes), same)
+
+
+def numbered(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """Adds n 1.. in the order within each key (null is a key), for keys of any size: range partitions of key and order,
+    then the rows that the partitions before hold of the key. Every row of a hot key is in one of many tasks."""
+    x = _ranged(df, keys, order, F.count(F.lit(1)), "numbered")
+    return x.withColumn("n", F.col("_b") + F.col("_i") - F.col("_f") + 1).select(*df.columns, "n")
+
+
+def running_sum(df: DataFrame, keys: list[str], value: str, *order) -> DataFrame:
+    """Adds upto: the sum of value up to the row in the order within each key, for keys of any size, as in numbered()."""
+    x = _ranged(df, keys, order, F.sum(value), "running")
+    inside = F.sum(value).over(Window.partitionBy("_p", *keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("upto", F.col("_b") + inside).select(*df.columns, "upto")
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
