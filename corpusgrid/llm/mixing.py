@@ -1,11 +1,15 @@
 """Mixing sources to target weights, all in DataFrame expressions.
 
 1. Targets by water filling over the per-source sums.
-2. Every source is cut into hashed blocks; its draws are its blocks once for every full pass, plus a random part of
-   them for the rest, so that the drawn words meet the target.
+2. Every source is cut into hashed blocks of about DOCS_A_BLOCK documents; its draws are its blocks once for every full
+   pass, plus a random part of them for the rest, so that the drawn words meet the target.
 3. A splitting tree hands the exact numbers of draws to the output shards: at each node the left child's counts are a
-   multivariate hypergeometric draw from the node's counts, source after source.
+   multivariate hypergeometric draw from the node's counts, source after source. There are as many shards as it takes
+   for DRAWS_A_SHARD draws each.
 4. Each shard takes its counts from the source's permuted draws (disjoint ranges) and orders its documents by hash.
+
+Blocks and draws of a source are summed and numbered over range partitions, so that a hot source is in many tasks. Only
+the table of sources, a row each, is folded in order in one task.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.text import let, unit, words
+from corpusgrid.operators.sample import numbered, running_sum
 from corpusgrid.session import broadcast_if_small, stage
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-#: A source has a block for each four documents, up to MAX_BLOCKS, which bounds the tables of blocks and draws.
-DOCS_A_BLOCK, MAX_BLOCKS, LEVELS, SEED = 4, 4096, 3, 17
+#: Documents in a block and draws in an output shard, about; the least levels of the tree; draws that are matched together.
+DOCS_A_BLOCK, DRAWS_A_SHARD, LEVELS, CELL, SEED = 16, 4096, 3, 256, 17
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -96,6 +101,8 @@ def split_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
 
             return F.aggregate(counts, start, take, lambda acc: acc["out"])
 
+        if level and level % 5 == 0:  # keeps the plan short, and deals deep levels to many tasks
+            node = stage(node.repartition("shard"), "tree")
         node = node.withColumn("taken", halves(F.col("counts")))
         side = lambda f: F.zip_with("counts", "taken", lambda x, k: F.struct(x["none"].alias("none"), x["source"].alias("source"), f(x, k).alias("q")))
         both = F.array(
@@ -107,7 +114,7 @@ def split_tree(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> Dat
     return flat.where("q > 0").select("source", "shard", (F.col("last") - F.col("q") + 1).alias("first"), "last")
 
 
-def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, levels: int | None = None, seed: int = SEED, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(documents, copies) of the mix.
 
     documents: doc_id, size, source, source_size, target, taken, n_copies, shards (comma-joined). copies: a row for each
@@ -121,7 +128,7 @@ def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED, key: str = "doc
     per = stage(
         per.withColumn("passes", passes)
         .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size")))
-        .withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / DOCS_A_BLOCK))).cast("long")),
+        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / DOCS_A_BLOCK)).cast("long")),
         "targets",
     )
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -132,18 +139,22 @@ def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED, key: str = "doc
         F.xxhash64(F.lit(seed + 1), "doc_id").alias("place"),
     )
     blocks = placed.groupBy("source", "block", "passes", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block")
-    blocks = blocks.withColumn("upto", F.sum("words").over(order)).withColumn("left", F.col("rest") - (F.col("upto") - F.col("words")))
+    blocks = running_sum(blocks.withColumn("_o", F.xxhash64(F.lit(seed + 2), "block")), ["source"], "words", "_o", "block").drop("_o")
+    blocks = blocks.withColumn("left", F.col("rest") - (F.col("upto") - F.col("words")))
     # left: words still wanted when the block's turn comes. All of it, a part of it, or nothing is drawn once more.
     state = F.when(F.col("left") >= F.col("words"), 2).when(F.col("left") > 0, 1).otherwise(0)
     blocks = stage(blocks.withColumn("state", state), "blocks")
     draws = blocks.select(
         "source", "block", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("copy"), "passes", "state"
     ).where((F.col("copy") <= F.col("passes")) | ((F.col("copy") == F.col("passes") + 1) & (F.col("state") > 0)))
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 3), "block", "copy"), "block", "copy")
-    draws = stage(draws.withColumn("draw", F.row_number().over(permuted)).select("source", "block", "copy", "draw"), "draws")
+    draws = numbered(draws.select("source", "block", "copy").withColumn("_o", F.xxhash64(F.lit(seed + 3), "block", "copy")), ["source"], "_o", "block", "copy")
+    draws = stage(draws.select("source", "block", "copy", F.col("n").alias("draw"), F.floor(F.col("n") / CELL).alias("cell")), "draws")
+    if levels is None:
+        levels = max(LEVELS, math.ceil(math.log2(max(1, draws.count() / DRAWS_A_SHARD))))
     ranges = split_tree(draws.groupBy("source").agg(F.count(F.lit(1)).alias("draws")), levels, seed)
-    given = draws.join(ranges, same(draws, ranges) & F.col("draw").between(F.col("first"), F.col("last")), "left").groupBy(draws["source"], "block").agg(
+    # ranges meet draws by cells of numbers, not each with each
+    ranges = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor(F.col("last") / CELL))))
+    given = draws.join(ranges, same(draws, ranges) & (draws["cell"] == ranges["cell"]) & F.col("draw").between(F.col("first"), F.col("last")), "left").groupBy(draws["source"], "block").agg(
         F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shard_of")
     )
     given = given.withColumnRenamed("source", "_s").withColumnRenamed("block", "_b")
@@ -168,5 +179,6 @@ def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED, key: str = "doc
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents through mix; nulls, repeated ids and empty tables as told there."""
     documents, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return documents.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"))

@@ -338,6 +338,24 @@ def test_mixing_documents(docs, texts):
     assert sorted(r["doc_id"] for r in copies.collect()) == sorted(r["doc_id"] for r in rows for _ in range(r["n_copies"]))
 
 
+def test_mixing_draws_are_blocks_in_exact_shards(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, copies = mixing.mix(df, levels=6)
+    got = {r["doc_id"]: r for r in documents.collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    for s in {x for _, _, x in rows}:
+        own = [got[i] for i, _, x in rows if x == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(size[r["doc_id"]] for r in own)
+        # all passes but the last take every document
+        assert {r["n_copies"] for r in own} <= {int(own[0]["target"] / own[0]["source_size"] + 1e-9) + d for d in (0, 1)}
+    shards = collections.Counter(r["shard"] for r in copies.collect())
+    assert sum(shards.values()) == sum(r["n_copies"] for r in got.values()) and max(shards) < 64
+    # documents of a block go to the same shard, whatever order the rows came in
+    again = {r["doc_id"]: (r["taken"], r["shards"]) for r in mixing.mix(df.repartition(7), levels=6)[0].collect()}
+    assert again == {i: (r["taken"], r["shards"]) for i, r in got.items()}
+
+
 def test_split_tree_is_exact(spark):
     q = {"a": 1000, "b": 37, None: 3, "z": 0}
     got = mixing.split_tree(spark.createDataFrame(list(q.items()), "source string, draws long")).collect()
