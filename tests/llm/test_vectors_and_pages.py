@@ -3,8 +3,8 @@
 import collections
 import html as entities
 import random
-import time
 import re
+import time
 
 import numpy as np
 import pytest
@@ -75,6 +75,38 @@ def test_embeddings_of_a_concentrated_label(spark):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_embeddings_recall_on_a_large_clustered_label(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    n, planted, dim = 12_000, 1_000, 32
+    x = unit(unit(rng.normal(size=dim)) * 2.3 + unit(rng.normal(size=(n, dim))))  # median cosine 0.84
+    side = rng.normal(size=(planted, dim))
+    side = unit(side - (side * x[:planted]).sum(axis=1, keepdims=True) * x[:planted])
+    x = np.concatenate([x, x[:planted] * 0.981 + side * np.sqrt(1 - 0.981**2)]).astype(np.float32)
+    want = np.zeros(len(x), dtype=int)
+    y = unit(x.astype(np.float64))
+    for low in range(0, len(y), 1000):
+        want[low : low + 1000] = (y[low : low + 1000] @ y.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 7) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    linked = [i for i in range(len(x)) if want[i]]
+    found = sum(got[i] == want[i] for i in linked) / len(linked)
+    assert len(linked) >= 2 * planted and found >= 0.99 and all(got[i] <= want[i] for i in range(len(x)))
+
+
+def test_embeddings_packing_loses_no_candidate():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    for dim in (2, 8, 64, 300):
+        x = rng.normal(size=(400, dim)) * 10.0 ** rng.integers(-3, 4, size=(400, 1))
+        x[200:] = x[:200] * 3 + rng.normal(size=(200, dim)) * np.linalg.norm(x[:200], axis=1, keepdims=True) * 3 * 0.2 / np.sqrt(dim)
+        q, lost = embeddings._packed(x)
+        f = pd.DataFrame({"q": [r.tobytes() for r in q], "lost": lost})
+        y = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert embeddings._candidates(f, 400, 0.98)[y @ y.T >= 0.98].all() and lost.max() < 0.05
+
+
 def test_embeddings_hard_cases(spark):
     inf, nan = float("inf"), float("nan")
     v = [1.0, 2.0, 3.0]
