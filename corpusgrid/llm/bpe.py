@@ -20,8 +20,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The public pre-tokenization pattern of byte-level BPE, with Unicode's white space spelled out.
 WHITE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-#: Bytes that a task remembers of pieces and of pairs of tokens.
-CACHE, PAIRS = 32 << 20, 16 << 20
+#: Bytes that a worker remembers of pieces and of pairs of tokens, also from task to task.
+CACHE, PAIRS = 64 << 20, 40 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -70,6 +70,8 @@ class Bpe:
                 self.parts[whole] = (rank, left, right)
         # rank of the merge that makes a token; single bytes come before every merge
         self.rank = {i: self.parts[i][0] if i in self.parts else -1 for i in text_of}
+        if len({t for t in text_of.values() if len(t) == 1}) < 256:
+            raise ValueError(f"{path} does not have a token for every byte")
         self.auto = ahocorasick.Automaton()
         for i, t in text_of.items():
             if len(t) == 1 or i in self.parts:
@@ -79,9 +81,10 @@ class Bpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a then b is how their joined bytes are encoded: no earlier merge reaches over the border."""
-        found = self.fits.get((a, b))
+        key = a << 24 | b
+        found = self.fits.get(key)
         if found is None:
-            found = self.fits.keep((a, b), self._compatible(a, b), 60)
+            found = self.fits.keep(key, self._compatible(a, b), 36)
         return found
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -129,30 +132,25 @@ class Bpe:
                 last[end + 1] = t
                 return
 
-    def piece(self, piece: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, number of ids, decoded bytes) of a piece."""
-        found = self.pieces.get(piece)
-        if found is None:
-            ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
-            found = (",".join(map(str, ids)), len(ids), "".join([self.text[i] for i in ids]).encode("latin-1"))
-            self.pieces.keep(piece, found, 200 + 3 * len(piece) + len(found[0]))
-        return found
-
-    def close(self) -> None:
-        """Forget what was remembered, so that a worker holds no more than the vocabulary between tasks."""
-        self.fits.clear()
-        self.pieces.clear()
+    def piece(self, piece: str) -> str:
+        """ids of a piece, joined by commas; what they decode to is compared with the piece when it is first met."""
+        ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
+        if "".join([self.text[i] for i in ids]).encode("latin-1") != piece.encode("utf-8"):
+            raise AssertionError(f"{piece!r} does not decode to itself")
+        return self.pieces.keep(piece, ",".join(map(str, ids)), 50 + 2 * len(piece) + 4 * len(ids))
 
-    def text_pieces(self, text: str):
-        """(ids joined, count, bytes) piece after piece; strings of special tokens count as these tokens."""
+    def encode_text(self, text: str) -> str:
+        """ids of a text joined by commas; strings of special tokens count as these tokens. They decode to the text."""
+        out, get, piece = [], self.pieces.get, self.piece
         for part in self.on_special(text) if self.on_special else [text]:
             if part in self.special:
-                yield str(self.special[part]), 1, part.encode("utf-8")
+                out.append(str(self.special[part]))
             elif part:
-                yield from map(self.piece, self.split(part))
+                out += [get(p) or piece(p) for p in self.split(part)]
+        return ",".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.text_pieces(text) for i in ids.split(",")]
+        return [int(i) for i in self.encode_text(text).split(",") if i]
 
     def decode(self, ids) -> str:
         names = {i: s for s, i in self.special.items()}
@@ -182,12 +180,11 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, with
         bpe = load(path)
 
         def one(text):
-            found = list(bpe.text_pieces(text or ""))
-            ids, decoded = ",".join([x[0] for x in found]), b"".join([x[2] for x in found]).decode("utf-8", "replace")
-            row = (sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            return (*row, *([np.array(ids.split(",") if ids else [], dtype=np.int32)] if with_ids else []), *([decoded] if with_decoded else []))
+            text = text or ""
+            ids = bpe.encode_text(text)
+            row = (ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest())
+            return (*row, *([np.array(ids.split(",") if ids else [], dtype=np.int32)] if with_ids else []), *([text] if with_decoded else []))
 
-        one.close = bpe.close
         return one
 
     names = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +33,7 @@ def unit(*keys: Column) -> Column:
 
 
 class Cache(dict):
-    """Remembers values while their sizes add up to `limit` bytes; then it starts anew."""
+    """Remembers values while their sizes add up to `limit` bytes; then the older half goes."""
 
     def __init__(self, limit: int):
         super().__init__()
@@ -42,7 +44,9 @@ class Cache(dict):
         size += 150
         if size <= self.limit >> 4:
             if self.used + size > self.limit:
-                self.clear()
+                for k in list(islice(self, (len(self) + 1) // 2)):
+                    del self[k]
+                self.used >>= 1
             self.used += size
             self[key] = value
         return value
