@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.session import stage
+from corpusgrid.session import broadcast_if_small, stage
 
+#: Graphs of up to so many arcs are searched in one task each; profiles that a search may take.
+GROUP_ARCS, MOST_PROFILES, FAR = 20_000, 10_000, 1 << 60
 #: Actions: up 0, down 1, left 2, right 3, and the kind of turn from a heading to an action.
 DELTAS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 CLOCKWISE = (0, 3, 1, 2)
@@ -74,24 +78,98 @@ def mission_reachable(arc_rows: DataFrame, starts: DataFrame, vias: DataFrame, g
     return reachable(arc_rows, second, keys).join(goals.select(*keys, "r", "c").distinct(), [*keys, "r", "c"], "left_semi").select(*keys).distinct()
 
 
-def route_costs(arc_rows: DataFrame, profiles: DataFrame, missions: DataFrame, vias: DataFrame, goals: DataFrame) -> DataFrame:
+def route_costs(arc_rows: DataFrame, profiles: DataFrame, missions: DataFrame, vias: DataFrame, goals: DataFrame, group_arcs: int = GROUP_ARCS) -> DataFrame:
     """Cost of the best route per graph, profile and legal first action; unreachable actions have no row.
 
-    missions: g, r, c, heading. At least one step is taken; via counts at the start or on any arrival. Backward relaxation
-    over states (node, heading on arrival, via done): only states that improved in a round are expanded in the next, for
-    all graphs and profiles at once.
+    missions: g, r, c, heading. At least one step is taken; via counts at the start or on any arrival. The states of a
+    graph are (node, heading on arrival, via done). Graphs of up to group_arcs arcs meet once and are relaxed for all
+    profiles together in their task; larger ones are relaxed in rounds of joins.
     """
+    sizes = arc_rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = stage(sizes.where(F.col("n") > group_arcs).select("g"), "large")
+    if large.isEmpty():
+        return _routes_by_group(arc_rows, profiles, missions, vias, goals)
+    of = lambda df, how: df.join(large, "g", how)
+    grouped, rest = ([of(x, how) for x in (arc_rows, missions, vias, goals)] for how in ("left_anti", "left_semi"))
+    return _routes_by_group(grouped[0], profiles, *grouped[1:]).unionByName(_routes_by_rounds(rest[0], profiles, *rest[1:]))
+
+
+def _routes_by_group(arc_rows: DataFrame, profiles: DataFrame, missions: DataFrame, vias: DataFrame, goals: DataFrame) -> DataFrame:
+    weights = [p for p in profiles.columns if p != "profile"]
+    spark, statuses = arc_rows.sparkSession, ("normal", "crowded", "covered")
+    kinds = spark.createDataFrame([(i, st, sr, h, a) for i, st in enumerate(statuses) for sr in (False, True) for h in range(4) for a in range(4)], "status_id int, status string, stairs boolean, heading int, action int")
+    named = profiles.select("profile", *[F.col(p).alias(f"w_{p}") for p in weights]).limit(MOST_PROFILES + 1)
+    cost = arc_cost(F.col("status"), F.col("stairs"), turn_kind(F.col("heading"), F.col("action")), {p: F.col(f"w_{p}") for p in weights})
+    priced = named.crossJoin(F.broadcast(kinds)).select("profile", "status_id", "stairs", "heading", "action", cost.cast("long").alias("cost")).collect()
+    names = sorted({r["profile"] for r in priced})
+    if len(names) > MOST_PROFILES:
+        raise ValueError(f"over {MOST_PROFILES} profiles")
+    price = np.zeros((len(statuses), 2, 4, 4, max(1, len(names))), dtype=np.int64)
+    at = {p: i for i, p in enumerate(names)}
+    for r in priced:
+        price[r["status_id"], int(r["stairs"]), r["heading"], r["action"], at[r["profile"]]] = r["cost"]
+    none = F.lit(None).cast("int")
+    status = F.when(F.col("status") == "crowded", 1).when(F.col("status") == "covered", 2).otherwise(0)
+    rows = [
+        arc_rows.select("g", F.lit(0).alias("part"), "r", "c", "r2", "c2", F.col("action").cast("int").alias("x"), (status * 2 + F.col("stairs").cast("int")).alias("y")),
+        missions.select("g", F.lit(1).alias("part"), "r", "c", none.alias("r2"), none.alias("c2"), F.col("heading").cast("int").alias("x"), none.alias("y")),
+        *[df.select("g", F.lit(k).alias("part"), "r", "c", none.alias("r2"), none.alias("c2"), none.alias("x"), none.alias("y")) for k, df in ((2, vias), (3, goals))],
+    ]
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        arcs_, start, via, goal = (f[f["part"] == k] for k in range(4))
+        out = pd.DataFrame({"g": f["g"].iloc[:0], "profile": pd.Series([], dtype=str), "action": pd.Series([], dtype="int32"), "cost": pd.Series([], dtype="int64")})
+        if not len(arcs_) or not len(start) or not len(goal) or not names:
+            return out
+        pairs = pd.concat([f[["r", "c"]], arcs_[["r2", "c2"]].set_axis(["r", "c"], axis=1)]).drop_duplicates()
+        node = {(int(r), int(c)): i for i, (r, c) in enumerate(pairs.to_numpy())}
+        number = lambda df, r, c: np.array([node[int(a), int(b)] for a, b in zip(df[r], df[c])], dtype=np.int64)
+        u, v, act, kind = number(arcs_, "r", "c"), number(arcs_, "r2", "c2"), arcs_["x"].to_numpy(np.int64), arcs_["y"].to_numpy(np.int64)
+        is_via = np.zeros(len(node), dtype=np.int64)
+        is_via[number(via, "r", "c")] = 1
+        # a move for every arc, heading before it, and whether the via is done before it; state = (node * 4 + heading) * 2 + done
+        h, d = np.repeat(np.arange(4), 2), np.tile(np.arange(2), 4)
+        source = ((u[:, None] * 4 + h) * 2 + d).ravel()
+        target = ((v[:, None] * 4 + act[:, None]) * 2 + np.maximum(d, is_via[v][:, None])).ravel()
+        cost = price[kind[:, None] // 2, kind[:, None] % 2, h[None], act[:, None]].reshape(len(source), -1)
+        first_action = np.repeat(act, 8)
+        order = np.argsort(source, kind="stable")
+        source, target, cost, first_action = source[order], target[order], cost[order], first_action[order]
+        edge = np.nonzero(np.concatenate([[True], source[1:] != source[:-1]]))[0]
+        best = np.full((len(node) * 8, len(names)), FAR, dtype=np.int64)
+        best[((number(goal, "r", "c")[:, None] * 4 + np.arange(4)) * 2 + 1).ravel()] = 0
+        while True:
+            found = np.minimum(np.minimum.reduceat(cost + best[target], edge), best[source[edge]])
+            if (found == best[source[edge]]).all():
+                break
+            best[source[edge]] = np.where(found < FAR // 2, found, FAR)
+        parts = []
+        for r, c, heading in start[["r", "c", "x"]].drop_duplicates().to_numpy():
+            n = node[int(r), int(c)]
+            own = np.nonzero(source == (n * 4 + int(heading)) * 2 + int(not len(via) or is_via[n]))[0]
+            for a in np.unique(first_action[own]):
+                least = (cost + best[target])[own[first_action[own] == a]].min(axis=0)
+                parts += [(f["g"].iloc[0], names[p], int(a), int(least[p])) for p in np.nonzero(least < FAR // 2)[0]]
+        return pd.DataFrame(parts, columns=["g", "profile", "action", "cost"]) if parts else out
+
+    kind = dict(arc_rows.dtypes)["g"]
+    return reduce(DataFrame.unionByName, rows).groupBy("g").applyInPandas(one, f"g {kind}, profile string, action int, cost long").groupBy("g", "profile", "action").agg(F.min("cost").alias("cost"))
+
+
+def _routes_by_rounds(arc_rows: DataFrame, profiles: DataFrame, missions: DataFrame, vias: DataFrame, goals: DataFrame) -> DataFrame:
+    """route_costs() by backward relaxation in rounds: only states that improved in a round are expanded in the next, for
+    all graphs and profiles at once. A graph may be of any size."""
     weights = [p for p in profiles.columns if p != "profile"]
     profiles = profiles.select("profile", *[F.col(p).alias(f"w_{p}") for p in weights])
     cost = arc_cost(F.col("status"), F.col("stairs"), turn_kind(F.col("heading"), F.col("action")), {p: F.col(f"w_{p}") for p in weights})
     headings = F.explode(F.array(*map(F.lit, range(4))))
-    priced = arc_rows.join(F.broadcast(profiles)).withColumn("heading", headings).select("g", "profile", "r", "c", "heading", "r2", "c2", "action", cost.alias("cost"))
+    priced = arc_rows.crossJoin(broadcast_if_small(profiles)).withColumn("heading", headings).select("g", "profile", "r", "c", "heading", "r2", "c2", "action", cost.alias("cost"))
     via = vias.select("g", F.col("r").alias("r2"), F.col("c").alias("c2"), F.lit(True).alias("_via")).distinct()
     need = vias.select("g").distinct().withColumn("_need", F.lit(True))
     phases = priced.join(via, ["g", "r2", "c2"], "left").withColumn("done", F.explode(F.array(F.lit(False), F.lit(True))))
     moves = stage(phases.withColumn("done2", F.col("done") | F.coalesce("_via", F.lit(False))).drop("_via"), "moves")
     state = ["g", "profile", "r", "c", "heading", "done"]
-    ends = goals.select("g", "r", "c").distinct().join(F.broadcast(profiles.select("profile"))).withColumn("heading", headings)
+    ends = goals.select("g", "r", "c").distinct().crossJoin(broadcast_if_small(profiles.select("profile"))).withColumn("heading", headings)
     best = changed = stage(ends.select("g", "profile", "r", "c", "heading", F.lit(True).alias("done"), F.lit(0).cast("long").alias("left")), "left")
     while True:
         nxt = changed.select("g", "profile", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("heading").alias("action"), F.col("done").alias("done2"), "left")
@@ -123,23 +201,31 @@ def lattice_edges(nodes: DataFrame) -> DataFrame:
     return step(0, 1).unionByName(step(1, 0)).select("g", "ar", "ac", "br", "bc")
 
 
-def relaxations(edges: DataFrame, nodes: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Edges of the cumulative repair steps: 1 drop one-way, 2 add lattice edges, 3 reopen closed, 4 add missing nodes."""
+def relaxations(edges: DataFrame, nodes: DataFrame, grids: DataFrame, extra: DataFrame) -> DataFrame:
+    """Edges of the cumulative repair steps: 1 drop one-way, 2 add lattice edges, 3 reopen closed, 4 add missing nodes.
+
+    grids: g, grid_rows, grid_cols; step 4 fills each graph's own grid and adds the nodes of extra (g, r, c), which may
+    stand outside of it.
+    """
     plain = edges.select("g", "ar", "ac", "br", "bc", "status", "stairs").withColumns({"oneway_r": F.lit(None).cast("int"), "oneway_c": F.lit(None).cast("int")})
-    missing = lattice_edges(nodes).join(edges.select("g", "ar", "ac", "br", "bc"), ["g", "ar", "ac", "br", "bc"], "left_anti")
+    both_ways = lambda df: df.select("g", "ar", "ac", "br", "bc").unionByName(df.select("g", F.col("br").alias("ar"), F.col("bc").alias("ac"), F.col("ar").alias("br"), F.col("ac").alias("bc")))
+    lacking = lambda found: lattice_edges(found).join(both_ways(edges), ["g", "ar", "ac", "br", "bc"], "left_anti")
     fresh = lambda df: df.select("g", "ar", "ac", "br", "bc", F.lit("normal").alias("status"), F.lit(False).alias("stairs"), F.lit(None).cast("int").alias("oneway_r"), F.lit(None).cast("int").alias("oneway_c"))
-    s2 = plain.unionByName(fresh(missing))
-    s3 = s2.withColumn("status", F.when(F.col("status") == "closed", "normal").otherwise(F.col("status")))
-    every = nodes.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("r")).select("g", "r", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
-    more = lattice_edges(every).join(s3.select("g", "ar", "ac", "br", "bc"), ["g", "ar", "ac", "br", "bc"], "left_anti")
-    s4 = s3.unionByName(fresh(more))
-    return reduce(DataFrame.unionByName, [s.withColumn("step", F.lit(i + 1)) for i, s in enumerate((plain, s2, s3, s4))])
+    reopened = plain.withColumn("status", F.when(F.col("status") == "closed", "normal").otherwise(F.col("status")))
+    added = fresh(lacking(nodes.select("g", "r", "c").distinct()))
+    every = grids.where("grid_rows > 0 and grid_cols > 0").select("g", "grid_cols", F.explode(F.sequence(F.lit(0), F.col("grid_rows") - 1)).alias("r")).select("g", "r", F.explode(F.sequence(F.lit(0), F.col("grid_cols") - 1)).alias("c"))
+    full = every.unionByName(extra.select("g", "r", "c")).distinct()
+    steps = (plain, plain.unionByName(added), reopened.unionByName(added), reopened.unionByName(fresh(lacking(full))))
+    return reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(i + 1)) for i, x in enumerate(steps)])
 
 
-def repair(edges: DataFrame, nodes: DataFrame, starts: DataFrame, vias: DataFrame, goals: DataFrame, rows: int, cols: int) -> DataFrame:
-    """First step of the ladder at which the mission is reachable (0: as it is, null: never)."""
+def repair(edges: DataFrame, nodes: DataFrame, starts: DataFrame, vias: DataFrame, goals: DataFrame, grids: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """First step of the ladder at which the mission is reachable (0: as it is, null: never).
+
+    Each graph is filled up to its own grid, with the nodes of its robot and its landmarks.
+    """
     as_is = edges.select("g", "ar", "ac", "br", "bc", "status", "stairs", "oneway_r", "oneway_c").withColumn("step", F.lit(0))
-    a = arcs(as_is.unionByName(relaxations(edges, nodes, rows, cols)))
+    a = arcs(as_is.unionByName(relaxations(edges, nodes, grids, starts.select("g", "r", "c").unionByName(landmarks.select("g", "r", "c")))))
     steps = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step")
     each = lambda df: df.select("g", "r", "c", steps)
     ok = mission_reachable(a, each(starts), each(vias), each(goals), ["g", "step"])

@@ -36,25 +36,33 @@ def bigrams(words: DataFrame, kept: DataFrame, row: str, least: int = 3) -> Data
     return x.join(k.withColumnRenamed("w", "a"), "a", "left_semi").join(k.withColumnRenamed("w", "b"), "b", "left_semi")
 
 
-def correct(words: DataFrame, vocab: DataFrame, pairs: DataFrame, row: str, rounds: int = 4) -> DataFrame:
-    """L3: unknown words become the candidate one edit away with the most bigram support, then count, then the lower word.
+def correct(words: DataFrame, vocab: DataFrame, pairs: DataFrame, row: str, rounds: int = 4, least: int = 10, ratio: int = 10, letters: int = 3) -> DataFrame:
+    """L3: words replaced by a vocabulary word one edit away.
 
-    The left neighbour is the corrected one, so the choice repeats until no word changes (or `rounds` are done).
+    An unknown word becomes the candidate with the most bigram support, then count, then the lower word. A known word of
+    `letters` or more is replaced only if, on every side that has a neighbour, the candidate's bigram counts at least
+    `least` and at least `ratio` times the present one's; the best such candidate by the same order. The left neighbour
+    is the corrected one, so the choice repeats until no word changes (or `rounds` are done).
     """
     known = vocab.select("w", F.col("n").alias("n"))
     keys = known.select(F.col("w").alias("cand"), "n", F.explode(deletion_keys(F.col("w"))).alias("k"))
-    unknown = words.join(known.select("w"), "w", "left_anti").select("w").distinct()
-    cands = unknown.select("w", F.explode(deletion_keys(F.col("w"))).alias("k")).join(keys, "k").select("w", "cand", "n").distinct()
+    said = words.select("w").distinct().join(known.select("w", F.lit(True).alias("_known")), "w", "left").select("w", F.coalesce("_known", F.lit(False)).alias("known"))
+    said = said.where(~F.col("known") | (F.length("w") >= letters))
+    cands = said.select("w", "known", F.explode(deletion_keys(F.col("w"))).alias("k")).join(keys, "k").where("w <> cand").select("w", "known", "cand", "n").distinct()
     cands = stage(cands.where(within_one_edit(F.col("w"), F.col("cand"))), "candidates")
     now = stage(words.select(row, "pos", "w", F.col("w").alias("fixed")), "words")
     left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("cand"), F.col("n").alias("ln"))
     right = pairs.select(F.col("a").alias("cand"), F.col("b").alias("nxt"), F.col("n").alias("rn"))
+    old_left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("w"), F.col("n").alias("lo"))
+    old_right = pairs.select(F.col("a").alias("w"), F.col("b").alias("nxt"), F.col("n").alias("ro"))
+    n_of = lambda c: F.coalesce(c, F.lit(0))
     for _ in range(rounds):
         w = Window.partitionBy(row).orderBy("pos")
         x = now.withColumns({"prev": F.lag("fixed").over(w), "nxt": F.lead("fixed").over(w)}).join(cands, "w")
-        x = x.join(left, ["prev", "cand"], "left").join(right, ["nxt", "cand"], "left")
-        support = F.coalesce("ln", F.lit(0)) + F.coalesce("rn", F.lit(0))
-        best = x.groupBy(row, "pos").agg(F.min_by("cand", F.struct(-support, -F.col("n"), "cand")).alias("new"))
+        x = x.join(left, ["prev", "cand"], "left").join(right, ["nxt", "cand"], "left").join(old_left, ["prev", "w"], "left").join(old_right, ["nxt", "w"], "left")
+        side = lambda there, new, old: F.col(there).isNull() | ((n_of(new) >= least) & (n_of(new) >= ratio * n_of(old)))
+        better = (F.col("prev").isNotNull() | F.col("nxt").isNotNull()) & side("prev", "ln", "lo") & side("nxt", "rn", "ro")
+        best = x.where(~F.col("known") | better).groupBy(row, "pos").agg(F.min_by("cand", F.struct(-(n_of("ln") + n_of("rn")), -F.col("n"), "cand")).alias("new"))
         new = stage(now.join(best, [row, "pos"], "left").select(row, "pos", "w", F.coalesce("new", "w").alias("fixed")), "fixed")
         done = new.join(now, [row, "pos", "fixed"], "left_anti").isEmpty()
         now = new

@@ -95,10 +95,26 @@ def g8_weakly_reachable(t):
     return G.weakly_reachable(G.arcs(X.edges(t)), X.starts(t))
 
 
-@query()
+#: The ladder in SQL: edges of the five steps, legal arcs, and reachability over all steps at once.
+_REPAIR = """, e0 AS (SELECT g, ar, ac, br, bc, status, stairs, oneway_r, oneway_c FROM edges),
+grid AS (SELECT g, r, c FROM scenes, (SELECT unnest(range(9))::INT r), (SELECT unnest(range(9))::INT c) WHERE r < grid_rows AND c < grid_cols UNION SELECT g, robot_r, robot_c FROM scenes UNION SELECT g, r, c FROM landmarks),
+near2 AS (SELECT a.g, a.r ar, a.c ac, b.r br, b.c bc FROM nodes a JOIN nodes b ON a.g = b.g AND ((b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1))),
+near4 AS (SELECT a.g, a.r ar, a.c ac, b.r br, b.c bc FROM grid a JOIN grid b ON a.g = b.g AND ((b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1))),
+add2 AS (SELECT n.* FROM near2 n ANTI JOIN e0 e ON n.g = e.g AND n.ar = e.ar AND n.ac = e.ac AND n.br = e.br AND n.bc = e.bc), add4 AS (SELECT n.* FROM near4 n ANTI JOIN e0 e ON n.g = e.g AND n.ar = e.ar AND n.ac = e.ac AND n.br = e.br AND n.bc = e.bc),
+se AS (SELECT 0 step, * FROM e0 UNION ALL SELECT 1, g, ar, ac, br, bc, status, stairs, NULL, NULL FROM e0 UNION ALL SELECT 2, g, ar, ac, br, bc, status, stairs, NULL, NULL FROM e0 UNION ALL SELECT 2, g, ar, ac, br, bc, 'normal', false, NULL, NULL FROM add2
+UNION ALL SELECT s, g, ar, ac, br, bc, CASE status WHEN 'closed' THEN 'normal' ELSE status END, stairs, NULL, NULL FROM e0, (VALUES (3), (4)) v(s) UNION ALL SELECT 3, g, ar, ac, br, bc, 'normal', false, NULL, NULL FROM add2 UNION ALL SELECT 4, g, ar, ac, br, bc, 'normal', false, NULL, NULL FROM add4),
+sw AS (SELECT step, g, ar r, ac c, br r2, bc c2, status, stairs, oneway_r o1, oneway_c o2 FROM se UNION ALL SELECT step, g, br, bc, ar, ac, status, stairs, oneway_r, oneway_c FROM se),
+sa AS (SELECT DISTINCT step, g, r, c, r2, c2 FROM sw WHERE status <> 'closed' AND NOT stairs AND (o1 IS NULL OR (o1 = r2 AND o2 = c2))),
+ra AS (SELECT step, g, robot_r::BIGINT r, robot_c::BIGINT c FROM scenes, (SELECT unnest(range(5))::INT step) UNION SELECT x.step, x.g, a.r2, a.c2 FROM ra x JOIN sa a ON a.step = x.step AND a.g = x.g AND a.r = x.r AND a.c = x.c),
+rb AS (SELECT step, g, r, c FROM (SELECT x.* FROM ra x JOIN vias v ON v.g = x.g AND v.r = x.r AND v.c = x.c UNION SELECT step, g, robot_r, robot_c FROM scenes, (SELECT unnest(range(5))::INT step) WHERE g NOT IN (SELECT g FROM vias))
+UNION SELECT x.step, x.g, a.r2, a.c2 FROM rb x JOIN sa a ON a.step = x.step AND a.g = x.g AND a.r = x.r AND a.c = x.c),
+ok AS (SELECT g, min(step) step FROM rb JOIN goals USING (g, r, c) GROUP BY g)"""
+
+
+@query(X.SQL + _REPAIR + " SELECT s.g, step FROM scenes s LEFT JOIN ok USING (g)")
 def g9_repair(t):
-    """First repair step; tested on hand-made graphs."""
-    return G.repair(X.edges(t), X.nodes(t), X.starts(t), X.vias(t), X.goals(t), X.N, X.N)
+    """First repair step of each graph on its own grid."""
+    return G.repair(X.edges(t), X.nodes(t), X.starts(t), X.vias(t), X.goals(t), X.scenes(t).select("g", "grid_rows", "grid_cols"), X.landmarks(t))
 
 
 @query(X.SQL + """, d AS (SELECT a.g, a.action, min(abs(a.r2 - q.r) + abs(a.c2 - q.c)) d, any_value(s.heading) h FROM arcs a JOIN scenes s ON s.g = a.g AND s.robot_r = a.r AND s.robot_c = a.c JOIN goals q ON q.g = a.g GROUP BY a.g, a.action)
@@ -121,7 +137,16 @@ def g12_emergency_action(t):
     return X.starts(t).join(legal, "g", "left").select("g", G.emergency_action(F.col("legal"), F.col("heading")).alias("action"))
 
 
-@query()
+_LEVELS = """, lv AS (SELECT g, robot_r::BIGINT r, robot_c::BIGINT c, 0 step FROM scenes UNION SELECT a.g, a.r2, a.c2, x.step + 1 FROM lv x JOIN arcs a ON a.g = x.g AND a.r = x.r AND a.c = x.c WHERE x.step < 26),
+far AS (SELECT g, r, c, min(step) step FROM lv GROUP BY ALL), hit AS (SELECT g, min(step) steps FROM far JOIN goals USING (g, r, c) GROUP BY g)"""
+
+
+@query(X.SQL + _LEVELS + " SELECT g, steps, steps + 1 AS nodes, true AS connected FROM hit")
 def g13_shortest_path(t):
-    """Which of several shortest paths is taken has no short SQL form; tests check length and arcs."""
-    return G.shortest_path(G.arcs(X.edges(t)), X.starts(t), X.goals(t))
+    """Length of each path, and whether it is one: which of several shortest paths is taken is left open."""
+    arcs = G.arcs(X.edges(t))
+    p = G.shortest_path(arcs, X.starts(t), X.goals(t)).select("g", "step", "r", "c")
+    nxt = p.select("g", (F.col("step") - 1).alias("step"), F.col("r").alias("r2"), F.col("c").alias("c2"))
+    ok = p.join(nxt, ["g", "step"]).join(arcs.select("g", "r", "c", "r2", "c2").distinct(), ["g", "r", "c", "r2", "c2"]).groupBy("g").agg(F.count(F.lit(1)).alias("arcs"))
+    x = p.groupBy("g").agg(F.max("step").alias("steps"), F.count(F.lit(1)).cast("int").alias("nodes")).join(ok, "g", "left")
+    return x.select("g", "steps", "nodes", (F.coalesce("arcs", F.lit(0)) == F.col("steps")).alias("connected"))

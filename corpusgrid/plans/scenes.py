@@ -195,7 +195,7 @@ def e6_coordinate_search(t):
         costs = G.route_costs(arcs, profiles, starts, vias, goals).withColumns({"label": F.col("g") % 4, "row": F.struct("g", "profile")})
         return A.tie_scores(costs, "row", "cost", "action", "label").groupBy("row.profile").agg(F.avg("score").alias("score"))
 
-    base = dict(zip(X.PROFILE_COLUMNS, X.PROFILES["plain"]))
+    base = dict(zip(X.PROFILE_COLUMNS, X.PROFILES["unit"]))
     best, value = E.coordinate_search(t.spark, base, {"crowded": [0, 80], "turn": [0, 40]}, score, rounds=1)
     return t.spark.createDataFrame([(k, v, value) for k, v in best.items()], "field string, weight long, score double")
 

@@ -28,7 +28,7 @@ def start(spark, r, c, h):
 
 
 def profile(spark):
-    return spark.createDataFrame([("p", *X.PROFILES["plain"])], "profile string, " + ", ".join(f"{c} long" for c in X.PROFILE_COLUMNS))
+    return spark.createDataFrame([("p", *X.PROFILES["unit"])], "profile string, " + ", ".join(f"{c} long" for c in X.PROFILE_COLUMNS))
 
 
 def rows(df, *cols):
@@ -85,8 +85,27 @@ def test_repair_takes_the_first_step_that_helps(spark):
     reversed_ = edges(spark, [(0, 0, 0, 1, "normal", False, 0, 0), (0, 1, 0, 2, "normal", False, 0, 1)])
     closed = edges(spark, [(0, 0, 0, 1, "closed", False, None, None), (0, 1, 0, 2, "normal", False, None, None)])
     missing = edges(spark, plain((0, 0, 0, 1)))
+    grids = spark.createDataFrame([(1, 1, 3), (2, 1, 2)], "g long, grid_rows int, grid_cols int")
     for e, step in ((reversed_, 1), (missing, 2), (closed, 3)):
-        assert G.repair(e, nodes, at(spark, (0, 0)), none, at(spark, (0, 2)), 1, 3).first()["step"] == step
+        assert G.repair(e, nodes, at(spark, (0, 0)), none, at(spark, (0, 2)), grids, none).first()["step"] == step
+    # a node is missing: only the last step has it, in a graph's own grid or as a landmark
+    two = at(spark, (0, 0), (0, 2))
+    assert G.repair(missing, two, at(spark, (0, 0)), none, at(spark, (0, 2)), grids, none).first()["step"] == 4
+    narrow = spark.createDataFrame([(1, 1, 1)], "g long, grid_rows int, grid_cols int")
+    assert G.repair(missing, two, at(spark, (0, 0)), none, at(spark, (0, 2)), narrow, none).first()["step"] is None
+    assert G.repair(missing, two, at(spark, (0, 0)), none, at(spark, (0, 2)), narrow, at(spark, (0, 1), (0, 2))).first()["step"] == 4
+
+
+def test_routes_by_group_and_by_rounds_agree(spark):
+    class T:
+        pass
+
+    t = T()
+    t.spark, t.supplier = spark, spark.range(1, 8).withColumnRenamed("id", "s_suppkey")
+    few = X.profiles(t).where("profile in ('unit', 'crowd_2', 'prefer_left', 'fit_r1_rain')")
+    args = (G.arcs(X.edges(t)), few, X.starts(t), X.vias(t), X.goals(t))
+    group, rounds = (sorted(map(tuple, G.route_costs(*args, group_arcs=n).select("g", "profile", "action", "cost").collect())) for n in (10_000, 0))
+    assert group == rounds and len(group) > 20 and len(X.PROFILES) == 48
 
 
 def test_shortest_path(spark):

@@ -97,6 +97,33 @@ def test_correction_uses_neighbours(spark):
     assert got == {0: "bring", 1: "red", 2: "box"}
 
 
+def test_correction_of_known_words_needs_ten_times_the_support(spark):
+    v = spark.createDataFrame([("red", 50), ("rod", 80), ("box", 60), ("the", 99), ("it", 9), ("is", 9)], "w string, n long")
+    p = spark.createDataFrame([("the", "red", 20), ("red", "box", 30), ("the", "rod", 2), ("rod", "box", 3), ("it", "is", 50)], "a string, b string, n long")
+    said = [(1, 0, "the"), (1, 1, "rod"), (1, 2, "box"), (2, 0, "rod"), (3, 0, "the"), (3, 1, "rod"), (3, 2, "is"), (4, 0, "is"), (4, 1, "is")]
+    got = {(r["row"], r["pos"]): r["fixed"] for r in L.correct(spark.createDataFrame(said, "row int, pos int, w string"), v, p, "row").collect()}
+    # replaced where both neighbours speak for it; not alone, not with one side only, not in two letters
+    assert got == {(1, 0): "the", (1, 1): "red", (1, 2): "box", (2, 0): "rod", (3, 0): "the", (3, 1): "rod", (3, 2): "is", (4, 0): "is", (4, 1): "is"}
+
+
+def test_draws_of_large_and_text_ids(spark):
+    big = spark.range(5_000_000_000, 5_000_000_400).withColumnRenamed("id", "k")
+    got = [r["k"] for r in M.exact_sample(big, "k", 40).collect()]
+    assert len(set(got)) == 40 and got != [r["k"] for r in M.exact_sample(big, "k", 40, seed=1).collect()]
+    text = big.select(F.concat(F.lit("id"), "k").alias("k"), (F.col("k") % 3).alias("s"))
+    assert M.exact_sample(text, "k", 7).count() == 7 and {r["fold"] for r in M.folds(text, "k", "s").collect()} == set(range(5))
+
+
+def test_numbers_and_sums_within_keys(spark):
+    df = spark.createDataFrame([(None if i % 7 == 0 else "hot" if i % 2 else f"k{i % 3}", i) for i in range(200)], "k string, v int").repartition(5)
+    want, got = {}, {(r["k"], r["v"]): r["n"] for r in M.numbered(df, ["k"], "v").collect()}
+    sums, upto = {}, {(r["k"], r["v"]): r["upto"] for r in M.running_sum(df, ["k"], "v", "v").collect()}
+    for i in range(200):
+        k = None if i % 7 == 0 else "hot" if i % 2 else f"k{i % 3}"
+        want[k], sums[k] = want.get(k, 0) + 1, sums.get(k, 0) + i
+        assert (got[k, i], upto[k, i]) == (want[k], sums[k])
+
+
 def test_stress_is_reproducible(spark):
     df = spark.createDataFrame([(1, "Lấy gói hàng, nhanh!")], "id int, text string")
     a, b = (sorted(map(tuple, U.stress_variants(df, "id", "text").collect())) for _ in range(2))
@@ -128,7 +155,10 @@ def test_json_sources(spark, tmp_path):
     assert o.count() == 10 and S.scene_index(o).first()["image"] == "a.png" and o.first()["scene_id"] == "test-1"
     assert [tuple(r) for r in S.alignment_problems(o, l).collect()] == [("9", "no_label")]
     (tmp_path / "c.jsonl").write_text('{"id": "a", "text": "x"}\nnot json\n')
-    assert [r["_corrupt_record"] for r in S.jsonl(spark, str(tmp_path / "c.jsonl")).orderBy("id").collect()] == ["not json", None]
+    assert [(r["_corrupt_record"], r["line"]) for r in S.jsonl(spark, str(tmp_path / "c.jsonl")).orderBy("id").collect()] == [("not json", 2), (None, 1)]
+    (tmp_path / "none.jsonl").write_text("")
+    with pytest.raises(ValueError):
+        S.jsonl(spark, str(tmp_path / "none.jsonl"))
     (tmp_path / "s.json").write_text(json.dumps([{"scene_id": "s", "road_look": {"normal": "closed"}}]))
     assert S.annotations(spark, str(tmp_path / "s.json")).first()["legend_swapped"]
     S.write_positional(l.where("label is not null"), "pos", "label", str(tmp_path / "out"), 9)
