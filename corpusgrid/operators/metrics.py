@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.operators.sample import numbered
+from corpusgrid.session import stage
 
 
 def rate(ok: Column) -> Column:
@@ -148,14 +149,22 @@ def cue_table(df: DataFrame, cues: dict[str, Column], label: Column, *by: str) -
     return g.withColumn("difference", F.col("p_with") - F.col("p_without"))
 
 
-def shortcuts(df: DataFrame, grams: Column, labels: list[str], low: Column | int, high: float, total: int, top: int = 20) -> DataFrame:
+def shortcuts(df: DataFrame, grams: Column, labels: list[str], least: int = 64, low: float = 0.03, high: float = 0.97, large: float = 0.2, top: int = 20) -> DataFrame:
     """Grams whose presence tells a label: largest |P(label | gram) - 0.5| among those of enough support.
 
-    All labels are summed in one aggregate over the exploded grams (distinct per row), and grams without support go
-    before ranking.
+    Support is at least `least` rows and the share `low`, at most the share `high`; from the share `large` on it is a list
+    of its own. Each list has its `top` grams, and how many of it are 10 and 20 points off. All labels are summed in one
+    aggregate over the exploded grams (distinct per row); a null gram of every row counts the rows in the same pass, and
+    grams without support go before ranking.
     """
-    each = df.select(*labels, F.explode(grams).alias("gram"))
-    g = each.groupBy("gram").agg(F.count(F.lit(1)).alias("support"), *[F.sum(F.col(x).cast("int")).alias(x) for x in labels]).where((F.col("support") >= low) & (F.col("support") <= high * total))
+    each = df.select(*labels, F.explode(F.concat(grams, F.array(F.lit(None).cast("string")))).alias("gram"))
+    g = each.groupBy("gram").agg(F.count(F.lit(1)).alias("support"), *[F.sum(F.col(x).cast("int")).alias(x) for x in labels]).where((F.col("support") >= least) | F.col("gram").isNull())
+    g = stage(g, "grams")
+    total = (g.where("gram is null").agg(F.max("support")).first()[0] or 0)
+    g = g.where("gram is not null").where((F.col("support") >= low * total) & (F.col("support") <= high * total))
     long = g.select("gram", "support", F.explode(F.array(*[F.struct(F.lit(x).alias("label"), (F.col(x) / F.col("support")).alias("p")) for x in labels])).alias("x")).select("gram", "support", "x.label", "x.p")
-    w = Window.partitionBy("label").orderBy(F.desc(F.abs(F.col("p") - 0.5)), "gram")
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    long = long.withColumn("size", F.when(F.col("support") >= large * total, "large").otherwise("medium"))
+    off = F.abs(F.col("p") - 0.5)
+    counts = long.groupBy("label", "size").agg(F.count_if(off >= 0.1).alias("over_10"), F.count_if(off >= 0.2).alias("over_20"))
+    w = Window.partitionBy("label", "size").orderBy(F.desc(off), "gram")
+    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).join(F.broadcast(counts), ["label", "size"])

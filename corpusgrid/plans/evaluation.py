@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import expr as T
@@ -182,6 +183,28 @@ def a23_corpus_profile(t):
     )
 
 
+@query("SELECT source, lang, toxic = 1 AS toxic, cue, count(*) AS n FROM (" + C + "SELECT * FROM c) GROUP BY ALL")
+def a23_joint_flags(t):
+    """Joint table of label and cue."""
+    return labelled(t).groupBy("source", "lang", (F.col("toxic") == 1).alias("toxic"), "cue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH w AS (SELECT source, unnest({WORDS}) w FROM documents) SELECT source, w, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) r FROM (SELECT source, w, count(*) n FROM w GROUP BY source, w)) WHERE r <= 40""")
+def a23_top_tokens(t):
+    """The forty most frequent tokens of each source. The rank filter keeps forty of a source in each task."""
+    w = t.documents.select("source", F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).groupBy("source", "w").agg(F.count(F.lit(1)).alias("n"))
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "w"))).where("rank <= 40")
+
+
+@query(f"""WITH w AS (SELECT unnest({WORDS}) w, source = 'src3' h FROM documents), v AS (SELECT w, count(*) FILTER (h) n, bool_or(NOT h) known FROM w GROUP BY w HAVING count(*) FILTER (h) > 0)
+SELECT w, n FROM v WHERE NOT known ORDER BY n DESC, w LIMIT 25""")
+def a25_oov_examples(t):
+    """The most frequent tokens of one source that the others do not have."""
+    w = t.documents.select((F.col("source") == "src3").alias("h"), F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    v = w.groupBy("w").agg(F.count_if("h").alias("n"), F.bool_or(~F.col("h")).alias("known")).where("n > 0 and not known")
+    return v.orderBy(F.desc("n"), "w").limit(25).select("w", "n")
+
+
 @query(f"""WITH w AS (SELECT unnest({WORDS}) w, source = 'src3' h FROM documents), v AS (SELECT w, count(*) FILTER (h) n, bool_or(NOT h) known FROM w GROUP BY w HAVING count(*) FILTER (h) > 0)
 SELECT count(*) AS types, sum(n)::BIGINT AS tokens, count(*) FILTER (NOT known) / count(*) AS oov_types, sum(n) FILTER (NOT known) / sum(n) AS oov_tokens FROM v""")
 def a25_oov(t):
@@ -198,12 +221,13 @@ def a26_cue_table(t):
 
 
 @query(f"""WITH c AS (SELECT quality, toxic, list_distinct({WORDS}) || list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) g FROM (SELECT *, {WORDS} w FROM documents JOIN labels USING (doc_id))),
-e AS (SELECT quality, toxic, unnest(g) gram FROM c), n AS (SELECT count(*) n FROM c), s AS (SELECT gram, count(*) support, sum(quality) q, sum(toxic) t FROM e GROUP BY gram HAVING count(*) >= 12 AND count(*) <= 0.97 * (SELECT n FROM n)),
-l AS (SELECT gram, support, 'quality' AS label, q / support AS p FROM s UNION ALL SELECT gram, support, 'toxic', t / support FROM s)
-SELECT gram, support, label, p, row_number() OVER (PARTITION BY label ORDER BY abs(p - 0.5) DESC, gram) AS rank FROM l QUALIFY rank <= 20""")
+e AS (SELECT quality, toxic, unnest(g) gram FROM c), n AS (SELECT count(*) n FROM c), s AS (SELECT gram, count(*) support, sum(quality) q, sum(toxic) t FROM e GROUP BY gram HAVING count(*) >= greatest(64, 0.03 * (SELECT n FROM n)) AND count(*) <= 0.97 * (SELECT n FROM n)),
+l AS (SELECT gram, support, 'quality' AS label, q / support AS p FROM s UNION ALL SELECT gram, support, 'toxic', t / support FROM s),
+r AS (SELECT *, CASE WHEN support >= 0.2 * (SELECT n FROM n) THEN 'large' ELSE 'medium' END AS size FROM l)
+SELECT gram, support, label, p, size, row_number() OVER (PARTITION BY label, size ORDER BY abs(p - 0.5) DESC, gram) AS rank, count(*) FILTER (abs(p - 0.5) >= 0.1) OVER (PARTITION BY label, size) AS over_10, count(*) FILTER (abs(p - 0.5) >= 0.2) OVER (PARTITION BY label, size) AS over_20 FROM r QUALIFY rank <= 20""")
 def a27_shortcuts(t):
     x = t.documents.join(t.labels, "doc_id").select("quality", "toxic", T.uni_and_bigrams(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("g"))
-    return A.shortcuts(x, F.col("g"), ["quality", "toxic"], 12, 0.97, t.labels.join(t.documents.select("doc_id"), "doc_id").count())
+    return A.shortcuts(x, F.col("g"), ["quality", "toxic"])
 
 
 @query("SELECT clause, lang, source, count(*) AS n, min(doc_id) AS example FROM documents JOIN (VALUES ('all rights reserved'), ('licensed under'), ('the the')) v(clause) ON contains(lower(text), clause) GROUP BY ALL")
@@ -213,12 +237,22 @@ def a28_clause_counts(t):
     return x.join(F.broadcast(c), F.contains("x", "clause")).groupBy("clause", "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("example"))
 
 
-@query("""SELECT corpus, count(*) AS n, quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, avg((n >= 70)::INT) AS long_share, avg((n <= 25)::INT) AS short_share
-FROM (SELECT source AS corpus, len(string_split(text, ' ')) n FROM documents UNION ALL SELECT 'benchmark', len(string_split(text, ' ')) FROM benchmark UNION ALL SELECT 'conversations', len(string_split(text, ' ')) FROM conversations) GROUP BY corpus""")
+@query("""SELECT corpus, count(*) AS n, quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, avg((n >= 70)::INT) AS long_share, avg((n <= 25)::INT) AS short_share, avg(cue::INT) AS cue_share
+FROM (SELECT source AS corpus, len(string_split(text, ' ')) n, regexp_matches(lower(text), 'trash|scum') cue FROM documents UNION ALL SELECT 'benchmark', len(string_split(text, ' ')), regexp_matches(lower(text), 'trash|scum') FROM benchmark UNION ALL SELECT 'conversations', len(string_split(text, ' ')), regexp_matches(lower(text), 'trash|scum') FROM conversations) GROUP BY corpus""")
 def a29_drift(t):
-    n = F.size(F.split("text", " ")).alias("n")
-    x = t.documents.select(F.col("source").alias("corpus"), n).unionByName(t.benchmark.select(F.lit("benchmark").alias("corpus"), n)).unionByName(t.conversations.select(F.lit("conversations").alias("corpus"), n))
-    return x.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.percentile("n", 0.1).alias("p10"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.9).alias("p90"), A.rate(F.col("n") >= 70).alias("long_share"), A.rate(F.col("n") <= 25).alias("short_share"))
+    n = F.struct(F.size(F.split("text", " ")).alias("n"), F.lower("text").rlike("trash|scum").alias("cue")).alias("x")
+    x = t.documents.select(F.col("source").alias("corpus"), n).unionByName(t.benchmark.select(F.lit("benchmark").alias("corpus"), n)).unionByName(t.conversations.select(F.lit("conversations").alias("corpus"), n)).select("corpus", "x.*")
+    return x.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.percentile("n", 0.1).alias("p10"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.9).alias("p90"), A.rate(F.col("n") >= 70).alias("long_share"), A.rate(F.col("n") <= 25).alias("short_share"), A.rate(F.col("cue")).alias("cue_share"))
+
+
+@query("""WITH p AS (SELECT source AS corpus, array_to_string(string_split(lower(text), ' ')[1:8], ' ') p FROM documents UNION ALL SELECT 'benchmark', array_to_string(string_split(lower(text), ' ')[1:8], ' ') FROM benchmark UNION ALL SELECT 'conversations', array_to_string(string_split(lower(text), ' ')[1:8], ' ') FROM conversations)
+SELECT corpus, p AS prefix, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, p) r FROM (SELECT corpus, p, count(*) n FROM p GROUP BY corpus, p)) WHERE r <= 8""")
+def a29_top_prefixes(t):
+    """The eight most frequent openings of each corpus."""
+    p = F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 8), " ").alias("prefix")
+    x = t.documents.select(F.col("source").alias("corpus"), p).unionByName(t.benchmark.select(F.lit("benchmark").alias("corpus"), p)).unionByName(t.conversations.select(F.lit("conversations").alias("corpus"), p))
+    n = x.groupBy("corpus", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("n"), "prefix"))).where("rank <= 8")
 
 
 @query(C + r"SELECT source, avg(regexp_matches(text, '\d')::INT) AS digits, avg(regexp_matches(text, '[A-Z]{4}')::INT) AS shouting, avg((toxic = 1 AND NOT cue)::INT) AS label_without_cue, avg((toxic = 0 AND cue)::INT) AS cue_without_label FROM c GROUP BY source")
@@ -238,10 +272,11 @@ def a32_verdict_rollup(t):
     return x.select("chunk", *[F.coalesce(c, F.lit(0)).alias(c.lower()) for c in ("A", "N", "R")])
 
 
-@query(r"SELECT source, count(*) AS n, count(DISTINCT k) AS texts, count(DISTINCT p) AS prefixes FROM (SELECT source, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) k, array_to_string(string_split(lower(text), ' ')[1:8], ' ') p FROM documents) GROUP BY source")
+@query(r"SELECT source, count(*) AS n, count(DISTINCT k) AS texts, count(DISTINCT p) AS prefixes, (SELECT max(m) FROM (SELECT count(*) m FROM documents z WHERE z.source = x.source GROUP BY array_to_string(string_split(lower(text), ' ')[1:8], ' '))) AS most_of_a_prefix FROM (SELECT source, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) k, array_to_string(string_split(lower(text), ' ')[1:8], ' ') p FROM documents) x GROUP BY source")
 def a33_diversity(t):
     x = t.documents.select("source", T.squash(F.col("text")).alias("k"), F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 8), " ").alias("p"))
-    return x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("k")).alias("texts"), F.count_distinct("p").alias("prefixes"))
+    most = x.groupBy("source", "p").agg(F.count(F.lit(1)).alias("m")).groupBy("source").agg(F.max("m").alias("most_of_a_prefix"))
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("k")).alias("texts"), F.count_distinct("p").alias("prefixes")).join(most, "source")
 
 
 @query(P + "SELECT l_linenumber, count(*) FILTER (NOT ok AND l_discount >= 0.09) AS confident_errors, count(*) FILTER (l_returnflag = 'R' AND pred <> 'R') AS named_missed, count(*) FILTER (l_returnflag = 'R' AND ok) AS named_right FROM p GROUP BY l_linenumber")

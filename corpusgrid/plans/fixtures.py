@@ -85,8 +85,12 @@ def starts(t):
     return scenes(t).select("g", F.col("robot_r").alias("r"), F.col("robot_c").alias("c"), "heading")
 
 
-def profiles(t):
-    return t.spark.createDataFrame([(k, *v) for k, v in PROFILES.items()], "profile string, " + ", ".join(f"{c} long" for c in PROFILE_COLUMNS))
+#: Profiles of the queries that only show what is done with costs.
+FEW = {k: PROFILES[k] for k in ("unit", "crowd_2", "fit_r5")}
+
+
+def profiles(t, of=None):
+    return t.spark.createDataFrame([(k, *v) for k, v in (of or PROFILES).items()], "profile string, " + ", ".join(f"{c} long" for c in PROFILE_COLUMNS))
 
 
 _T = "['gate', 'library', 'canteen', 'store']"

@@ -27,13 +27,19 @@ def g1_arcs(t):
 
 
 _TURN = "['straight', 'right_turn', 'u_turn', 'left_turn'][(([0, 2, 3, 1][action + 1] - [0, 2, 3, 1][heading + 1]) % 4 + 4) % 4 + 1]"
-_PROFILES = ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in X.PROFILES.items())
-COSTS = f""", prof(profile, step, crowded, covered, stairs_w, turn, left_turn, right_turn, u_turn) AS (VALUES {_PROFILES}),
+
+
+def _costs(profiles: dict) -> str:
+    values = ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in profiles.items())
+    return f""", prof(profile, step, crowded, covered, stairs_w, turn, left_turn, right_turn, u_turn) AS (VALUES {values}),
 turned AS (SELECT *, {_TURN} t FROM arcs, (SELECT unnest(range(4)) heading)),
 priced AS (SELECT g, profile, r, c, heading, r2, c2, action, step + CASE status WHEN 'crowded' THEN crowded WHEN 'covered' THEN covered ELSE 0 END + CASE WHEN stairs THEN stairs_w ELSE 0 END + CASE WHEN t <> 'straight' THEN turn ELSE 0 END
  + CASE t WHEN 'left_turn' THEN left_turn WHEN 'right_turn' THEN right_turn WHEN 'u_turn' THEN u_turn ELSE 0 END cost FROM turned, prof)"""
 
 
+COSTS = _costs(X.PROFILES)
+
+
 @query(X.SQL + COSTS + " SELECT profile, t AS turn, count(*) AS n, sum(cost)::BIGINT AS cost FROM (SELECT p.*, " + _TURN + " t FROM priced p) GROUP BY ALL")
 def g3_arc_costs(t):
     """All arcs, headings and profiles."""
@@ -56,11 +62,11 @@ routes AS (SELECT m.g, m.profile, m.action, min(m.cost + s.l) AS cost FROM moves
 JOIN s{n} s ON s.g = m.g AND s.profile = m.profile AND s.r = m.r2 AND s.c = m.c2 AND s.heading = m.action AND s.done = m.done2 GROUP BY ALL)"""
 
 
-ROUTES = X.SQL + COSTS + _rounds(26)
+ROUTES, FEW_ROUTES = (X.SQL + _costs(p) + _rounds(26) for p in (X.PROFILES, X.FEW))
 
 
-def routes(t):
-    return G.route_costs(G.arcs(X.edges(t)), X.profiles(t), X.starts(t), X.vias(t), X.goals(t))
+def routes(t, of=None):
+    return G.route_costs(G.arcs(X.edges(t)), X.profiles(t, of), X.starts(t), X.vias(t), X.goals(t))
 
 
 @query(ROUTES + " SELECT g, profile, action, cost::BIGINT AS cost FROM routes")
@@ -68,9 +74,9 @@ def g4_route_costs(t):
     return routes(t)
 
 
-@query(ROUTES + " SELECT g, profile, arg_min(action, cost * 10 + [2, 4, 3, 1][action + 1]) AS action, min(cost)::BIGINT AS cost FROM routes GROUP BY ALL")
+@query(FEW_ROUTES + " SELECT g, profile, arg_min(action, cost * 10 + [2, 4, 3, 1][action + 1]) AS action, min(cost)::BIGINT AS cost FROM routes GROUP BY ALL")
 def g5_best_action(t):
-    return G.best_action(routes(t), ["g", "profile"], [3, 0, 2, 1])
+    return G.best_action(routes(t, X.FEW), ["g", "profile"], [3, 0, 2, 1])
 
 
 @query(X.SQL + REACH + " SELECT g, r, c FROM reach")

@@ -47,7 +47,14 @@ def t13_noise(t):
 ALIASES = {"size": ["large", "big", "huge"], "colour": ["red", "blue", "green"]}
 
 
-@query()
+def _swap_sql(text: str, name: str, key: str, rate: float) -> str:
+    pattern = r"\b(?:" + "|".join(sorted(ALIASES[name], key=len, reverse=True)) + r")\b"
+    pick = f"{ALIASES[name]}[floor({sql_coin(repr('alias'), repr(name), key)} * {len(ALIASES[name])})::BIGINT + 1]"
+    return f"CASE WHEN {sql_coin(repr('swap'), repr(name), key)} < {rate} AND regexp_matches({text}, '{pattern}') THEN regexp_extract({text}, '(?s)^(.*?){pattern}', 1) || {pick} || regexp_extract({text}, '(?s)^.*?{pattern}(.*)$', 1) ELSE {text} END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, lower(p_name) || ' large red box' x FROM part), a AS (SELECT p_partkey, x, replace(x, 'red box', chr(2) || '0' || chr(3)) y FROM p), b AS (SELECT p_partkey, x, {_swap_sql('y', 'size', 'p_partkey', 0.7)} y FROM a)
+SELECT p_partkey, x, replace({_swap_sql('y', 'colour', 'p_partkey', 0.7)}, chr(2) || '0' || chr(3), 'red box') AS swapped FROM b""")
 def t14_alias_swap(t):
     """Hashed choice among aliases; tests check keys, blocked phrases and reruns."""
     p = t.part.select("p_partkey", F.concat(F.lower("p_name"), F.lit(" large red box")).alias("x"))
@@ -69,7 +76,9 @@ def t16_ablation(t):
     return x.select("doc_id", "a.matched", F.md5("a.text").alias("text"))
 
 
-@query()
+@query(rf"""WITH s AS (SELECT conv_id, turn, conv_id * 1000 + turn k, [y for y in [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split_regex(text, '[.!?;()\[\]]')] if y <> ''] s FROM conversations),
+f AS (SELECT conv_id, turn, k, s, [s[i] for i in range(1, len(s) + 1) if NOT (regexp_matches(s[i], '\bnot\b') AND {sql_coin("'drop'", 'k', '(i - 1)')} < 0.5)] l FROM s), a AS (SELECT *, floor({sql_coin("'turn'", 'k')} * len(l))::BIGINT at_ FROM f)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(l) > 0 THEN l[at_ + 1:] || l[1:at_] ELSE s END, '. ') AS text FROM a""")
 def t17_drop_and_reorder(t):
     """Hashed dropout of clauses; tests check that only optional clauses go."""
     x = t.conversations.select("conv_id", "turn", T.sentences(F.col("text")).alias("s"))
@@ -122,7 +131,20 @@ def l2_bigrams(t):
     return L.bigrams(w, L.vocabulary(w.select("w")), "doc_id")
 
 
-@query()
+_SAID = f"SELECT conv_id * 1000 + turn AS row, i - 1 AS pos, w[i] AS w FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) i FROM (SELECT conv_id, turn, {WORDS} w FROM conversations))"
+L3 = VOCAB + f""", d AS (SELECT {WORDS} w FROM documents), b AS MATERIALIZED (SELECT a, b, count(*) n FROM (SELECT w[i] a, w[i + 1] b FROM (SELECT w, unnest(range(1, len(w))) i FROM d)) WHERE a IN (SELECT w FROM kept) AND b IN (SELECT w FROM kept) GROUP BY ALL HAVING count(*) >= 3),
+said AS MATERIALIZED ({_SAID}), sw AS MATERIALIZED (SELECT DISTINCT s.w, k.w IS NOT NULL known FROM said s LEFT JOIN kept k ON s.w = k.w WHERE k.w IS NULL OR length(s.w) >= 3),
+kk AS MATERIALIZED (SELECT w cand, n, unnest(list_append([w[1:i - 1] || w[i + 1:] for i in range(1, length(w) + 1)], w)) k FROM kept), sk AS (SELECT w, known, unnest(list_append([w[1:i - 1] || w[i + 1:] for i in range(1, length(w) + 1)], w)) k FROM sw),
+cd AS MATERIALIZED (SELECT w, known, cand, n FROM (SELECT DISTINCT w, known, cand, n FROM sk JOIN kk USING (k) WHERE w <> cand) WHERE damerau_levenshtein(w, cand) <= 1), f0 AS MATERIALIZED (SELECT row, pos, w, w fixed FROM said)"""
+for _i in range(1, 5):
+    L3 += f""", x{_i} AS (SELECT f.row, f.pos, f.w, lag(fixed) OVER v prev, lead(fixed) OVER v nxt FROM f{_i - 1} f WINDOW v AS (PARTITION BY row ORDER BY pos)),
+y{_i} AS (SELECT x.row, x.pos, c.cand, c.n, known, prev, nxt, coalesce(ln.n, 0) l, coalesce(rn.n, 0) r, coalesce(lo.n, 0) l0, coalesce(ro.n, 0) r0 FROM x{_i} x JOIN cd c ON c.w = x.w LEFT JOIN b ln ON ln.a = prev AND ln.b = cand LEFT JOIN b rn ON rn.a = cand AND rn.b = nxt
+LEFT JOIN b lo ON lo.a = prev AND lo.b = x.w LEFT JOIN b ro ON ro.a = x.w AND ro.b = nxt),
+z{_i} AS (SELECT row, pos, cand FROM y{_i} WHERE NOT known OR ((prev IS NOT NULL OR nxt IS NOT NULL) AND (prev IS NULL OR (l >= 10 AND l >= 10 * l0)) AND (nxt IS NULL OR (r >= 10 AND r >= 10 * r0))) QUALIFY row_number() OVER (PARTITION BY row, pos ORDER BY l + r DESC, n DESC, cand) = 1),
+f{_i} AS MATERIALIZED (SELECT f.row, f.pos, f.w, coalesce(cand, f.w) fixed FROM f0 f LEFT JOIN z{_i} z ON z.row = f.row AND z.pos = f.pos)"""
+
+
+@query(L3 + " SELECT row, pos, w, fixed FROM f4 WHERE w <> fixed")
 def l3_correct(t):
     """Conversations corrected against the vocabulary of the documents; tests fix known sentences."""
     w = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))

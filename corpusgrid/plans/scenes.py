@@ -8,7 +8,7 @@ from corpusgrid.operators import features as P
 from corpusgrid.operators import graph as G
 from corpusgrid.operators import resolve as J
 from corpusgrid.plans import fixtures as X
-from corpusgrid.plans.graphs import ROUTES, routes
+from corpusgrid.plans.graphs import FEW_ROUTES, ROUTES, routes
 from corpusgrid.plans.registry import query
 
 REFS = ("north", "near", "far", "west_most", "anchor_near", None, "east")
@@ -94,12 +94,13 @@ def f2_action_features(t):
     return actions(t)
 
 
-FEATURES = ROUTES + """, feats AS (SELECT x.g, x.profile, x.action, coalesce(cost, 100000) AS cost, coalesce(cost - min(cost) OVER w, 100000) AS regret, CASE WHEN cost IS NULL THEN 4 ELSE dense_rank() OVER (PARTITION BY x.g, x.profile ORDER BY cost NULLS LAST) - 1 END AS rank, CASE WHEN cost = min(cost) OVER w THEN 1 ELSE 0 END AS best
+_FEATS = """, feats AS (SELECT x.g, x.profile, x.action, coalesce(cost, 100000) AS cost, coalesce(cost - min(cost) OVER w, 100000) AS regret, CASE WHEN cost IS NULL THEN 4 ELSE dense_rank() OVER (PARTITION BY x.g, x.profile ORDER BY cost NULLS LAST) - 1 END AS rank, CASE WHEN cost = min(cost) OVER w THEN 1 ELSE 0 END AS best
 FROM (SELECT g, profile, action FROM graphs, (SELECT DISTINCT profile FROM prof), (SELECT unnest(range(4)) action)) x LEFT JOIN routes r ON r.g = x.g AND r.profile = x.profile AND r.action = x.action WINDOW w AS (PARTITION BY x.g, x.profile))"""
+FEATURES, FEW_FEATURES = ROUTES + _FEATS, FEW_ROUTES + _FEATS
 
 
-def features(t):
-    return P.cost_features(X.graphs(t), X.profiles(t), routes(t))
+def features(t, of=None):
+    return P.cost_features(X.graphs(t), X.profiles(t, of), routes(t, of))
 
 
 @query(FEATURES + " SELECT g, profile, action, cost::BIGINT AS cost, regret::BIGINT AS regret, rank, best FROM feats")
@@ -115,12 +116,19 @@ def f5_candidates(t):
     return P.labelled(P.candidates(actions(t), context(t)), labels).select("g", "action", "n_legal", "excess", "n_nodes", "heading_0", "positive")
 
 
-_WIDE = ", ".join(f"max({v}) FILTER (profile = '{p}' AND action = {a})::BIGINT AS {p}_{a}_{v}" for p in X.PROFILES for a in range(4) for v in ("cost", "rank"))
+@query(X.SQL + _CTX + _ACT + " SELECT g, action, action = g % 4 AS positive FROM acts WHERE legal AND g % 2 = 0")
+def f6_labelled(t):
+    """Candidates of the graphs with a label (those of even number): which of them is the label."""
+    labels = X.graphs(t).where("g % 2 = 0").select("g", (F.col("g") % 4).alias("action"))
+    return P.labelled(P.candidates(actions(t), context(t)), labels).select("g", "action", "positive")
 
 
-@query(FEATURES + f" SELECT g, {_WIDE} FROM feats GROUP BY g")
+_WIDE = ", ".join(f"max({v}) FILTER (profile = '{p}' AND action = {a})::BIGINT AS {p}_{a}_{v}" for p in X.FEW for a in range(4) for v in ("cost", "rank"))
+
+
+@query(FEW_FEATURES + f" SELECT g, {_WIDE} FROM feats GROUP BY g")
 def f7_wide(t):
-    return P.wide(features(t), list(X.PROFILES), ("cost", "rank"))
+    return P.wide(features(t, X.FEW), list(X.FEW), ("cost", "rank"))
 
 
 _SCORE = ", sc AS (SELECT g, action, ((g * 7 + action * 11) % 5 / 5) p FROM arcs a JOIN scenes s USING (g) WHERE a.r = s.robot_r AND a.c = s.robot_c)"
@@ -164,7 +172,18 @@ def p2_dominant_angle(t):
     return P.dominant_angle(points(t), ["g"], "k").select("g", F.round("angle", 6).alias("angle"))
 
 
-@query()
+def _grid_sql(pts: str) -> str:
+    """Fitted cells of points (t, g, k, x, y, score), t a further key."""
+    near = "row_number() OVER (PARTITION BY t, g, k ORDER BY d2, k2)"
+    return f""", q AS (SELECT a.t, a.g, a.k, a.x, a.y, b.x x2, b.y y2, (a.x - b.x)^2 + (a.y - b.y)^2 d2, b.k k2 FROM {pts} a JOIN {pts} b ON a.t = b.t AND a.g = b.g AND a.k <> b.k), q2 AS MATERIALIZED (SELECT *, {near} rk FROM q QUALIFY rk <= 2),
+an AS (SELECT t, g, quantile_cont(((atan2(y2 - y, x2 - x) + pi() / 4) % (pi() / 2) + pi() / 2) % (pi() / 2) - pi() / 4, 0.5) angle FROM q2 GROUP BY t, g), sp AS (SELECT t, g, quantile_cont(sqrt(d2), 0.5) spacing FROM q2 WHERE rk = 1 GROUP BY t, g),
+uv AS (SELECT p.*, spacing, x * cos(angle) + y * sin(angle) u, y * cos(angle) - x * sin(angle) v FROM {pts} p JOIN an USING (t, g) JOIN sp USING (t, g)),
+ul AS (SELECT *, coalesce(v - lag(v) OVER (PARTITION BY t, g ORDER BY v) > spacing / 2, false)::INT fv, coalesce(u - lag(u) OVER (PARTITION BY t, g ORDER BY u) > spacing / 2, false)::INT fu FROM uv),
+rc AS (SELECT *, sum(fv) OVER (PARTITION BY t, g ORDER BY v RANGE UNBOUNDED PRECEDING) AS row_, sum(fu) OVER (PARTITION BY t, g ORDER BY u RANGE UNBOUNDED PRECEDING) AS col_ FROM ul),
+fits AS (SELECT t, g, row_, col_, arg_max(k, score * 1000000 - k) k, count(*) OVER (PARTITION BY t, g) m FROM rc GROUP BY t, g, row_, col_), fitted AS (SELECT * FROM fits WHERE m >= 4)"""
+
+
+@query(POINTS + ", pt AS (SELECT 0 t, * FROM pts)" + _grid_sql("pt") + " SELECT g, row_::BIGINT AS row, col_::BIGINT AS col, k FROM fitted")
 def p3_fit_grid(t):
     """Cells of the fitted grids; tests compare them with the lattice that the points come from."""
     return P.fit_grid(points(t), ["g"], "k", "score")
@@ -175,9 +194,17 @@ def p4_spacing(t):
     return P.spacing(points(t), "g")
 
 
-@query()
+_SHAPES = POINTS + ", pt AS (SELECT v.t, p.* FROM pts p JOIN (VALUES (0.1::DOUBLE), (0.3), (0.5)) v(t) ON score >= v.t)" + _grid_sql("pt") + ", shapes AS (SELECT g, t AS threshold, count(DISTINCT row_) AS rows, count(DISTINCT col_) AS cols, count(*) AS cells FROM fitted GROUP BY ALL)"
+
+
+@query(_SHAPES + " SELECT g, threshold, rows, cols, cells FROM shapes")
+def p6_threshold_sweep(t):
+    return P.threshold_shapes(points(t), "g", "k", "score", [0.1, 0.3, 0.5])
+
+
+@query(_SHAPES + ", ok AS (SELECT g, min(threshold) threshold FROM shapes WHERE rows BETWEEN 3 AND 5 AND cols BETWEEN 3 AND 5 GROUP BY g) SELECT g, coalesce(threshold, 0.1) AS threshold FROM graphs LEFT JOIN ok USING (g)")
 def p5_threshold_retry(t):
-    """Grid shapes at each threshold, and the first good threshold of each graph."""
+    """The first good threshold of each graph."""
     shapes = P.threshold_shapes(points(t), "g", "k", "score", [0.1, 0.3, 0.5])
     return P.first_good_threshold(shapes, X.graphs(t), "g", 0.1, 3, 5)
 

@@ -49,13 +49,20 @@ def r1_tail_stream(t):
     return streamed(t, R.tail, "complete")
 
 
-@query()
+_BETTER = "(e.score >= best + 0.005 OR e.loss <= low - 0.02)"
+R2 = LOG_SQL.replace("WITH l AS", "WITH RECURSIVE l AS") + f""", e AS MATERIALIZED (SELECT run, seq, score, loss, row_number() OVER (PARTITION BY run ORDER BY seq) k FROM l WHERE event = 'epoch'),
+r AS (SELECT run, k, score best, loss low, 0 stale, 1 n, NULL::BIGINT stop FROM e WHERE k = 1 UNION ALL
+SELECT e.run, e.k, greatest(best, e.score), least(low, e.loss), CASE WHEN {_BETTER} THEN 0 ELSE stale + 1 END, n + 1, coalesce(stop, CASE WHEN n + 1 >= 8 AND CASE WHEN {_BETTER} THEN 0 ELSE stale + 1 END >= 3 THEN e.seq END) FROM r JOIN e ON e.run = r.run AND e.k = r.k + 1),
+s AS (SELECT run, max(stop) AS stop_epoch FROM r GROUP BY run) SELECT run, stop_epoch FROM s"""
+
+
+@query(R2)
 def r2_plateau(t):
     """Batch form; tests compare it with the stream form and a plain loop."""
     return R.plateau(log(t))
 
 
-@query()
+@query(R2 + " WHERE stop_epoch IS NOT NULL")
 def r2_plateau_stream(t):
     return streamed(t, R.plateau_stream, "append")
 
@@ -78,6 +85,66 @@ def r4_audit_batches(t):
     return t.spark.read.parquet(f"{place}/out").groupBy("batch_id").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
 
 
+ROBOTS = "o AS (SELECT s_suppkey s, i robot, row_number() OVER (ORDER BY s_suppkey, i) - 1 pos FROM supplier, (SELECT unnest(range(10)) i) WHERE NOT (s_suppkey % 7 = 0 AND i = 9)), l AS (SELECT pos, CASE WHEN pos % 13 > 0 THEN pos % 4 END AS label FROM (SELECT unnest(range((SELECT count(*) + 2 FROM o))) pos))"
+
+
+def split(t):
+    """A split in its source format, a list of observations and a list of labels, written from supplier: the folder.
+
+    Every seventh scene lacks its last robot, every fifth has two missions, every thirteenth label is not valid, and there
+    are two labels too many. Both lists are one JSON value by their format, so the table behind them is a small one.
+    """
+    place, s, i = f"{shared_dir(t.spark)}/corpusgrid/split-{uuid.uuid4().hex}", F.col("s_suppkey"), F.col("i")
+    rows = t.supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).where(~((s % 7 == 0) & (i == 9)))
+    o = rows.select(
+        "s_suppkey", "i", F.concat(F.lit("train-"), s, F.lit("-R"), i).alias("id"), i.alias("robot_id"), F.concat(F.lit("img"), (s * 3 + i) % 5, F.lit(".png")).alias("image"),
+        F.concat(F.lit("go "), F.when((s % 5 == 0) & (i == 3), "back").otherwise("on")).alias("mission"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "i", "id", "robot_id", "image", "mission"))), lambda x: F.struct(x["id"].alias("id"), x["robot_id"].alias("robot_id"), x["image"].alias("image"), x["mission"].alias("mission")))
+    o.agg(F.to_json(listed).alias("value")).write.text(f"{place}/observations")
+    n = F.count(F.lit(1)) + 1
+    o.agg(F.to_json(F.transform(F.sequence(F.lit(0).cast("long"), n), lambda p: F.when(p % 13 == 0, 7).otherwise(p % 4))).alias("value")).write.text(f"{place}/labels")
+    return place
+
+
+@query("WITH " + ROBOTS + """ SELECT 'train-' || s AS key, 'scene_shape' AS problem FROM (SELECT DISTINCT s FROM o) WHERE s % 7 = 0 OR s % 5 = 0
+UNION ALL SELECT l.pos::VARCHAR, CASE WHEN o.pos IS NULL THEN 'no_observation' ELSE 'no_label' END FROM l LEFT JOIN o ON o.pos = l.pos WHERE o.pos IS NULL OR label IS NULL""")
+def s1_split_loader(t):
+    place = split(t)
+    return S.alignment_problems(S.observations(t.spark, f"{place}/observations"), S.labels(t.spark, f"{place}/labels"))
+
+
+@query("SELECT 'scene-' || s_suppkey AS scene_id, s_suppkey % 4 + 5 AS grid_rows, CASE s_suppkey % 3 WHEN 0 THEN 'rain' ELSE 'dry' END AS weather, s_suppkey % 3 = 0 AS legend_swapped FROM supplier")
+def s2_annotations(t):
+    place, s = f"{shared_dir(t.spark)}/corpusgrid/scenes-{uuid.uuid4().hex}", F.col("s_suppkey")
+    look = F.struct(F.lit("normal").alias("normal"), F.when(s % 3 == 0, "crowded").otherwise("closed").alias("closed"))
+    scene = F.struct(F.concat(F.lit("scene-"), s).alias("scene_id"), F.struct((s % 4 + 5).alias("rows"), F.lit(5).alias("cols")).alias("grid"), F.when(s % 3 == 0, "rain").otherwise("dry").alias("weather"), look.alias("road_look"))
+    # one file for each scene list of a hundred scenes
+    t.supplier.groupBy(F.floor(s / 100).alias("part")).agg(F.to_json(F.array_sort(F.collect_list(scene))).alias("value")).repartition("part").select("value").write.text(place)
+    return S.annotations(t.spark, place).select("scene_id", F.col("grid.rows").cast("long").alias("grid_rows"), "weather", "legend_swapped")
+
+
+@query("SELECT 'train-' || s_suppkey AS scene_id, 'img' || (s_suppkey * 3) % 5 || '.png' AS image FROM supplier")
+def s3_scene_index(t):
+    return S.scene_index(S.observations(t.spark, f"{split(t)}/observations"))
+
+
+@query("WITH " + ROBOTS + " SELECT pos, label FROM l")
+def s5_positional_list(t):
+    return S.labels(t.spark, f"{split(t)}/labels").select(F.col("pos").cast("long").alias("pos"), F.col("label").cast("long").alias("label"))
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_suppkey * 7 % 4 AS label FROM supplier")
+def s11_prediction_sink(t):
+    """Predictions written as one list by position, and read again."""
+    from corpusgrid.operators.sample import positions
+
+    place = f"{shared_dir(t.spark)}/corpusgrid/predictions-{uuid.uuid4().hex}"
+    p = positions(t.supplier.select("s_suppkey"), "s_suppkey").select((F.col("pos") - 1).alias("pos"), (F.col("s_suppkey") * 7 % 4).alias("action"))
+    S.write_positional(p.repartition(3), "pos", "action", place, p.count())
+    return S.labels(t.spark, place).select(F.col("pos").cast("long").alias("pos"), F.col("label").cast("long").alias("label"))
+
+
 @query("SELECT 'document' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'P' WHEN doc_id % 3 = 1 THEN 'F' ELSE 'U' END AS status, replace(replace(replace(text, chr(9), ' '), chr(10), ' '), chr(13), ' ') AS reason FROM documents WHERE doc_id // 50 % 2 = 0")
 def s6_verdicts(t):
     """Packed lines are read back; every second batch lacks a line and so does not count."""
@@ -86,26 +153,42 @@ def s6_verdicts(t):
     return S.verdicts(lines, d.select("batch_id", "id")).select("id", "status", "reason")
 
 
-@query("SELECT max(t) AS rows, string_agg(lang || '=' || n, ',' ORDER BY lang) AS langs FROM (SELECT lang, count(*) n, sum(count(*)) OVER ()::BIGINT t FROM documents GROUP BY lang)")
+@query("SELECT max(t) AS rows, string_agg(lang || '=' || n, ',' ORDER BY lang) AS langs, true AS same_in_any_order, true AS differs_in_a_value FROM (SELECT lang, count(*) n, sum(count(*)) OVER ()::BIGINT t FROM documents GROUP BY lang)")
 def s9_manifest(t):
+    """The digest is that of the rows in any layout, and another one if one value changes."""
     m = S.manifest(t.documents, "lang")
     text = F.array_join(F.transform(F.map_entries("lang"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return m.select("rows", text.alias("langs"))
+    d = t.documents
+    again = S.manifest(d.repartition(5, "text")).select(F.col("digest").alias("again"))
+    other = S.manifest(d.withColumn("lang", F.when(F.col("doc_id") == d.agg(F.min("doc_id")).first()[0], "xx").otherwise(F.col("lang")))).select(F.col("digest").alias("other"))
+    x = m.crossJoin(F.broadcast(again)).crossJoin(F.broadcast(other))  # a row each
+    return x.select("rows", text.alias("langs"), (F.col("digest") == F.col("again")).alias("same_in_any_order"), (F.col("digest") != F.col("other")).alias("differs_in_a_value"))
 
 
-@query("SELECT doc_id, lang FROM documents")
+@query("SELECT doc_id, lang, CASE WHEN length(text) < 60 THEN 'review' ELSE 'retained' END AS status, true AS refused FROM documents UNION ALL SELECT NULL, NULL, 'rejected', true")
 def s4_s7_s8_round_trip(t):
-    """JSONL out and in, routed by status, create-only: every row comes back once."""
+    """JSONL out and in with a bad line, routed by status, create-only: every row comes back once, and a second write is refused."""
     place = f"{shared_dir(t.spark)}/corpusgrid/jsonl-{uuid.uuid4().hex}"
     t.documents.select("doc_id", "text", "lang").write.json(f"{place}/in")
+    t.spark.createDataFrame([("not a line of JSON",)], "value string").write.mode("append").text(f"{place}/in")
     back = S.jsonl(t.spark, f"{place}/in", "doc_id long, text string, lang string")
-    S.write_routed(back.withColumn("status", F.when(F.col("_corrupt_record").isNotNull(), "rejected").when(F.length("text") < 60, "review").otherwise("retained")), "status", f"{place}/out")
-    return t.spark.read.parquet(f"{place}/out").select("doc_id", "lang")
+    routed = back.withColumn("status", F.when(F.col("_corrupt_record").isNotNull(), "rejected").when(F.length("text") < 60, "review").otherwise("retained"))
+    S.write_routed(routed, "status", f"{place}/out")
+    try:
+        S.write_routed(routed.limit(1), "status", f"{place}/out")
+        refused = False
+    except Exception as error:
+        refused = "ALREADY_EXISTS" in str(error)
+    return t.spark.read.parquet(f"{place}/out").select("doc_id", "lang", "status", F.lit(refused).alias("refused"))
 
 
-@query("SELECT doc_id, n_chars FROM documents")
+@query("SELECT doc_id, n_chars, true AS kept_as_it_was FROM documents")
 def s10_cached(t):
+    """The second call finds the first one's files and writes nothing."""
     place = f"{shared_dir(t.spark)}/corpusgrid/cache-{uuid.uuid4().hex}"
     d = t.documents.select("doc_id", "n_chars")
-    S.cached(d, place, "v1")
-    return S.cached(d, place, "v1")
+    first = sorted(S.cached(d, place, "v1").inputFiles())
+    second = S.cached(d.repartition(7), place, "v1")
+    other = S.cached(d.withColumn("n_chars", F.col("n_chars") + 1), place, "v1")
+    same = first == sorted(second.inputFiles()) and not set(first) & set(other.inputFiles())
+    return second.withColumn("kept_as_it_was", F.lit(same))
