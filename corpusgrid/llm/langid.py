@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgrid.llm.text import Cache, map_texts
-from corpusgrid.session import broadcast_if_small
+from corpusgrid.session import broadcast_if_small, stage, unstage
 
 #: Bound of learning: labelled documents used per language, picked by hash. All their words and n-grams are learned.
 TRAIN_DOCS, LENGTHS = 2_000, (4, 3, 2, 1)
 #: Frequency of the unseen, weight of each shorter length of n-grams, bytes of word vectors that a task remembers.
-FLOOR, BACKOFF, CACHE = 1e-7, 0.5, 24 << 20
+FLOOR, BACKOFF, CACHE = 1e-7, 0.5, 64 << 20
 LONG_WORD = 64
 #: Letters, in any script; everything else separates words.
 LETTERS = r"[\p{L}\p{M}]{1,64}"
@@ -55,9 +55,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     grams = words.select("lang", "n", F.explode(lists).alias("w"))
     grams = grams.groupBy("lang", F.length("w").alias("k"), "w").agg(F.sum("n").alias("n"))
     every = words.select("lang", F.lit(0).alias("k"), "w", "n").unionByName(grams)
+    every = stage(every, "counts")
     totals = every.groupBy("lang", "k").agg(F.sum("n").alias("total"))
     found = every.join(broadcast_if_small(totals), ["lang", "k"]).select("lang", "k", "w", (F.col("n") / F.col("total")).alias("p"))
     found = found.where(F.col("p") > FLOOR).toArrow()
+    unstage(every)
     langs = sorted(found.column("lang").unique().to_pylist())
     number = {x: i for i, x in enumerate(langs)}
     table: dict[int, dict[str, tuple]] = {k: {} for k in (0, *LENGTHS)}
