@@ -24,21 +24,25 @@ SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language, which becomes their lang; the model learns from docs themselves."""
     found = langid.predict(docs, langid.train(docs), keep=("doc_id", "text", "source", "n_chars"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Docs whose doc_id is the smallest of its group of linked documents, or that have no n-grams or no doc_id."""
     dropped = jaccard.jaccard_join(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Docs with personal data and secrets replaced in text, and n_chars counted anew."""
     clean = pii.redact(docs.select(*COLUMNS), pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes, ordered by shard and place."""
     _, copies = mixing.mix(docs)
     copies = copies.dropDuplicates(["doc_id", "copy"]).withColumnRenamed("doc_id", "_id")
     drawn = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -46,6 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, digests and ids of every document."""
     return bpe.encode(docs, keep=("doc_id", "lang", "source"))
 
 
