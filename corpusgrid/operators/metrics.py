@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgrid.operators.graph import lattice_edges
 from corpusgrid.operators.sample import numbered
 from corpusgrid.session import stage
 
@@ -52,6 +55,60 @@ def set_match(pred: DataFrame, truth: DataFrame, keys: list[str], group: str) ->
     return both.select(group, ((F.col("both") == F.col("pred")) & (F.col("both") == F.col("true"))).alias("exact"), "both", "pred", "true")
 
 
+def extraction_report(pred: dict[str, DataFrame], truth: dict[str, DataFrame], *by: str) -> DataFrame:
+    """Metric, value and n, in all and for each value of the columns `by` of truth's scenes (null: all).
+
+    Both sides are scenes (g, grid_rows, grid_cols, robot_r, robot_c, heading, weather), nodes (g, r, c, x, y), edges and
+    landmarks (g, type, r, c). Every comparison is a row (g, metric, ok): recall and precision of nodes and landmarks,
+    existence over all pairs that stand side by side or have an edge, attributes of shared edges, equal sets, and whole
+    scenes. node_err_px is the distance of shared nodes (mean, and 95th percentile by linear interpolation).
+    """
+    one, t_, p_ = F.lit(True), F.coalesce("_t", F.lit(False)), F.coalesce("_p", F.lit(False))
+    both = lambda a, b, on: a.withColumn("_t", one).join(b.withColumn("_p", one), on, "full")
+    listed = lambda df, *rows: df.select("g", F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(m).alias("metric"), ok.alias("ok"))) for m, c, ok in rows]))).alias("x")).select("g", "x.*")
+    same = lambda df, ok, name: df.groupBy("g").agg(F.bool_and(ok).alias(name))
+
+    n = both(truth["nodes"].select("g", "r", "c", "x", "y"), pred["nodes"].select("g", "r", "c", F.col("x").alias("x2"), F.col("y").alias("y2")), ["g", "r", "c"])
+    rows = listed(n, ("node_recall", t_, p_), ("node_precision", p_, t_))
+    errors = n.where(t_ & p_).select("g", F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2).alias("e"))
+
+    def keyed(e: DataFrame, end: str = "") -> DataFrame:
+        a, b = F.struct(F.col("ar").alias("r"), F.col("ac").alias("c")), F.struct(F.col("br").alias("r"), F.col("bc").alias("c"))
+        rest = [F.col(c).alias(c + end) for c in ("status", "stairs", "oneway_r", "oneway_c") if c in e.columns]
+        return e.select("g", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *rest)
+
+    e = both(keyed(truth["edges"]), keyed(pred["edges"], "2"), ["g", "a", "b"])
+    e = e.join(keyed(lattice_edges(truth["nodes"].select("g", "r", "c"))).distinct(), ["g", "a", "b"], "full")
+    status, stairs = F.col("status") == F.col("status2"), F.col("stairs") == F.col("stairs2")
+    way = F.col("oneway_r").eqNullSafe(F.col("oneway_r2")) & F.col("oneway_c").eqNullSafe(F.col("oneway_c2"))
+    shared = t_ & p_
+    rows = rows.unionByName(listed(
+        e, ("edge_exists", one, t_ == p_), ("edge_status", shared, status), ("edge_stairs", shared, stairs), ("edge_oneway", shared, way),
+        ("edge_stairs_recall", shared & F.col("stairs"), F.col("stairs2")), ("edge_oneway_recall", shared & F.col("oneway_r").isNotNull(), way),
+    ))
+    m = both(truth["landmarks"].select("g", "type", "r", "c").distinct(), pred["landmarks"].select("g", "type", "r", "c").distinct(), ["g", "type", "r", "c"])
+    rows = rows.unionByName(listed(m, ("landmark_recall", t_, p_), ("landmark_precision", p_, t_)))
+
+    fields = ("grid_rows", "grid_cols", "robot_r", "robot_c", "heading", "weather")
+    x = truth["scenes"].select("g", *fields).join(pred["scenes"].select("g", *[F.col(c).alias(c + "2") for c in fields]), "g", "left")
+    for df, ok, name in ((n, t_ & p_, "_nodes"), (e, (~t_ & ~p_) | (shared & status & stairs & way), "_edges"), (m, t_ & p_, "_landmarks")):
+        x = x.join(same(df, F.coalesce(ok, F.lit(False)), name), "g", "left").withColumn(name, F.coalesce(name, one))
+    eq = lambda *cs: F.coalesce(reduce(lambda u, v: u & v, [F.col(c).eqNullSafe(F.col(c + "2")) for c in cs]), F.lit(False))
+    grid, robot, heading, weather = eq("grid_rows", "grid_cols"), eq("robot_r", "robot_c"), eq("heading"), eq("weather")
+    every = grid & F.col("_nodes") & F.col("_edges") & F.col("_landmarks") & robot & heading & weather
+    rows = rows.unionByName(listed(
+        x, ("grid_shape", one, grid), ("node_set", one, grid & F.col("_nodes")), ("edge_set", one, F.col("_edges")), ("landmark_set", one, F.col("_landmarks")),
+        ("robot_rc", one, robot), ("robot_heading", one, robot & heading), ("weather", one, weather), ("scene_exact", one, every),
+    ))
+    named = truth["scenes"].select("g", *by)
+    total = lambda df, *cs: df.rollup(*by) if by else df.groupBy()  # noqa: E731, ARG005
+    rates = rows.join(named, "g", "left").select("metric", "ok", *by)
+    rates = rates.cube("metric", *by).agg(F.avg(F.col("ok").cast("int")).alias("value"), F.count("ok").alias("n")).where("metric is not null")
+    err = total(errors.join(named, "g", "left")).agg(F.avg("e").alias("mean"), F.percentile("e", 0.95).alias("p95"), F.count("e").alias("n"))
+    err = err.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(f"node_err_px_{c}").alias("metric"), F.col(c).alias("value")) for c in ("mean", "p95")])).alias("x")).select("x.metric", *by, "x.value", "n")
+    return rates.unionByName(err)
+
+
 def field_match(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     """Share of rows right per (truth, prediction) field and in all; an unknown truth counts as right."""
     ok = {t: F.col(t).isNull() | F.col(t).eqNullSafe(F.col(p)) for t, p in fields}

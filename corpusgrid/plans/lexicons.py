@@ -176,29 +176,49 @@ def l6_flags(t):
     return t.documents.select("doc_id", L.read_flag(s, "all rights", "licensed", "trash|scum", "no|not").alias("flag"))
 
 
-def mention_rows(t):
-    """Places where a name of the fixtures' kind stands in a mission derived from the orders."""
+def mission_texts(t):
+    """A mission in words for each order."""
     o = F.col("o_orderkey")
     names = F.array(*map(F.lit, ("gate", "library", "canteen", "store")))
     at = lambda i: F.element_at(names, (F.pmod(o * 7 + i * 5, F.lit(4)) + 1).cast("int"))
-    text = F.concat(F.lit("go via "), at(0), F.lit(" and not to "), at(1), F.lit(" then bring it to "), at(2), F.when(o % 3 == 0, F.concat(F.lit(" near "), at(3))).otherwise(""))
-    x = t.orders.select("o_orderkey", text.alias("text"))
+    text = F.concat(F.lit("go via "), at(0), F.lit(" and not to "), at(1), F.lit(" then bring it to "), at(2), F.when(o % 3 == 0, F.concat(F.lit(" near "), at(3))).when(o % 3 == 1, " in the north").otherwise(""), F.when(o % 5 == 0, ". it is urgent").otherwise(""), F.when(o % 7 == 0, ". not fragile").when(o % 7 == 1, ". fragile").otherwise(""))
+    return t.orders.select("o_orderkey", text.alias("text"))
+
+
+def mention_rows(t):
+    """Places where a name of the fixtures' kind stands in a mission."""
+    x = mission_texts(t)
     p = F.regexp_extract_all("text", F.lit(r"\b(?:gate|library|canteen|store)\b"), F.lit(0))
     parts = F.split("text", r"\b(?:gate|library|canteen|store)\b")
     m = x.select("o_orderkey", parts.alias("parts"), F.posexplode(p).alias("pos", "phrase"))
-    return m.select("o_orderkey", "pos", "phrase", F.lit("place").alias("kind"), F.get("parts", F.col("pos")).alias("before"))
+    return m.select("o_orderkey", "pos", "phrase", F.lit("place").alias("kind"), F.get("parts", F.col("pos")).alias("before"), F.get("parts", F.col("pos") + 1).alias("after"))
 
 
 ROLES = """WITH o AS (SELECT o_orderkey k, [['gate', 'library', 'canteen', 'store'][(o_orderkey * 7 + i * 5) % 4 + 1] for i in range(0, 4)] n FROM orders),
-m AS (SELECT k, 0 pos, n[1] phrase, 'via' r FROM o UNION ALL SELECT k, 1, n[2], 'negated' FROM o UNION ALL SELECT k, 2, n[3], 'goal' FROM o UNION ALL SELECT k, 3, n[4], 'plain' FROM o WHERE k % 3 = 0)"""
+m AS (SELECT k, 0 pos, n[1] phrase, 'via' r FROM o UNION ALL SELECT k, 1, n[2], 'negated' FROM o UNION ALL SELECT k, 2, n[3], 'goal' FROM o UNION ALL SELECT k, 3, n[4], 'anchor' FROM o WHERE k % 3 = 0)"""
+
 
+CUES = {"negated": r"not to", "via": r"\bvia", "goal": r"(?<!not )\bto", "row": "o_orderkey", "directions": {"in the north": "north"}, "near": "near", "far": "far from"}
 
-@query(ROLES + " SELECT k AS o_orderkey, pos, phrase, r AS role FROM m")
+
+@query(ROLES + " SELECT k AS o_orderkey, pos, phrase, r AS role, CASE WHEN pos = 2 THEN CASE k % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'north' END END AS ref, CASE WHEN pos = 2 AND k % 3 = 0 THEN (SELECT n[4] FROM o WHERE o.k = m.k) END AS anchor FROM m")
 def l7_roles(t):
-    return L.roles(mention_rows(t), r"not to", r"\bvia", r"(?<!not )\bto").select("o_orderkey", "pos", "phrase", "role")
+    return L.roles(mention_rows(t), **CUES).select("o_orderkey", "pos", "phrase", "role", "ref", "anchor")
+
+
+_PICK = "SELECT k, arg_max(phrase, pos) FILTER (r = 'goal') AS goal, CASE WHEN any_value(phrase) FILTER (r = 'via') <> arg_max(phrase, pos) FILTER (r = 'goal') THEN any_value(phrase) FILTER (r = 'via') END AS via FROM m GROUP BY k"
 
 
-@query(ROLES + " SELECT k AS o_orderkey, arg_max(phrase, pos) FILTER (r = 'goal') AS goal, CASE WHEN any_value(phrase) FILTER (r = 'via') <> arg_max(phrase, pos) FILTER (r = 'goal') THEN any_value(phrase) FILTER (r = 'via') END AS via FROM m GROUP BY k")
+@query(ROLES + f" SELECT k AS o_orderkey, goal, via FROM ({_PICK})")
 def l8_final_pick(t):
-    """One row per mission with its goal and via."""
-    return L.final_pick(L.roles(mention_rows(t), r"not to", r"\bvia", r"(?<!not )\bto"), "o_orderkey")
+    return L.final_pick(L.roles(mention_rows(t), **CUES), "o_orderkey")
+
+
+@query(ROLES + f", p AS ({_PICK}), q AS (SELECT k, phrase, arg_max(struct_pack(pos := pos), pos).pos pos FROM m WHERE r <> 'anchor' GROUP BY k, phrase), z AS (SELECT p.*, a.pos gp, b.pos vp, o.n[4] x FROM p JOIN o USING (k) LEFT JOIN q a ON a.k = p.k AND a.phrase = goal LEFT JOIN q b ON b.k = p.k AND b.phrase = via)"
+    " SELECT k AS o_orderkey, goal, CASE WHEN gp = 2 THEN CASE k % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'north' END END AS goal_ref, CASE WHEN gp = 2 AND k % 3 = 0 THEN x END AS goal_anchor, via, CASE WHEN vp = 2 THEN CASE k % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'north' END END AS via_ref, CASE WHEN vp = 2 AND k % 3 = 0 THEN x END AS via_anchor, k % 5 = 0 AS urgent, k % 7 = 1 AS fragile FROM z")
+def l9_parse_job(t):
+    """One row per mission: goal and via with their qualifiers, and both flags of the whole text."""
+    text = mission_texts(t)
+    s = F.split("text", T.ENDS)
+    flags = text.select("o_orderkey", L.read_flag(s, "at once", "no hurry", "urgent", "not|no").alias("urgent"), L.read_flag(s, "with care", "sturdy", "fragile", "not|no").alias("fragile"))
+    return L.parse_job(L.roles(mention_rows(t), **CUES), flags, "o_orderkey")

@@ -238,3 +238,66 @@ def e7_ranker(t):
     c = stage(P.labelled(P.candidates(actions(t), context(t)), labels).select("g", "action", "positive", *names), "candidates")
     model = E.ranker(c.where("g % 2 = 0"), names, "positive")
     return P.argmax(E.rank_scores(model, c, names).withColumn("p", F.round("p", 9)), X.graphs(t), "g", "action", "p")
+
+
+_STYLED = POINTS + """, tn AS (SELECT g, r, c, x, y FROM pts), pn AS (SELECT g, r, c, x + (g + r) % 4 x, y + (g + c) % 3 y FROM pts WHERE (g * 5 + r * 7 + c * 3) % 29 <> 0),
+te AS (SELECT g, ar, ac, br, bc, status, stairs, oneway_r o1, oneway_c o2 FROM edges),
+pe AS (SELECT g, ar, ac, br, bc, CASE WHEN (g * 3 + ar + ac * 7) % 17 = 0 THEN 'crowded' ELSE status END status, stairs <> ((g + ar * 5 + ac) % 23 = 0) stairs, CASE WHEN (g * 7 + ar + ac * 3) % 19 <> 0 THEN oneway_r END o1, CASE WHEN (g * 7 + ar + ac * 3) % 19 <> 0 THEN oneway_c END o2
+ FROM edges WHERE (g + ar * 3 + ac * 5 + br + bc) % 31 <> 0),
+tl AS (SELECT DISTINCT g, type, r, c FROM landmarks), pl AS (SELECT DISTINCT g, CASE WHEN (g + ord * 5) % 13 = 0 THEN 'store' ELSE type END AS type, r, c FROM landmarks),
+sc AS (SELECT g, g % 4 AS style, true grid, g % 11 <> 0 robot, g % 9 <> 0 head, g % 10 <> 0 weather FROM scenes),
+jn AS (SELECT coalesce(t.g, p.g) g, t.g IS NOT NULL t, p.g IS NOT NULL p, sqrt((t.x - p.x)^2 + (t.y - p.y)^2) e FROM tn t FULL JOIN pn p ON t.g = p.g AND t.r = p.r AND t.c = p.c),
+ad AS (SELECT a.g, a.r ar, a.c ac, b.r br, b.c bc FROM nodes a JOIN nodes b ON a.g = b.g AND ((b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1))),
+ky AS (SELECT g, ar, ac, br, bc FROM ad UNION SELECT g, ar, ac, br, bc FROM te UNION SELECT g, ar, ac, br, bc FROM pe),
+je AS (SELECT k.g, t.g IS NOT NULL t, p.g IS NOT NULL p, t.status = p.status s1, t.stairs = p.stairs s2, t.o1 IS NOT DISTINCT FROM p.o1 AND t.o2 IS NOT DISTINCT FROM p.o2 s3, t.stairs ts, p.stairs ps, t.o1 IS NOT NULL tw FROM ky k LEFT JOIN te t USING (g, ar, ac, br, bc) LEFT JOIN pe p USING (g, ar, ac, br, bc)),
+jl AS (SELECT coalesce(t.g, p.g) g, t.g IS NOT NULL t, p.g IS NOT NULL p FROM tl t FULL JOIN pl p ON t.g = p.g AND t.type = p.type AND t.r = p.r AND t.c = p.c),
+ev AS (SELECT sc.*, coalesce((SELECT bool_and(t AND p) FROM jn WHERE jn.g = sc.g), true) n, coalesce((SELECT bool_and((NOT t AND NOT p) OR (t AND p AND s1 AND s2 AND s3)) FROM je WHERE je.g = sc.g), true) e, coalesce((SELECT bool_and(t AND p) FROM jl WHERE jl.g = sc.g), true) l FROM sc),
+rw AS (SELECT g, 'node_recall' AS metric, p ok FROM jn WHERE t UNION ALL SELECT g, 'node_precision', t FROM jn WHERE p UNION ALL SELECT g, 'edge_exists', t = p FROM je UNION ALL SELECT g, 'edge_status', s1 FROM je WHERE t AND p UNION ALL SELECT g, 'edge_stairs', s2 FROM je WHERE t AND p
+UNION ALL SELECT g, 'edge_oneway', s3 FROM je WHERE t AND p UNION ALL SELECT g, 'edge_stairs_recall', ps FROM je WHERE t AND p AND ts UNION ALL SELECT g, 'edge_oneway_recall', s3 FROM je WHERE t AND p AND tw UNION ALL SELECT g, 'landmark_recall', p FROM jl WHERE t UNION ALL SELECT g, 'landmark_precision', t FROM jl WHERE p
+UNION ALL SELECT g, 'grid_shape', grid FROM ev UNION ALL SELECT g, 'node_set', grid AND n FROM ev UNION ALL SELECT g, 'edge_set', e FROM ev UNION ALL SELECT g, 'landmark_set', l FROM ev UNION ALL SELECT g, 'robot_rc', robot FROM ev UNION ALL SELECT g, 'robot_heading', robot AND head FROM ev
+UNION ALL SELECT g, 'weather', weather FROM ev UNION ALL SELECT g, 'scene_exact', grid AND n AND e AND l AND robot AND head AND weather FROM ev),
+er AS (SELECT style, avg(e) mean, quantile_cont(e, 0.95) p95, count(e) n FROM jn JOIN sc USING (g) WHERE t AND p GROUP BY ROLLUP (style)),
+rp AS (SELECT metric, style, avg(ok::INT) AS value, count(ok) AS n FROM rw JOIN sc USING (g) GROUP BY GROUPING SETS ((metric, style), (metric)) UNION ALL SELECT 'node_err_px_mean', style, mean, n FROM er UNION ALL SELECT 'node_err_px_p95', style, p95, n FROM er)"""
+
+
+def extraction(t):
+    """(predicted, true) scenes: the lattices, and the lattices with a few wrong nodes, edges, landmarks and fields."""
+    g, r, c, ar, ac = (F.col(x) for x in ("g", "r", "c", "ar", "ac"))
+    n, e, lm = points(t).select("g", "r", "c", "x", "y"), X.edges(t), X.landmarks(t)
+    s = X.scenes(t).withColumns({"weather": F.when(g % 3 == 0, "rain").otherwise("dry"), "style": g % 4})
+    way = (g * 7 + ar + ac * 3) % 19 != 0
+    pred = {
+        "scenes": s.withColumns({"robot_r": F.col("robot_r") + (g % 11 == 0).cast("int"), "heading": (F.col("heading") + (g % 9 == 0).cast("int")) % 4, "weather": F.when(g % 10 == 0, "fog").otherwise(F.col("weather"))}),
+        "nodes": n.where((g * 5 + r * 7 + c * 3) % 29 != 0).withColumns({"x": F.col("x") + (g + r) % 4, "y": F.col("y") + (g + c) % 3}),
+        "edges": e.where((g + ar * 3 + ac * 5 + F.col("br") + F.col("bc")) % 31 != 0).withColumns({
+            "status": F.when((g * 3 + ar + ac * 7) % 17 == 0, "crowded").otherwise(F.col("status")), "stairs": F.col("stairs") != ((g + ar * 5 + ac) % 23 == 0),
+            "oneway_r": F.when(way, F.col("oneway_r")), "oneway_c": F.when(way, F.col("oneway_c")),
+        }),
+        "landmarks": lm.withColumn("type", F.when((g + F.col("ord") * 5) % 13 == 0, "store").otherwise(F.col("type"))),
+    }
+    return pred, {"scenes": s, "nodes": n, "edges": e, "landmarks": lm}
+
+
+@query(_STYLED + " SELECT metric, value, n FROM rp WHERE style IS NULL")
+def a5_extraction_report(t):
+    from corpusgrid.operators import metrics as A
+
+    return A.extraction_report(*extraction(t)).select("metric", "value", "n")
+
+
+@query(_STYLED + " SELECT metric, style, value, n FROM rp")
+def a6_report_by_style(t):
+    from corpusgrid.operators import metrics as A
+
+    return A.extraction_report(*extraction(t), "style").select("metric", "style", "value", "n")
+
+
+@query(POINTS + """, ps AS (SELECT g, g % 4 AS style, robot_r + (g % 11 = 0)::INT rr, robot_c rc, grid_rows, grid_cols FROM scenes), pn AS (SELECT g, r, c FROM pts WHERE (g * 5 + r * 7 + c * 3) % 29 <> 0), bad AS (SELECT g FROM ps WHERE NOT EXISTS (SELECT 1 FROM pn WHERE pn.g = ps.g AND pn.r = rr AND pn.c = rc)
+UNION SELECT g FROM pn JOIN ps USING (g) WHERE r >= grid_rows OR c >= grid_cols UNION SELECT g FROM ps WHERE grid_rows NOT BETWEEN 5 AND 9 OR grid_cols NOT BETWEEN 5 AND 9)
+SELECT style, count(*) AS scenes, count(*) FILTER (g IN (SELECT g FROM bad)) AS invalid_graphs FROM ps GROUP BY style""")
+def a6_invalid_graphs(t):
+    """Predicted graphs by style that break a rule of the grid, their nodes or the robot's place."""
+    pred, _ = extraction(t)
+    none = pred["edges"].limit(0)
+    bad = G.problems(pred["scenes"], pred["nodes"].select("g", "r", "c"), none, pred["landmarks"].limit(0)).select("g").distinct().withColumn("bad", F.lit(True))
+    return pred["scenes"].join(bad, "g", "left").groupBy("style").agg(F.count(F.lit(1)).alias("scenes"), F.count("bad").alias("invalid_graphs"))
