@@ -79,10 +79,19 @@ def t9_one_edit_pairs(t):
     return pairs.where(T.within_one_edit(F.col("w"), F.col("v"))).select(F.col("w").alias("left_word"), F.col("v").alias("right_word"))
 
 
-@query()
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[a-z0-9]+|[.,!?;:()\[\]]')[1:160] x FROM documents), t AS (SELECT doc_id, i - 1 token, x[i] w FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) i FROM d)),
+k AS MATERIALIZED (SELECT w, list_concat([w], [('<' || w || '>')[j:j + 2] for j in range(1, greatest(length(w), 1) + 1)])[1:24] l FROM (SELECT DISTINCT w FROM t)),
+p AS (SELECT DISTINCT unnest(l) p FROM k),
+c AS MATERIALIZED (SELECT p, xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(p[j])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for j in range(1, length(p) + 1)])), lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, (s & 1) * 3988292384) END), 4294967295) % 65535 + 1 h FROM p),
+h AS (SELECT w, count(*) n, sum(h) s, sum(h * i) u FROM (SELECT w, unnest(l) p, unnest(range(1, len(l) + 1)) i FROM k) JOIN c USING (p) GROUP BY w)
+SELECT doc_id, count(*) AS tokens, sum(n)::BIGINT AS pieces, sum(s)::BIGINT AS buckets, sum(u * (token + 1))::BIGINT AS digest FROM t JOIN h USING (w) GROUP BY doc_id""")
 def t10_hashed_pieces(t):
+    """Buckets of the pieces, summed, and summed by their places."""
     pieces = t.documents.select("doc_id", F.posexplode(T.hashed_pieces(T.tokenize(F.col("text")))).alias("token", "pieces"))
-    return pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.size("pieces")).alias("pieces"), F.bit_xor(F.xxhash64("token", "pieces")).alias("digest"))
+    total = lambda f: F.aggregate(F.transform("pieces", f), F.lit(0).cast("long"), lambda a, x: a + x)
+    x = pieces.select("doc_id", "token", F.size("pieces").alias("n"), total(lambda b, i: b.cast("long")).alias("s"), total(lambda b, i: b.cast("long") * (i + 1)).alias("u"))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("pieces"), F.sum("s").alias("buckets"), F.sum(F.col("u") * (F.col("token") + 1)).alias("digest"))
 
 
 @query(r"""
