@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrid.llm import licenses, quality
+from corpusgrid.llm import divergence, licenses, quality
 from corpusgrid.llm.bpe import op4_bpe
+from corpusgrid.llm.divergence import op11_source_divergence
 from corpusgrid.llm.embeddings import op8_embedding_near_dedup
 from corpusgrid.llm.html import op7_html_extraction
 from corpusgrid.llm.jaccard import op9_jaccard_join
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import islice
+from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +92,25 @@ def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[
             getattr(f, "close", lambda: None)()
 
     return df.select(*dict.fromkeys([*pass_on, column])).mapInArrow(run, schema)
+
+
+def word_table(kept: str) -> bytes:
+    """Table for bytes.translate: A-Z to lower case, ASCII characters other than kept and all letters to spaces."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or chr(c) in kept else 32 for c in range(256))
+
+
+def word_counts(text: bytes, table: bytes, size: int = 1 << 20) -> Counter:
+    """How often each word of a text (UTF-8) occurs; long texts are cut at spaces, so that only `size` bytes are in pieces."""
+    text, found, at = text.translate(table), Counter(), 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        found.update(text[at:end].split())
+        at = end
+    return found
+
+
+def list_array(lists: list, kind: pa.DataType) -> pa.ListArray:
+    """Arrow lists from sequences of values, without a Python list of them all."""
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(chain.from_iterable(lists), kind))
