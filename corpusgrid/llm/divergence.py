@@ -112,7 +112,7 @@ def groups_of(merged: DataFrame) -> DataFrame:
     return found.select("lang", "source", at, "n", "n_lang", "kept", F.when(F.col("kept") > 0, share(F.lit(0).cast("long"), F.col("n"), F.col("kept"))).otherwise(0).alias("floor"))
 
 
-def _sums(unit: pa.Table) -> pa.Table:
+def _sums(unit: pa.Table, block: int) -> pa.Table:
     """lang, a, b (places, a < b), value, terms: distances of a unit's pairs over the terms that its sources have."""
     lang, left, right = (unit.column(c)[0].as_py() for c in ("lang", "left", "right"))
     is_floor = unit.column("term").is_null().to_numpy(zero_copy_only=False)
@@ -122,7 +122,7 @@ def _sums(unit: pa.Table) -> pa.Table:
     codes = unit.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)[~is_floor].astype(int)
     dense = np.repeat(p[is_floor][order][None], codes.max() + 1 if len(codes) else 0, axis=0)
     dense[codes, np.searchsorted(places, at[~is_floor])] = p[~is_floor]
-    i, j = np.flatnonzero(places // BLOCK == left), np.flatnonzero(places // BLOCK == right)
+    i, j = np.flatnonzero(places // block == left), np.flatnonzero(places // block == right)
     value = np.array([np.abs(dense[:, j] - dense[:, [x]]).sum(0) for x in i], "int64").reshape(len(i), len(j))
     a, b = np.repeat(places[i], len(j)), np.tile(places[j], len(i))
     once = a < b
@@ -130,18 +130,18 @@ def _sums(unit: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * n, pa.string()), "a": a[once], "b": b[once], "value": value.ravel()[once], "terms": np.full(n, len(dense), "int64")})
 
 
-def pairs(merged: DataFrame, groups: DataFrame) -> DataFrame:
+def pairs(merged: DataFrame, groups: DataFrame, unit_terms: int = UNIT_TERMS, block: int = BLOCK) -> DataFrame:
     """lang, source, item, value: L1 distance of each group from each other source of its language."""
     small = broadcast_if_small(groups)
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("kept") / UNIT_TERMS)).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("kept") / unit_terms)).cast("int")
     cells = merged.where("term is not null").select("lang", "term", F.inline("cells")).join(small.drop("n_lang").withColumnRenamed("n", "total"), ["lang", "source"])
     cells = cells.select("lang", "term", "at", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
     floors = groups.select("lang", F.lit(None).cast("string").alias("term"), "at", F.col("floor").alias("p"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    blocks = groups.groupBy("lang").agg(F.floor(F.max("at") / BLOCK).cast("int").alias("last"))
-    own, other = F.floor(F.col("at") / BLOCK).cast("int"), F.explode(F.sequence(F.lit(0), F.col("last")))
+    blocks = groups.groupBy("lang").agg(F.floor(F.max("at") / block).cast("int").alias("last"))
+    own, other = F.floor(F.col("at") / block).cast("int"), F.explode(F.sequence(F.lit(0), F.col("last")))
     units = cells.unionByName(floors).join(broadcast_if_small(stage(blocks, "blocks")), "lang").withColumn("_o", other)
     units = units.select("lang", "chunk", F.least(own, "_o").alias("left"), F.greatest(own, "_o").alias("right"), "term", "at", "p")
-    sums = units.groupBy("lang", "chunk", "left", "right").applyInArrow(_sums, "lang string, a int, b int, value long, terms long")
+    sums = units.groupBy("lang", "chunk", "left", "right").applyInArrow(lambda unit: _sums(unit, block), "lang string, a int, b int, value long, terms long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
     end = lambda c, name: broadcast_if_small(groups.select("lang", F.col("at").alias(c), F.col("source").alias(name), F.col("floor").alias(f"_{c}"), *(["kept"] if c == "a" else [])))
     sums = sums.join(end("a", "x"), ["lang", "a"]).join(end("b", "y"), ["lang", "b"])
@@ -150,21 +150,21 @@ def pairs(merged: DataFrame, groups: DataFrame) -> DataFrame:
     return sums.withColumn("value", value).select("lang", "value", ways)
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, limit: int = STRIPE_BYTES, unit_terms: int = UNIT_TERMS, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: how each source of a language departs from the others and from the language.
 
     part pair: the distance from each other source (0 if the language keeps no term); part term: the terms that the
     source has above the language's share, up to rank top. Null text, lang and source count as ''; repeated rows each
     count; ties rank by the item's UTF-8 bytes; no rows in, no rows out; other columns are not read.
     """
-    merged = stage(merge(stripes(docs), least_docs), "stripes")
+    merged = stage(merge(stripes(docs, limit), least_docs), "stripes")
     groups = stage(groups_of(merged), "groups")
     cells = merged.where("term is not null").select("lang", "term", "total", F.inline("cells")).join(broadcast_if_small(groups.select("lang", "source", F.col("n").alias("_n"), "n_lang", "kept")), ["lang", "source"])
     excess = share(F.col("n"), F.col("_n"), F.col("kept")) - share(F.col("total"), F.col("n_lang"), F.col("kept"))
     terms = cells.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), excess.alias("value")).where("value > 0")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
-    both = pairs(merged, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    both = pairs(merged, groups, unit_terms, block).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     return ranked(both).unionByName(ranked(terms).where(F.col("rank") <= top))
 
 

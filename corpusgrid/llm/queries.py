@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgrid.llm import divergence, licenses, quality
+from corpusgrid.llm import decontaminate, divergence, licenses, quality, ranked
 from corpusgrid.llm.bpe import op4_bpe
+from corpusgrid.llm.decontaminate import op13_decontamination
 from corpusgrid.llm.divergence import op11_source_divergence
 from corpusgrid.llm.embeddings import op8_embedding_near_dedup
 from corpusgrid.llm.html import op7_html_extraction
@@ -13,6 +14,7 @@ from corpusgrid.llm.licenses import op6_license_scan
 from corpusgrid.llm.mixing import op5_mixing
 from corpusgrid.llm.pii import op10_pii
 from corpusgrid.llm.quality import op1_quality_rules
+from corpusgrid.llm.ranked import op12_ranked_search
 from corpusgrid.llm.suffixes import op2_suffix_dedup
 
 QUERIES = {
@@ -27,5 +29,13 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_decontamination": op13_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE_SQL,
+    "op6_license_scan": licenses.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_ranked_search": ranked.ORACLE_SQL,
+    "op13_decontamination": decontaminate.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}

@@ -28,6 +28,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def lowered(text: Column) -> Column:
+    """Text with only A-Z in lower case; empty for null."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def unit(*keys: Column) -> Column:
     """Deterministic number in [0, 1) from the keys."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
@@ -76,7 +81,7 @@ def map_texts(df: DataFrame, pass_on: list[str], column: str, make, names: list[
     """
     ddl = [f"`{n}` {t}" for n, t in names]
     schema = StructType([*(df.schema[c] for c in pass_on), *StructType.fromDDL(", ".join(ddl))])
-    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<array<double>>": pa.list_(pa.list_(pa.float64()))}
     types = [arrow[t] for _, t in names]
 
     def run(batches):
