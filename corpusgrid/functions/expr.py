@@ -107,10 +107,22 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | swapped(a, b)
 
 
+def dropped(word: Column) -> Column:
+    """The distinct words that a word becomes by losing one letter."""
+    less = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(less)
+
+
+def swaps(word: Column) -> Column:
+    """The other words that a word becomes by swapping two neighbouring letters."""
+    n = F.length(word)
+    cross = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, n))
+    return F.when(n >= 2, F.array_remove(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), cross)), word)).otherwise(F.array().cast("array<string>"))
+
+
 def deletion_keys(word: Column) -> Column:
     """The word and the word without each of its letters; two words one edit apart share a key."""
-    less = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.array_union(F.array(word), less))
+    return F.array_distinct(F.array_union(F.array(word), dropped(word)))
 
 
 def hashed_pieces(tokens: Column, buckets: int = 65535, most: int = 24, limit: int = 160) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from corpusgrid.functions.expr import deletion_keys, phrase_pattern, within_one_edit
+from corpusgrid.functions.expr import deletion_keys, dropped, phrase_pattern, swaps, within_one_edit
 from corpusgrid.session import stage
 
 
@@ -36,39 +38,67 @@ def bigrams(words: DataFrame, kept: DataFrame, row: str, least: int = 3) -> Data
     return x.join(k.withColumnRenamed("w", "a"), "a", "left_semi").join(k.withColumnRenamed("w", "b"), "b", "left_semi")
 
 
-def correct(words: DataFrame, vocab: DataFrame, pairs: DataFrame, row: str, rounds: int = 4, least: int = 10, ratio: int = 10, letters: int = 3) -> DataFrame:
-    """L3: words replaced by a vocabulary word one edit away.
+def corruptions(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """W, cand, n: vocabulary words (w, n) that lost one letter, or had two neighbours swapped, to become w."""
+    known = vocab.select(F.col("w").alias("cand"), "n")
+    lost = words.select("w").join(known.select("cand", "n", F.explode(dropped(F.col("cand"))).alias("w")), "w")
+    crossed = words.select("w", F.explode(swaps(F.col("w"))).alias("cand")).join(known, "cand")
+    return lost.select("w", "cand", "n").unionByName(crossed.select("w", "cand", "n")).distinct()
 
-    An unknown word becomes the candidate with the most bigram support, then count, then the lower word. A known word of
-    `letters` or more is replaced only if, on every side that has a neighbour, the candidate's bigram counts at least
-    `least` and at least `ratio` times the present one's; the best such candidate by the same order. The left neighbour
-    is the corrected one, so the choice repeats until no word changes (or `rounds` are done).
+
+def correct(words: DataFrame, vocab: DataFrame, pairs: DataFrame, row: str, least: int = 10, ratio: int = 10, letters: int = 3) -> DataFrame:
+    """L3: row, pos, w, fixed: words replaced by the vocabulary word that best explains them as a corruption.
+
+    Words are decided from left to right: the left neighbour is the decided one, the right one as written. The best
+    candidate has the most support (bigrams with both neighbours), then count, then is the greater word. It replaces an
+    unknown word of two letters or more; a known one of `letters` or more only if it has `least` bigrams with a neighbour
+    that is a word, and with each such neighbour `ratio` times those of the present word.
+
+    All that a decision can ask is joined to the words beforehand, on distinct words and distinct written pairs: the
+    candidates, their bigrams with each form that the left neighbour can take, and those with the right one. Then each
+    row is folded once, in order.
     """
-    known = vocab.select("w", F.col("n").alias("n"))
-    keys = known.select(F.col("w").alias("cand"), "n", F.explode(deletion_keys(F.col("w"))).alias("k"))
-    said = words.select("w").distinct().join(known.select("w", F.lit(True).alias("_known")), "w", "left").select("w", F.coalesce("_known", F.lit(False)).alias("known"))
-    said = said.where(~F.col("known") | (F.length("w") >= letters))
-    cands = said.select("w", "known", F.explode(deletion_keys(F.col("w"))).alias("k")).join(keys, "k").where("w <> cand").select("w", "known", "cand", "n").distinct()
-    cands = stage(cands.where(within_one_edit(F.col("w"), F.col("cand"))), "candidates")
-    now = stage(words.select(row, "pos", "w", F.col("w").alias("fixed")), "words")
-    left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("cand"), F.col("n").alias("ln"))
-    right = pairs.select(F.col("a").alias("cand"), F.col("b").alias("nxt"), F.col("n").alias("rn"))
-    old_left = pairs.select(F.col("a").alias("prev"), F.col("b").alias("w"), F.col("n").alias("lo"))
-    old_right = pairs.select(F.col("a").alias("w"), F.col("b").alias("nxt"), F.col("n").alias("ro"))
-    n_of = lambda c: F.coalesce(c, F.lit(0))
-    for _ in range(rounds):
-        w = Window.partitionBy(row).orderBy("pos")
-        x = now.withColumns({"prev": F.lag("fixed").over(w), "nxt": F.lead("fixed").over(w)}).join(cands, "w")
-        x = x.join(left, ["prev", "cand"], "left").join(right, ["nxt", "cand"], "left").join(old_left, ["prev", "w"], "left").join(old_right, ["nxt", "w"], "left")
-        side = lambda there, new, old: F.col(there).isNull() | ((n_of(new) >= least) & (n_of(new) >= ratio * n_of(old)))
-        better = (F.col("prev").isNotNull() | F.col("nxt").isNotNull()) & side("prev", "ln", "lo") & side("nxt", "rn", "ro")
-        best = x.where(~F.col("known") | better).groupBy(row, "pos").agg(F.min_by("cand", F.struct(-(n_of("ln") + n_of("rn")), -F.col("n"), "cand")).alias("new"))
-        new = stage(now.join(best, [row, "pos"], "left").select(row, "pos", "w", F.coalesce("new", "w").alias("fixed")), "fixed")
-        done = new.join(now, [row, "pos", "fixed"], "left_anti").isEmpty()
-        now = new
-        if done:
-            break
-    return now
+    known = vocab.select("w", F.lit(True).alias("_known"))
+    w = Window.partitionBy(row).orderBy("pos")
+    said = stage(words.select(row, "pos", "w").withColumns({"_prev": F.lag("w").over(w), "_next": F.lead("w").over(w)}), "said")
+    each = said.select("w").distinct().where(F.col("w").rlike(r"^\p{L}{2,}$")).join(known, "w", "left").where(F.col("_known").isNull() | (F.length("w") >= letters))
+    options = stage(corruptions(each, vocab).join(each, "w"), "options")
+    forms = options.select("w", F.col("cand").alias("form")).unionByName(options.select("w", F.col("w").alias("form")).distinct())
+    able = options.select("w").distinct()
+    counted = pairs.select("a", "b", "n")
+    # a neighbour without options has one form, its own
+    before = said.where(F.col("_prev").rlike(r"^\p{L}+$")).select("_prev", "w").distinct().join(able, "w", "left_semi")
+    before = before.join(forms.select(F.col("w").alias("_prev"), F.col("form").alias("_a")), "_prev", "left").withColumn("a", F.coalesce("_a", "_prev"))
+    before = before.join(forms.select("w", F.col("form").alias("b")), "w").join(counted, ["a", "b"]).groupBy("_prev", "w").agg(F.collect_list(F.struct("a", "b", "n")).alias("_left"))
+    after = said.where(F.col("_next").rlike(r"^\p{L}+$")).select("w", "_next").distinct().join(forms.select("w", F.col("form").alias("a")), "w")
+    after = after.join(counted.withColumnRenamed("b", "_next"), ["a", "_next"]).groupBy("w", "_next").agg(F.collect_list(F.struct("a", "n")).alias("_right"))
+    own = options.groupBy("w").agg(F.collect_list(F.struct("cand", "n")).alias("_cands"), F.first("_known").alias("_known"))
+    x = said.join(own, "w", "left").join(before, ["_prev", "w"], "left").join(after, ["w", "_next"], "left")
+    x = x.select(row, "pos", "w", "_next", F.col("_known").isNotNull().alias("_known"), "_cands", "_left", "_right").repartition(row).sortWithinPartitions(row, "pos")
+    schema = StructType([*(x.schema[c] for c in (row, "pos", "w")), StructField("fixed", StringType())])
+    return x.mapInArrow(lambda batches: _decided(batches, row, least, ratio), schema)
+
+
+def _decided(batches, row: str, least: int, ratio: int):
+    """The words of each row with their decisions; batches are in order of row and position."""
+    at, prev = None, None
+    for whole in batches:
+        for low in range(0, whole.num_rows, 1024):
+            b, fixed = whole.slice(low, 1024), []
+            for r in b.to_pylist():
+                if r[row] != at:
+                    at, prev = r[row], None
+                new = r["w"]
+                if r["_cands"]:
+                    left = {x["b"]: x["n"] for x in r["_left"] or () if x["a"] == prev}
+                    right = {x["a"]: x["n"] for x in r["_right"] or ()}
+                    best = max(((left.get(c["cand"], 0) + right.get(c["cand"], 0), c["n"], c["cand"]) for c in r["_cands"]))[2]
+                    sides = [(n.get(best, 0), n.get(new, 0)) for n, word in ((left, prev), (right, r["_next"])) if word and word.isalpha()]
+                    if not r["_known"] or (any(good >= least for good, _ in sides) and all(good >= ratio * bad for good, bad in sides)):
+                        new = best
+                fixed.append(new)
+                prev = new
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (row, "pos", "w")), pa.array(fixed, pa.string())], [row, "pos", "w", "fixed"])
 
 
 def mentions(text: Column, kinds: dict[str, list[str]]) -> Column:

@@ -9,6 +9,7 @@ from corpusgrid.functions import expr as T
 from corpusgrid.operators import lexicon as L
 from corpusgrid.plans.registry import query
 from corpusgrid.plans.text import WORDS
+from corpusgrid.session import stage
 
 
 def sql_coin(*parts: str) -> str:
@@ -131,26 +132,38 @@ def l2_bigrams(t):
     return L.bigrams(w, L.vocabulary(w.select("w")), "doc_id")
 
 
-_SAID = f"SELECT conv_id * 1000 + turn AS row, i - 1 AS pos, w[i] AS w FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) i FROM (SELECT conv_id, turn, {WORDS} w FROM conversations))"
-L3 = VOCAB + f""", d AS (SELECT {WORDS} w FROM documents), b AS MATERIALIZED (SELECT a, b, count(*) n FROM (SELECT w[i] a, w[i + 1] b FROM (SELECT w, unnest(range(1, len(w))) i FROM d)) WHERE a IN (SELECT w FROM kept) AND b IN (SELECT w FROM kept) GROUP BY ALL HAVING count(*) >= 3),
-said AS MATERIALIZED ({_SAID}), sw AS MATERIALIZED (SELECT DISTINCT s.w, k.w IS NOT NULL known FROM said s LEFT JOIN kept k ON s.w = k.w WHERE k.w IS NULL OR length(s.w) >= 3),
-kk AS MATERIALIZED (SELECT w cand, n, unnest(list_append([w[1:i - 1] || w[i + 1:] for i in range(1, length(w) + 1)], w)) k FROM kept), sk AS (SELECT w, known, unnest(list_append([w[1:i - 1] || w[i + 1:] for i in range(1, length(w) + 1)], w)) k FROM sw),
-cd AS MATERIALIZED (SELECT w, known, cand, n FROM (SELECT DISTINCT w, known, cand, n FROM sk JOIN kk USING (k) WHERE w <> cand) WHERE damerau_levenshtein(w, cand) <= 1), f0 AS MATERIALIZED (SELECT row, pos, w, w fixed FROM said)"""
-for _i in range(1, 5):
-    L3 += f""", x{_i} AS (SELECT f.row, f.pos, f.w, lag(fixed) OVER v prev, lead(fixed) OVER v nxt FROM f{_i - 1} f WINDOW v AS (PARTITION BY row ORDER BY pos)),
-y{_i} AS (SELECT x.row, x.pos, c.cand, c.n, known, prev, nxt, coalesce(ln.n, 0) l, coalesce(rn.n, 0) r, coalesce(lo.n, 0) l0, coalesce(ro.n, 0) r0 FROM x{_i} x JOIN cd c ON c.w = x.w LEFT JOIN b ln ON ln.a = prev AND ln.b = cand LEFT JOIN b rn ON rn.a = cand AND rn.b = nxt
-LEFT JOIN b lo ON lo.a = prev AND lo.b = x.w LEFT JOIN b ro ON ro.a = x.w AND ro.b = nxt),
-z{_i} AS (SELECT row, pos, cand FROM y{_i} WHERE NOT known OR ((prev IS NOT NULL OR nxt IS NOT NULL) AND (prev IS NULL OR (l >= 10 AND l >= 10 * l0)) AND (nxt IS NULL OR (r >= 10 AND r >= 10 * r0))) QUALIFY row_number() OVER (PARTITION BY row, pos ORDER BY l + r DESC, n DESC, cand) = 1),
-f{_i} AS MATERIALIZED (SELECT f.row, f.pos, f.w, coalesce(cand, f.w) fixed FROM f0 f LEFT JOIN z{_i} z ON z.row = f.row AND z.pos = f.pos)"""
-
-
-@query(L3 + " SELECT row, pos, w, fixed FROM f4 WHERE w <> fixed")
+TOKENS = r"regexp_extract_all(strip_accents(replace(lower(text), 'đ', 'd')), '[a-z0-9]+|[.,!?;:()\[\]]')"
+_SAID = f"SELECT conv_id * 1000 + turn AS row, i - 1 AS pos, w[i] AS w, w[i + 1] AS nxt FROM (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) i FROM (SELECT conv_id, turn, {TOKENS} w FROM conversations))"
+_LESS, _SWAP = "unnest([{w}[1:i - 1] || {w}[i + 1:] for i in range(1, length({w}) + 1)])", "unnest([{w}[1:i - 1] || {w}[i + 1] || {w}[i] || {w}[i + 2:] for i in range(1, length({w}))])"
+CORRUPTIONS = f"""cd AS MATERIALIZED (SELECT DISTINCT w, cand, n FROM (SELECT s.w, k.cand, k.n FROM sw s JOIN (SELECT w cand, n, {_LESS.format(w='w')} k FROM kept) k ON k.k = s.w
+  UNION ALL SELECT s.w, k.w, k.n FROM (SELECT w, {_SWAP.format(w='w')} c FROM sw) s JOIN kept k ON k.w = s.c) WHERE w <> cand)"""
+_WORD = "regexp_matches({}, '^[a-z]+$')"
+L3 = VOCAB.replace("WITH v", "WITH RECURSIVE v", 1) + f""", d AS (SELECT {WORDS} w FROM documents), b AS MATERIALIZED (SELECT a, b, count(*) n FROM (SELECT w[i] a, w[i + 1] b FROM (SELECT w, unnest(range(1, len(w))) i FROM d)) WHERE a IN (SELECT w FROM kept) AND b IN (SELECT w FROM kept) GROUP BY ALL HAVING count(*) >= 3),
+said AS MATERIALIZED (SELECT s.*, k.w IS NOT NULL known FROM ({_SAID}) s LEFT JOIN kept k ON s.w = k.w), sw AS MATERIALIZED (SELECT DISTINCT w FROM said WHERE length(w) >= 2 AND {_WORD.format('w')}), {CORRUPTIONS},
+f(row, pos, w, fixed) AS (SELECT DISTINCT row, -1::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM said
+  UNION ALL
+  SELECT row, pos, w, CASE WHEN best IS NULL THEN w WHEN NOT known THEN best.cand WHEN length(w) >= 3 AND greatest(CASE WHEN lw THEN best.l ELSE 0 END, CASE WHEN rw THEN best.r ELSE 0 END) >= 10
+      AND (NOT lw OR best.l >= 10 * l0) AND (NOT rw OR best.r >= 10 * r0) THEN best.cand ELSE w END
+  FROM (SELECT s.row, s.pos, s.w, s.known, coalesce({_WORD.format('p.fixed')}, false) lw, coalesce({_WORD.format('s.nxt')}, false) rw, coalesce(max(lo.n), 0) l0, coalesce(max(ro.n), 0) r0,
+      max(CASE WHEN c.cand IS NOT NULL THEN struct_pack(t := coalesce(ln.n, 0) + coalesce(rn.n, 0), n := c.n, cand := c.cand, l := coalesce(ln.n, 0), r := coalesce(rn.n, 0)) END) best
+    FROM f p JOIN said s ON s.row = p.row AND s.pos = p.pos + 1 LEFT JOIN cd c ON c.w = s.w LEFT JOIN b ln ON ln.a = p.fixed AND ln.b = c.cand LEFT JOIN b rn ON rn.a = c.cand AND rn.b = s.nxt
+    LEFT JOIN b lo ON lo.a = p.fixed AND lo.b = s.w LEFT JOIN b ro ON ro.a = s.w AND ro.b = s.nxt GROUP BY s.row, s.pos, s.w, s.known, p.fixed, s.nxt))"""
+
+
+@query(L3 + " SELECT row, pos, w, fixed FROM f WHERE pos >= 0 AND w <> fixed")
 def l3_correct(t):
-    """Conversations corrected against the vocabulary of the documents; tests fix known sentences."""
+    """Conversations corrected against the vocabulary of the documents; the twin walks the positions by recursion."""
     w = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
-    v = L.vocabulary(w.select("w"))
-    said = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.posexplode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
-    return L.correct(said, v, L.bigrams(w, v, "doc_id"), "row").where("w <> fixed")
+    v = stage(L.vocabulary(w.select("w")), "vocabulary")
+    said = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "w"))
+    return L.correct(said, v, stage(L.bigrams(w, v, "doc_id"), "bigrams"), "row").where("w <> fixed")
+
+
+@query(VOCAB + f", sw AS (SELECT DISTINCT w FROM (SELECT unnest({WORDS}) w FROM conversations) WHERE length(w) >= 2), {CORRUPTIONS} SELECT w, cand, n FROM cd")
+def t9_corruptions(t):
+    """Words of the conversations with the vocabulary words of the documents that a lost letter or a swap turned into them."""
+    said = t.conversations.select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")).where(F.length("w") >= 2)
+    return L.corruptions(said.distinct(), stage(L.vocabulary(tokens(t)), "vocabulary"))
 
 
 KINDS = {"licence": ["general public license", "apache license", "cc by", "license"], "rights": ["all rights reserved"]}

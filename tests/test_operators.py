@@ -1,6 +1,7 @@
 """Operators whose results have no SQL twin, and cases with known answers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,21 +90,59 @@ def test_dropout_only_takes_optional_clauses(spark):
     assert all({"go", "take it"} <= set(x) for x in got) and {len(x) for x in got} == {2, 3}
 
 
+def corrected(spark, counts, bigrams, *rows):
+    v = spark.createDataFrame(list(counts.items()), "w string, n long")
+    p = spark.createDataFrame([(*k.split(), n) for k, n in bigrams.items()], "a string, b string, n long")
+    said = spark.createDataFrame([(i, j, w) for i, text in enumerate(rows) for j, w in enumerate(text.split())], "row int, pos int, w string")
+    got = {(r["row"], r["pos"]): r["fixed"] for r in L.correct(said, v, p, "row").collect()}
+    return [" ".join(got[i, j] for j in range(len(text.split()))) for i, text in enumerate(rows)]
+
+
 def test_correction_uses_neighbours(spark):
-    v = spark.createDataFrame([("red", 50), ("rod", 80), ("box", 60), ("bring", 40)], "w string, n long")
-    p = spark.createDataFrame([("red", "box", 30), ("bring", "red", 9)], "a string, b string, n long")
-    said = spark.createDataFrame([(1, 0, "brnig"), (1, 1, "rd"), (1, 2, "bxo")], "row int, pos int, w string")
-    got = {r["pos"]: r["fixed"] for r in L.correct(said, v, p, "row").collect()}
-    assert got == {0: "bring", 1: "red", 2: "box"}
-
-
-def test_correction_of_known_words_needs_ten_times_the_support(spark):
-    v = spark.createDataFrame([("red", 50), ("rod", 80), ("box", 60), ("the", 99), ("it", 9), ("is", 9)], "w string, n long")
-    p = spark.createDataFrame([("the", "red", 20), ("red", "box", 30), ("the", "rod", 2), ("rod", "box", 3), ("it", "is", 50)], "a string, b string, n long")
-    said = [(1, 0, "the"), (1, 1, "rod"), (1, 2, "box"), (2, 0, "rod"), (3, 0, "the"), (3, 1, "rod"), (3, 2, "is"), (4, 0, "is"), (4, 1, "is")]
-    got = {(r["row"], r["pos"]): r["fixed"] for r in L.correct(spark.createDataFrame(said, "row int, pos int, w string"), v, p, "row").collect()}
-    # replaced where both neighbours speak for it; not alone, not with one side only, not in two letters
-    assert got == {(1, 0): "the", (1, 1): "red", (1, 2): "box", (2, 0): "rod", (3, 0): "the", (3, 1): "rod", (3, 2): "is", (4, 0): "is", (4, 1): "is"}
+    counts, bigrams = {"red": 50, "read": 80, "box": 60, "bring": 40}, {"red box": 30, "bring red": 9}
+    assert corrected(spark, counts, bigrams, "brnig rd bxo", "rd", "") == ["bring red box", "red", ""]
+
+
+def test_correction_of_known_words(spark):
+    counts = {"the": 90, "form": 70, "from": 60, "run": 50, "is": 9, "si": 9}
+    bigrams = {"the from": 50, "from run": 3, "is si": 50}
+    # one side with ten is enough, if no side has more than a tenth for the present word; what is no word is no side
+    assert corrected(spark, counts, bigrams, "the form run", "the form 7", "form", "the form is", "is is") == ["the from run", "the from 7", "form", "the from is", "is is"]
+    assert corrected(spark, counts, bigrams | {"form run": 1}, "the form run", "7 form run") == ["the form run", "7 form run"]
+
+
+def test_correction_candidates_are_lost_letters_and_swaps(spark):
+    counts = {"cat": 90, "cast": 5, "act": 5}
+    assert corrected(spark, counts, {}, "cst", "zat", "catt", "ct", "c", "c7t") == ["cast", "zat", "catt", "cat", "c", "c7t"]
+    assert corrected(spark, {"abc": 5, "abd": 5, "dab": 5}, {}, "ab")[0] == "dab"  # the greater word of equals
+
+
+def test_correction_goes_from_left_to_right(spark):
+    # the first word decides the second by its corrected form; the right neighbour counts as it is written
+    counts, bigrams = {"big": 9, "bag": 9, "cut": 9, "cat": 9}, {"big cat": 40, "bag cut": 50, "bag ct": 7}
+    assert corrected(spark, counts, bigrams, "bg ct", "big ct", "bag ct") == ["bag cut", "big cat", "bag cut"]
+
+
+def test_correction_by_hand(spark):
+    rng = random.Random(3)
+    counts = {w: rng.randrange(8, 40) for w in {"".join(rng.choices("abc", k=rng.randrange(2, 5))) for _ in range(60)}}
+    bigrams = {f"{a} {b}": rng.choice([1, 3, 12, 40, 150]) for a in counts for b in counts if rng.random() < 0.2}
+    texts = [" ".join("".join(rng.choices("abc7", [9, 9, 9, 1], k=rng.randrange(1, 5))) for _ in range(30)) for _ in range(40)]
+    support, want = lambda a, b: bigrams.get(f"{a} {b}", 0), []
+    for text in texts:
+        words, done = text.split(), []
+        for i, w in enumerate(words):
+            left, right = done[-1] if done else "", words[i + 1] if i + 1 < len(words) else ""
+            near = {c for c in counts if c != w and (w in {c[:j] + c[j + 1 :] for j in range(len(c))} or c in {w[:j] + w[j + 1] + w[j] + w[j + 2 :] for j in range(len(w) - 1)})}
+            new = w
+            if near and len(w) > 1 and w.isalpha():
+                best = max(near, key=lambda c: (support(left, c) + support(c, right), counts[c], c))
+                good = [(support(left, best), support(left, w))] * left.isalpha() + [(support(best, right), support(w, right))] * right.isalpha()
+                if w not in counts or len(w) > 2 and any(x >= 10 for x, _ in good) and all(x >= 10 * y for x, y in good):
+                    new = best
+            done.append(new)
+        want.append(" ".join(done))
+    assert corrected(spark, counts, bigrams, *texts) == want and want != texts
 
 
 def test_draws_of_large_and_text_ids(spark):
