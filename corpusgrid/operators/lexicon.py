@@ -1,4 +1,4 @@
-"""Vocabulary and lexicon jobs (L1-L9). Phrase lists, cues and aliases are the caller's."""
+"""Vocabulary and lexicon jobs (L1-L6; L7-L9 are in grammar). Phrase lists, cues and aliases are the caller's."""
 
 from __future__ import annotations
 
@@ -123,41 +123,3 @@ def read_flag(sentences: Column, force_true: str, force_false: str, word: str, n
 
     said = F.filter(F.transform(sentences, one), lambda v: v.isNotNull())
     return F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit(False))
-
-
-def roles(mention_rows: DataFrame, negated: str, via: str, goal: str, row: str | None = None, directions: dict[str, str] | None = None, near: str = "", far: str = "") -> DataFrame:
-    """Role of mention rows (before, after: text around) by cues that end just before or start just after.
-
-    With row, qualifiers too: ref is the direction whose cue starts just after the mention, or near or far if such a cue
-    alone stands between it and the next mention, which then is its anchor (role anchor) and no place of its own.
-    """
-    ends = lambda p: F.col("before").rlike(rf"(?:{p})\s*$")
-    x = mention_rows.withColumn("role", F.when(ends(negated), "negated").when(ends(via), "via").when(ends(goal), "goal").otherwise("plain"))
-    if row is None:
-        return x
-    w = Window.partitionBy(row).orderBy("pos")
-    alone = lambda p: F.col("before").rlike(rf"^\s*(?:{p})\s*$") if p else F.lit(False)
-    x = x.withColumn("_link", F.when(F.col("pos") > 0, F.when(alone(near), "near").when(alone(far), "far")))
-    way = F.lit(None).cast("string")
-    for cue, name in (directions or {}).items():
-        way = F.when(F.col("after").rlike(rf"^\s*(?:{cue})\b"), name).otherwise(way)
-    x = x.withColumns({"ref": F.coalesce(way, F.lead("_link").over(w)), "anchor": F.when(way.isNull() & F.lead("_link").over(w).isNotNull(), F.lead("phrase").over(w))})
-    return x.withColumn("role", F.when(F.col("_link").isNotNull(), "anchor").otherwise(F.col("role"))).drop("_link")
-
-
-def parse_job(mention_rows: DataFrame, flags: DataFrame, row: str) -> DataFrame:
-    """One row per text with goal and via, the qualifiers of both, and its flags (row and further columns)."""
-    picked = final_pick(mention_rows, row)
-    last = mention_rows.where("role <> 'anchor'").groupBy(row, "phrase").agg(F.max_by(F.struct("ref", "anchor"), "pos").alias("_q"))
-    for part in ("goal", "via"):
-        q = last.select(row, F.col("phrase").alias(part), F.col("_q.ref").alias(f"{part}_ref"), F.col("_q.anchor").alias(f"{part}_anchor"))
-        picked = picked.join(q, [row, part], "left")
-    return flags.join(picked, row, "left").select(row, "goal", "goal_ref", "goal_anchor", "via", "via_ref", "via_anchor", *[c for c in flags.columns if c != row])
-
-
-def final_pick(mention_rows: DataFrame, row: str) -> DataFrame:
-    """Goal: last goal mention, else last plain one, strong kinds first; via: last via mention unless it is the goal."""
-    strong = (F.col("kind") != "person").cast("int")
-    g = mention_rows.where("role in ('goal', 'plain')").groupBy(row).agg(F.max_by("phrase", F.struct(strong, (F.col("role") == "goal").cast("int"), "pos")).alias("goal"))
-    v = mention_rows.where("role = 'via'").groupBy(row).agg(F.max_by("phrase", "pos").alias("via"))
-    return mention_rows.select(row).distinct().join(g, row, "left").join(v, row, "left").select(row, "goal", F.when(~F.col("via").eqNullSafe(F.col("goal")), F.col("via")).alias("via"))

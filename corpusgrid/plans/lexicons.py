@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusgrid.functions import augment as A
 from corpusgrid.functions import expr as T
+from corpusgrid.operators import grammar as N
 from corpusgrid.operators import lexicon as L
+from corpusgrid.operators import resolve as J
+from corpusgrid.operators.grammar import Grammar
+from corpusgrid.plans import fixtures as X
 from corpusgrid.plans.registry import query
+from corpusgrid.plans.scenes import J1_SQL
 from corpusgrid.plans.text import WORDS
 from corpusgrid.session import stage
 
@@ -189,49 +195,66 @@ def l6_flags(t):
     return t.documents.select("doc_id", L.read_flag(s, "all rights", "licensed", "trash|scum", "no|not").alias("flag"))
 
 
+GRAMMAR = Grammar(
+    names={"place": {"gate": "gate", "main gate": "gate", "library": "library", "canteen": "canteen", "store": "store"}, "person": {"dr lee": "office"}, "item": {"parcel": "parcel"}},
+    heads=["the spot"], stops=["not"], keywords={"eat": "canteen"}, generic="place|building", link="next to|close to", most="of all", extremes={"north_most": "furthest north", "east_most": "furthest east"},
+    lead="in the|to the", directions={"north": "north", "west": "west"}, nearer="near|by", farther="far from",
+    negate_before="not to|never to|skip", negate_after="is closed|is done", via_before="via|by way of", via_after=r"(?:\w+ )?first",
+)
+NAMES = ("gate", "library", "canteen", "store")
+
+
 def mission_texts(t):
-    """A mission in words for each order."""
+    """A mission in words for each order: where to pass or not to pass, then where to bring it, then flags."""
     o = F.col("o_orderkey")
-    names = F.array(*map(F.lit, ("gate", "library", "canteen", "store")))
-    at = lambda i: F.element_at(names, (F.pmod(o * 7 + i * 5, F.lit(4)) + 1).cast("int"))
-    text = F.concat(F.lit("go via "), at(0), F.lit(" and not to "), at(1), F.lit(" then bring it to "), at(2), F.when(o % 3 == 0, F.concat(F.lit(" near "), at(3))).when(o % 3 == 1, " in the north").otherwise(""), F.when(o % 5 == 0, ". it is urgent").otherwise(""), F.when(o % 7 == 0, ". not fragile").when(o % 7 == 1, ". fragile").otherwise(""))
+    at = lambda i: F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod(o * 7 + i * 5, F.lit(4)) + 1).cast("int"))
+    pick = lambda n, *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (F.pmod(o, F.lit(n)) + 1).cast("int"))
+    c = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    first = pick(4, c("Go via ", at(0)), c("Take ", at(0), " first,"), c("Skip ", at(0)), c(at(0), " is closed"))
+    goal = pick(
+        8, c("bring the parcel to ", at(2), " near ", at(3)), c("bring it to ", at(2), " in the north"), c("bring it to ", at(2)), "bring it to the place furthest north",
+        c("bring it to the place close to ", at(3), " of all"), "hand it to Dr Lee", "bring it to the spot where people eat", c("bring it to ", at(2), ", far from ", at(3)),
+    )
+    text = c(first, " and not to ", at(1), pick(2, ". Then ", " then "), goal, F.when(o % 5 == 0, ". it is urgent").otherwise(""), F.when(o % 11 == 0, ". not fragile").when(o % 11 == 1, ". fragile").otherwise(""))
     return t.orders.select("o_orderkey", text.alias("text"))
 
 
-def mention_rows(t):
-    """Places where a name of the fixtures' kind stands in a mission."""
-    x = mission_texts(t)
-    p = F.regexp_extract_all("text", F.lit(r"\b(?:gate|library|canteen|store)\b"), F.lit(0))
-    parts = F.split("text", r"\b(?:gate|library|canteen|store)\b")
-    m = x.select("o_orderkey", parts.alias("parts"), F.posexplode(p).alias("pos", "phrase"))
-    return m.select("o_orderkey", "pos", "phrase", F.lit("place").alias("kind"), F.get("parts", F.col("pos")).alias("before"), F.get("parts", F.col("pos") + 1).alias("after"))
+def mission_clauses(t):
+    return mission_texts(t).select("o_orderkey", F.posexplode(T.clauses(F.lower("text"), ["then"])).alias("clause", "text"))
 
 
-ROLES = """WITH o AS (SELECT o_orderkey k, [['gate', 'library', 'canteen', 'store'][(o_orderkey * 7 + i * 5) % 4 + 1] for i in range(0, 4)] n FROM orders),
-m AS (SELECT k, 0 pos, n[1] phrase, 'via' r FROM o UNION ALL SELECT k, 1, n[2], 'negated' FROM o UNION ALL SELECT k, 2, n[3], 'goal' FROM o UNION ALL SELECT k, 3, n[4], 'anchor' FROM o WHERE k % 3 = 0)"""
+def missions(t):
+    """One row per mission: goal and via with their qualifiers, and both flags of the whole text."""
+    s = F.split(F.lower("text"), T.ENDS)
+    flags = mission_texts(t).select("o_orderkey", L.read_flag(s, "at once", "no hurry", "urgent", "not|no").alias("urgent"), L.read_flag(s, "with care", "sturdy", "fragile", "not|no").alias("fragile"))
+    return N.parse_job(mission_clauses(t), flags, GRAMMAR, "o_orderkey")
 
 
-CUES = {"negated": r"not to", "via": r"\bvia", "goal": r"(?<!not )\bto", "row": "o_orderkey", "directions": {"in the north": "north"}, "near": "near", "far": "far from"}
+ROLES = f"""o AS (SELECT o_orderkey k, [{list(NAMES)}[(o_orderkey * 7 + i * 5) % 4 + 1] for i in range(0, 4)] n FROM orders),
+m AS (SELECT k, 0 clause, 'place' kind, n[1] AS type, NULL::VARCHAR ref, NULL::VARCHAR anchor, CASE WHEN k % 4 < 2 THEN 'via' ELSE 'negated' END role FROM o UNION ALL SELECT k, 0, 'place', n[2], NULL, NULL, 'negated' FROM o
+UNION ALL SELECT k, 1, CASE k % 8 WHEN 3 THEN 'north_most' WHEN 4 THEN 'anchor_near' WHEN 5 THEN 'person' ELSE 'place' END, CASE k % 8 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'office' WHEN 6 THEN 'canteen' ELSE n[3] END,
+  CASE k % 8 WHEN 0 THEN 'near' WHEN 1 THEN 'north' WHEN 3 THEN 'north_most' WHEN 4 THEN 'anchor_near' WHEN 7 THEN 'far' END, CASE WHEN k % 8 IN (0, 4, 7) THEN n[4] END, 'goal' FROM o),
+p AS (SELECT a.k, a.type goal, a.ref goal_ref, a.anchor goal_anchor, CASE WHEN NOT (a.kind = 'place' AND b.type = a.type AND a.ref IS NULL) THEN b.type END via FROM (SELECT * FROM m WHERE role = 'goal') a LEFT JOIN (SELECT * FROM m WHERE role = 'via') b USING (k))"""
 
 
-@query(ROLES + " SELECT k AS o_orderkey, pos, phrase, r AS role, CASE WHEN pos = 2 THEN CASE k % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'north' END END AS ref, CASE WHEN pos = 2 AND k % 3 = 0 THEN (SELECT n[4] FROM o WHERE o.k = m.k) END AS anchor FROM m")
+@query(f"WITH {ROLES} SELECT k AS o_orderkey, clause, kind, type, ref, anchor, role FROM m")
 def l7_roles(t):
-    return L.roles(mention_rows(t), **CUES).select("o_orderkey", "pos", "phrase", "role", "ref", "anchor")
-
+    return N.mention_roles(mission_clauses(t), GRAMMAR, "o_orderkey").drop("at")
 
-_PICK = "SELECT k, arg_max(phrase, pos) FILTER (r = 'goal') AS goal, CASE WHEN any_value(phrase) FILTER (r = 'via') <> arg_max(phrase, pos) FILTER (r = 'goal') THEN any_value(phrase) FILTER (r = 'via') END AS via FROM m GROUP BY k"
 
-
-@query(ROLES + f" SELECT k AS o_orderkey, goal, via FROM ({_PICK})")
+@query(f"WITH {ROLES} SELECT k AS o_orderkey, goal, via FROM p")
 def l8_final_pick(t):
-    return L.final_pick(L.roles(mention_rows(t), **CUES), "o_orderkey")
+    x = N.final_pick(N.mention_roles(mission_clauses(t), GRAMMAR, "o_orderkey"), "o_orderkey")
+    return x.select("o_orderkey", F.col("goal.type").alias("goal"), F.col("via.type").alias("via"))
 
 
-@query(ROLES + f", p AS ({_PICK}), q AS (SELECT k, phrase, arg_max(struct_pack(pos := pos), pos).pos pos FROM m WHERE r <> 'anchor' GROUP BY k, phrase), z AS (SELECT p.*, a.pos gp, b.pos vp, o.n[4] x FROM p JOIN o USING (k) LEFT JOIN q a ON a.k = p.k AND a.phrase = goal LEFT JOIN q b ON b.k = p.k AND b.phrase = via)"
-    " SELECT k AS o_orderkey, goal, CASE WHEN gp = 2 THEN CASE k % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'north' END END AS goal_ref, CASE WHEN gp = 2 AND k % 3 = 0 THEN x END AS goal_anchor, via, CASE WHEN vp = 2 THEN CASE k % 3 WHEN 0 THEN 'near' WHEN 1 THEN 'north' END END AS via_ref, CASE WHEN vp = 2 AND k % 3 = 0 THEN x END AS via_anchor, k % 5 = 0 AS urgent, k % 7 = 1 AS fragile FROM z")
+@query(f"WITH {ROLES} SELECT k AS o_orderkey, goal, goal_ref, goal_anchor, via, NULL::VARCHAR AS via_ref, NULL::VARCHAR AS via_anchor, k % 5 = 0 AS urgent, k % 11 = 1 AS fragile FROM p")
 def l9_parse_job(t):
-    """One row per mission: goal and via with their qualifiers, and both flags of the whole text."""
-    text = mission_texts(t)
-    s = F.split("text", T.ENDS)
-    flags = text.select("o_orderkey", L.read_flag(s, "at once", "no hurry", "urgent", "not|no").alias("urgent"), L.read_flag(s, "with care", "sturdy", "fragile", "not|no").alias("fragile"))
-    return L.parse_job(L.roles(mention_rows(t), **CUES), flags, "o_orderkey")
+    return missions(t)
+
+
+@query(X.SQL + f", {ROLES}, specs AS (SELECT k g, goal AS type, goal_ref AS ref, goal_anchor AS anchor FROM p SEMI JOIN graphs ON graphs.g = p.k), {J1_SQL}")
+def l9_resolved_targets(t):
+    """Goals of the parsed missions, resolved on the lattice that has the mission's number."""
+    specs = N.target_specs(missions(t), "o_orderkey").join(X.graphs(t), "g", "left_semi")
+    return J.resolve_targets(specs, X.landmarks(t))

@@ -23,10 +23,14 @@ def specs(t):
     return s.select("*", F.when(F.col("ref").isin("near", "far", "anchor_near"), pick(X.TYPES, F.floor(g / 4) % 4)).alias("anchor"))
 
 
-@query(SPECS + """, x AS (SELECT s.*, a.r ar, a.c ac, n FROM specs s LEFT JOIN (SELECT g, type anchor, arg_min(r, ord) r, arg_min(c, ord) c FROM landmarks GROUP BY ALL) a USING (g, anchor) LEFT JOIN (SELECT g, type, count(*) n FROM landmarks GROUP BY ALL) USING (g, type)),
+#: Follows a table expression specs (g, type, ref, anchor).
+J1_SQL = """x AS (SELECT s.*, a.r ar, a.c ac, n FROM specs s LEFT JOIN (SELECT g, type anchor, arg_min(r, ord) r, arg_min(c, ord) c FROM landmarks GROUP BY ALL) a USING (g, anchor) LEFT JOIN (SELECT g, type, count(*) n FROM landmarks GROUP BY ALL) USING (g, type)),
 u AS (SELECT *, CASE WHEN ref IN ('near', 'far', 'anchor_near') AND ar IS NULL THEN NULL WHEN ref NOT LIKE '%_most' AND ref <> 'anchor_near' AND n = 1 THEN NULL ELSE ref END used_ref FROM x),
 j AS (SELECT u.g, u.type, u.ref, u.anchor, used_ref, l.r, l.c, l.ord, abs(l.r - ar) + abs(l.c - ac) m, (l.r - ar) * (l.r - ar) + (l.c - ac) * (l.c - ac) e FROM u JOIN landmarks l ON l.g = u.g AND CASE WHEN used_ref LIKE '%_most' THEN true WHEN used_ref = 'anchor_near' THEN NOT (l.r = ar AND l.c = ac) ELSE l.type = u.type END)
-SELECT g, type, ref, anchor, used_ref, r, c FROM j QUALIFY row_number() OVER (PARTITION BY g ORDER BY CASE WHEN used_ref = 'anchor_near' THEN m WHEN used_ref = 'near' THEN e WHEN used_ref = 'far' THEN -e WHEN used_ref LIKE 'north%' THEN r WHEN used_ref LIKE 'west%' THEN c WHEN used_ref LIKE 'east%' THEN -c ELSE 0 END, CASE WHEN used_ref = 'anchor_near' THEN e ELSE 0 END, ord) = 1""")
+SELECT g, type, ref, anchor, used_ref, r, c FROM j QUALIFY row_number() OVER (PARTITION BY g ORDER BY CASE WHEN used_ref = 'anchor_near' THEN m WHEN used_ref = 'near' THEN e WHEN used_ref = 'far' THEN -e WHEN used_ref LIKE 'north%' THEN r WHEN used_ref LIKE 'west%' THEN c WHEN used_ref LIKE 'east%' THEN -c ELSE 0 END, CASE WHEN used_ref = 'anchor_near' THEN e ELSE 0 END, ord) = 1"""
+
+
+@query(f"{SPECS}, {J1_SQL}")
 def j1_resolve(t):
     return J.resolve_targets(specs(t), X.landmarks(t))
 
