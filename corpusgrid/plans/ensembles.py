@@ -58,6 +58,41 @@ def e4_grid_search(t):
     return E.grid_search(gate_rows(t), "rule", "model", "conf", "truth", F.col("o_orderkey") % 2 == 0, [i / 10 for i in range(1, 10)])
 
 
+GRID = {"goal": [0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 2.0], "via": [0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 2.0], "flags": [0.99, 0.999, 2.0]}
+_FIELD = "CASE WHEN (k * {a}) % {n} <> 0 THEN (k * {b} + c) % 3 END AS {f}_rule, (k * {d} + c) % 3 AS {f}_model, (1 - ((k * {e} + c) % 1000 / 1000.0::DOUBLE) ^ 2) AS {f}_conf, CASE WHEN k % 4 = 0 THEN (k * {b} + c) % 3 ELSE (k * {d} + c) % 3 END AS {f}_truth"
+_SPEC = {"goal": (3, 7, 5, 2, 37), "via": (5, 5, 1, 7, 91), "flags": (1, 6, 4, 5, 113)}
+GATES = "WITH q AS (SELECT o_orderkey k, o_custkey c, ['validation', 'holdout', 'challenge'][o_orderkey % 3 + 1] part FROM orders), h AS (SELECT part, " + ", ".join(_FIELD.format(f=f, a=a, n=n, b=b, d=d, e=e) for f, (a, n, b, d, e) in _SPEC.items()) + """ FROM q),
+gr AS (SELECT part, goal, via, flags, sum((""" + " AND ".join(f"CASE WHEN {f}_rule IS NULL OR ({f}_model <> {f}_rule AND {f}_conf >= {f}) THEN {f}_model ELSE {f}_rule END = {f}_truth" for f in GRID) + ")::INT) AS right_, count(*) AS n FROM h, " + ", ".join(f"(SELECT unnest({g}::DOUBLE[]) {f})" for f, g in GRID.items()) + " GROUP BY ALL)"
+
+
+def three_gates(t):
+    """Rule and model answers of three fields of each order, with confidences."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    part = F.element_at(F.array(*map(F.lit, ("validation", "holdout", "challenge"))), (k % 3 + 1).cast("int"))
+    fields = [part.alias("part")]
+    for f, (a, n, b, d, e) in _SPEC.items():
+        rule, model = (k * b + c) % 3, (k * d + c) % 3
+        x = ((k * e + c) % 1000) / 1000.0
+        fields += [F.when((k * a) % n != 0, rule).alias(f"{f}_rule"), model.alias(f"{f}_model"), (1 - x * x).alias(f"{f}_conf"), F.when(k % 4 == 0, rule).otherwise(model).alias(f"{f}_truth")]
+    return t.orders.select(*fields)
+
+
+def threshold_grid(t):
+    return E.threshold_grid(three_gates(t), {f: tuple(f"{f}_{x}" for x in ("rule", "model", "conf", "truth")) for f in GRID}, GRID, "part")
+
+
+@query(GATES + " SELECT part, goal, via, flags, right_::BIGINT AS right, n AS rows FROM gr")
+def e4_threshold_grid(t):
+    """243 combinations of thresholds on three parts, from one aggregate."""
+    return threshold_grid(t)
+
+
+@query(GATES + """, s AS (SELECT goal, via, flags, max(right_ / n) FILTER (part = 'validation') guard, sum(right_ / n) FILTER (part <> 'validation') score FROM gr GROUP BY ALL)
+SELECT goal, via, flags, guard, score, (SELECT guard FROM s WHERE goal = 2 AND via = 2 AND flags = 2) AS guard_rule FROM s WHERE guard >= guard_rule ORDER BY round(score, 9) DESC, round(goal + via + flags, 9) DESC, goal, via, flags LIMIT 1""")
+def e4_guarded_thresholds(t):
+    return E.guarded_thresholds(threshold_grid(t), list(GRID), "validation")
+
+
 _ORDERS = ", ".join(f"('{''.join(map(str, p))}')" for p in E.permutations(range(4)))
 
 
@@ -72,7 +107,7 @@ def e5_tie_priority(t):
     return E.tie_priority(o, "r", "a", "l", F.col("r") % 5 != 0, [0, 1, 2, 3])
 
 
-@query(MODELS + ", f AS (SELECT label, model, avg((cls = label)::INT) accuracy FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id, model ORDER BY round(p, 9) DESC, cls) = 1) GROUP BY ALL) SELECT label, model, accuracy FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(accuracy, 9) DESC, model) = 1")
+@query(MODELS + ", f AS (SELECT label, model, avg((cls = label)::INT) accuracy FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id, model ORDER BY round(p, 9) DESC, cls) = 1) GROUP BY ALL) SELECT label, model, accuracy FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(accuracy, 9) DESC, model DESC) = 1")
 def e8_best_family(t):
     m = models(t).groupBy("id", "label", "model").agg(F.max_by("cls", F.struct(F.round("p", 9), -F.col("cls"))).alias("cls"))
     return E.best_by_fold(m, "label", "model", F.col("cls") == F.col("label"))

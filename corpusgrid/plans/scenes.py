@@ -231,6 +231,57 @@ def e6_coordinate_search(t):
     return t.spark.createDataFrame([(k, v, value) for k, v in best.items()], "field string, weight long, score double")
 
 
+@query()
+def e6_search_by_condition(t):
+    """Weights of four fields for four conditions, searched in step, against unit costs."""
+    from corpusgrid.operators import ensemble as E
+    from corpusgrid.operators import metrics as A
+    from corpusgrid.session import stage
+
+    arcs, starts, vias, goals = (stage(x, "search") for x in (G.arcs(X.edges(t)), X.starts(t), X.vias(t), X.goals(t)))
+    kinds = {"all": F.lit(True), "rain": F.col("g") % 3 == 0, "urgent": F.col("g") % 5 == 1, "fragile": F.col("g") % 7 < 3}
+    named = F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in kinds.items()])))
+    conditions = stage(X.graphs(t).select("g", named.alias("condition")), "conditions")
+
+    def score(profiles):
+        costs = G.route_costs(arcs, profiles, starts, vias, goals).withColumns({"label": F.col("g") % 4, "row": F.struct("g", "profile")})
+        return A.tie_scores(costs, "row", "cost", "action", "label").select("row.g", "row.profile", "score")
+
+    base = dict(zip(X.PROFILE_COLUMNS, X.PROFILES["unit"]))
+    return E.coordinate_search_by(conditions, base, {"crowded": [50, 100, 200], "covered": [-20, 20], "turn": [20, 50], "u_turn": [50, 100]}, score)
+
+
+ROBOTS = tuple(X.PROFILES)[::5][:10]
+RANKED = ["excess", "n_legal", "exits", "distance", "n_nodes", "density", "row", "col", "unit", "crowd_2", "fit_r5"]
+
+
+def robot_candidates(t):
+    """A row for each robot and candidate action of a graph; positive: the robot's own costs make it the best."""
+    from corpusgrid.session import stage
+
+    costs = stage(routes(t, {k: X.PROFILES[k] for k in dict.fromkeys([*ROBOTS, *X.FEW])}), "costs")
+    best = G.best_action(costs.where(F.col("profile").isin(*ROBOTS)), ["g", "profile"], [3, 0, 2, 1]).select("g", F.col("profile").alias("robot"), F.col("action").alias("_best"))
+    shown = costs.groupBy("g", "action").pivot("profile", list(X.FEW)).agg(F.first("cost"))
+    c = P.candidates(actions(t), context(t)).select("g", F.col("action").cast("int").alias("action"), *RANKED[:-3]).join(shown, ["g", "action"], "left").join(best, "g")
+    return stage(c.withColumn("positive", F.col("action") == F.col("_best")).drop("_best"), "robot_candidates")
+
+
+@query()
+def e7_robot_rankers(t):
+    """A ranker for each of ten robots, all trained in one pass on even graphs, picks the robot's action of every graph."""
+    from corpusgrid.operators import ensemble as E
+
+    return E.rankers(robot_candidates(t), "robot", "g", "action", "positive", RANKED, F.col("g") % 2 == 0)
+
+
+@query()
+def e8_family_selection(t):
+    """Boosting, forest or extra trees for each of ten robots, by accuracy on folds that the models have not seen."""
+    from corpusgrid.operators import ensemble as E
+
+    return E.select_family(robot_candidates(t), "robot", "g", "action", "positive", RANKED).select("robot", "family", F.round("accuracy", 9).alias("accuracy"))
+
+
 @query()
 def e7_ranker(t):
     """A model over the candidate rows of even graphs picks the action of every graph."""
