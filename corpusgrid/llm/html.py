@@ -6,10 +6,13 @@ class and id) and the role of the nearest element around it give each block its
 edges. The minimum cut labels all blocks of a page together.
 
 Roles: article and main hold content; menus, footers, asides and the like bar it, as do elements whose class, id or role
-is a boilerplate word as a whole (part of a compound such as has-sidebar is weak evidence only). An article or main
-cancels what wrappers above it say; inside comments, related links or a barred element it does so only where the page has
-no other one. A form that holds most of the page is a wrapper. The classifier learns from pages with an article or main
-element: inside or outside is the label, and no feature.
+is a boilerplate word as a whole. A compound with such a word in any place (user-comments, site-footer) is suspect, unless
+it says that its element has or lacks the thing (has-sidebar). An article or main cancels what wrappers above it say;
+inside comments, related links or a barred element, or with a boilerplate word of its own, it does so only where the page
+has no other one. A form or a suspect element that holds most of the page is a wrapper. The classifier learns from pages
+with an article or main element: inside or outside is the label, and no feature.
+
+Scripts, styles, frames, templates, drawings and form controls have no text; noscript, object and math keep theirs.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,29 +31,33 @@ from corpusgrid.llm.text import map_texts
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style iframe textarea title noscript template svg math select object".split())
+RAW = frozenset("script style iframe textarea title template svg select annotation annotation-xml".split())
 #: Of these, the ones that nest and whose missing end tag costs nothing; others run to the end of the page, as in HTML.
-NESTED = frozenset("noscript template svg math select object".split())
+NESTED = frozenset("template svg select annotation annotation-xml".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math object q rp rt ruby s samp select small span strike strong sub sup svg td textarea th time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math object q rp rt ruby s samp select small span strike strong sub sup svg td textarea th time tt u var wbr"
+    " annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 SPACED = frozenset("br td th".split())
 BARRED = frozenset("nav footer aside header head button dialog menu".split())
 MAIN = frozenset("article main".split())
 #: Words of class, id and role that name boilerplate, those of them that hold other articles, and words that name the main part.
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 HOLDERS = frozenset("comment comments disqus modal popup promo promoted promotion related replies respond sidebar sponsor sponsored widget".split())
 #: What a compound may hold beside boilerplate words and still name boilerplate, as ad-box and cookie-notice do.
 SHAPES = frozenset("area bar block bottom box container inner item left list outer right section slot top unit wrap wrapper".split())
+#: Boilerplate words that say less in a compound, and words before one that make it a property of the page.
+VAGUE = frozenset("banner header login notice notices respond social toolbar".split())
+PROPERTY = frozenset("has hide hides is no with without".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
 WORD = re.compile(r"[a-z]+")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-NONE, IN_MAIN, IN_BARRED, IN_BAD, IN_FORM, HELD_MAIN = range(6)
+NONE, IN_MAIN, IN_BARRED, IN_BAD, IN_FORM, HELD_MAIN, SUSPECT = range(7)
 #: Evidence of the roles, in the logistic scale, and the most that the text of a block can add or take.
-STRUCTURE, TEXT = (0.0, 5.0, -7.0, -6.0, -3.0, -6.0), 2.5
+STRUCTURE, TEXT = (0.0, 5.0, -7.0, -6.0, -3.0, -6.0, -4.0), 2.5
 FEATURES = ("bias", "bad_part", "good_word", "log_words", "link_share", "heading", "sentence_marks")
 #: What the classifier believes before it sees a page, and how strongly.
 PRIOR = np.array([-0.5, -1.0, 1.5, 0.4, -3.0, 0.3, 0.8])
@@ -60,15 +69,16 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, int]]:
     """(text, features, role, container) of every non-empty block in page order; the last, unfinished tag of a cut page is dropped."""
     page = page or ""
     out, chunks = [], []
-    # element: (name, id, container, role, under main, held, bad part, good, link, heading)
-    stack = [("", 0, 0, NONE, False, False, False, False, False, False)]
+    # element: (name, id, container, role, under main, held, bad part, good, link, heading, place of the block that it is or is in)
+    stack = [("", 0, 0, NONE, False, False, False, False, False, False, 0)]
     made, links, letters = 1, 0, 0
+    open_names, ends = Counter(), {}
 
     def flush():
         nonlocal links, letters
         text = " ".join("".join(chunks).split()) if chunks else ""
         if text:
-            _, _, container, role, _, _, part, good, _, heading = owner
+            _, _, container, role, _, _, part, good, _, heading, _ = owner
             n = text.count(" ") + 1
             f = (1.0, part, good, math.log(n), links / max(letters, 1), heading, min(text.count(".") + text.count(","), 4) / 4)
             out.append((text, tuple(map(float, f)), role, container))
@@ -76,7 +86,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, int]]:
         links = letters = 0
 
     def block():
-        return next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
+        return stack[stack[-1][10]]
+
+    def shut(k):
+        open_names.subtract(e[0] for e in stack[k:])
+        del stack[k:]
 
     owner = stack[0]
     pos, end = 0, len(page)
@@ -112,8 +126,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, int]]:
         closing, name = page[at + 1] == "/", re.split(r"[\s/>]", page[at + 1 + (nxt == "/") : close], maxsplit=1)[0].lower()
         pos = close
         if name in RAW and not closing:
-            if not (name in ("svg", "math") and page[close - 2] == "/"):  # foreign elements may end at once
-                pos = _after(page, name, close)
+            if not (name == "svg" and page[close - 2] == "/"):  # foreign elements may end at once
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                pos = ends[name](close)
             if name not in INLINE:
                 flush()
             continue
@@ -126,61 +142,70 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, int]]:
         if name not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag does not close a block
+            low = stack[-1][10] if name in INLINE else 0  # an inline end tag does not close a block
+            k = next((k for k in range(len(stack) - 1, low, -1) if stack[k][0] == name), 0) if open_names[name] else 0
+            if k:
+                shut(k)
         else:
             if name in ("p", "li", "dt", "dd", "option", "tr"):
                 # an open element of the same name ends here, with the inline elements in it
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] in INLINE:
-                    k -= 1
+                k = stack[-1][10]
                 if stack[k][0] == name:
-                    del stack[k:]
-            _, above, container, role, under, held, part, good, link, heading = stack[-1]
+                    shut(k)
+            _, above, container, role, under, held, part, good, link, heading, home = stack[-1]
             tokens = [] if not m or name in ("html", "body") else [t for a in ATTR.finditer(m[3]) for t in (a[2] or a[3] or a[4] or "").lower().split()]
             parts = {w for t in tokens for w in WORD.findall(t)}
             whole = {w for t in tokens for w in (WORD.findall(t),) if w and w[0] in BAD_WORDS and BAD_WORDS | SHAPES >= set(w) for w in w}
-            if name in MAIN and not whole:
+            if name in MAIN and not (whole and under):
                 if not under:  # an article inside another one changes nothing
-                    role = HELD_MAIN if held else IN_MAIN
+                    role = HELD_MAIN if held or whole else IN_MAIN
                     part, under = False, True
             elif name in BARRED or whole:
                 role = IN_BARRED if name in BARRED else IN_BAD
                 held = held or name in BARRED or bool(whole & HOLDERS)
+            elif role not in (IN_BARRED, IN_BAD) and any(_suspect(WORD.findall(t)) for t in tokens):
+                role = SUSPECT
             elif name == "form" and role not in (IN_BARRED, IN_BAD):
                 role = IN_FORM
             stack.append((
                 name, made, above if name not in INLINE else container, role, under, held, part or bool(parts & BAD_WORDS), good or bool(parts & GOOD_WORDS), link or name == "a",
-                name in ("h1", "h2", "h3", "h4", "h5", "h6"),
+                name in ("h1", "h2", "h3", "h4", "h5", "h6"), home if name in INLINE else len(stack),
             ))
+            open_names[name] += 1
             made += 1
     flush()
     return _resolved(out)
 
 
-def _after(page: str, name: str, pos: int) -> int:
-    """Where the text goes on after the start tag of a raw element that ended at pos."""
-    depth = 1
-    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page, pos):
-        if m[1]:
-            depth -= 1
-        elif name in NESTED and not m[0].endswith("/>"):
-            depth += 1
-        if depth == 0:
-            return m.end()
-    return pos if name in NESTED else len(page)
+def _suspect(words: list[str]) -> bool:
+    """Whether a compound holds a telling boilerplate word that is not said to be a property."""
+    return len(words) > 1 and any(w in BAD_WORDS and w not in VAGUE and not PROPERTY & set(words[:i]) for i, w in enumerate(words))
+
+
+def _ends(page: str, name: str):
+    """Function of the place after a raw element's start tag: where the text goes on. The page is read once for all."""
+    tags = [(m.start(), m.end(), bool(m[1]), m[0].endswith("/>")) for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(page)]
+    if name not in NESTED:
+        closed = [t for t in tags if t[2]]
+        starts = [t[0] for t in closed]
+        return lambda pos: closed[k][1] if (k := bisect_left(starts, pos)) < len(closed) else len(page)
+    after, open_ = {}, []
+    for _, end, closing, at_once in tags:
+        if closing and open_:
+            after[open_.pop()] = end
+        elif not closing and not at_once:
+            open_.append(end)
+    return lambda pos: after.get(pos, pos)
 
 
 def _resolved(found: list) -> list:
-    """Blocks with the roles that only the whole page decides: held articles, and forms that wrap the page."""
-    words = lambda role: sum(b[0].count(" ") + 1 for b in found if role is None or b[2] == role)
-    change = {HELD_MAIN: IN_BAD if any(b[2] == IN_MAIN for b in found) else IN_MAIN}
-    if 2 * words(IN_FORM) > words(None) and not any(b[2] in (IN_MAIN, HELD_MAIN) for b in found):
-        change[IN_FORM] = NONE
+    """Blocks with the roles that only the whole page decides: held articles, and wrappers of the page."""
+    words = Counter()
+    for text, _, role, _ in found:
+        words[role] += text.count(" ") + 1
+    change = {HELD_MAIN: IN_BAD if words[IN_MAIN] else IN_MAIN}
+    if not words[IN_MAIN] and not words[HELD_MAIN]:
+        change |= {role: NONE for role in (IN_FORM, SUSPECT) if 2 * words[role] > words.total()}
     return [(t, f, change.get(role, role), at) for t, f, role, at in found]
 
 

@@ -217,6 +217,39 @@ def test_pages_hard_cases(spark):
     assert html.extract(df.limit(0), html.train(df.limit(0))).count() == 0
 
 
+ONE = "The main article of this page has a long first sentence, with commas, and it ends here."
+TWO = "A second paragraph follows the first one, with more words, and it ends here too."
+OWN = f"<p>{ONE}</p><p>{TWO}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="share">{OWN}</article>',
+    f'<nav><a href="/">Home</a> <a href="/a">About us</a></nav><article class="post widget">{OWN}</article><footer>All rights reserved</footer>',
+    f'<main class="main menu">{OWN}</main>',
+    f'<div class="page has-sidebar no-comments">{OWN}</div>',
+    f'<div class="sidebar-layout">{OWN}</div>',
+    f'<article><div class="body with-sidebar">{OWN}</div></article>',
+    *[f'<article>{OWN}<div class="{c}"><p>I liked this a lot, thanks for writing it, greetings to all.</p></div></article>' for c in (
+        "user-comments", "comment-thread", "reader-comments", "site-footer", "sidebar-main", "adsbygoogle", "ad-box-large", "related-articles", "newsletter-form-wide", "cookie-banner-text")],
+    f'<article>{OWN}</article><article class="comment"><p>I liked this a lot, thanks for writing it.</p></article>',
+    f'<main>{OWN}<article class="comment"><p>I liked this a lot, thanks for writing it.</p></article></main>',
+])
+def test_words_on_elements_are_evidence(page):
+    assert html.main_text(page, html.PRIOR) == f"{ONE}\n{TWO}"
+
+
+def test_text_of_math_noscript_and_object_stays():
+    page = f"<article><p>{ONE}</p><p>The value is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> in all cases, as was shown.</p><noscript><p>{TWO}</p></noscript><object data='a'><p>{TWO}</p></object></article>"
+    assert html.main_text(page, html.PRIOR).split("\n") == [ONE, "The value is x=2 in all cases, as was shown.", TWO, TWO]
+
+
+@pytest.mark.parametrize("raw", ["<svg><p>word</p>", "<template><p>word</p>", "<select><p>word</p>", "<div><b><i>", "<b>x</div>", "<div></section>", "<p><b>x", "<style>a</style><svg>", "<textarea>a</textarea>"])
+def test_open_elements_take_linear_time(raw):
+    start = time.process_time()
+    html.blocks("<article>" + raw * 8000)
+    assert time.process_time() - start < 2
+
+
 @pytest.mark.parametrize("junk", ["<p" * 3000, "<a href=\"" * 3000, "<" * 20000, "&" * 20000, "<!" * 20000])
 def test_broken_markup_takes_linear_time(junk):
     html.main_text(junk, html.PRIOR)
