@@ -3,9 +3,10 @@
 All rolling word pairs of a text meet the templates' pairs in a broadcast join (the templates are this module's or the
 caller's, so the side is bounded and checked). A hit votes for its diagonal: start = position in the text - position in
 the template. The votes of a diagonal are the set of template positions, so repeated rows and repeated words cannot vote
-twice. A base phrase stands where a diagonal has all its votes; for the longer templates, diagonals up to GAP apart
-merge (words inserted or lost), single votes too, and the span is verified by the share of the template's pairs that it
-covers. A template that ends in a version is verified by the pairs of its version as well, so that others do not pass.
+twice. A base phrase stands where a diagonal has all its votes. For the other templates each diagonal merges with those
+that follow within DRIFT (words inserted or lost; the bound holds for a span as a whole), and the merged span is verified:
+its hits are read in the template's order, and only those count that move on in the text as well. Their share of the
+template's pairs is the cover. A template that ends in a version needs the pairs of its version as well.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ TEMPLATES = {
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "public-domain": ["released into the public domain"],
 }
-GAP, COVER = 3, 0.8
+#: Words that a span may gain or lose in all, for templates of fewer than LONG pairs and for longer ones; the least cover.
+DRIFT, LONG_DRIFT, LONG, COVER = 3, 12, 40, 0.8
 
 
 def _rows(templates=None) -> list[tuple[list[str], str, bool]]:
@@ -82,7 +84,7 @@ def template_pairs(spark, templates=None) -> DataFrame:
     return df.select("template", "label", "base", "at", "pairs", "version", F.xxhash64("a", "b").alias("gram"))
 
 
-def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def scan(docs: DataFrame, templates=None, cover: float = COVER) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Null text counts as empty; repeated rows each give a row; an empty table gives none. spans has the verified places
@@ -102,14 +104,22 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
     votes = hits.groupBy(*named, (F.col("pos") - F.col("at")).alias("start")).agg(F.collect_set("at").alias("ats"), F.count(F.lit(1)).alias("n"))
     votes = votes.where("template is null or not base or size(ats) = pairs")
     per_template = Window.partitionBy("doc_id", "text_id", "template").orderBy("start")
-    apart = F.coalesce(F.col("start") - F.lag("start").over(per_template) > gap, F.lit(True)) | F.coalesce("base", F.lit(True))
-    merged = votes.withColumn("_new", apart.cast("int")).withColumn("span", F.sum("_new").over(per_template))
-    spans = merged.groupBy(*named, "span").agg(
-        F.min("start").alias("first"), F.max("start").alias("last"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.max("n").alias("n")
-    )
-    covered = F.size("ats") / F.col("pairs")
-    ends = F.size(F.filter("ats", lambda x: x >= F.col("pairs") - F.col("version"))) == F.col("version")
+    near = lambda drift: F.collect_list(F.struct("start", "ats")).over(per_template.rangeBetween(0, drift))
+    spans = votes.withColumn("_near", F.when(F.col("base"), F.array(F.struct("start", "ats"))).when(F.col("pairs") < LONG, near(DRIFT)).otherwise(near(LONG_DRIFT)))
+    places = F.flatten(F.transform("_near", lambda d: F.transform(d["ats"], lambda at: F.struct(at.alias("at"), (d["start"] + at).alias("pos")))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("ends"), F.lit(-1).alias("at"), F.lit(-1).alias("pos"), F.lit(-1).alias("from"))
+    ends = lambda at: (at >= F.col("pairs") - F.col("version")).cast("int")
+    forward = lambda a, h: (h["at"] > a["at"]) & (h["pos"] > a["pos"])
+    moved = lambda a, h: F.struct((a["n"] + 1).alias("n"), (a["ends"] + ends(h["at"])).alias("ends"), h["at"].alias("at"), h["pos"].alias("pos"), F.when(a["n"] == 0, h["pos"]).otherwise(a["from"]).alias("from"))
+    spans = spans.withColumn("_v", F.aggregate(F.array_sort(places), none, lambda a, h: F.when(forward(a, h), moved(a, h)).otherwise(a)))
+    spans = spans.select(*named, F.col("start").alias("first"), F.col("_v.from").alias("from"), (F.col("_v.pos") + 1).alias("last"), "n", (F.col("_v.n") / F.col("pairs")).alias("covered"), (F.col("_v.ends") == F.col("version")).alias("ends"))
+    covered, ends = F.col("covered"), F.col("ends")
     is_base, own = F.coalesce("base", F.lit(False)), F.coalesce(~F.col("base"), F.lit(False)) & (covered >= cover) & ends
+    spans = spans.withColumn("_own", own)
+    # of the spans that overlap, the first with the best cover is told
+    rival = lambda a, b: F.coalesce(F.max(F.when(F.col("_own"), covered)).over(Window.partitionBy("doc_id", "text_id", "template").orderBy("first").rangeBetween(a, b)), F.lit(0.0))
+    spans = spans.withColumn("_told", F.col("_own") & (covered > rival(-LONG_DRIFT, -1)) & (covered >= rival(1, LONG_DRIFT)))
+    own = F.col("_own")
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("doc_id", "text_id", "n_words").agg(
         F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("_rows"),
@@ -119,7 +129,7 @@ def scan(docs: DataFrame, templates=None, gap: int = GAP, cover: float = COVER)
         listed(F.when(is_base, F.col("label"))).alias("base_labels"),
         listed(F.when(is_base | own, F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(F.col("template").isNotNull(), covered)), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(own, F.struct("label", F.col("first"), (F.col("last") + F.col("pairs")).alias("last"), covered.alias("cover"))))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("_told"), F.struct("label", F.col("from").alias("first"), "last", covered.alias("cover"))))).alias("spans"),
     )
     return found.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"
@@ -141,10 +151,12 @@ tpl AS (SELECT template, label, base, version, len(string_split(x, ' ')) - 1 pai
 tp AS (SELECT template, label, base, version, pairs, i - 1 at_, w[i] a, w[i + 1] b FROM (SELECT *, unnest(range(1, len(w))) i FROM tpl)),
 v AS (SELECT doc_id, template, label, base, version, pairs, pos - at_ start, list(DISTINCT at_) ats FROM g JOIN tp USING (a, b) GROUP BY ALL),
 k AS (SELECT * FROM v WHERE NOT base OR len(ats) = pairs),
-n AS (SELECT *, (base OR coalesce(start - lag(start) OVER (PARTITION BY doc_id, template ORDER BY start) > {GAP}, true))::INT new FROM k),
-m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY start) span FROM n),
-s AS (SELECT doc_id, label, base, version, pairs, min(start) first, list_distinct(flatten(list(ats))) ats FROM m GROUP BY doc_id, template, label, base, version, pairs, span),
-c AS (SELECT *, len(ats) / pairs cover, NOT base AND len(ats) / pairs >= {COVER} AND len([x FOR x IN ats IF x >= pairs - version]) = version own FROM s),
+n AS (SELECT *, CASE WHEN base THEN [{{'s': start, 'a': ats}}] WHEN pairs < {LONG} THEN list({{'s': start, 'a': ats}}) OVER (PARTITION BY doc_id, template ORDER BY start RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING)
+  ELSE list({{'s': start, 'a': ats}}) OVER (PARTITION BY doc_id, template ORDER BY start RANGE BETWEEN CURRENT ROW AND {LONG_DRIFT} FOLLOWING) END near FROM k),
+h AS (SELECT *, list_sort(flatten([[{{'at': x, 'pos': y.s + x}} FOR x IN y.a] FOR y IN near])) hits FROM n),
+m AS (SELECT *, list_reduce([{{'n': 0, 'e': 0, 'at': z.at, 'pos': z.pos}} FOR z IN hits], lambda a, b: CASE WHEN b.at > a.at AND b.pos > a.pos THEN {{'n': a.n + 1, 'e': a.e + (b.at >= pairs - version)::INT, 'at': b.at, 'pos': b.pos}} ELSE a END,
+  {{'n': 0, 'e': 0, 'at': -1::BIGINT, 'pos': -1::BIGINT}}) v FROM h),
+c AS (SELECT doc_id, label, base, start first, v.n / pairs cover, NOT base AND v.n / pairs >= {COVER} AND v.e = version own FROM m),
 x AS (SELECT doc_id, count(*) FILTER (base) n_base, min(first) FILTER (base) first_word, max(first) FILTER (base) last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR own) labels, max(cover) score FROM c GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN x USING (doc_id)"""

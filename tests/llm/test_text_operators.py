@@ -412,6 +412,19 @@ def test_license_method(spark):
     assert (span["first"], span["label"]) == (0, "apache-2.0") and span["cover"] >= 0.8
 
 
+def test_license_spans_are_read_in_order(spark):
+    """Wordings backwards, scattered or stretched hold a template's pairs, but not its text; small changes still pass."""
+    scattered = "general public of the gnu affero club; affero general interest; general public good; public license plate"
+    mit = licenses.TEMPLATES["mit"][1].split()
+    rows = [
+        (1, "public domain the public into the released into"), (2, scattered), (3, "released x x into x x the x x public x x domain"), (4, "Released into the public domain."),
+        (5, "gnu affero new general public license"), (6, " ".join(w for i in range(0, len(mit), 5) for w in mit[i : i + 5][::-1])), (7, " ".join(w for x in range(0, len(mit), 12) for w in ["really", *mit[x : x + 12]])), (8, "the public domain, released into"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["labels"] for i, _ in rows} == {1: "", 2: "", 3: "", 4: "public-domain", 5: "gpl", 6: "", 7: "mit", 8: ""}
+    assert max(got[i]["score"] for i in (1, 2, 3)) <= 0.5 and len(got[4]["spans"]) == 1
+
+
 def test_license_long_templates(spark):
     mit = licenses.TEMPLATES["mit"][1]
     w = mit.split()
