@@ -58,14 +58,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     every = stage(every, "counts")
     totals = every.groupBy("lang", "k").agg(F.sum("n").alias("total"))
     found = every.join(broadcast_if_small(totals), ["lang", "k"]).select("lang", "k", "w", (F.col("n") / F.col("total")).alias("p"))
-    found = found.where(F.col("p") > FLOOR).toArrow()
+    found = found.toArrow()
     unstage(every)
     langs = sorted(found.column("lang").unique().to_pylist())
     number = {x: i for i, x in enumerate(langs)}
     table: dict[int, dict[str, tuple]] = {k: {} for k in (0, *LENGTHS)}
     for b in found.to_batches(max_chunksize=4096):
         for lang, k, w, p in zip(*(b.column(c).to_pylist() for c in ("lang", "k", "w", "p"))):
-            table[k][w] = (*table[k].get(w, ()), number[lang], math.log(p / FLOOR))
+            table[k][w] = (*table[k].get(w, ()), number[lang], max(0.0, math.log(p / FLOOR)))
     return {"langs": langs, "table": table}
 
 
