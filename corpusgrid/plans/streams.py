@@ -49,6 +49,35 @@ def r1_tail_stream(t):
     return streamed(t, R.tail, "complete")
 
 
+def log_lines(t) -> str:
+    """The log as text files of JSON lines, some of them broken or blank: the folder."""
+    place = f"{shared_dir(t.spark)}/corpusgrid/lines-{uuid.uuid4().hex}"
+    k = F.col("seq") % 50
+    line = F.when(k == 7, F.concat(F.lit('{"event": "epoch", "run": '), "seq")).when(k == 8, "").when(k == 9, F.concat(F.lit('{"run": '), "seq", F.lit("}"))).otherwise(F.to_json(F.struct("event", "run", "seq", "score", "loss")))
+    log(t).repartition(4).select(line.alias("value")).write.text(place)
+    return place
+
+
+_GOOD, _BAD = "seq % 50 NOT IN (7, 8, 9)", "seq % 50 IN (7, 9)"
+LINES_SQL = TAIL_SQL.replace("FROM l GROUP BY run", f"FROM l WHERE {_GOOD} GROUP BY run").replace("AS events FROM", "AS events, 0 AS bad FROM") + f" UNION ALL SELECT NULL, NULL, NULL, 0, 0, count(*) FROM l WHERE {_BAD} HAVING count(*) > 0"
+
+
+@query(LINES_SQL)
+def r1_tail_lines(t):
+    return R.tail_lines(t.spark.read.text(log_lines(t)))
+
+
+@query(LOG_SQL + f"SELECT CASE WHEN {_GOOD} THEN 'events' ELSE 'dead' END AS part, count(*) AS n, sum(seq) AS seqs FROM l WHERE seq % 50 <> 8 GROUP BY 1")
+def r1_dead_letters(t):
+    """A stream of lines, file by file, into a table of events and one of the lines that could not be read."""
+    place = log_lines(t)
+    R.route_lines(t.spark.readStream.option("maxFilesPerTrigger", 1).text(place), f"{place}-out", f"{place}-checkpoint")
+    seqs = lambda c: F.sum(c.cast("long")).alias("seqs")
+    events = t.spark.read.parquet(f"{place}-out/events").agg(F.lit("events").alias("part"), F.count(F.lit(1)).alias("n"), seqs(F.col("seq")))
+    dead = t.spark.read.parquet(f"{place}-out/dead").agg(F.lit("dead").alias("part"), F.count(F.lit(1)).alias("n"), seqs(F.regexp_extract("value", r"(\d+)\D*$", 1)))
+    return events.unionByName(dead).where("n > 0")
+
+
 _BETTER = "(e.score >= best + 0.005 OR e.loss <= low - 0.02)"
 R2 = LOG_SQL.replace("WITH l AS", "WITH RECURSIVE l AS") + f""", e AS MATERIALIZED (SELECT run, seq, score, loss, row_number() OVER (PARTITION BY run ORDER BY seq) k FROM l WHERE event = 'epoch'),
 r AS (SELECT run, k, score best, loss low, 0 stale, 1 n, NULL::BIGINT stop FROM e WHERE k = 1 UNION ALL
@@ -67,6 +96,21 @@ def r2_plateau_stream(t):
     return streamed(t, R.plateau_stream, "append")
 
 
+@query(R2.replace("e.seq END) FROM r", "e.k END) FROM r") + " WHERE stop_epoch IS NOT NULL")
+def r2_plateau_any_order(t):
+    """Epochs of a run are numbered from 1 and dealt over four files, which the stream reads one at a time."""
+    from pyspark.sql import Window
+
+    spark, place = t.spark, f"{shared_dir(t.spark)}/corpusgrid/stream-{uuid.uuid4().hex}"
+    x = log(t).where("event = 'epoch'").withColumn("seq", F.row_number().over(Window.partitionBy("run").orderBy("seq")).cast("long"))
+    x.repartition(4, F.hash("seq")).write.parquet(f"{place}/in")
+    out = R.plateau_any_order(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"))
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{place}/out/micro={n}")
+    with R.rocks(spark):
+        out.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{place}/out")
+
+
 @query(LOG_SQL + """, e AS (SELECT *, coalesce(loss > lag(loss) OVER (PARTITION BY run ORDER BY seq) + 0.025, false) up FROM l WHERE event = 'epoch'), i AS (SELECT *, sum((NOT up)::INT) OVER (PARTITION BY run ORDER BY seq) g FROM e)
 SELECT run, seq FROM (SELECT *, sum(up::INT) OVER (PARTITION BY run, g ORDER BY seq) s FROM i) WHERE up AND s = 2""")
 def r3_worsening(t):

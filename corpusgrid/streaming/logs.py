@@ -3,18 +3,58 @@
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 LOG = "event string, run long, seq long, score double, loss double"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """The columns of LOG, value and bad for lines (value) of a log, one JSON object each; blank lines go.
+
+    A line that does not parse, or that names no event, is bad: its columns are null and the line stays in value. Fields
+    that are missing or of another type are null. For batches and streams.
+    """
+    x = lines.where(F.trim("value") != "").withColumn("_r", F.from_json("value", f"{LOG}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_r._corrupt").isNotNull() | F.col("_r.event").isNull()
+    fields = [F.when(~bad, F.col(f"_r.{c.split()[0]}")).alias(c.split()[0]) for c in LOG.split(", ")]
+    return x.select(*fields, "value", F.coalesce(bad, F.lit(True)).alias("bad"))
+
+
+def tail_lines(lines: DataFrame) -> DataFrame:
+    """tail() of a log's lines, and bad: how many lines could not be read, all of them in the row without a run."""
+    x = parsed(lines)
+    return _tail(x, F.count_if("bad").alias("bad"))
+
+
+def route_lines(lines: DataFrame, out: str, checkpoint: str):
+    """A stream of lines into the tables {out}/events and {out}/dead (value); a batch that was cut off is written again
+    as a whole. Returns the finished query; available files are read, then it ends."""
+
+    def write(df: DataFrame, number: int) -> None:
+        x = parsed(df).persist()
+        x.where("not bad").drop("value", "bad").write.mode("overwrite").parquet(f"{out}/events/micro={number}")
+        x.where("bad").select("value").write.mode("overwrite").parquet(f"{out}/dead/micro={number}")
+        x.unpersist()
+
+    q = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
 
 
 def tail(events: DataFrame) -> DataFrame:
     """Per run: last event, last finished epoch, warnings. Works on batches and, in complete mode, on streams."""
+    return _tail(events)
+
+
+def _tail(events: DataFrame, *more) -> DataFrame:
     epoch = F.col("event") == "epoch"
-    return events.groupBy("run").agg(F.max_by("event", "seq").alias("last_event"), F.max(F.when(epoch, F.col("seq"))).alias("last_epoch"), F.count_if(F.col("event") == "warning").alias("warnings"), F.count(F.lit(1)).alias("events"))
+    return events.groupBy("run").agg(F.max_by("event", "seq").alias("last_event"), F.max(F.when(epoch, F.col("seq"))).alias("last_epoch"), F.count_if(F.col("event") == "warning").alias("warnings"), F.count("event").alias("events"), *more)
 
 
 def _advance(state: tuple, score: float, loss: float, gain: float, drop: float, least: int, patience: int) -> tuple[tuple, bool]:
@@ -65,6 +105,83 @@ def plateau_stream(events: DataFrame, gain: float = 0.005, drop: float = 0.02, l
     )
 
 
+class PlateauProcessor(StatefulProcessor):
+    """R2 for one run: epochs that came too early wait in a buffer until those before them are there, or until a timer says
+    that these are lost."""
+
+    def __init__(self, wait_ms: int | None, **rule):
+        self.wait_ms, self.rule = wait_ms, rule
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "next long, best double, low double, stale int, n int, stop long")
+        self.early = handle.getMapState("early", "seq long", "score double, loss double")
+
+    def _held(self) -> list:
+        found = list(self.progress.get()) if self.progress.exists() else [1, None, None, 0, 0, None]
+        return [None if x is None or x != x else x for x in found]
+
+    def _fold(self, key, held: list):
+        """Epochs that follow on the last one; yields the run once, when it should stop."""
+        nxt, *state, stop = held
+        found = None
+        while self.early.containsKey((nxt,)):
+            score, loss = self.early.getValue((nxt,))
+            self.early.removeKey((nxt,))
+            state, now = _advance((state[0], state[1], int(state[2]), int(state[3])), score, loss, **self.rule)
+            if now and stop is None:
+                found = stop = nxt
+            nxt += 1
+        self.progress.update((nxt, *state, stop))
+        if found is not None:
+            yield pd.DataFrame({"run": [key[0]], "stop_epoch": [found]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self._held()
+        for frame in rows:
+            for seq, score, loss in frame[["seq", "score", "loss"]].itertuples(index=False):
+                if seq >= held[0]:  # what was folded before is a repeat
+                    self.early.updateValue((int(seq),), (float(score), float(loss)))
+        yield from self._fold(key, held)
+        if self.wait_ms is not None and self.early.exists() and not list(self.handle.listTimers()):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        waiting = [k[0] for k in self.early.keys()]
+        if waiting:
+            held = self._held()
+            held[0] = min(waiting)
+            yield from self._fold(key, held)
+            if self.early.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def plateau_any_order(events: DataFrame, wait_ms: int | None = None, gain: float = 0.005, drop: float = 0.02, least: int = 8, patience: int = 3) -> DataFrame:
+    """R2, stream: a row when a run should stop, once, for epochs (seq 1, 2, ...) that arrive in any order and more than once.
+
+    An epoch that is missing holds its run up; with wait_ms, for that much processing time at most, then it counts as lost.
+    Spark keeps a query with such timers running, so wait_ms is for queries that never end, not for available-now ones.
+    Needs the RocksDB state store when the query starts: see rocks().
+    """
+    processor = PlateauProcessor(wait_ms, gain=gain, drop=drop, least=least, patience=patience)
+    return events.where("event = 'epoch'").groupBy("run").transformWithStateInPandas(processor, "run long, stop_epoch long", "Append", "None" if wait_ms is None else "ProcessingTime")
+
+
+@contextmanager
+def rocks(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def worsening(events: DataFrame, by: float = 0.025, times: int = 2) -> DataFrame:
     """Epochs at which the loss has risen by more than `by` for the times-th time in a row."""
     w = Window.partitionBy("run").orderBy("seq")

@@ -169,6 +169,43 @@ def test_stress_is_reproducible(spark):
     assert a == b and dict((x[1], x[2]) for x in a)["plain"] == "lấy gói hàng nhanh" and dict((x[1], x[2]) for x in a)["no_accents"] == "lay goi hang, nhanh!"
 
 
+def test_log_lines(spark, tmp_path):
+    lines = ['{"event": "epoch", "run": 1, "seq": 2, "loss": 0.5}', '{"event": "warning", "run": 1, "seq": 3}', '{"event": "epo', "[1]", "7", "", "  ", '{"run": 1}', '{"event": "epoch", "run": 1, "seq": "x"}', '{"event": "epoch", "run": 2, "seq": 1, "more": {"a": 1}}']
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    text = spark.read.text(str(tmp_path / "a.log"))
+    bad = {r["value"] for r in R.parsed(text).where("bad").collect()}
+    assert {'{"event": "epo', "[1]", "7", '{"run": 1}'} <= bad and len(bad) == 5
+    got = {r["run"]: (r["last_event"], r["last_epoch"], r["warnings"], r["events"], r["bad"]) for r in R.tail_lines(text).collect()}
+    assert got == {1: ("warning", 2, 1, 2, 0), 2: ("epoch", 1, 0, 1, 0), None: (None, None, 0, 0, 5)}
+
+
+def test_plateau_in_any_order(spark, tmp_path):
+    """Whatever the order, and with repeats, the stream stops where the batch does; a lost epoch holds its run up."""
+    rng = random.Random(4)
+    rows = [("epoch", run, i, float(rng.randrange(5)) / 10, float(rng.randrange(5))) for run in range(6) for i in range(1, 30) if (run, i) != (5, 3)]
+    want = {r["run"]: r["stop_epoch"] for r in R.plateau(spark.createDataFrame(rows, R.LOG)).where("stop_epoch is not null").collect()}
+    dealt = rows + rng.sample(rows, 20)
+    rng.shuffle(dealt)
+    for i in range(5):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("event", "run", "seq", "score", "loss"), r))) for r in dealt[i::5]))
+    def stops(wait, seconds, **trigger):
+        found, place = [], f"{tmp_path}/out-{wait}"
+        out = R.plateau_any_order(spark.readStream.schema(R.LOG).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), wait)
+        with R.rocks(spark):
+            q = out.writeStream.foreachBatch(lambda df, n: found.extend(df.collect())).option("checkpointLocation", f"{place}-checkpoint").trigger(**trigger).start()
+        for _ in range(seconds):
+            if q.awaitTermination(1) or 5 in {r["run"] for r in found}:
+                break
+        q.stop()
+        got = [(r["run"], r["stop_epoch"]) for r in found]
+        assert len(got) == len(dict(got))
+        return dict(got)
+
+    assert 5 in want and stops(None, 90, availableNow=True) == {r: e for r, e in want.items() if r != 5}
+    assert stops(20_000, 90, processingTime="1 second") == want  # by then all files are read, and only the lost epoch is missing
+
+
 def test_plateau_batch_equals_stream_and_loop(spark, tmp_path):
     rows = [("epoch", run, seq, 0.5 + min(seq, 3 + run) * 0.01, 1.0 - min(seq, 3 + run) * 0.03) for run in range(4) for seq in range(1, 15)]
     df = spark.createDataFrame(rows, R.LOG)
