@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.session import broadcast_if_small, stage
+from corpusgrid.session import Grown, broadcast_if_small, stage, unstage
 
 #: Graphs of up to so many arcs are searched in one task each; profiles that a search may take.
 GROUP_ARCS, MOST_PROFILES, FAR = 20_000, 10_000, 1 << 60
@@ -51,17 +51,18 @@ def arc_cost(status: Column, stairs: Column, turn: Column, profile: dict[str, Co
 
 
 def reachable(arc_rows: DataFrame, starts: DataFrame, keys: list[str] = ["g"], back: bool = False) -> DataFrame:
-    """Nodes that can be reached from the starts (included), per key, by a frontier that grows until it is empty."""
+    """Nodes that can be reached from the starts (included), per key, by a frontier that grows until it is empty.
+
+    A round writes its new nodes only, as a further part of the visited table."""
     a = stage(arc_rows.select(*keys, "r", "c", "r2", "c2").distinct(), "arcs")
-    a = a.select(*keys, F.col("r2").alias("r"), F.col("c2").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2")) if back else a
-    seen = frontier = stage(starts.select(*keys, "r", "c").distinct(), "seen")
-    at = [*keys, "r", "c"]
-    while True:
-        step = frontier.join(a, at).select(*keys, F.col("r2").alias("r"), F.col("c2").alias("c")).distinct()
-        frontier = stage(step.join(seen, at, "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = stage(seen.unionByName(frontier), "seen")
+    ways = a.select(*keys, F.col("r2").alias("r"), F.col("c2").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2")) if back else a
+    at, seen = [*keys, "r", "c"], Grown(a.sparkSession, "seen")
+    frontier = seen.add(starts.select(*at).distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(ways, at).select(*keys, F.col("r2").alias("r"), F.col("c2").alias("c")).distinct()
+        frontier = seen.add(step.join(seen.table(), at, "left_anti"))
+    unstage(a)
+    return seen.table()
 
 
 def weakly_reachable(arc_rows: DataFrame, starts: DataFrame, keys: list[str] = ["g"]) -> DataFrame:
@@ -256,24 +257,25 @@ def emergency_action(legal: Column, heading: Column) -> Column:
 
 
 def shortest_path(arc_rows: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
-    """One shortest path per graph to its first goal reached, as (g, step, r, c); levels grow until no node is new."""
-    at = ["g", "r", "c"]
-    seen = frontier = stage(starts.select(*at, F.lit(0).alias("step"), F.lit(None).cast("int").alias("pr"), F.lit(None).cast("int").alias("pc")).dropDuplicates(at), "path")
-    level = 0
-    while True:
-        level += 1
-        step = frontier.select(*at).join(arc_rows.select(*at, "r2", "c2"), at).groupBy("g", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.min(F.struct("r", "c")).alias("p"))
-        frontier = stage(step.join(seen, at, "left_anti").select(*at, F.lit(level).alias("step"), F.col("p.r").alias("pr"), F.col("p.c").alias("pc")), "level")
-        if frontier.isEmpty():
-            break
-        seen = stage(seen.unionByName(frontier), "path")
+    """One shortest path per graph to its first goal reached, as (g, step, r, c); levels grow until no node is new.
+
+    A level is written once, as a part of the visited table, and is what the walk back reads for its step."""
+    at, seen = ["g", "r", "c"], Grown(arc_rows.sparkSession, "levels")
+    ways = stage(arc_rows.select(*at, "r2", "c2"), "arcs")
+    level = seen.add(starts.select(*at, F.lit(0).alias("step"), F.lit(None).cast("int").alias("pr"), F.lit(None).cast("int").alias("pc")).dropDuplicates(at))
+    while not level.isEmpty():
+        step = level.select(*at).join(ways, at).groupBy("g", F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.min(F.struct("r", "c")).alias("p"))
+        new = step.join(seen.table(), at, "left_anti")
+        level = seen.add(new.select(*at, F.lit(seen.parts).alias("step"), F.col("p.r").alias("pr"), F.col("p.c").alias("pc")))
     first = Window.partitionBy("g").orderBy("step", "r", "c")
-    end = seen.join(goals.select(*at).distinct(), at).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    path = end
-    for k in range(level - 2, -1, -1):  # walk back level by level
-        here = path.where(F.col("step") == k + 1).select("g", F.col("pr").alias("r"), F.col("pc").alias("c"))
-        path = stage(path.unionByName(seen.join(here, at, "left_semi").where(F.col("step") == k)), "walk")
-    return path.select("g", "step", "r", "c")
+    ends = stage(seen.table().join(goals.select(*at).distinct(), at).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "ends")
+    path = Grown(arc_rows.sparkSession, "walk")
+    here = path.add(ends.where(F.col("step") == seen.parts - 1))
+    for k in range(seen.parts - 2, -1, -1):  # walk back level by level
+        before = here.select("g", F.col("pr").alias("r"), F.col("pc").alias("c"))
+        here = path.add(seen.part(k).join(before, at, "left_semi").unionByName(ends.where(F.col("step") == k)))
+    unstage(ways, ends, seen.table())
+    return path.table().select("g", "step", "r", "c")
 
 
 def problems(scenes: DataFrame, nodes: DataFrame, edges: DataFrame, landmarks: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _cleaning, _before = threading.Lock(), 0, "false"
+#: Paths staged inside each staging() block that is open.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +58,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     without computing them again. unstage() deletes the files once nothing reads them any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusgrid/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     with _shuffles_cleaned(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,11 +66,61 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/corpusgrid/{name}-{uuid.uuid4().hex}"
+    with _lock:
+        for paths in _open:
+            paths.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def unstage(*staged: DataFrame) -> None:
     """Delete what stage() wrote for these tables, when all that was built on them has been written itself."""
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, df._staged_path)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Deletes, at its end, all that was staged inside: write the result of a query inside, and nothing stays behind."""
+    paths: list[str] = []
+    with _lock:
+        _open.append(paths)
+    try:
+        yield
+    finally:
+        with _lock:
+            _open[:] = [x for x in _open if x is not paths]
+        for path in paths:
+            _delete(spark, path)
+
+
+class Grown:
+    """A staged table that grows by parts, such as what a search has visited: a part is written once, never again."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.parts = spark, _new_path(spark, name), 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write df as the next part; returns the part."""
+        with _shuffles_cleaned(self.spark):
+            df.write.parquet(f"{self.path}/part={self.parts}")
+        self.schema, self.parts = df.schema, self.parts + 1
+        return self.part(self.parts - 1)
+
+    def part(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={k}")
+
+    def table(self) -> DataFrame:
+        """All parts."""
+        out = self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+        out._staged_path = self.path
+        return out
 
 
 def ship(spark: SparkSession) -> None:
