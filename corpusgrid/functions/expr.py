@@ -12,21 +12,46 @@ ENDS = r"[.!?;()\[\]]"
 TOKEN = r"[a-z0-9]+|[.,!?;:()\[\]]"
 
 
+#: Hangul syllables by Unicode's arithmetic: lead, vowel and tail (the first stands for none) of the syllable's number.
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, 19, 21, 28
+
+
 @cache
-def _plain() -> tuple[str, str]:
-    """Letters with marks, by Unicode's decompositions, and their base letters."""
-    pairs = {"đ": "d"}
-    for cp in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+def _bases() -> tuple[str, str, dict[str, str]]:
+    """Letters that decompose, by Unicode, to one base letter and marks, with that letter; those with several, as a map."""
+    one, several = {"đ": "d"}, {}
+    for cp in range(0xC0, 0x30000):
         ch = chr(cp)
+        if HANGUL <= cp < HANGUL + LEADS * VOWELS * TAILS or 0xD800 <= cp < 0xE000 or ch != ch.lower():
+            continue
         base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != ch and ch == ch.lower():
-            pairs[ch] = base
-    return "".join(pairs), "".join(pairs.values())
+        if base != ch and len(base) == 1:
+            one[ch] = base
+        elif base != ch and base:
+            several[ch] = base
+    return "".join(one), "".join(one.values()), several
+
+
+def _spread(text: Column) -> Column:
+    """Text with syllables and letters that decompose to several letters written as these."""
+    _, _, several = _bases()
+    jamo = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
+    leads, vowels, tails = jamo(0x1100, LEADS), jamo(0x1161, VOWELS), F.array(F.lit(""), *[F.lit(chr(0x11A8 + i)) for i in range(TAILS - 1)])
+    table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+
+    def one(c: Column) -> Column:
+        i = F.ascii(c) - HANGUL
+        syllable = F.concat(F.get(leads, F.floor(i / (VOWELS * TAILS)).cast("int")), F.get(vowels, F.floor(i / TAILS).cast("int") % VOWELS), F.get(tails, i % TAILS))
+        return F.when((i >= 0) & (i < LEADS * VOWELS * TAILS), syllable).otherwise(F.coalesce(F.try_element_at(table, c), c))
+
+    there = "[" + chr(HANGUL) + "-" + chr(HANGUL + LEADS * VOWELS * TAILS - 1) + "".join(several) + "]"
+    return F.when((F.octet_length(text) > F.length(text)) & text.rlike(there), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
 
 def fold(text: Column) -> Column:
-    """Lower case, đ as d, without combining marks."""
-    return F.regexp_replace(F.translate(F.lower(text), *_plain()), r"\p{Mn}", "")
+    """Lower case, đ as d, canonically decomposed and without combining marks, for every script."""
+    letters, plain, _ = _bases()
+    return F.regexp_replace(F.translate(F.lower(_spread(text)), letters, plain), r"\p{Mn}", "")
 
 
 def tokenize(text: Column) -> Column:

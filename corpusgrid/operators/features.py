@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.session import broadcast_if_small
+from corpusgrid.session import broadcast_if_small, stage
 
 MISSING = (100_000, 100_000, 4, 0)  # cost, regret (hundredths), rank, best of an action without a route
 
@@ -84,25 +85,53 @@ def gap_clusters(df: DataFrame, group: list[str], value: str, gap: Column | floa
 
 
 def neighbours(points: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
-    """The n nearest other points of every point of a group (small groups: all pairs of one image)."""
-    a, b = points.select(*group, key, "x", "y"), points.select(*group, F.col(key).alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2
-    x = a.join(b, group).where(F.col(key) != F.col("k2")).withColumn("d2", d)
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy(*group, key).orderBy("d2", "k2"))).where(F.col("rank") <= n)
+    """The n nearest other points of every point of a group, ties to the lower key: key, x, y, k2, x2, y2, d2, rank.
+
+    Points meet those of their cell and the eight around it, of a side that puts about four points in a cell. Whatever
+    lies outside is farther away than the side, so a point is settled once its n-th neighbour is not; the few others are
+    tried again with cells twice as wide, until a cell spans the group.
+    """
+    at = [*group, key]
+    span = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    box = points.groupBy(*group).agg(span.alias("_span"), (2 * span / F.sqrt(F.count(F.lit(1)))).alias("_side"))
+    every = stage(points.join(box, group).select(*at, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "_span", F.when(F.col("_side") > 0, F.col("_side")).otherwise(1.0).alias("_side")), "points")
+    cell = lambda c, d=0: (F.floor(F.col(c) / F.col("_side")) + d).alias(f"_c{c}")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    pending, wide, parts = every, 1, []
+    while True:
+        cells = lambda df, wide=wide: df.withColumn("_side", F.col("_side") * wide)
+        a = cells(pending).withColumn("_d", around).select(*at, "x", "y", "_span", "_side", cell("x", F.col("_d.i")), cell("y", F.col("_d.j")))
+        b = cells(every).select(*group, F.col(key).alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), cell("x"), cell("y"))
+        d = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2
+        met = a.join(b, [*group, "_cx", "_cy"]).where(F.col(key) != F.col("k2")).withColumn("d2", d)
+        near = met.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy("d2", "k2"))).where(F.col("rank") <= n)
+        last = Window.partitionBy(*at)
+        sure = (F.col("_side") >= F.col("_span")) | ((F.count(F.lit(1)).over(last) == n) & (F.max("d2").over(last) <= F.col("_side") * F.col("_side")))
+        found = stage(near.withColumn("_sure", sure), "near")
+        parts.append(found.where("_sure").select(*at, "x", "y", "k2", "x2", "y2", "d2", "rank"))
+        pending = stage(pending.where(F.col("_side") * wide < F.col("_span")).join(found.where("_sure").select(*at), at, "left_anti"), "pending")
+        if pending.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        wide *= 2
 
 
 def dominant_angle(points: DataFrame, group: list[str], key: str) -> DataFrame:
     """Median direction to the two nearest neighbours, folded to [-pi/4, pi/4)."""
+    return _angle(neighbours(points, group, key, 2), group)
+
+
+def _angle(near: DataFrame, group: list[str]) -> DataFrame:
     angle = F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
     quarter = math.pi / 2
     folded = F.pmod(angle + quarter / 2, F.lit(quarter)) - quarter / 2
-    return neighbours(points, group, key, 2).groupBy(*group).agg(F.percentile(folded, 0.5).alias("angle"))
+    return near.groupBy(*group).agg(F.percentile(folded, 0.5).alias("angle"))
 
 
 def fit_grid(points: DataFrame, group: list[str], key: str, score: str, least: int = 4) -> DataFrame:
     """Points turned by the dominant angle, clustered to rows and columns at half the spacing; the best point a cell."""
-    spacing = neighbours(points, group, key, 1).groupBy(*group).agg(F.percentile(F.sqrt("d2"), 0.5).alias("spacing"))
-    x = points.join(dominant_angle(points, group, key), group).join(spacing, group)
+    near = neighbours(points, group, key, 2)
+    spacing = near.where("rank = 1").groupBy(*group).agg(F.percentile(F.sqrt("d2"), 0.5).alias("spacing"))
+    x = points.join(_angle(near, group), group).join(spacing, group)
     c, s = F.cos("angle"), F.sin("angle")
     x = x.withColumns({"u": F.col("x") * c + F.col("y") * s, "v": F.col("y") * c - F.col("x") * s})
     for axis, name in (("v", "row"), ("u", "col")):

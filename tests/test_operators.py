@@ -1,7 +1,9 @@
 """Operators whose results have no SQL twin, and cases with known answers."""
 
 import json
+import os
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from corpusgrid.functions import augment as U
 from corpusgrid.functions import expr as T
 from corpusgrid.operators import dedup as D
 from corpusgrid.operators import ensemble as E
+from corpusgrid.operators import features as P
 from corpusgrid.operators import lexicon as L
 from corpusgrid.operators import metrics as A
 from corpusgrid.operators import sample as M
@@ -247,3 +250,46 @@ def test_coordinate_search(spark):
     score = lambda p: p.select("profile", (-F.abs(F.col("a") - 3) - F.abs(F.col("b") - 1)).cast("double").alias("score"))
     best, value = E.coordinate_search(spark, {"a": 0, "b": 0}, {"a": [1, 3, 5], "b": [1, 2]}, score)
     assert best == {"a": 3, "b": 1} and value == 0
+
+
+def test_fold_of_every_script(spark):
+    texts = ["Ärger Đã ĐẾN", "한국어 각 힣 가", "がぎぐ パピプ ガ", "ΆΈ ё й", "ক\u09cb ொ", "\uf900 ½ ﬁ", "ASCII only", "", None, "ñ" * 1000 + "글"]
+    want = [None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower().replace("đ", "d")) if unicodedata.category(c) != "Mn") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r[0] for r in df.orderBy("i").select(T.fold(F.col("text"))).collect()] == want
+
+
+def test_neighbours_by_hand(spark):
+    """Spread, clustered, equal and lone points; ties go to the lower key."""
+    rng = random.Random(7)
+    groups = {
+        "even": [(i % 6 * 10.0, i // 6 * 10.0) for i in range(36)], "far": [(rng.random(), rng.random()) for _ in range(30)] + [(1000.0, 1000.0), (1000.5, 1000.0), (-500.0, 3.0)],
+        "equal": [(1.0, 1.0)] * 5, "lone": [(3.0, 4.0)], "pair": [(0.0, 0.0), (5.0, 0.0)], "line": [(float(2**i), 0.0) for i in range(12)],
+    }
+    rows = [(g, k, *p) for g, ps in groups.items() for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "g string, k int, x double, y double").repartition(3)
+    for n in (1, 2, 4):
+        want = set()
+        for g, ps in groups.items():
+            for k, (x, y) in enumerate(ps):
+                near = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, (a, b) in enumerate(ps) if j != k)[:n]
+                want |= {(g, k, j, r) for r, (_, j) in enumerate(near, 1)}
+        got = [(r["g"], r["k"], r["k2"], r["rank"]) for r in P.neighbours(df, ["g"], "k", n).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_staging_leaves_nothing_behind(spark):
+    from urllib.parse import urlparse
+
+    from corpusgrid.operators import graph as G
+    from corpusgrid.session import shared_dir, staging
+
+    arcs = spark.createDataFrame([(g, i, 0, i + 1, 0) for g in range(3) for i in range(5)], "g int, r int, c int, r2 int, c2 int")
+    start, goal = spark.createDataFrame([(g, 0, 0) for g in range(3)], "g int, r int, c int"), spark.createDataFrame([(g, 4, 0) for g in range(3)], "g int, r int, c int")
+    place = os.path.join(urlparse(shared_dir(spark)).path, "corpusgrid")
+    folders = lambda: set(os.listdir(place)) if os.path.isdir(place) else set()
+    before = folders()
+    with staging(spark):
+        assert G.reachable(arcs, start).count() == 18 and G.shortest_path(arcs, start, goal).count() == 15
+        assert len(folders() - before) == 2  # what the two lazy results read
+    assert folders() == before
