@@ -109,30 +109,25 @@ class Bpe:
         """ids of one piece, given as a latin-1 view of its bytes."""
         n = len(piece)
         last = [-1] * (n + 1)
-        length, compatible = self.length, self.compatible
-        ends: list[int] = []
-        at = -1
-        for end, token in self.auto.iter(piece):
-            if end != at:
-                if at >= 0:
-                    self._close(last, at, ends)
-                at, ends = end, []
-            ends.append(token)
-        if at >= 0:
-            self._close(last, at, ends)
+        length, known, found = self.length, self.fits.get, -1
+        for end, token in self.auto.iter(piece):  # the tokens that end at a place come longest first
+            if end == found:
+                continue
+            start = end + 1 - length[token]
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known(before << 24 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[end + 1], found = token, end
         out, i = [], n
         while i > 0:
             out.append(last[i])
             i -= length[last[i]]
         return out[::-1]
 
-    def _close(self, last: list[int], end: int, tokens: list[int]) -> None:
-        for t in tokens:
-            start = end + 1 - self.length[t]
-            if start == 0 or (last[start] >= 0 and self.compatible(last[start], t)):
-                last[end + 1] = t
-                return
-
     def piece(self, piece: str) -> str:
         """ids of a piece, joined by commas."""
         ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
