@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgrid.operators.sample import numbered
-from corpusgrid.session import broadcast_if_small
+from corpusgrid.session import broadcast_if_small, stage
 
 
 def keep_first(df: DataFrame, key, order: str) -> DataFrame:
@@ -46,7 +46,7 @@ def exclude_known(df: DataFrame, key, corpora: list) -> DataFrame:
 
 def overlap_report(probes: DataFrame, corpora: DataFrame) -> DataFrame:
     """Probes (probe, k) and corpora (corpus, k): distinct keys in common for every pair, 0 included."""
-    p, c = probes.select("probe", "k").distinct(), corpora.select("corpus", "k").distinct()
+    p, c = stage(probes.select("probe", "k").distinct(), "probes"), stage(corpora.select("corpus", "k").distinct(), "corpora")  # each is read twice
     hits = p.join(c, "k").groupBy("probe", "corpus").agg(F.count(F.lit(1)).alias("overlap"))
     pairs = p.select("probe").distinct().crossJoin(broadcast_if_small(c.select("corpus").distinct()))
     return pairs.join(hits, ["probe", "corpus"], "left").select("probe", "corpus", F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"))

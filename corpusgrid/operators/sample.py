@@ -56,7 +56,7 @@ def quota_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame) -> Da
     """M5: as many rows of each stratum as its quota, by coin; adds short where a stratum has too few."""
     x = df.withColumn("stratum", F.col(stratum)).withColumn("_c", coin(F.col(key)))
     n = x.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    small = broadcast_if_small(quotas.join(n, "stratum"))
+    small = broadcast_if_small(stage(quotas.join(n, "stratum"), "quotas"))
     x = numbered(x, ["stratum"], "_c", key).join(small, "stratum")
     return x.withColumn("short", F.col("_n") < F.col("quota")).where(F.col("n") <= F.col("quota")).drop("n", "_c", "_n")
 

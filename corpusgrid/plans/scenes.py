@@ -127,12 +127,13 @@ def f6_labelled(t):
     return P.labelled(P.candidates(actions(t), context(t)), labels).select("g", "action", "positive")
 
 
-_WIDE = ", ".join(f"max({v}) FILTER (profile = '{p}' AND action = {a})::BIGINT AS {p}_{a}_{v}" for p in X.FEW for a in range(4) for v in ("cost", "rank"))
+_WIDE = ", ".join(f"max({v}) FILTER (profile = '{p}' AND action = {a})::BIGINT AS {p}_{a}_{v}" for p in X.PROFILES for a in range(4) for v in ("cost", "rank"))
 
 
-@query(FEW_FEATURES + f" SELECT g, {_WIDE} FROM feats GROUP BY g")
+@query(FEATURES + f" SELECT g, {_WIDE} FROM feats GROUP BY g")
 def f7_wide(t):
-    return P.wide(features(t, X.FEW), list(X.FEW), ("cost", "rank"))
+    """All 48 profiles: 384 columns in fixed order."""
+    return P.wide(features(t), list(X.PROFILES), ("cost", "rank"))
 
 
 _SCORE = ", sc AS (SELECT g, action, ((g * 7 + action * 11) % 5 / 5) p FROM arcs a JOIN scenes s USING (g) WHERE a.r = s.robot_r AND a.c = s.robot_c)"
@@ -252,7 +253,7 @@ def e6_search_by_condition(t):
 
 
 ROBOTS = tuple(X.PROFILES)[::5][:10]
-RANKED = ["excess", "n_legal", "exits", "distance", "n_nodes", "density", "row", "col", "unit", "crowd_2", "fit_r5"]
+RANKED = ["excess", "n_legal", "exits", "distance", "n_nodes", "density", "row", "col", *X.FEW]
 
 
 def robot_candidates(t):

@@ -236,3 +236,20 @@ def s10_cached(t):
     other = S.cached(d.withColumn("n_chars", F.col("n_chars") + 1), place, "v1")
     same = first == sorted(second.inputFiles()) and not set(first) & set(other.inputFiles())
     return second.withColumn("kept_as_it_was", F.lit(same))
+
+
+_BUCKET = "(('0x' || md5('0:' || doc_id)[1:15])::BIGINT % 64)::INT"
+
+
+@query(f"SELECT {_BUCKET} AS bucket, count(*) AS rows FROM documents GROUP BY 1 HAVING bool_or(doc_id % 97 = 3)")
+def s10_changed_buckets(t):
+    """A table stored by buckets and stored again with a few changed rows: the buckets of these, and no others, are written.
+    The digests name the same buckets, and what is read back is the changed table."""
+    place = f"{shared_dir(t.spark)}/corpusgrid/buckets-{uuid.uuid4().hex}"
+    d = t.documents.select("doc_id", "n_chars")
+    changed = d.withColumn("n_chars", F.when(F.col("doc_id") % 97 == 3, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    S.sync(d, "doc_id", place, "v1", 64)
+    stored, written = S.sync(changed.repartition(5), "doc_id", place, "v1", 64)
+    named = S.changed_buckets(S.bucket_digests(d, "doc_id", 64), S.bucket_digests(changed, "doc_id", 64))
+    same = S.root_digest(S.bucket_digests(stored, "doc_id", 64)).join(F.broadcast(S.root_digest(S.bucket_digests(changed, "doc_id", 64))), ["rows", "root"])  # a row each
+    return written.join(named.where("change = 'altered'").select("bucket"), "bucket").join(F.broadcast(same.select(F.lit(True).alias("_same")))).drop("_same")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corpusgrid.operators.contracts import group_shape
-from corpusgrid.operators.sample import numbered
+from corpusgrid.operators.sample import coin, numbered
+from corpusgrid.session import broadcast_if_small, stage
 
 OBSERVATION = "id string, robot_id int, image string, mission string"
 SCENE = (
@@ -52,8 +54,8 @@ def scene_index(obs: DataFrame) -> DataFrame:
 def jsonl(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     """Rows of a JSONL corpus with file and line (from 1 in each file); blank lines go.
 
-    A line that does not parse stays, with the line in _corrupt_record. No line at all is an error. Line numbers come from
-    reading each file in order, a file a task; files are the unit of scale.
+    A line that does not parse stays, with the line in _corrupt_record. No line at all is an error. Lines are numbered by
+    the block of the file that they are in and their place in it, so a large file is in many tasks.
     """
     lines = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     if lines.isEmpty():
@@ -112,6 +114,47 @@ def cached(df: DataFrame, root: str, schema_id: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_digests(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """Bucket, rows, digest: the rows dealt by a digest of their key, and a digest of each bucket's content that no
+    order or layout changes. Buckets without rows are not listed."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    x = df.select(F.pmod(coin(F.col(key)), F.lit(buckets)).cast("int").alias("bucket"), row.alias("_r"))
+    x = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_r").cast("decimal(38,0)")).alias("_s"), F.bit_xor("_r").alias("_x"))
+    return x.select("bucket", "rows", F.sha2(F.concat_ws(":", "rows", "_s", "_x"), 256).alias("digest"))
+
+
+def root_digest(digests: DataFrame) -> DataFrame:
+    """One row: rows, and the digest over the sorted digests of the buckets. A table of buckets is of bounded size."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat_ws("=", x["bucket"].cast("string"), x["digest"])), ",")
+    return digests.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(listed, 256).alias("root"))
+
+
+def changed_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Bucket and change (added, removed, altered) of two tables of bucket digests."""
+    x = old.select("bucket", F.col("digest").alias("_o")).join(new.select("bucket", F.col("digest").alias("_n")), "bucket", "full").where(~F.col("_o").eqNullSafe(F.col("_n")))
+    return x.select("bucket", F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").otherwise("altered").alias("change"))
+
+
+def sync(df: DataFrame, key: str, root: str, schema_id: str, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+    """S10 by buckets: (the table as stored, the buckets that had to be written). Buckets are stored under their digest, and
+    only those whose digest is not there yet are written; older ones stay for readers of older versions."""
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{schema_id}"
+    digests = stage(bucket_digests(df, key, buckets).withColumn("fp", F.substring("digest", 1, 16)).select("bucket", "fp", "rows"), "digests")
+    hadoop, schema = spark._jvm.org.apache.hadoop.fs.Path(path), StructType([*df.schema, StructField("bucket", IntegerType()), StructField("fp", StringType())])
+    if hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
+        stored = spark.read.schema(schema).parquet(path).select("bucket", "fp").distinct()
+    else:
+        stored = spark.createDataFrame([], "bucket int, fp string")
+    new = stage(digests.join(stored, ["bucket", "fp"], "left_anti"), "new_buckets")
+    if not new.isEmpty():
+        dealt = df.withColumn("bucket", F.pmod(coin(F.col(key)), F.lit(buckets)).cast("int"))
+        dealt.join(broadcast_if_small(new.select("bucket", "fp")), "bucket").select(*df.columns, "bucket", "fp").repartition("bucket").write.mode("append").partitionBy("bucket", "fp").parquet(path)
+    elif stored.isEmpty():
+        return df, new.select("bucket", "rows")  # an empty table that was never stored
+    now = spark.read.schema(schema).parquet(path)
+    return now.join(broadcast_if_small(digests.select("bucket", "fp")), ["bucket", "fp"], "left_semi").select(*df.columns), new.select("bucket", "rows")
+
+
 def write_positional(df: DataFrame, pos: str, value: str, path: str, expected: int) -> None:
     """The values in the order of pos as one JSON list; positions must be 0..expected-1 without gaps.
 

@@ -293,3 +293,21 @@ def test_staging_leaves_nothing_behind(spark):
         assert G.reachable(arcs, start).count() == 18 and G.shortest_path(arcs, start, goal).count() == 15
         assert len(folders() - before) == 2  # what the two lazy results read
     assert folders() == before
+
+
+def test_stored_buckets(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(200)] + [(None, "none"), (7, "v7")], "k long, v string")
+    stored, written = S.sync(df, "k", str(tmp_path), "a", 16)
+    rows = lambda x: sorted(map(repr, x.collect()))
+    assert rows(stored) == rows(df) and written.count() == 16
+    assert S.sync(df.repartition(4, "v"), "k", str(tmp_path), "a", 16)[1].count() == 0
+    less = df.where("k <> 7 and k is not null")
+    stored, written = S.sync(less, "k", str(tmp_path), "a", 16)
+    assert rows(stored) == rows(less) and written.count() == 2
+    changed = S.changed_buckets(S.bucket_digests(df, "k", 16), S.bucket_digests(less, "k", 16))
+    assert {r["bucket"] for r in changed.where("change = 'altered'").collect()} == {r["bucket"] for r in written.collect()}
+    assert {r["change"] for r in S.changed_buckets(S.bucket_digests(df, "k", 16), S.bucket_digests(df.limit(0), "k", 16)).collect()} == {"removed"}
+    assert rows(S.sync(df, "k", str(tmp_path), "a", 16)[0]) == rows(df)
+    roots = [S.root_digest(S.bucket_digests(x, "k", 16)).first()["root"] for x in (df, df.repartition(3), less, df.limit(0))]
+    assert roots[0] == roots[1] and len(set(roots)) == 3
+    assert S.sync(df.limit(0), "k", str(tmp_path), "empty")[0].count() == 0
