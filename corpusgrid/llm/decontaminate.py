@@ -20,8 +20,8 @@ from corpusgrid.llm.text import lowered
 from corpusgrid.session import broadcast_if_small, stage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a window; an item of fewer is one window.
-WINDOW = 10
+#: Words of a window; an item of fewer is one window. Places that a word may stand off in a proximity match.
+WINDOW, NEAR = 10, 2
 
 
 def _words(text):
@@ -73,10 +73,11 @@ def search(postings: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     return rest.unionByName(some.where("size <= 2"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of docs.
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near: a row for each row of docs.
 
-    A word inside any occurrence of a window of an item is hit. Null texts have no words; rows that repeat a doc_id are
+    A word inside any occurrence of a window of an item is hit. n_near counts the items of which a window stands exactly
+    or nearly, each word within `near` places of where the window's rarest one puts it; it decides nothing else. Null texts have no words; rows that repeat a doc_id are
     documents of their own; repeated items are one, a null item_id counts as ''; empty tables give no rows or no hits;
     other columns are not read.
     """
@@ -86,14 +87,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     numbered = phrases.select("phrase", F.posexplode("words").alias("off", "term")).join(broadcast_if_small(vocabulary), "term")
     numbered = numbered.groupBy("phrase").agg(F.transform(F.array_sort(F.collect_list(F.struct("off", "t"))), lambda x: x["t"]).alias("terms"))
     postings = stage(index(docs, vocabulary), "postings")
+    numbered = stage(numbered, "numbered")
     matches = stage(search(postings, numbered), "matches")
+    close = search(postings, numbered, near).select("row", "phrase").distinct()
     hit = matches.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = matches.select("row", "phrase").distinct().join(broadcast_if_small(phrases.select("phrase", "ids")), "phrase").select("row", F.explode("ids").alias("item_id")).distinct()
+    ids = broadcast_if_small(phrases.select("phrase", "ids"))
+    items_of = lambda df: df.join(ids, "phrase").select("row", F.explode("ids").alias("item_id")).distinct()
+    about = items_of(close).groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    named = items_of(matches.select("row", "phrase").distinct())
     named = named.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("_ids"))
-    found = postings.where("t is null").select("row", "doc_id", F.col("pos").cast("long").alias("n_words")).join(hit.join(named, "row"), "row", "left")
+    found = postings.where("t is null").select("row", "doc_id", F.col("pos").cast("long").alias("n_words")).join(hit.join(named, "row"), "row", "left").join(about, "row", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return found.select("doc_id", "n_words", none("n_hit"), none("n_items"), F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return found.select("doc_id", "n_words", none("n_hit"), none("n_items"), F.sha2(F.coalesce("_ids", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), none("n_near"))
 
 
 def op13_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -110,6 +116,13 @@ z AS (SELECT DISTINCT size FROM x),
 g AS (SELECT id, size, s, array_to_string(list_slice(w, s, s + size - 1), ' ') phrase FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) s FROM d, z)),
 m AS (SELECT id, size, s, item_id FROM g JOIN x USING (size, phrase)),
 h AS (SELECT id, count(DISTINCT p) n_hit FROM (SELECT id, unnest(range(s, s + size)) p FROM m) GROUP BY id),
+wt AS (SELECT phrase, size, o - 1 off, string_split(phrase, ' ')[o] word FROM (SELECT *, unnest(range(1, size + 1)) o FROM (SELECT DISTINCT phrase, size FROM x))),
+po AS (SELECT id, i - 1 pos, w[i] word FROM (SELECT id, w, unnest(range(1, len(w) + 1)) i FROM d)), vp AS (SELECT * FROM po SEMI JOIN wt USING (word)), cn AS (SELECT word, count(*) n FROM vp GROUP BY word),
+an AS (SELECT phrase, size, off, word FROM wt LEFT JOIN cn USING (word) QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY n NULLS FIRST, off) = 1),
+ca AS (SELECT id, phrase, size, pos - off start, off a FROM vp JOIN an USING (word) WHERE pos - off >= -{NEAR}),
+ok AS (SELECT ca.id, ca.phrase FROM ca JOIN wt ON wt.phrase = ca.phrase AND wt.off <> a JOIN vp ON vp.id = ca.id AND vp.word = wt.word AND vp.pos BETWEEN start + wt.off - {NEAR} AND start + wt.off + {NEAR}
+  GROUP BY ca.id, ca.phrase, start, ca.size HAVING count(DISTINCT wt.off) = ca.size - 1 UNION ALL SELECT id, phrase FROM ca WHERE size = 1),
+nr AS (SELECT id, count(DISTINCT item_id) n_near FROM ok JOIN x USING (phrase) GROUP BY id),
 n AS (SELECT id, count(DISTINCT item_id) n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) ids FROM m GROUP BY id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (id) LEFT JOIN n USING (id)"""
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (id) LEFT JOIN n USING (id) LEFT JOIN nr USING (id)"""
