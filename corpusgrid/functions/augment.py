@@ -64,7 +64,9 @@ def phrase_patches(df: DataFrame, patches: DataFrame, text: str) -> DataFrame:
     Adds patched, hits and patch. patches is a small table: it is joined by containment.
     """
     id_ = df.columns[0]
-    hits = df.select(id_, text).join(broadcast_if_small(patches, 10_000), F.contains(F.col(text), F.col("old")) | F.contains(fold(F.col(text)), fold(F.col("old"))))
+    texts = df.select(id_, text, fold(F.col(text)).alias("_folded"))  # folded once, not once for each patch
+    small = broadcast_if_small(patches.select("ord", "old", "new", fold(F.col("old")).alias("_plain")), 10_000)
+    hits = texts.join(small, F.contains(F.col(text), F.col("old")) | F.contains("_folded", "_plain"))
     per = hits.groupBy(id_).agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("ord", "old", "new")).alias("p"))
     x = df.join(per, id_, "left")
     done = F.when(F.contains(F.col(text), F.col("p.old")), F.replace(F.col(text), F.col("p.old"), F.col("p.new"))).otherwise(F.replace(fold(F.col(text)), fold(F.col("p.old")), fold(F.col("p.new"))))

@@ -127,7 +127,7 @@ for _i in range(1, 7):  # words that are out after each round
 VOCAB += ", kept AS (SELECT v.w, v.n FROM v ANTI JOIN o6 ON v.w = o6.w)"
 
 
-@query(VOCAB + " SELECT w, n FROM kept")
+@query(VOCAB + " SELECT w, n FROM v WHERE w NOT IN (SELECT w FROM o6)")
 def l1_vocabulary(t):
     return L.vocabulary(tokens(t))
 

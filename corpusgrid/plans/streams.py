@@ -152,7 +152,7 @@ def split(t):
 
 
 @query("WITH " + ROBOTS + """ SELECT 'train-' || s AS key, 'scene_shape' AS problem FROM (SELECT DISTINCT s FROM o) WHERE s % 7 = 0 OR s % 5 = 0
-UNION ALL SELECT l.pos::VARCHAR, CASE WHEN o.pos IS NULL THEN 'no_observation' ELSE 'no_label' END FROM l LEFT JOIN o ON o.pos = l.pos WHERE o.pos IS NULL OR label IS NULL""")
+UNION ALL SELECT l.pos::VARCHAR, CASE WHEN o.pos IS NULL THEN 'no_observation' ELSE 'no_label' END FROM l LEFT JOIN o ON o.pos = l.pos WHERE o.pos IS NULL OR label IS NULL UNION ALL SELECT count(*)::VARCHAR, 'list_length' FROM l HAVING count(*) % 10 <> 0""")
 def s1_split_loader(t):
     place = split(t)
     return S.alignment_problems(S.observations(t.spark, f"{place}/observations"), S.labels(t.spark, f"{place}/labels"))

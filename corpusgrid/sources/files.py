@@ -34,10 +34,12 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alignment_problems(obs: DataFrame, label_rows: DataFrame, robots: int = 10) -> DataFrame:
-    """Scenes that are not robots 0..9 with one mission, and positions without a valid label or observation."""
+    """Scenes that are not robots 0..9 with one mission, positions without a valid label or observation, and the
+    length of the list of labels if it is no multiple of the robots."""
     shape = group_shape(obs, "scene_id", "robot_id", robots, "mission").select(F.col("scene_id").alias("key"), F.lit("scene_shape").alias("problem"))
     lone = obs.select("pos", F.lit(1).alias("_o")).join(label_rows, "pos", "full").where("_o is null or label is null")
-    return shape.unionByName(lone.select(F.col("pos").cast("string").alias("key"), F.when(F.col("_o").isNull(), "no_observation").otherwise("no_label").alias("problem")))
+    length = label_rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % robots != 0).select(F.col("n").cast("string").alias("key"), F.lit("list_length").alias("problem"))
+    return shape.unionByName(lone.select(F.col("pos").cast("string").alias("key"), F.when(F.col("_o").isNull(), "no_observation").otherwise("no_label").alias("problem"))).unionByName(length)
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
