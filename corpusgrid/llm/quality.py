@@ -168,6 +168,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **p
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every row of documents through quality_rules with the labels' rows; nulls, ties, repeats and empty tables as told there."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_rules(docs, labels).withColumn("rejected_by", F.array_join("rejected_by", ","))
 
