@@ -163,8 +163,8 @@ def s2_annotations(t):
     place, s = f"{shared_dir(t.spark)}/corpusgrid/scenes-{uuid.uuid4().hex}", F.col("s_suppkey")
     look = F.struct(F.lit("normal").alias("normal"), F.when(s % 3 == 0, "crowded").otherwise("closed").alias("closed"))
     scene = F.struct(F.concat(F.lit("scene-"), s).alias("scene_id"), F.struct((s % 4 + 5).alias("rows"), F.lit(5).alias("cols")).alias("grid"), F.when(s % 3 == 0, "rain").otherwise("dry").alias("weather"), look.alias("road_look"))
-    # one file for each scene list of a hundred scenes
-    t.supplier.groupBy(F.floor(s / 100).alias("part")).agg(F.to_json(F.array_sort(F.collect_list(scene))).alias("value")).repartition("part").select("value").write.text(place)
+    # one file for each scene list of a hundred scenes: a file is one JSON value, what follows it is not read
+    t.supplier.groupBy(F.floor(s / 100).alias("part")).agg(F.to_json(F.array_sort(F.collect_list(scene))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(place)
     return S.annotations(t.spark, place).select("scene_id", F.col("grid.rows").cast("long").alias("grid_rows"), "weather", "legend_swapped")
 
 
