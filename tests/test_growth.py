@@ -12,3 +12,42 @@ def same_as_sql(spark, name, folder="/root/testdata/sf0.1"):
 def test_every_scene_list_is_read(spark):
     """Eleven lists, more than there are shuffle partitions."""
     assert same_as_sql(spark, "s2_annotations") == ""
+
+
+def lattice(spark):
+    from corpusgrid.plans import fixtures as X
+
+    t = registry.Tables(spark, "/root/testdata/sf0.01")
+    from corpusgrid.operators import graph as G
+
+    return G, G.arcs(X.edges(t)), X.starts(t), X.vias(t), X.goals(t)
+
+
+def test_searches_by_buckets_and_by_rounds_agree(spark, monkeypatch):
+    G, arcs, starts, vias, goals = lattice(spark)
+    monkeypatch.setattr(G, "BUCKET_ARCS", 700)  # several buckets, and graphs on both sides of 60 arcs
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for of in (lambda n: G.reachable(arcs, starts, group_arcs=n), lambda n: G.mission_reachable(arcs, starts, vias, goals, group_arcs=n), lambda n: G.shortest_path(arcs, starts, goals, group_arcs=n)):
+        small = rows(of(20_000))
+        assert len(small) > 50 and small == rows(of(60)) and len(set(small)) == len(small)
+
+
+def test_small_graphs_take_no_rounds(spark, monkeypatch):
+    """A round is a job of all graphs that passes through the driver; small graphs are searched without any."""
+    G, arcs, starts, vias, goals = lattice(spark)
+
+    def refuse(*a):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(G, "Grown", refuse)
+    assert G.reachable(arcs, starts).count() and G.mission_reachable(arcs, starts, vias, goals).count() and G.shortest_path(arcs, starts, goals).count()
+
+
+def test_lattices_are_not_broadcast(spark):
+    from corpusgrid.operators import graph as G
+    from corpusgrid.plans import fixtures as X
+
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    arcs = G.arcs(X.edges(t))
+    for df in (X.edges(t), X.starts(t).join(arcs.select("g", "r", "c").distinct(), ["g", "r", "c"]), G.relaxations(X.edges(t), X.nodes(t), X.scenes(t), X.starts(t)), arcs.join(X.starts(t), ["g", "r", "c"]), X.nodes(t).join(X.landmarks(t), ["g", "r", "c"])):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
