@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusgrid.session import broadcast_if_small, stage
 
+#: Points of a group that are compared in one row.
+GROUP_POINTS = 256
 MISSING = (100_000, 100_000, 4, 0)  # cost, regret (hundredths), rank, best of an action without a route
 
 
@@ -87,6 +89,34 @@ def gap_clusters(df: DataFrame, group: list[str], value: str, gap: Column | floa
 def neighbours(points: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
     """The n nearest other points of every point of a group, ties to the lower key: key, x, y, k2, x2, y2, d2, rank.
 
+    A group of up to GROUP_POINTS points is compared inside its own row, an array, and no pair of points becomes a row;
+    larger groups are compared cell by cell.
+    """
+    at = [*group, key]
+    p = points.select(*at, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=[*at, "x", "y"])
+    sizes = p.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
+    large = stage(sizes.where(F.col("_m") > GROUP_POINTS).select(*group), "large")
+    if large.isEmpty():
+        return _neighbours_by_group(p, group, key, n)
+    small, rest = (p.join(large, group, how) for how in ("left_anti", "left_semi"))
+    return _neighbours_by_group(small, group, key, n).unionByName(_neighbours_by_cells(rest, group, key, n))
+
+
+def _neighbours_by_group(points: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
+    each = points.groupBy(*group).agg(F.collect_list(F.struct(F.col(key).alias("k"), "x", "y")).alias("_ps"))
+
+    def nearest(p: Column) -> Column:
+        others = F.filter("_ps", lambda q: q["k"] != p["k"])
+        d2 = lambda q: (p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2
+        return F.slice(F.array_sort(F.transform(others, lambda q: F.struct(d2(q).alias("d2"), q["k"].alias("k2"), q["x"].alias("x2"), q["y"].alias("y2")))), 1, n)
+
+    x = each.select(*group, F.explode("_ps").alias("_p"), "_ps").select(*group, "_p", F.posexplode(nearest(F.col("_p"))).alias("_i", "_q"))
+    return x.select(*group, F.col("_p.k").alias(key), "_p.x", "_p.y", "_q.k2", "_q.x2", "_q.y2", "_q.d2", (F.col("_i") + 1).alias("rank"))
+
+
+def _neighbours_by_cells(points: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
+    """neighbours() for groups of any size.
+
     Points meet those of their cell and the eight around it, of a side that puts about four points in a cell. Whatever
     lies outside is farther away than the side, so a point is settled once its n-th neighbour is not; the few others are
     tried again with cells twice as wide, until a cell spans the group.
@@ -120,18 +150,18 @@ def dominant_angle(points: DataFrame, group: list[str], key: str) -> DataFrame:
     return _angle(neighbours(points, group, key, 2), group)
 
 
-def _angle(near: DataFrame, group: list[str]) -> DataFrame:
+def _angle(near: DataFrame, group: list[str], *more: Column) -> DataFrame:
     angle = F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
     quarter = math.pi / 2
     folded = F.pmod(angle + quarter / 2, F.lit(quarter)) - quarter / 2
-    return near.groupBy(*group).agg(F.percentile(folded, 0.5).alias("angle"))
+    return near.groupBy(*group).agg(F.percentile(folded, 0.5).alias("angle"), *more)
 
 
 def fit_grid(points: DataFrame, group: list[str], key: str, score: str, least: int = 4) -> DataFrame:
     """Points turned by the dominant angle, clustered to rows and columns at half the spacing; the best point a cell."""
     near = neighbours(points, group, key, 2)
-    spacing = near.where("rank = 1").groupBy(*group).agg(F.percentile(F.sqrt("d2"), 0.5).alias("spacing"))
-    x = points.join(_angle(near, group), group).join(spacing, group)
+    spacing = F.percentile(F.when(F.col("rank") == 1, F.sqrt("d2")), 0.5).alias("spacing")
+    x = points.join(_angle(near, group, spacing), group)
     c, s = F.cos("angle"), F.sin("angle")
     x = x.withColumns({"u": F.col("x") * c + F.col("y") * s, "v": F.col("y") * c - F.col("x") * s})
     for axis, name in (("v", "row"), ("u", "col")):

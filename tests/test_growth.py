@@ -51,3 +51,17 @@ def test_lattices_are_not_broadcast(spark):
     arcs = G.arcs(X.edges(t))
     for df in (X.edges(t), X.starts(t).join(arcs.select("g", "r", "c").distinct(), ["g", "r", "c"]), G.relaxations(X.edges(t), X.nodes(t), X.scenes(t), X.starts(t)), arcs.join(X.starts(t), ["g", "r", "c"]), X.nodes(t).join(X.landmarks(t), ["g", "r", "c"])):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_by_group_and_by_cells_agree(spark, monkeypatch):
+    from corpusgrid.operators import features as P
+    from corpusgrid.plans.scenes import points
+
+    p = points(registry.Tables(spark, "/root/testdata/sf0.01"))
+    p = p.where("g % 10 < 3 and (g % 2 = 0 or k % 3 > 0)")  # groups of different sizes
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    inside = P.neighbours(p, ["g"], "k", 2)
+    assert "SortMergeJoin" not in (plan := inside._jdf.queryExecution().executedPlan().toString()) and "Window" not in plan  # no pair is a row
+    want = rows(inside)
+    monkeypatch.setattr(P, "GROUP_POINTS", 20)  # some groups larger
+    assert len(want) > 500 and want == rows(P.neighbours(p, ["g"], "k", 2))
