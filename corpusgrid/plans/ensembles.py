@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusgrid.operators import ensemble as E
 from corpusgrid.operators import metrics as A
 from corpusgrid.plans.registry import query
+from corpusgrid.session import dealt
 
 MODELS = """
 WITH li AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey k, l_suppkey s, l_linenumber % 4 AS label FROM lineitem),
@@ -16,12 +17,16 @@ v AS (SELECT id, label, cls, avg(p) p FROM p GROUP BY ALL), best AS (SELECT * FR
 
 
 def models(t):
+    """Rows of three models and four classes. Lines of an order can share an id, so weights are summed by id, one row a line,
+    before the twelve rows of a line are made."""
     from pyspark.sql import Window
 
     li = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), (F.col("l_linenumber") % 4).alias("label"))
-    m = li.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("model")).select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("cls"))
-    w = 1 + (F.col("k") * (F.col("model") + 3) + F.col("s") * (F.col("cls") + 1) + F.col("cls") * 5 + F.col("model")) % 17
-    return m.withColumn("w", w).withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("id", "model"))).select("id", "label", "model", "cls", "p")
+    weight = lambda model, cls: 1 + (F.col("k") * (model + 3) + F.col("s") * (cls + 1) + cls * 5 + model) % 17
+    by = Window.partitionBy("id")
+    li = dealt(li, t.lineitem.count(), "id").select("*", *[F.sum(sum(weight(m, c) for c in range(4))).over(by).alias(f"_t{m}") for m in range(3)])
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(c).alias("cls"), (weight(m, c) / F.col(f"_t{m}")).alias("p")) for m in range(3) for c in range(4)]
+    return li.select("id", "label", F.explode(F.array(*rows)).alias("x")).select("id", "label", "x.model", "x.cls", "x.p")
 
 
 @query(MODELS + "SELECT id, cls, p FROM best")
@@ -121,7 +126,8 @@ t AS (SELECT g, n, sum(p) t FROM s JOIN (SELECT n, unnest([0, 1, 2]) a, unnest([
 k AS (SELECT g, n FROM t QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(t, 9) DESC, n::INT) = 1)
 SELECT g, CASE WHEN f THEN n ELSE '012' END AS assignment FROM w LEFT JOIN k USING (g)""")
 def e9_assignment(t):
-    s = t.lineitem.groupBy(F.col("l_orderkey").alias("g"), (F.col("l_linenumber") % 3).alias("a"), (F.col("l_suppkey") % 3).alias("b")).agg(F.max("l_quantity").alias("p"))
+    li = t.lineitem.select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber") % 3).alias("a"), (F.col("l_suppkey") % 3).alias("b"), F.col("l_quantity").alias("p"))
+    s = dealt(li, t.lineitem.count(), "g").groupBy("g", "a", "b").agg(F.max("p").alias("p"))
     return E.best_assignment(s, "g", "a", "b", "p")
 
 

@@ -65,3 +65,11 @@ def test_neighbours_by_group_and_by_cells_agree(spark, monkeypatch):
     want = rows(inside)
     monkeypatch.setattr(P, "GROUP_POINTS", 20)  # some groups larger
     assert len(want) > 500 and want == rows(P.neighbours(p, ["g"], "k", 2))
+
+
+def test_rows_of_models_are_shuffled_once(spark):
+    """Lines are dealt out before they become twelve rows, and no later step deals those rows again."""
+    for name in ("e1_soft_vote", "e12_soft_labels", "e9_assignment"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan, name
+        assert same_as_sql(spark, name, "/root/testdata/sf0.01") == ""
