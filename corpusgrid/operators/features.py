@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgrid.session import broadcast_if_small, stage
+from corpusgrid.session import broadcast_if_small, dealt, stage
 
 #: Points of a group that are compared in one row.
 GROUP_POINTS = 256
@@ -95,11 +95,13 @@ def neighbours(points: DataFrame, group: list[str], key: str, n: int) -> DataFra
     at = [*group, key]
     p = points.select(*at, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=[*at, "x", "y"])
     sizes = p.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
+    found = sizes.agg(F.sum("_m").alias("n"), F.max("_m").alias("most")).first()
+    inside = lambda df: _neighbours_by_group(dealt(df, found["n"] or 0, *group), group, key, n)
+    if (found["most"] or 0) <= GROUP_POINTS:
+        return inside(p)
     large = stage(sizes.where(F.col("_m") > GROUP_POINTS).select(*group), "large")
-    if large.isEmpty():
-        return _neighbours_by_group(p, group, key, n)
     small, rest = (p.join(large, group, how) for how in ("left_anti", "left_semi"))
-    return _neighbours_by_group(small, group, key, n).unionByName(_neighbours_by_cells(rest, group, key, n))
+    return inside(small).unionByName(_neighbours_by_cells(rest, group, key, n))
 
 
 def _neighbours_by_group(points: DataFrame, group: list[str], key: str, n: int) -> DataFrame:
