@@ -33,7 +33,17 @@ def vocabulary(tokens: DataFrame, least: int = 8, dominance: int = 10, protected
 def bigrams(words: DataFrame, kept: DataFrame, row: str, least: int = 3) -> DataFrame:
     """L2: adjacent pairs (a, b, n) of kept words; words has row, pos, w."""
     nxt = F.lead("w").over(Window.partitionBy(row).orderBy("pos"))
-    x = words.select(F.col("w").alias("a"), nxt.alias("b")).where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return _counted(words.select(F.col("w").alias("a"), nxt.alias("b")), kept, least)
+
+
+def text_bigrams(texts: DataFrame, kept: DataFrame, words: str, least: int = 3) -> DataFrame:
+    """L2 of texts that are arrays of words: a text's pairs are made in its own row, so only counts of pairs are shuffled."""
+    pairs = F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(0))).alias("b"))
+    return _counted(texts.select(F.explode(pairs).alias("x")).select("x.a", "x.b"), kept, least)
+
+
+def _counted(pairs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+    x = pairs.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     k = kept.select("w")
     return x.join(k.withColumnRenamed("w", "a"), "a", "left_semi").join(k.withColumnRenamed("w", "b"), "b", "left_semi")
 

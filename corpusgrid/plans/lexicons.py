@@ -113,8 +113,12 @@ def t20_holdout_bank(t):
     return A.holdout_bank(t.benchmark, "item_id", True).select("item_id")
 
 
+def texts(t):
+    return t.documents.select("doc_id", F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0)).alias("ws"))
+
+
 def tokens(t):
-    return t.documents.select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    return texts(t).select(F.explode("ws").alias("w"))
 
 
 VOCAB = f"""WITH v AS MATERIALIZED (SELECT w, count(*) n FROM (SELECT unnest({WORDS}) w FROM documents) WHERE regexp_matches(w, '^[a-z]+$') GROUP BY w HAVING count(*) >= 8),
@@ -134,8 +138,7 @@ def l1_vocabulary(t):
 
 @query(VOCAB + f", d AS (SELECT {WORDS} w FROM documents), b AS (SELECT w[i] a, w[i + 1] b FROM (SELECT w, unnest(range(1, len(w))) i FROM d)) SELECT a, b, count(*) AS n FROM b WHERE a IN (SELECT w FROM kept) AND b IN (SELECT w FROM kept) GROUP BY ALL HAVING count(*) >= 3")
 def l2_bigrams(t):
-    w = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
-    return L.bigrams(w, L.vocabulary(w.select("w")), "doc_id")
+    return L.text_bigrams(texts(t), L.vocabulary(tokens(t)), "ws")
 
 
 TOKENS = r"regexp_extract_all(strip_accents(replace(lower(text), 'đ', 'd')), '[a-z0-9]+|[.,!?;:()\[\]]')"
@@ -159,10 +162,9 @@ f(row, pos, w, fixed) AS (SELECT DISTINCT row, -1::BIGINT, NULL::VARCHAR, NULL::
 @query(L3 + " SELECT row, pos, w, fixed FROM f WHERE pos >= 0 AND w <> fixed")
 def l3_correct(t):
     """Conversations corrected against the vocabulary of the documents; the twin walks the positions by recursion."""
-    w = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
-    v = stage(L.vocabulary(w.select("w")), "vocabulary")
+    v = stage(L.vocabulary(tokens(t)), "vocabulary")
     said = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "w"))
-    return L.correct(said, v, stage(L.bigrams(w, v, "doc_id"), "bigrams"), "row").where("w <> fixed")
+    return L.correct(said, v, stage(L.text_bigrams(texts(t), v, "ws"), "bigrams"), "row").where("w <> fixed")
 
 
 @query(VOCAB + f", sw AS (SELECT DISTINCT w FROM (SELECT unnest({WORDS}) w FROM conversations) WHERE length(w) >= 2), {CORRUPTIONS} SELECT w, cand, n FROM cd")

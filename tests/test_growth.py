@@ -73,3 +73,23 @@ def test_rows_of_models_are_shuffled_once(spark):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Join" not in plan, name
         assert same_as_sql(spark, name, "/root/testdata/sf0.01") == ""
+
+
+def test_pairs_of_a_text_are_made_in_its_row(spark):
+    from corpusgrid.operators import lexicon as L
+
+    d = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["a"]), (3, []), (4, None), (5, ["b", "a", "c"])], "row int, ws array<string>")
+    words, kept = d.selectExpr("row", "posexplode(ws) as (pos, w)"), spark.createDataFrame([("a",), ("b",)], "w string")
+    found = L.text_bigrams(d, kept, "ws", 1)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, L.bigrams(words, kept, "row", 1).collect())) == [("a", "b", 2), ("b", "a", 2)]
+
+
+def test_sets_are_matched_in_one_shuffle(spark):
+    from corpusgrid.operators import metrics as A
+
+    s = "g int, k int"
+    m = A.set_match(spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 5), (3, None)], s), spark.createDataFrame([(1, 1), (1, 2), (2, 6), (3, None), (4, 1)], s), ["k"], "g")
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, m.collect())) == [(1, True, 2, 2, 2), (2, False, 0, 1, 1), (3, False, 0, 1, 1), (4, False, 0, 0, 1)]
