@@ -1,6 +1,7 @@
 """Queries on tables larger than those of the other tests: what is bounded, dealt out and read in whole."""
 
 import oracle
+from pyspark.sql import functions as F
 
 from corpusgrid.plans import registry
 
@@ -93,3 +94,25 @@ def test_sets_are_matched_in_one_shuffle(spark):
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert sorted(map(tuple, m.collect())) == [(1, True, 2, 2, 2), (2, False, 0, 1, 1), (3, False, 0, 1, 1), (4, False, 0, 0, 1)]
+
+
+def test_routes_of_many_graphs_are_searched_in_one_call(spark, monkeypatch):
+    """Graphs are no groups of their own; buckets and blocks of profiles give what rounds of joins give."""
+    G, arcs, starts, vias, goals = lattice(spark)
+    from corpusgrid.plans import fixtures as X
+
+    monkeypatch.setattr(G, "ROUTE_ARCS", 700)
+    monkeypatch.setattr(G, "TOGETHER_PROFILES", 2)
+    few = X.profiles(registry.Tables(spark, "/root/testdata/sf0.01"), X.FEW)
+    named = lambda df: df.withColumn("g", F.when(F.col("g") != 7, F.concat(F.lit("g"), "g")))
+    args = [x.where("g < 12") for x in (arcs, starts, vias, goals)]
+    rows = lambda costs: sorted(map(tuple, costs.select("g", "profile", "action", "cost").collect()), key=str)
+    costs = G.route_costs(args[0], few, *args[1:])
+    grouped = [x for x in costs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroups" in x]
+    assert len(grouped) == 1 and "_bucket" in grouped[0]
+    want = rows(G.route_costs(args[0], few, *args[1:], group_arcs=0))
+    assert len(want) > 50 and rows(costs) == want
+    search = G.RouteSearch(*map(named, args), staged=True)  # ids of another type, one of them null
+    assert rows(search.costs(few)) == sorted(((None if g == 7 else f"g{g}", *x) for g, *x in want), key=str)
+    assert rows(search.costs(few.where("profile = 'unit'"))) == [x for x in rows(search.costs(few)) if x[1] == "unit"]
+    assert search.costs(few.limit(0)).count() == 0 and G.route_costs(args[0], few, args[1].limit(0), *args[2:]).count() == 0
