@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENDS = r"[.!?;()\[\]]"
@@ -94,6 +94,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once a row, however often later steps use it: the optimizer writes a column out
+    again wherever it is used in the projections that follow, but not across a generator (here of one row)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def word_grams(words: Column, n: int) -> Column:
     """Distinct n-grams of an array of words, joined by spaces."""
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgrid.functions.expr import let, phrase_pattern, tokenize
+from corpusgrid.functions.expr import computed, let, phrase_pattern, tokenize
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,8 @@ def mention_roles(clauses: DataFrame, g: Grammar, row: str, text: str = "text")
     kinds = {p: kind for kind, names in g.names.items() for p in names}
     types = {p: t for names in g.names.values() for p, t in names.items()}
     known = F.coalesce(F.col(text), F.lit(""))
-    x = clauses.select(row, "clause", F.array_join(tokenize(known), " ").alias("_s"))
-    x = x.withColumns({"_found": F.regexp_extract_all("_s", F.lit(g.pattern()), F.lit(0)), "_parts": F.split("_s", g.pattern())})
+    x = computed(clauses.select(row, "clause", known.alias("_text")), _s=F.array_join(tokenize(F.col("_text")), " ")).drop("_text")
+    x = computed(x, _found=F.regexp_extract_all("_s", F.lit(g.pattern()), F.lit(0)), _parts=F.split("_s", g.pattern())).drop("_s")
 
     # 1. placeholders
     mark = lambda i: F.when(i < F.size("_found"), F.when(_lookup(kinds, F.get("_found", i)) == "item", F.lit("item")).otherwise(F.concat(F.lit("@"), i.cast("string")))).otherwise("")
@@ -81,7 +81,7 @@ def mention_roles(clauses: DataFrame, g: Grammar, row: str, text: str = "text")
     marked = F.regexp_replace(marked, rf"\b(?:{g.generic}) (?:{g.link}) @(\d+)(?: \w+){{0,2}} (?:{g.most})\b", "#anchor_near:$1")
     for ref, words in g.extremes.items():
         marked = F.regexp_replace(marked, rf"\b(?:{g.generic}) (?:{words})\b", "#" + ref)
-    x = x.withColumn("_m", marked)
+    x = computed(x, _m=marked).drop("_parts")
 
     # 3. qualifiers of named mentions: a direction, or nearer to or farther from an anchor
     lead, ways = rf"(?: (?:{g.lead}))?" if g.lead else "", "|".join(g.directions) or r"(?!)"
@@ -92,23 +92,23 @@ def mention_roles(clauses: DataFrame, g: Grammar, row: str, text: str = "text")
         ref = F.when(anchor.isNull(), _lookup(g.directions, F.regexp_extract(q, r"(\w+)$", 1))).when(q.rlike(rf" (?:{g.farther}) @\d+$"), "far").otherwise("near")
         return F.struct(_number(q, r"^@(\d+)").alias("k"), ref.alias("ref"), anchor.alias("anchor"))
 
-    x = x.withColumn("_q", F.transform(F.regexp_extract_all("_m", F.lit(qualifier), F.lit(0)), qualified))
     near = F.transform(F.regexp_extract_all("_m", F.lit(r"#anchor_near:(\d+)"), F.lit(1)), lambda k: k.cast("int"))
-    x = x.withColumn("_anchors", F.concat(F.filter(F.transform("_q", lambda q: q["anchor"]), lambda k: k.isNotNull()), near))
+    x = computed(x, _q=F.transform(F.regexp_extract_all("_m", F.lit(qualifier), F.lit(0)), qualified), _near=near, _t=F.split("_m", " "))
+    anchors = F.concat(F.filter(F.transform("_q", lambda q: q["anchor"]), lambda k: k.isNotNull()), F.col("_near"))
+    tokens = F.filter(F.transform("_t", lambda w, i: F.struct(i.alias("at"), w.alias("_w"))), lambda t: t["_w"].rlike(r"^(?:@\d|#\w)"))
 
     # 4. a role for each token
     keyword = r"(" + "|".join(sorted(g.keywords, key=len, reverse=True)) + r")$" if g.keywords else r"((?!))"
     name_type = lambda k: let(F.get("_found", k), lambda p: F.coalesce(_lookup(types, p), _lookup(g.keywords, F.regexp_extract(p, keyword, 1))))
-    x = x.withColumn("_t", F.split("_m", " "))
-    x = x.select("*", F.posexplode("_t").alias("at", "_w")).where(F.col("_w").rlike(r"^(?:@\d|#\w)"))
+    x = computed(x, _anchors=anchors, _tokens=tokens).drop("_m", "_near")
+    x = x.select("*", F.inline("_tokens")).drop("_tokens")
     k = _number(F.col("_w"), r"^@(\d+)")
-    x = x.withColumns({"_k": k, "_ref": F.nullif(F.regexp_extract("_w", r"^#([a-z_]+)", 1), F.lit("")), "_a": _number(F.col("_w"), r"^#anchor_near:(\d+)")})
+    x = computed(x, **{"_k": k, "_ref": F.nullif(F.regexp_extract("_w", r"^#([a-z_]+)", 1), F.lit("")), "_a": _number(F.col("_w"), r"^#anchor_near:(\d+)")})
     x = x.where(F.col("_k").isNull() | ~F.array_contains("_anchors", F.col("_k")))
-    x = x.withColumn("_own", F.try_element_at(F.filter("_q", lambda q: q["k"] == F.col("_k")), F.lit(1)))
-    x = x.withColumn("kind", F.when(F.col("_k").isNull(), F.col("_ref")).otherwise(F.coalesce(_lookup(kinds, F.get("_found", F.col("_k"))), F.lit("place"))))
+    x = computed(x, _own=F.try_element_at(F.filter("_q", lambda q: q["k"] == F.col("_k")), F.lit(1)), kind=F.when(F.col("_k").isNull(), F.col("_ref")).otherwise(F.coalesce(_lookup(kinds, F.get("_found", F.col("_k"))), F.lit("place"))))
     before = F.concat(F.lit(" "), F.array_join(F.slice("_t", 1, F.col("at")), " "))
     after = F.array_join(F.slice("_t", F.col("at") + 2, F.size("_t")), " ")
-    x = x.withColumns({"_b": before, "_f": after})
+    x = computed(x, _b=before, _f=after)
     negated = F.col("_b").rlike(rf"\b(?:{g.negate_before})$") | F.col("_f").rlike(rf"^(?:{g.negate_after})\b")
     via = F.col("_b").rlike(rf"\b(?:{g.via_before})$") | F.trim(F.substring_index("_f", ",", 1)).rlike(rf"^(?:{g.via_after})\b")
     role = F.when(negated, "negated").when(F.col("kind").isin("place", "person") & via, "via").otherwise("goal")

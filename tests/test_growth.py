@@ -116,3 +116,11 @@ def test_routes_of_many_graphs_are_searched_in_one_call(spark, monkeypatch):
     assert rows(search.costs(few)) == sorted(((None if g == 7 else f"g{g}", *x) for g, *x in want), key=str)
     assert rows(search.costs(few.where("profile = 'unit'"))) == [x for x in rows(search.costs(few)) if x[1] == "unit"]
     assert search.costs(few.limit(0)).count() == 0 and G.route_costs(args[0], few, args[1].limit(0), *args[2:]).count() == 0
+
+
+def test_grammar_reads_a_clause_once(spark):
+    """No step of the grammar is written out again by the steps that use it; results are those of SQL."""
+    mentions = registry.QUERIES["l7_roles"](spark, "/root/testdata/sf0.01")
+    plan = mentions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("dr lee|") <= 3 and plan.count(r"\p{Mn}") == 1
+    assert all(same_as_sql(spark, name, "/root/testdata/sf0.01") == "" for name in ("l7_roles", "l8_final_pick", "l9_parse_job"))
