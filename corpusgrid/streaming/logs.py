@@ -105,9 +105,13 @@ def plateau_stream(events: DataFrame, gain: float = 0.005, drop: float = 0.02, l
     )
 
 
+#: Early epochs of a run that share an entry of its buffer: those of equal seq // CHUNK.
+CHUNK = 256
+
+
 class PlateauProcessor(StatefulProcessor):
     """R2 for one run: epochs that came too early wait in a buffer until those before them are there, or until a timer says
-    that these are lost."""
+    that these are lost. State is read and written by chunks of epochs, each once for the rows that arrive together."""
 
     def __init__(self, wait_ms: int | None, **rule):
         self.wait_ms, self.rule = wait_ms, rule
@@ -115,34 +119,54 @@ class PlateauProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.progress = handle.getValueState("progress", "next long, best double, low double, stale int, n int, stop long")
-        self.early = handle.getMapState("early", "seq long", "score double, loss double")
+        self.early = handle.getMapState("early", "chunk long", "seqs array<long>, scores array<double>, losses array<double>")
 
     def _held(self) -> list:
-        found = list(self.progress.get()) if self.progress.exists() else [1, None, None, 0, 0, None]
+        found = self.progress.get() or [1, None, None, 0, 0, None]
         return [None if x is None or x != x else x for x in found]
 
-    def _fold(self, key, held: list):
-        """Epochs that follow on the last one; yields the run once, when it should stop."""
-        nxt, *state, stop = held
-        found = None
-        while self.early.containsKey((nxt,)):
-            score, loss = self.early.getValue((nxt,))
-            self.early.removeKey((nxt,))
-            state, now = _advance((state[0], state[1], int(state[2]), int(state[3])), score, loss, **self.rule)
-            if now and stop is None:
+    def _take(self, held: list, arrived: dict) -> int | None:
+        """Adds the epochs that arrived (seq: score and loss) and folds those that follow on the last one; the epoch at which
+        the run should stop, once."""
+        chunks: dict[int, dict] = {}
+
+        def chunk(seq: int) -> dict:
+            c = seq // CHUNK
+            if c not in chunks:
+                kept = self.early.getValue((c,)) if self.early.containsKey((c,)) else None
+                chunks[c] = dict(zip(kept[0], zip(kept[1], kept[2]))) if kept else {}
+                before[c] = len(chunks[c])
+            return chunks[c]
+
+        before: dict[int, int] = {}
+        touched = {seq // CHUNK for seq in arrived}
+        for seq, values in arrived.items():
+            chunk(seq)[seq] = values
+        found, (nxt, *state, stop) = None, held
+        while (now := chunk(nxt)).get(nxt) is not None:
+            score, loss = now.pop(nxt)
+            touched.add(nxt // CHUNK)
+            state, over = _advance((state[0], state[1], int(state[2]), int(state[3])), score, loss, **self.rule)
+            if over and stop is None:
                 found = stop = nxt
             nxt += 1
-        self.progress.update((nxt, *state, stop))
-        if found is not None:
-            yield pd.DataFrame({"run": [key[0]], "stop_epoch": [found]})
+        for c in touched:
+            if chunks[c]:
+                self.early.updateValue((c,), (list(chunks[c]), [x for x, _ in chunks[c].values()], [x for _, x in chunks[c].values()]))
+            elif before[c]:
+                self.early.removeKey((c,))
+        held[:] = [nxt, *state, stop]
+        return found
 
     def handleInputRows(self, key, rows, timerValues):
         held = self._held()
         for frame in rows:
-            for seq, score, loss in frame[["seq", "score", "loss"]].itertuples(index=False):
-                if seq >= held[0]:  # what was folded before is a repeat
-                    self.early.updateValue((int(seq),), (float(score), float(loss)))
-        yield from self._fold(key, held)
+            came = zip(*(frame[c].tolist() for c in ("seq", "score", "loss")))
+            # what was folded before is a repeat
+            found = self._take(held, {int(seq): (float(score), float(loss)) for seq, score, loss in came if seq >= held[0]})
+            if found is not None:
+                yield pd.DataFrame({"run": [key[0]], "stop_epoch": [found]})
+        self.progress.update(tuple(held))
         if self.wait_ms is not None and self.early.exists() and not list(self.handle.listTimers()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
@@ -150,8 +174,11 @@ class PlateauProcessor(StatefulProcessor):
         waiting = [k[0] for k in self.early.keys()]
         if waiting:
             held = self._held()
-            held[0] = min(waiting)
-            yield from self._fold(key, held)
+            held[0] = min(self.early.getValue((min(waiting),))[0])
+            found = self._take(held, {})
+            self.progress.update(tuple(held))
+            if found is not None:
+                yield pd.DataFrame({"run": [key[0]], "stop_epoch": [found]})
             if self.early.exists():
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 

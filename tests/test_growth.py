@@ -124,3 +124,44 @@ def test_grammar_reads_a_clause_once(spark):
     plan = mentions._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("dr lee|") <= 3 and plan.count(r"\p{Mn}") == 1
     assert all(same_as_sql(spark, name, "/root/testdata/sf0.01") == "" for name in ("l7_roles", "l8_final_pick", "l9_parse_job"))
+
+
+def test_early_epochs_are_kept_by_chunks():
+    """State is asked once for all epochs of a chunk that arrive together, not once an epoch."""
+    from corpusgrid.streaming import logs as R
+
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    class Progress:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    import pandas as pd
+
+    of = lambda seqs: iter([pd.DataFrame({"seq": seqs, "score": [0.5] * len(seqs), "loss": [1.0] * len(seqs)})])
+    p = R.PlateauProcessor(None, gain=0.005, drop=0.02, least=8, patience=3)
+    p.early, p.progress, found = State(), Progress(), []
+    for seqs in (list(range(2, 1000, 2)), [1], list(range(3, 1000, 2)), [5, 6], [1001]):
+        found += [int(x["stop_epoch"].iloc[0]) for x in p.handleInputRows((1,), of(seqs), None)]
+    assert found == [8] and p.progress.held[0] == 1000 and list(p.early) == [(1001 // 256,)] and p.early.calls < 60
