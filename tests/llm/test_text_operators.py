@@ -530,6 +530,39 @@ def test_pii_tagger_adds_what_the_patterns_do_not_know(docs):
     assert pii.train([], []) is None and pii.all_spans(None, [None, "a@b.c"]) == [([], []), ([(0, 0, 5)], [(0, 0, 5)])]
 
 
+def test_pii_windows_cover_the_whole_text():
+    for n in (0, 1, 71, 72, pii.WIDTH - 1, pii.WIDTH, pii.WIDTH + 1, 3 * pii.STRIDE + pii.WIDTH, 5000):
+        starts = pii.windows("word " * n)
+        assert {p for s in starts for p in range(s, s + pii.WIDTH)} >= set(range(5 * n)), n
+        assert all(0 < b - a <= pii.STRIDE for a, b in zip(starts, starts[1:]))
+
+
+def test_pii_scanning_is_viterbi_over_the_emissions():
+    import numpy as np
+
+    chunks, tags = pii.examples(["some words of a text", "Straße, à côté"], 120, seed=1)
+    for m in (pii.train(chunks, tags, epochs=10), pii.train(chunks, tags, epochs=30)):
+        ready, x = pii._prepared(m), np.stack([pii.encode(c) for c in pii.examples(["other words, plain ones"], 400, seed=2)[0]])
+        e, *_ = pii.emissions(m, x)
+        assert np.abs(pii._scanned(ready, x).transpose(2, 0, 1) - e).max() < 1e-4
+        best = pii.viterbi(e, m["trans"])
+        want = {i: best[i].tolist() for i in np.nonzero(best.any(axis=1))[0].tolist()}
+        assert {int(i): t.tolist() for i, t, _ in pii._tagged(ready, x)} == want and 0 < len(want)
+
+
+def test_pii_text_far_from_any_digit_is_tagged(docs):
+    model, rng = pii.fit(docs), random.Random(4)
+    texts, at = [], []
+    for i in range(60):  # at places all over the windows and their edges
+        before = "".join(rng.choice(["sowe ", "thener ", "eauch ", "lich ", "ciona "]) for _ in range(10 + 3 * i))
+        secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(10, 18)))
+        texts.append(f"{before}password={secret} " + "eauch lich sowe " * 9)
+        at.append((len(before) + 9, len(before) + 9 + len(secret)))
+    found = pii.spans_of(model, texts)
+    assert sum(any(k == pii.KINDS.index("secret") and s < high and e > low for s, k, e in f) for f, (low, high) in zip(found, at)) >= 42
+    assert pii.spans_of(model, texts[:7]) == found[:7] and pii.spans_of(model, texts[50:51]) == found[50:51]
+
+
 def test_pii_long_runs(docs):
     model = pii.fit(docs.limit(20), train_windows=50)
     assert pii.spans_of(model, ["1" * 100_000, "@" * 50_000]) is not None
