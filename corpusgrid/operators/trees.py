@@ -1,8 +1,8 @@
 """Decision trees by key (E7, E8): a model for every key in one pass, grown from histograms.
 
 Rows never meet by key: a level of all trees of all keys is one aggregate over (key, tree, node, feature, bin), a table whose
-size the parameters bound. Each task adds up its own rows as arrays, so no row is repeated by tree or feature, and Spark adds
-up the tasks' cells. Splits come back to the driver and go out with the next level; a row's node is found by walking the
+size the parameters bound. Rows are packed once into blocks of arrays by key; each task adds up its own blocks, so no row is
+repeated by tree or feature, and Spark adds up the tasks' cells. Splits come back to the driver and go out with the next level; a row's node is found by walking the
 trees so far, so the rows themselves are never rewritten. Sums of gradients make boosted trees (g = p - y, h = p (1 - p)) and
 averaging ones (g = -y w, h = w) the same job.
 """
@@ -16,10 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgrid.session import stage, unstage
+
 #: Keys times trees that are grown together, at most: what is broadcast and what comes back to the driver.
 MOST_TREES = 20_000
-#: Rows that a task adds up at a time, and cells that it hands on at a time.
-TASK_ROWS, TASK_CELLS = 250_000, 1_000_000
+#: Rows that a task packs or adds up at a time, and cells that it hands on at a time.
+TASK_ROWS, TASK_CELLS = 500_000, 1_000_000
+BLOCK = "_k int, n int, y binary, b binary, w binary"
 CELL = "_k int, tree int, node int, f int, bin int, g double, h double, n long"
 TREE = "struct<feats:array<int>,cuts:array<int>,leaf:array<double>>"
 
@@ -100,9 +103,36 @@ def _draws(row: Column, tree: Column) -> Column:
     return sum(((u >= x).cast("int") for x in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634)), F.lit(0))
 
 
+def _gathered(batches, rows_of: Callable):
+    """Lists of batches of about TASK_ROWS rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += rows_of(b)
+        if n >= TASK_ROWS:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
+def _pack(batches):
+    """Rows (_k, _y, _b, and _w: draws for each tree) to blocks of a key: labels (2: null), bins and draws, four bytes a bin."""
+    import pyarrow as pa
+
+    for held in _gathered(batches, lambda b: b.num_rows):
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = lambda c, t=table: t[c].combine_chunks()
+        y, bins, w = column("_y").cast("int8").fill_null(2).to_numpy(), _matrix(column("_b")).astype(np.int32), None
+        if "_w" in table.column_names:
+            w = _matrix(column("_w")).astype(np.int8)
+        blocks = [(k, len(rows), y[rows].tobytes(), bins[rows].tobytes(), None if w is None else w[rows].tobytes()) for k, rows in _by_key(column("_k").to_numpy())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*blocks), (pa.int32(), pa.int32(), *[pa.binary()] * 3))], [c.split()[0] for c in BLOCK.split(", ")])
+
+
 def _task_cells(family: Family, growing: list[list[tuple]], done: list[list[tuple]], level: int) -> Callable:
-    """What a task makes of rows (_k, _y, _b, _w: draws for each tree that grows): its sums by CELL, of the nodes of a level;
-    at the trees' depth a cell for each node, without feature."""
+    """What a task makes of its blocks: sums by CELL, of the nodes of a level; at the trees' depth a cell for each node, without
+    feature."""
     import pyarrow as pa
 
     leaves, low = level == family.depth, 2**level - 1
@@ -138,41 +168,32 @@ def _task_cells(family: Family, growing: list[list[tuple]], done: list[list[tupl
     names = [c.split()[0] for c in CELL.split(", ")]
     batch = lambda found: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*found), types)], names)
 
-    def sums(batches: list):
-        table = pa.Table.from_batches(batches).combine_chunks()
-        column = lambda c: table[c].combine_chunks()
-        k, y = column("_k").to_numpy(), column("_y")
-        known, y = y.is_valid().to_numpy(zero_copy_only=False), y.fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
-        bins, w = _matrix(column("_b")), _matrix(column("_w")).astype(np.int64) if family.bootstrap else None
-        found, n = [], 0
-        for key, rows in _by_key(k):
-            for cols in cells(key, bins[rows], y[rows], known[rows], None if w is None else w[rows]):
-                found.append((np.full(len(cols[0]), key), *cols))
-                n += len(cols[0])
-                if n >= TASK_CELLS:
-                    yield batch(found)
-                    found, n = [], 0
-        if found:
-            yield batch(found)
-
     def task(batches):
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= TASK_ROWS:
-                yield from sums(held)
-                held, n = [], 0
-        if n:
-            yield from sums(held)
+        one = (b.slice(i, 1) for b in batches for i in range(b.num_rows))
+        for held in _gathered(one, lambda b: b["n"][0].as_py()):
+            blocks: dict[int, list] = {}
+            for b in held:
+                blocks.setdefault(b["_k"][0].as_py(), []).append(b)
+            found, n = [], 0
+            for key, own in blocks.items():
+                array = lambda c, t, own=own: np.concatenate([np.frombuffer(b[c][0].as_buffer(), dtype=t) for b in own])
+                y = array("y", np.int8).astype(np.int64)
+                bins, w = array("b", np.int32).reshape(len(y), -1), array("w", np.int8).astype(np.int64).reshape(len(y), -1) if family.bootstrap else None
+                for cols in cells(key, bins, y % 2, y < 2, w):
+                    found.append((np.full(len(cols[0]), key), *cols))
+                    n += len(cols[0])
+                    if n >= TASK_CELLS:
+                        yield batch(found)
+                        found, n = [], 0
+            if found:
+                yield batch(found)
 
     return task
 
 
 def fit(df: DataFrame, key: str, label: str, family: Family = FAMILIES["boosting"], row: str | None = None, bins: str = "_b") -> DataFrame:
     """key, trees: a model of each key that tells rows whose label (boolean) is true. df has bins; row names its rows for
-    the bootstrap. Read df from files, in tasks of about TASK_ROWS: every level reads it again. More than MOST_TREES trees at
-    once raise."""
+    the bootstrap. Every level reads the blocks that df is packed into once. More than MOST_TREES trees at once raise."""
     spark, kind, depth = df.sparkSession, dict(df.dtypes)[key], family.depth
     keys = [r[0] for r in df.select(key).distinct().limit(MOST_TREES + 1).collect()]
     together = 1 if family.boosted else family.trees
@@ -183,13 +204,14 @@ def fit(df: DataFrame, key: str, label: str, family: Family = FAMILIES["boosting
     numbers = spark.createDataFrame(list(zip(keys, range(len(keys)))), f"`{key}` {kind}, _k int")
     drawn = [F.array(*[_draws(F.col(row), F.lit(t)).cast("byte") for t in range(together)]).alias("_w")] if family.bootstrap else []
     rows = df.join(F.broadcast(numbers), key).select("_k", F.col(label).alias("_y"), F.col(bins).alias("_b"), *drawn)
+    blocks = stage(rows.mapInArrow(_pack, BLOCK), "blocks")
     own = ["_k", "tree", "node"]
     for _ in range(0, family.trees, together):
         growing = [[{"feats": [-1] * nodes, "cuts": [0] * nodes, "leaf": [0.0] * nodes} for _ in range(together)] for _ in keys]
 
         def hist(level: int, by: list[str], growing=growing) -> DataFrame:
             shape = [[_arrays(t)[:2] for t in ts] for ts in growing]
-            found = rows.mapInArrow(_task_cells(family, shape, [[_arrays(t) for t in ts] for ts in done], level), CELL)
+            found = blocks.mapInArrow(_task_cells(family, shape, [[_arrays(t) for t in ts] for ts in done], level), CELL)
             # tasks have added up their rows: one shuffle, by what all further steps of a level go by
             return found.repartition(*own).groupBy(*by).agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
@@ -217,6 +239,7 @@ def fit(df: DataFrame, key: str, label: str, family: Family = FAMILIES["boosting
             growing[r["_k"]][r["tree"]]["leaf"][r["node"]] = r["leaf"]
         for ts, grown in zip(done, growing):
             ts += grown
+    unstage(blocks)
     return spark.createDataFrame(list(zip(keys, done)), f"`{key}` {kind}, trees array<{TREE}>")
 
 
